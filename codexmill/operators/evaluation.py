@@ -76,10 +76,8 @@ def judge(results: DataFrame, cases: DataFrame, aliases: dict[str, tuple[str, ..
     number = article_number(F.col("article_number"))
     rows = results.join(shape, "case_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast(dict(shape.dtypes)["sources"])))
     hits = F.filter("sources", lambda s: (s["article_number"] == number) & document_matches(s["names"], own))
-    best = None
-    for r in RELEVANCE:
-        found = F.exists(hits, lambda s, r=r: s["relevance"] == r)
-        best = F.when(found, r) if best is None else best.when(found, r)
+    levels = F.transform(hits, lambda s: s["relevance"])
+    best = F.get(F.filter(F.array(*[F.lit(r) for r in RELEVANCE]), lambda r: F.array_contains(levels, r)), F.lit(0))
     document = F.exists("sources", lambda s: s["relevance"].isin(*SUCCESS) & document_matches(s["names"], own))
     return rows.withColumn("relevance", best).withColumn("expected_document", document).drop("sources")
 

@@ -250,7 +250,5 @@ HISTORY = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "role",
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Saved chat messages; a corrupt file gives none."""
-    rows = spark.read.schema(T.StructType([*HISTORY.fields, T.StructField("_bad", T.StringType())])).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.filter(F.col("_bad").isNull()).drop("_bad")
-
-
+    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", T.ArrayType(HISTORY)).alias("m"))
+    return whole.select(F.inline("m"))

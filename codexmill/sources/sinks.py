@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..schemas import CHUNK, DOCUMENT
 
@@ -39,21 +40,17 @@ class Store:
         """Make empty tables where there are none; safe to repeat."""
         for name, schema in (("documents", DOCUMENT), ("chunks", CHUNK)):
             if self._read(name, schema).isEmpty():
-                df = self.spark.createDataFrame([], schema)
-                df = df.withColumn("bucket", F.lit(0)) if name == "chunks" else df
-                df.write.mode("ignore").parquet(f"{self.path}/{name}")
+                self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/{name}")
 
     def documents(self) -> DataFrame:
         return self._read("documents", DOCUMENT)
 
     def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNK.add("bucket", "int") if "bucket" not in CHUNK.fieldNames() else CHUNK).drop("bucket")
+        return self._read("chunks", CHUNK).select(*CHUNK.fieldNames())
 
     def replace(self, documents: DataFrame, chunks: DataFrame) -> None:
         """Put these files in place of earlier versions; files not named stay as they are."""
-        from pyspark.sql.types import StructField, StructType
-
-        full = StructType([*CHUNK.fields, StructField("bucket", DOCUMENT["document_id"].dataType)])
+        full = StructType([*CHUNK.fields, StructField("bucket", LongType())])
         bucket = F.pmod(F.xxhash64("filename"), F.lit(self.buckets))
         names = documents.select("filename")
         old_docs = self.documents().join(names, "filename", "left_anti").select(*DOCUMENT.fieldNames())
