@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
 from .textbytes import U, long_grams, runs, texts, words
 
 WINDOW = 35
@@ -238,5 +237,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     probes = dealt.groupBy("bucket").applyInArrow(lambda t: p.probe(t), "part int, bucket long, keys binary, grid binary, twice binary")
     told = probes.groupBy("part").applyInArrow(lambda t: p.match(t), "bucket long, part int, keys binary")
     full = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(lambda d, t: p.extend(d, t), "part int, bucket long, first binary, second binary, twice binary")
-    repeated = cut(full.groupBy("part").applyInArrow(lambda t: p.count(t), "bucket long, first binary, second binary"))
+    repeated = full.groupBy("part").applyInArrow(lambda t: p.count(t), "bucket long, first binary, second binary")
     return dealt.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(lambda d, t: p.strip(d, t), f"id {dict(source.dtypes)['id']}, n_words long, n_removed long, kept_text string, spans array<struct<from:long,to:long>>")
