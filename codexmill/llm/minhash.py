@@ -137,7 +137,7 @@ def _with_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     The sets of a meet the narrow pairs, then travel to b: a centre of very many pairs
     draws no set of its members into one task. Only documents of pairs are read again.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     sets = cut(docs.join(small_or_shuffled(ids), "id", "left_semi").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]))
     left = pairs.join(sets.withColumnRenamed("set", "set_a"), pairs["a"] == sets["id"]).drop("id")
     return left.join(sets.withColumnRenamed("set", "set_b"), left["b"] == sets["id"]).select(*pairs.columns, "set_a", "set_b")
