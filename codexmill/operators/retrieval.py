@@ -114,20 +114,33 @@ def _best(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return few[np.lexsort((ids[few], d[few]))][:k]
 
 
-def keyword_candidates(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
-    """(query_id, id, keyword_score): the rows with all of a query's lexemes, best k by rank.
+def match_all(corpus: DataFrame, queries: DataFrame, id_col: str = "chunk_id", words: str = "words") -> DataFrame:
+    """(query_id, id) of the rows that hold all of a query's ``terms`` (an empty query matches none).
 
-    ``corpus`` has ``lexemes`` (see functions.fulltext), ``queries`` has query_id and
-    ``terms``. Rows meet queries through the query's rarest lexeme alone, by an equi-join.
+    Rows meet a query by an equi-join on the query's rarest term alone, then all terms are
+    compared; ``words`` is a row's array of distinct words.
     """
     terms = queries.select("query_id", F.explode("terms").alias("term"))
-    posting = corpus.select(id_col, F.explode(F.array_distinct(F.transform("lexemes", lambda e: e["lexeme"]))).alias("term"))
-    used = terms.select("term").distinct()
-    frequency = posting.join(used, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    posting = corpus.select(id_col, F.explode(words).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    frequency = posting.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rarest = terms.join(frequency, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
     met = posting.join(rarest, "term").select("query_id", id_col)
-    rows = met.join(corpus.select(id_col, "lexemes"), id_col).join(queries.select("query_id", "terms"), "query_id")
-    rows = rows.filter(matches_all(F.col("terms"), F.transform("lexemes", lambda e: e["lexeme"])))
+    rows = met.join(corpus.select(id_col, words), id_col).join(queries.select("query_id", "terms"), "query_id")
+    return rows.filter(matches_all(F.col("terms"), F.col(words))).select("query_id", id_col)
+
+
+def keyword_candidates(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, id, keyword_score): the rows with all of a query's lexemes, best k by rank.
+
+    ``corpus`` has ``lexemes`` (see functions.fulltext), ``queries`` has query_id and ``terms``.
+    """
+    words = corpus.select(id_col, F.array_distinct(F.transform("lexemes", lambda e: e["lexeme"])).alias("words"))
+    rows = match_all(words, queries, id_col).join(corpus.select(id_col, "lexemes"), id_col).join(queries.select("query_id", "terms"), "query_id")
+    return best_ranked(rows, k, id_col)
+
+
+def best_ranked(rows: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
+    """The k rows of each query that rank best; rows have query_id, terms and lexemes."""
     ranked = rows.select("query_id", id_col, rank_column(F.col("lexemes"), F.col("terms")).alias("keyword_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), id_col)
     return ranked.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")

@@ -215,23 +215,25 @@ def _terms(column: str) -> F.Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(fulltext.WORD), F.lit(0)))
 
 
+def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", _terms("text").alias("words"))
+
+
+def _benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), _terms("text").alias("terms"))
+
+
 def keyword_match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold all words of a benchmark item, unstemmed."""
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), _terms("text").alias("words"))
-    queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), _terms("text").alias("terms"))
-    posting = docs.select("chunk_id", F.explode("words").alias("term"))
-    asked = queries.select("query_id", F.size("terms").alias("want"), F.explode("terms").alias("term"))
-    # rarest word first: only documents that hold it can match
-    frequency = posting.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = asked.join(frequency, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
-    met = posting.join(rarest, "term").select("query_id", "chunk_id")
-    return met.join(docs, "chunk_id").join(queries, "query_id").filter(fulltext.matches_all(F.col("terms"), F.col("words"))).select("query_id", F.col("chunk_id").alias("doc_id"))
+    return retrieval.match_all(_worded(spark, sf_dir), _benchmark_terms(spark, sf_dir)).withColumnRenamed("chunk_id", "doc_id")
 
 
 def keyword_rank_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), fulltext.lexeme_column([(F.col("source"), fulltext.WEIGHT_A), (F.col("text"), fulltext.WEIGHT_D)], stemmed=False).alias("lexemes"))
-    queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), _terms("text").alias("terms"))
-    found = retrieval.keyword_candidates(docs, queries, retrieval.candidate_limit(5))
+    """The matching documents ranked; only they are parsed into weighted lexemes."""
+    docs, queries = _worded(spark, sf_dir), _benchmark_terms(spark, sf_dir)
+    rows = retrieval.match_all(docs, queries).join(docs.select("chunk_id", "text", "source"), "chunk_id").join(queries, "query_id")
+    rows = rows.withColumn("lexemes", fulltext.lexeme_column([(F.col("source"), fulltext.WEIGHT_A), (F.col("text"), fulltext.WEIGHT_D)], stemmed=False))
+    found = retrieval.best_ranked(rows, retrieval.candidate_limit(5))
     return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("keyword_score", 6).alias("keyword_score"))
 
 
