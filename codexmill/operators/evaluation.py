@@ -143,6 +143,56 @@ def summarize(metrics: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("_g") == 3, "all").when(F.col("_g") == 1, "law").otherwise("question_type").alias("level"), F.coalesce("law", "question_type", F.lit("all")).alias("name"), *[c for c in out.columns if c not in ("law", "question_type", "_g")])
 
 
+def _filled(name: str, other: str) -> Column:
+    return F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit(other))
+
+
+def report_rows(judged: DataFrame, cases: DataFrame, metrics: DataFrame, meta: dict) -> DataFrame:
+    """The 29 columns of the case report; hybrid weights only for hybrid runs.
+
+    ``judged`` also has article_title and the scores of a search result.
+    """
+    document = F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("document_title", "filename", "source_filename", "document_id")], F.lit("Документ не указан"))
+    shown = F.when(F.col("similarity").isNull(), "—").otherwise(F.format_string("%.4f", F.col("similarity")))
+    line = F.concat(F.col("rank").cast("string"), F.lit(") "), document, F.lit(", статья "), F.coalesce(article_number(F.col("article_number")), F.lit("—")), F.lit(", "), _filled("article_title", "без названия"), F.lit(", similarity="), shown)
+    first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c).cast("double")))
+    tops = judged.groupBy("case_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), " | ").alias("top_results"),
+        F.min_by("relevance", F.when(F.col("relevance").isin(*SUCCESS), F.col("rank"))).alias("matched"),
+        *[first(c).alias(n) for c, n in (("similarity", "best_similarity"), ("distance", "best_distance"), ("semantic_score", "semantic_score"), ("keyword_score", "keyword_score"), ("hybrid_score", "hybrid_score"))],
+    )
+    said = F.concat("document_id", F.lit(" — ст. "), "article_number", F.lit(" ("), "relevance", F.lit(")"))
+    wanted = expected_sources(cases).groupBy("id").agg(F.array_join(F.collect_list(said), "; ").alias("expected_articles"))
+    hybrid = meta.get("retrieval_mode") == "hybrid"
+    weights = [F.lit(meta.get(c) if hybrid else None).cast("double").alias(c) for c in ("hybrid_semantic_weight", "hybrid_keyword_weight", "hybrid_metadata_weight")]
+    rows = cases.drop("law", "question_type").join(metrics.drop("first_similarity"), "id").join(wanted, "id", "left").join(tops, F.col("id") == tops["case_id"], "left")
+    return rows.select(
+        F.col("id").alias("case_id"),
+        F.coalesce("case_type", F.lit("retrieval")).alias("case_type"),
+        "question_type",
+        "difficulty",
+        "expected_behavior",
+        F.lit(meta.get("retrieval_mode")).cast("string").alias("retrieval_mode"),
+        *weights,
+        "law",
+        "question",
+        F.coalesce("expected_articles", F.lit("—")).alias("expected_articles"),
+        *[f"hit_top_{d}" for d in DEPTHS],
+        "rank",
+        "reciprocal_rank",
+        F.coalesce("matched", F.when(F.col("partial_match"), "acceptable")).alias("matched_relevance"),
+        "partial_match",
+        "document_hit_top_5",
+        F.col("wrong_document_at_1").alias("wrong_document_top_1"),
+        "best_similarity",
+        "best_distance",
+        "semantic_score",
+        "keyword_score",
+        "hybrid_score",
+        F.coalesce("top_results", F.lit("Результатов нет")).alias("top_results"),
+    )
+
+
 def extremes(groups: DataFrame, value: str = "top_5_accuracy", name: str = "name") -> DataFrame:
     """(kind best or weakest, name): all groups at the largest and the smallest value."""
     edge = groups.agg(F.max(value).alias("hi"), F.min(value).alias("lo"))

@@ -53,8 +53,25 @@ def format_number(x: Column, places: int = 4) -> Column:
 
 def article_label(number: Column, title: Column) -> Column:
     number, title = F.nullif(number, F.lit("")), F.nullif(title, F.lit(""))
-    return F.concat_ws(". ", F.when(number.isNotNull(), F.concat(F.lit("Статья "), number)), title)
+    return F.nullif(F.concat_ws(". ", F.when(number.isNotNull(), F.concat(F.lit("Статья "), number)), title), F.lit(""))
 
 
-def source_title(document_title: Column, source_filename: Column, filename: Column) -> Column:
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in (document_title, source_filename, filename)], F.lit("Документ"))
+#: Names shown for known files, by parts of the file's name, in order.
+KNOWN_NAMES = (
+    (("tk_rf", "trud"), "Трудовой кодекс Российской Федерации"),
+    (("uk_rf", "ugol"), "Уголовный кодекс Российской Федерации"),
+    (("gk_rf", "grazhd"), "Гражданский кодекс Российской Федерации"),
+    (("nk_rf", "nalog"), "Налоговый кодекс Российской Федерации"),
+)
+
+
+def known_name(filename: Column) -> Column:
+    low, out = F.lower(filename), F.lit(None).cast("string")
+    for parts, name in reversed(KNOWN_NAMES):
+        hit = F.contains(low, F.lit(parts[0])) | F.contains(low, F.lit(parts[1]))
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
+def source_title(document_title: Column, filename: Column, source_filename: Column) -> Column:
+    return F.coalesce(F.nullif(document_title, F.lit("")), known_name(filename), known_name(source_filename), F.lit("Нормативный документ"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,13 @@ from ..config import Settings
 from ..functions.embed import Embed, HashingEmbedder, embed_column, embed_texts
 from ..functions.fulltext import WEIGHT_A, WEIGHT_B, WEIGHT_D, lexeme_column, query_lexemes, stop_words
 from ..functions.references import law_hint, question_article
-from ..operators import evaluation, retrieval
+from ..operators import evaluation, inspection, retrieval
 from ..operators.structure import to_records
 from ..schemas import CHUNK, CONTEXT, DOCUMENT, RESULT
 from ..sources import files
-from ..sources.sinks import Store, convert_report, write_jsonl
+from ..sources.sinks import Store, convert_report, write_csv, write_docx, write_json, write_jsonl
 from . import answer as answers
+from . import report
 
 #: Fixed wording.
 NO_FILES = "No .txt or .jsonl files found"
@@ -129,15 +131,47 @@ def answer(spark: SparkSession, table: DataFrame, query: str, k: int = 5, llm: a
     return {"answer": llm(answers.SYSTEM_PROMPT.replace("{project}", project), prompt), "sources": [r.asDict() for r in answers.sources(found).orderBy("rank").drop("query_id", "rank").collect()]}
 
 
-def evaluate(spark: SparkSession, table: DataFrame, cases: DataFrame, top_k: int = 20, mode: str = "semantic", **options) -> tuple[DataFrame, DataFrame]:
-    """(metrics per case, summary) of all cases by one batched search."""
+def judged_search(spark: SparkSession, table: DataFrame, cases: DataFrame, top_k: int = 20, mode: str = "semantic", **options) -> DataFrame:
+    """Judged results of all cases by one batched search."""
     listed = [(r["id"], r["question"]) for r in cases.select("id", "question").orderBy("id").toLocalIterator()]
     names = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(listed)], "query_id long, case_id string")
-    results = search(spark, table, [q for _, q in listed], top_k, mode, **options).join(F.broadcast(names), "query_id")
-    per = evaluation.case_metrics(evaluation.judge(results, cases), cases, top_k)
+    results = search(spark, table, [q for _, q in listed], top_k, mode, **options).join(names, "query_id")
+    return evaluation.judge(results, cases)
+
+
+def evaluate(spark: SparkSession, table: DataFrame, cases: DataFrame, top_k: int = 20, mode: str = "semantic", **options) -> tuple[DataFrame, DataFrame]:
+    """(metrics per case, summary) of all cases."""
+    per = evaluation.case_metrics(judged_search(spark, table, cases, top_k, mode, **options), cases, top_k)
     return per, evaluation.summarize(per)
 
 
+def write_reports(spark: SparkSession, table: DataFrame, cases: DataFrame, out: str, top_k: int = 20, mode: str = "semantic", settings: Settings = Settings(), at: str = "", **options) -> dict:
+    """CSV, JSON, Markdown and DOCX reports of an evaluation in the folder ``out``; returns the summary."""
+    meta = {"generated_at": at or now().isoformat(timespec="seconds"), "top_k": top_k, "retrieval_mode": mode, "hybrid_semantic_weight": settings.hybrid_semantic_weight, "hybrid_keyword_weight": settings.hybrid_keyword_weight, "hybrid_metadata_weight": settings.hybrid_metadata_weight}
+    judged = judged_search(spark, table, cases, top_k, mode, settings=settings, **options).cache()
+    per = evaluation.case_metrics(judged, cases, top_k).cache()
+    rows = evaluation.report_rows(judged, cases, per, meta).orderBy("case_id")
+    groups: dict[str, dict[str, dict]] = {"all": {}, "law": {}, "question_type": {}}
+    for r in evaluation.summarize(per).collect():  # a row a group
+        groups[r["level"]][r["name"]] = {k: v for k, v in r.asDict().items() if k not in ("level", "name")}
+    summary, listed = groups["all"]["all"], [r.asDict() for r in rows.collect()]
+    text = report.markdown(summary, groups["law"], groups["question_type"], [{**r, "id": r["case_id"]} for r in listed], meta)
+    write_csv(rows, f"{out}/retrieval_report.csv", bom=True)
+    write_json({**meta, "summary": summary, "metrics_by_law": groups["law"], "metrics_by_question_type": groups["question_type"], "cases": listed}, f"{out}/retrieval_report.json")
+    Path(f"{out}/retrieval_report.md").write_text(text, encoding="utf-8")
+    write_docx(text.splitlines(), f"{out}/retrieval_report.docx")
+    return summary
+
+
+def inspect(spark: SparkSession, folder: str, out: str, size: int = 1200, n_overlap: int = 200) -> DataFrame:
+    """A CSV of chunks for each TXT file of a folder; returns the statistics per file."""
+    items = files.read_texts(spark, folder, size, n_overlap).select("filename", F.posexplode("items").alias("chunk_index", "i"))
+    chunks = items.select("filename", "chunk_index", "i.content", "i.article_number", "i.article_title").cache()
+    for r in chunks.select("filename").distinct().orderBy("filename").toLocalIterator():
+        write_csv(inspection.chunk_rows(chunks.filter(F.col("filename") == r["filename"])).orderBy("chunk_index"), f"{out}/{Path(r['filename']).stem}_chunks.csv")
+    return inspection.chunk_stats(chunks, ["filename"])
+
+
 def convert(spark: SparkSession, folder: str, out: str, source_format: str = "html") -> DataFrame:
     """Files of a folder to JSONL records; returns the report (source_filename, status, records)."""
     lines = files.read_html(spark, folder) if source_format == "html" else files.read_docx(spark, folder)

@@ -333,3 +333,32 @@ def test_stream(spark, tmp_path):
 
 def test_defaults():
     assert Settings().chunk_size == 1200 and len(retrieval.MODES) == 2
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from codexmill.__main__ import main
+
+    store = str(tmp_path / "s")
+    assert main(["ingest", store, "--folder", str(folder)]) == 0
+    assert json.loads(capsys.readouterr().out)["documents_created"] == 2
+    assert main(["search", store, "отпуск работника", "--top-k", "1"]) == 0
+    assert json.loads(capsys.readouterr().out)["results"][0]["article_number"] == "2"
+    cases = tmp_path / "cases.json"
+    cases.write_text(json.dumps([{"id": "1", "law": "b", "question": "отпуск работника", "expected_sources": [{"document_id": "b", "article_number": "2", "relevance": "primary"}]}, {"id": "2", "question": "погода", "case_type": "out_of_scope", "expected_behavior": "no_answer"}], ensure_ascii=False), encoding="utf-8")
+    assert main(["evaluate", store, str(cases), "--out", str(tmp_path / "r"), "--top-k", "5", "--mode", "hybrid"]) == 0
+    assert json.loads(capsys.readouterr().out)["mrr"] == 1.0
+    head, first, second = (tmp_path / "r" / "retrieval_report.csv").read_text(encoding="utf-8-sig").splitlines()
+    assert len(head.split(",")) == 29 and "b — ст. 2 (primary)" in first and first.startswith("1,retrieval")
+    data = json.loads((tmp_path / "r" / "retrieval_report.json").read_text(encoding="utf-8"))
+    assert data["summary"]["out_of_scope_count"] == 1 and data["cases"][1]["rank"] is None and data["metrics_by_law"]["b"]["questions_count"] == 1
+    assert "Recall@20 | не рассчитывалось" in (tmp_path / "r" / "retrieval_report.md").read_text(encoding="utf-8") and (tmp_path / "r" / "retrieval_report.docx").exists()
+    assert main(["inspect", str(folder), str(tmp_path / "i")]) == 0
+    assert (tmp_path / "i" / "b_chunks.csv").read_text(encoding="utf-8").startswith("chunk_index,")
+    assert main(["convert-html", str(folder), str(tmp_path / "c")]) == 1
+    capsys.readouterr()
+
+
+def test_display_values(spark):
+    rows = spark.createDataFrame([(None, "x.html", "trudovoy.html", "5", "T"), ("D", None, None, None, None), (None, "a", None, "", "T")], "t string, f string, s string, n string, a string")
+    got = rows.select(history.source_title(F.col("t"), F.col("f"), F.col("s")).alias("d"), history.article_label(F.col("n"), F.col("a")).alias("l")).collect()
+    assert [tuple(r) for r in got] == [("Трудовой кодекс Российской Федерации", "Статья 5. T"), ("D", None), ("Нормативный документ", "T")]
