@@ -32,9 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and keep its rows in the shared folder (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Run ``df`` once and keep its rows in the shared folder (survives lost executors).
+
+    The result forgets the size that Spark guessed for ``df``: guesses of joins multiply,
+    so over a loop of joins and checkpoints their digits would double with each step.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
