@@ -8,6 +8,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows of a single 8-byte id that may be broadcast; beyond it joins shuffle.
 BROADCAST_IDS = 2_000_000
@@ -62,5 +63,16 @@ def spread(df: DataFrame, name: str = "salt", salts: int = SALTS) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
+def first_rows(df: DataFrame, by: list[str], order: list, n: int, salt_on: str) -> DataFrame:
+    """The first n rows of each group: first of each salted part, then of what is left.
+
+    A group's last task reads SALTS * n rows at most, whatever the group's size.
+    """
+    part = F.pmod(F.xxhash64(F.lit(8), F.col(salt_on)), F.lit(SALTS))
+    parts, whole = (Window.partitionBy(*by, *extra).orderBy(*order) for extra in (["__cm_salt"], []))
+    few = df.withColumn("__cm_salt", part).withColumn("__cm_n", F.row_number().over(parts)).filter(F.col("__cm_n") <= n)
+    return few.withColumn("__cm_n", F.row_number().over(whole)).filter(F.col("__cm_n") <= n).drop("__cm_salt", "__cm_n")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import arrow_rows
+from .common import arrow_rows, first_rows
 from .textbytes import U, grams
 
 BITS, LENGTHS = 14, (1, 2, 3, 4)
@@ -101,19 +100,19 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     Raises ValueError for more than LANGUAGES languages. Rows without a letter say nothing.
     """
     arrow_rows(labelled.sparkSession)
-    rank = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.lit(6), id_col), id_col)
-    ids = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col).withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= sample).drop("_n")
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col)
+    ids = first_rows(rows, [lang_col], [F.xxhash64(F.lit(6), id_col), id_col], sample, id_col)
     if ids.select(lang_col).distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array([np.packbits(presence(t)).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["id", "lang", "row"])
 
     # at most sample * LANGUAGES ids, a fixed bound
     few = F.broadcast(ids.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")))
     kind = dict(labelled.dtypes)[id_col]
-    got = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("own")).join(few, "id").filter("own = lang").select("id", "lang", "text").mapInArrow(rows, f"id {kind}, lang string, row binary").toArrow()
+    got = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("own")).join(few, "id").filter("own = lang").select("id", "lang", "text").mapInArrow(packed, f"id {kind}, lang string, row binary").toArrow()
     found = sorted(zip(got.column("id").to_pylist(), got.column("lang").to_pylist(), got.column("row").to_pylist(), strict=True), key=lambda r: (str(hash_of(r[0])), r[2]))
     matrix = np.array([np.unpackbits(np.frombuffer(r[2], np.uint8)) for r in found], np.uint8).reshape(len(found), 1 << BITS)
     some = matrix.any(axis=1)
