@@ -4,18 +4,24 @@ Groups of equal texts are the points and their bytes the weights, so copies are
 parted. Each dimension is a 48-bit code whose low bits are a hash of the text, so no two
 groups tie. All nodes of a level are split together: every pass sums bytes in equal
 slices of each node's open interval, and the slice that holds the median becomes the
-next interval. Only the slices' sums (nodes x SLICES numbers) reach the driver.
+next interval. Only the slices' sums, at most SUMS numbers a pass, reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut
 
 SLICES = 4096
+#: Sums of a pass, over all nodes, that the driver may see; nodes split by such passes.
+SUMS, NODES = 1 << 20, 1 << 14
+#: From so many nodes on, each of at most so many groups, a node is finished in one task.
+LOCAL_NODES, LOCAL_ROWS = 64, 2_000_000
 #: Bits of the value and of the tie-break in a dimension's code.
 VALUE_BITS, TIE_BITS = 24, 24
 #: Rows of one numbering task.
@@ -56,75 +62,99 @@ def _codes(groups: DataFrame, n_meta: int) -> DataFrame:
     return groups.select("_h1", "_h2", "_bytes", *[(s * F.lit(1 << TIE_BITS) + tie).alias(f"_d{i}") for i, s in enumerate(scaled)])
 
 
+def _share(total: int, shards: int) -> float:
+    """Bytes that the left child of a node of so many shards should get."""
+    return total * ((shards + 1) // 2) / shards
+
+
+def _medians(groups: DataFrame, dims: list[str], nodes: dict[int, tuple[int, int]], stats: dict[int, Row]) -> dict[int, tuple[int, int]]:
+    """node: (dimension, code): codes below it go left. All open nodes are refined together."""
+    spark, dim, span, below, found = groups.sparkSession, {}, {}, {}, {}
+    for k, r in stats.items():
+        if nodes[k][1] > 1:
+            dim[k] = max(range(len(dims)), key=lambda d: r[f"hi{d}"] - r[f"lo{d}"])
+            span[k], below[k] = (r[f"lo{dim[k]}"], r[f"hi{dim[k]}"] + 1), 0
+    slices = max(16, min(SLICES, SUMS // max(1, len(span))))
+    while span:
+        shift = {k: max(0, (-(-(b - a) // slices) - 1).bit_length()) for k, (a, b) in span.items()}
+        rows = [(k, dim[k] + 1, span[k][0], span[k][1], shift[k]) for k in span]
+        asked = F.broadcast(spark.createDataFrame(rows, "_node long, _dim int, _a long, _b long, _shift int"))  # at most NODES rows
+        coded = groups.join(asked, "_node").withColumn("_code", F.element_at(F.array(*dims), F.col("_dim"))).filter("_code >= _a and _code < _b")
+        sums: dict[int, dict[int, int]] = {k: {} for k in span}
+        for r in coded.groupBy("_node", F.expr("shiftright(_code - _a, _shift)").alias("s")).agg(F.sum("_bytes").alias("b")).collect():
+            sums[r["_node"]][r["s"]] = r["b"]
+        for k in list(span):
+            (a, b), want = span[k], _share(stats[k]["total"], nodes[k][1])
+            for s in sorted(sums[k]):
+                if below[k] + sums[k][s] >= want:
+                    break
+                below[k] += sums[k][s]
+            if shift[k]:
+                span[k] = (a + (s << shift[k]), min(b, a + ((s + 1) << shift[k])))
+                continue
+            # the code a + s holds the median: it goes to the side that it fits better
+            after = below[k] + sums[k][s]
+            found[k] = dim[k], a + s + (after - want <= want - below[k])
+            del span[k]
+    return found
+
+
+def _finish(groups: DataFrame, dims: list[str], nodes: dict[int, tuple[int, int]]) -> DataFrame:
+    """Split nodes that fit a task on their own, each in one task."""
+    rows = groups.sparkSession.createDataFrame([(k, *v) for k, v in nodes.items()], "_node long, _first int, _n int")
+    kept = [c for c in groups.columns if c != "_node"]
+    kinds = dict(groups.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        weight = table.column("_bytes").to_numpy()
+        codes = np.stack([table.column(d).to_numpy() for d in dims], axis=1)
+        shard, todo = np.zeros(len(weight), np.int32), [(np.arange(len(weight)), table.column("_first")[0].as_py(), table.column("_n")[0].as_py())]
+        while todo:
+            at, first, n = todo.pop()
+            if n == 1 or not len(at):
+                shard[at] = first
+                continue
+            d = int((codes[at].max(axis=0) - codes[at].min(axis=0)).argmax())
+            at = at[np.argsort(codes[at, d], kind="stable")]
+            run_up, want = np.cumsum(weight[at]), _share(int(weight[at].sum()), n)
+            cut_at = int(np.searchsorted(run_up, want))
+            cut_at += int(run_up[cut_at] - want <= want - (run_up[cut_at] - weight[at[cut_at]]))
+            half = (n + 1) // 2
+            todo += [(at[:cut_at], first, half), (at[cut_at:], first + half, n - half)]
+        return table.select(kept).append_column("shard", pa.array(shard))
+
+    return groups.join(F.broadcast(rows), "_node").groupBy("_node").applyInArrow(lambda t: run(t), ", ".join(f"{c} {kinds[c]}" for c in kept) + ", shard int")
+
+
 def kd_leaves(groups: DataFrame, dims: list[str], shards: int) -> DataFrame:
     """Add ``shard`` to (.., _bytes, dims): leaves of near equal bytes, numbered from 0.
 
-    A node with s shards sends ceil(s/2)/s of its bytes left, so s need not be a power of two.
+    A node with s shards sends ceil(s/2)/s of its bytes left, so s need not be a power of
+    two. Levels are split by distributed passes; once there are LOCAL_NODES nodes and each
+    fits a task, the rest of every subtree is split in a task of its own.
     """
     nodes = {0: (0, shards)}  # node: (first shard, shards)
-    groups = groups.withColumn("_node", F.lit(0))
+    groups = groups.withColumn("_node", F.lit(0).cast("long"))
     while any(n > 1 for _, n in nodes.values()):
-        open_nodes = sorted(k for k, (_, n) in nodes.items() if n > 1)
-        ranges = {r["_node"]: r for r in groups.filter(F.col("_node").isin(open_nodes)).groupBy("_node").agg(F.sum("_bytes").alias("total"), *[f(d).alias(f"{k}{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]).collect()}
-        dim, span, want, below = {}, {}, {}, {}
-        for k in open_nodes:
-            r = ranges.get(k)
-            if r is None:
-                continue
-            dim[k] = max(dims, key=lambda d: r[f"hi{d}"] - r[f"lo{d}"])
-            span[k] = (r[f"lo{dim[k]}"], r[f"hi{dim[k]}"] + 1)
-            half = (nodes[k][1] + 1) // 2
-            want[k], below[k] = r["total"] * half / nodes[k][1], 0
-        busy = {k for k in span if span[k][1] - span[k][0] > 1}
-        code = None
-        for k in span:
-            value = F.when(F.col("_node") == k, F.col(dim[k]))
-            code = value if code is None else F.coalesce(code, value)
-        while busy:
-            cases = None
-            for k in sorted(busy):
-                a, b = span[k]
-                step = max(1, -(-(b - a) // SLICES))
-                inside = (F.col("_node") == k) & (F.col("_code") >= a) & (F.col("_code") < b)
-                slot = F.floor((F.col("_code") - a) / F.lit(step)) if step < 1 << 20 else F.shiftright(F.col("_code") - a, (step - 1).bit_length())
-                cases = F.when(inside, slot) if cases is None else cases.when(inside, slot)
-            sums: dict[int, dict[int, int]] = {}
-            for r in groups.filter(F.col("_node").isin(sorted(busy))).withColumn("_code", code).withColumn("_slice", cases.cast("long")).filter("_slice is not null").groupBy("_node", "_slice").agg(F.sum("_bytes").alias("b")).collect():
-                sums.setdefault(r["_node"], {})[r["_slice"]] = r["b"]
-            for k in sorted(busy):
-                a, b = span[k]
-                step = max(1, -(-(b - a) // SLICES))
-                step = step if step < 1 << 20 else 1 << (step - 1).bit_length()
-                for s in sorted(sums.get(k, {})):
-                    if below[k] + sums[k][s] >= want[k]:
-                        span[k] = (a + s * step, min(b, a + (s + 1) * step))
-                        break
-                    below[k] += sums[k][s]
-                else:
-                    span[k] = (b - 1, b)
-                if span[k][1] - span[k][0] <= 1:
-                    # the code at span holds the median: it goes to the nearer side
-                    at = sums.get(k, {}).get((span[k][0] - a) // step, 0)
-                    if below[k] + at - want[k] <= want[k] - below[k]:
-                        span[k] = (span[k][1], span[k][1] + 1)
-                    busy.discard(k)
-        grown, node = {}, None
+        aggs = [f(d).alias(f"{k}{i}") for i, d in enumerate(dims) for k, f in (("lo", F.min), ("hi", F.max))]
+        stats = {r["_node"]: r for r in groups.groupBy("_node").agg(F.sum("_bytes").alias("total"), F.count(F.lit(1)).alias("rows"), *aggs).collect()}
+        if len(nodes) >= LOCAL_NODES and max((r["rows"] for r in stats.values()), default=0) <= LOCAL_ROWS or len(nodes) >= NODES:
+            return _finish(groups, dims, nodes)
+        medians = _medians(groups, dims, nodes, stats)
+        grown = {}
         for k, (first, n) in nodes.items():
-            if n == 1 or k not in span:
-                grown[2 * k + 1] = (first, n if k not in span and n > 1 else 1)
-                to = F.lit(2 * k + 1)
-                if n > 1:
-                    grown[2 * k + 1] = (first, 1)
-            else:
-                half = (n + 1) // 2
+            half = (n + 1) // 2
+            if k in medians:
                 grown[2 * k + 1], grown[2 * k + 2] = (first, half), (first + half, n - half)
-                to = F.when(F.col(dim[k]) < span[k][0], 2 * k + 1).otherwise(2 * k + 2)
-            node = F.when(F.col("_node") == k, to) if node is None else node.when(F.col("_node") == k, to)
-        groups, nodes = groups.withColumn("_node", node.cast("int")), grown
-    shard = None
-    for k, (first, _) in nodes.items():
-        shard = F.when(F.col("_node") == k, F.lit(first)) if shard is None else shard.when(F.col("_node") == k, F.lit(first))
-    return groups.withColumn("shard", shard.cast("int"))
+            else:
+                grown[2 * k + 1] = (first, 1)  # a leaf, or a node without rows
+        rows = [(k, *medians.get(k, (0, None))) for k in nodes]
+        turns = F.broadcast(groups.sparkSession.createDataFrame(rows, "_node long, _dim int, _cut long"))
+        right = F.coalesce(F.element_at(F.array(*dims), F.col("_dim") + 1) >= F.col("_cut"), F.lit(False))
+        groups = cut(groups.join(turns, "_node").withColumn("_node", 2 * F.col("_node") + 1 + right.cast("long")).drop("_dim", "_cut"))
+        nodes = grown
+    leaves = groups.sparkSession.createDataFrame([(k, first) for k, (first, _) in nodes.items()], "_node long, shard int")
+    return groups.join(F.broadcast(leaves), "_node").drop("_node")
 
 
 def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, target_bytes: int | None = None) -> DataFrame:

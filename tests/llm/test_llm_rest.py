@@ -336,3 +336,13 @@ def test_pipeline(spark):
     assert decontaminate.find_leaks(seen[names[3]], spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
     again = sorted((r["doc_id"], r["n_tokens"]) for r in pipeline.run(spark, SF).collect())
     assert again == sorted((r["doc_id"], r["n_tokens"]) for r in docs.collect())
+
+
+def test_subtrees_finished_in_tasks_agree(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(1, 500), rng.randrange(2**48), rng.randrange(2**47)) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, _bytes long, _d0 long, _d1 long")
+    far = {r["i"]: r["shard"] for r in sharding.kd_leaves(df, ["_d0", "_d1"], 23).collect()}
+    monkeypatch.setattr(sharding, "LOCAL_NODES", 3)
+    near = {r["i"]: r["shard"] for r in sharding.kd_leaves(df, ["_d0", "_d1"], 23).collect()}
+    assert far == near and len(set(far.values())) == 23
