@@ -146,13 +146,24 @@ def scan(chunks: list[tuple[list, list, np.ndarray]]) -> list[tuple[tuple[int, i
     return list(zip(at, at[1:], strict=False))
 
 
+def _int32(ids: list[int]) -> np.ndarray:
+    return np.array(ids, np.int32)
+
+
+def _text(c: Coder, ids: list[int] | None) -> str | None:
+    return None if ids is None else c.whole.decode(ids, num_threads=1) if ids else ""
+
+
 def _halo(c: Coder) -> int:
     return 2 * c.longest + 2
 
 
-def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, decoded: str | None = None) -> DataFrame:
     """(id, n_chunks, n_tokens, tokens) for every row, ids as the model's library gives them.
 
+    With ``decoded``, a column of that name has what the ids decode to, as ``decode`` would
+    add it; texts of one chunk are decoded by the worker that encoded them.
+
     Null text: null tokens, n_tokens 0, no chunks. Empty text: no tokens. Texts over
     ``chunk`` code points are cut and scanned; chunks of one document run as separate rows
     and only its matrices and its ids come together. Null ids stay null; repeated rows
@@ -167,13 +178,18 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            # a text within one chunk: its only matrix is 1 x 1 and the backtrace is all
-            ids = [None if t is None else (c.between(c.prefix + t, (0, 0), (len(c.prefix + t),) * 2) if t else []) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([0 if t is None else 1 for t in texts], pa.int32()), pa.array([len(i or ()) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["id", "n_chunks", "n_tokens", "tokens"])
+            ids = []
+            for text in b.column("text"):
+                t = text.as_py()
+                # a text within one chunk: its only matrix is 1 x 1 and the backtrace is all
+                ids.append(None if t is None else _int32(c.between(c.prefix + t, (0, 0), (len(c.prefix + t),) * 2) if t else []))
+            cols = [b.column("id"), pa.array([0 if i is None else 1 for i in ids], pa.int32()), pa.array([0 if i is None else len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
+            if decoded:
+                cols.append(pa.array([_text(c, None if i is None else i.tolist()) for i in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n_chunks", "n_tokens", "tokens", *(["decoded"] if decoded else [])])
 
     short = F.col("text").isNull() | (F.char_length("text") <= chunk)
-    direct = rows.filter(short).mapInArrow(small, out)
+    direct = rows.filter(short).mapInArrow(small, out + (", decoded string" if decoded else ""))
     halo = _halo(coder(model))
     lead = len(coder(model).prefix)
     size = F.char_length("text") + F.lit(lead)
@@ -207,7 +223,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             ids = []
             for base, part, *at in zip(*(b.column(x).to_pylist() for x in ("base", "part", "ps", "pe", "qs", "qe")), strict=True):
                 ps, pe, qs, qe = (x - base for x in at)
-                ids.append(c.between(part, (ps, pe), (qs, qe)))
+                ids.append(_int32(c.between(part, (ps, pe), (qs, qe))))
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("k"), pa.array(ids, pa.list_(pa.int32()))], ["doc", "k", "ids"])
 
     states = lines.mapInArrow(transfer, "doc string, k int, p array<long>, q array<long>, ok array<boolean>").groupBy("doc").applyInArrow(lambda t: join(t), "doc string, k int, ps long, pe long, qs long, qe long")
@@ -215,7 +231,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     whole = traced.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     named = giant.select("doc", "id", "copies").join(whole, "doc").withColumn("tokens", F.flatten(F.transform("parts", lambda x: x["ids"])))
     big = named.select("id", F.size("parts").alias("n_chunks"), F.size("tokens").cast("long").alias("n_tokens"), "tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_c")).drop("_c")
-    return direct.union(big).withColumnRenamed("id", id_col)
+    if not decoded:
+        return direct.union(big).withColumnRenamed("id", id_col)
+    return direct.union(decode(big, model, text_col="decoded")).withColumnsRenamed({"id": id_col, "decoded": decoded})
 
 
 def decode(encoded: DataFrame, model: bytes, tokens_col: str = "tokens", text_col: str = "decoded") -> DataFrame:
@@ -229,8 +247,9 @@ def decode(encoded: DataFrame, model: bytes, tokens_col: str = "tokens", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
         for b in batches:
-            ids = b.column(tokens_col).to_pylist()
-            text = [None if i is None else c.whole.decode(i, num_threads=1) if i else "" for i in ids]
+            text = []
+            for row in b.column(tokens_col):  # one row's ids as Python numbers at a time
+                text.append(_text(c, row.as_py()))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(text, pa.string())], [*(f.name for f in keep), text_col])
 
     return encoded.mapInArrow(run, schema)

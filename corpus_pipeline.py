@@ -35,8 +35,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_chunks, n_tokens, tokens and the text that the tokens decode to."""
-    model = sentencepiece_scan.read_model()
-    return sentencepiece_scan.decode(sentencepiece_scan.encode(docs, model), model, text_col="text")
+    return sentencepiece_scan.encode(docs, sentencepiece_scan.read_model(), decoded="text")
 
 
 STAGES = [

@@ -70,6 +70,9 @@ def test_encode_and_decode(spark, model):
             assert r["tokens"] == lib.encode(t) and r["n_tokens"] == len(r["tokens"]) and r["decoded"] == t
             assert (r["n_chunks"] > 1) == (len(t) > 100)
     assert sentencepiece_scan.encode(df.limit(0), model).count() == 0
+    fused = sentencepiece_scan.encode(df, model, chunk=100, decoded="back")
+    order = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert order(fused) == order(sentencepiece_scan.decode(enc, model)) and fused.columns[-1] == "back"
     same = sentencepiece_scan.decode(enc.withColumn("decoded", F.lit(1)), model)
     assert same.columns.count("decoded") == 1
 
