@@ -1,15 +1,13 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit distance.
-
-Texts are words (letters and digits, lower case). The CGK embedding (Chakraborty,
-Goldenberg & Koucky, 2016) walks over a word string with shared random bits: at step j it
-writes the current word and moves on if bit j of that word is 1. Strings at a small edit
-distance get embeddings at a small Hamming distance, so a few sampled steps that agree
-make a window a candidate; REPEATS independent walks reach the target recall.
-
-An item of n words is looked for in windows of n words. A window within k = floor(rate * n)
-word edits holds a run of ceil((n - k) / (k + 1)) >= RUN words of the item unedited
-(pigeonhole), so only windows placed by such a run are embedded; this loses nothing. A
-candidate is confirmed by the exact edit distance to the best span of words around it.
+"""Benchmark decontamination: a lossless filter on shared runs of words and exact edit distance.
+
+Texts are words (letters and digits, lower case). An item of n words is looked for in
+spans within k = floor(rate * n) word edits. Such a span holds a run of
+ceil((n - k) / (k + 1)) words of the item unedited (pigeonhole), which is RUN words or more
+at the usual rate, and each edit breaks at most q of the item's n - q + 1 runs of q words. So
+at least n - q + 1 - q * k of them stand in the span, and as edits shift words by at most k
+places in all, their offsets (place in the text less place in the item) differ by at most
+k. Every place with so many shared runs is confirmed by the exact edit distance over all
+that a span around it can reach: no span within the edits is lost, however long the item.
 """
 
 from __future__ import annotations
@@ -22,17 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows
-from .textbytes import U, grams, mix, words
+from .textbytes import U, grams, words
 
-#: Word edits allowed, as a share of an item's words; shortest item looked for; run of words.
+#: Word edits allowed, as a share of an item's words; shortest item looked for; longest run used.
 RATE, MIN_WORDS, RUN = 0.2, 6, 3
-#: Walks, and steps sampled of each.
-REPEATS, SAMPLED = 24, 3
 #: Items held by a task at a time; larger benchmarks are passed over in blocks of so many.
 BLOCK_ITEMS = 20_000
 _WORD = np.ones(256, bool)
 _WORD[[i for i in range(128) if chr(i).isalnum()] + list(range(128, 256))] = False
-PAD = U(0)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -60,90 +55,68 @@ def edits(item: np.ndarray, span: np.ndarray) -> tuple[int, int, int]:
 
 
 class Benchmark:
-    """Items as word hashes, the index of their runs and the sampled walk steps."""
+    """Items as word hashes and, by length of run, the index of their runs."""
 
-    def __init__(self, items: list[tuple[int, str | None]], rate: float = RATE, seed: int = 29):
+    def __init__(self, items: list[tuple[int, str | None]], rate: float = RATE):
         rows = [(i, h) for i, t in items if len(h := word_hashes(t)) >= MIN_WORDS]
-        self.ids, self.words, self.rate = [i for i, _ in rows], [h for _, h in rows], rate
+        self.ids, self.words = [i for i, _ in rows], [h for _, h in rows]
         self.sizes = np.array([len(h) for h in self.words], np.int64)
-        run, item, at = [], [], []
-        for k, h in enumerate(self.words):
-            g = grams(h, RUN)
-            run.append(g)
-            item.append(np.full(len(g), k, np.int64))
-            at.append(np.arange(len(g)))
-        self.run, self.item, self.at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (run, item, at))
-        order = np.argsort(self.run, kind="stable")
-        self.run, self.item, self.at = self.run[order].astype(U), self.item[order], self.at[order]
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.run >> U(42)).astype(np.int64)] = True
-        rng = np.random.Generator(np.random.PCG64(seed))
-        self.seeds = rng.integers(1, 2**63, REPEATS, dtype=U)
-        #: steps sampled of an item of n words: within the first 1.5 n, where walks still read
-        share = rng.random((REPEATS, SAMPLED)) * 1.5
-        self.steps = np.minimum((share[:, None, :] * self.sizes[None, :, None]).astype(np.int64), np.maximum(0, 3 * self.sizes - 1)[None, :, None]) if rows else np.zeros((REPEATS, 0, SAMPLED), np.int64)
-        flat, begin = self.flat(self.words)
-        self.keys = [self.embed(flat, begin, np.arange(len(rows)), r) for r in range(REPEATS)] if rows else []
-
-    @staticmethod
-    def flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([*parts, np.zeros(1, U)]), np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
-
-    def embed(self, flat: np.ndarray, begin: np.ndarray, item: np.ndarray, repeat: int) -> np.ndarray:
-        """The words that walk ``repeat`` writes at its sampled steps, windows x SAMPLED."""
-        n, steps = self.sizes[item], self.steps[repeat][item]
-        at, out = np.zeros(len(begin), np.int64), np.zeros((len(begin), SAMPLED), U)
-        for j in range(int(steps.max(initial=-1)) + 1):
-            inside = at < n
-            w = np.where(inside, flat[np.minimum(begin + at, len(flat) - 1)], PAD)
-            out = np.where(steps == j, w[:, None], out)
-            at += inside & ((mix(w ^ (self.seeds[repeat] + U(j))) & U(1)) == 1)
-        return out
-
-    def windows(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, first word) of the windows that a run of the item places."""
-        g = grams(h, RUN)
-        maybe = np.flatnonzero(self.filter[(g >> U(42)).astype(np.int64)]) if len(g) else np.zeros(0, np.int64)
-        lo, hi = np.searchsorted(self.run, g[maybe], "left"), np.searchsorted(self.run, g[maybe], "right")
-        count = hi - lo
-        if not count.sum():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        k = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        pairs = np.unique(np.stack([self.item[k], np.repeat(maybe, count) - self.at[k]], axis=1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+        self.most = (rate * self.sizes + 1e-9).astype(np.int64)
+        length = np.clip(-(-(self.sizes - self.most) // (self.most + 1)), 1, RUN)
+        #: runs that a span within the edits shares with the item, at least
+        self.least = np.maximum(1, self.sizes - length + 1 - length * self.most)
+        self.index = []
+        for q in np.unique(length).tolist():
+            of = np.flatnonzero(length == q)
+            runs = [grams(self.words[i], q) for i in of]
+            run, item, at = np.concatenate(runs), np.repeat(of, [len(g) for g in runs]), np.concatenate([np.arange(len(g)) for g in runs])
+            order = np.argsort(run, kind="stable")
+            known = np.zeros(1 << 22, bool)
+            known[(run >> U(42)).astype(np.int64)] = True
+            self.index.append((q, run[order], item[order], at[order], known))
+
+    def shared(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place in the text less place in the item) of all runs shared with items."""
+        items, offsets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for q, run, item, at, known in self.index:
+            g = grams(h, q)
+            maybe = np.flatnonzero(known[(g >> U(42)).astype(np.int64)])
+            lo, hi = np.searchsorted(run, g[maybe], "left"), np.searchsorted(run, g[maybe], "right")
+            count = hi - lo
+            k = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+            items.append(item[k])
+            offsets.append(np.repeat(maybe, count) - at[k])
+        return np.concatenate(items), np.concatenate(offsets)
+
+    def regions(self, h: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, from word, to word) of the parts that can hold a span within the edits; parts that meet are one."""
+        item, offset = self.shared(h)
+        if not len(item):
+            return []
+        wide = len(h) + 3 * int(self.sizes.max())
+        key = np.sort(item * wide + offset + int(self.sizes.max()))
+        item, offset = key // wide, key % wide - int(self.sizes.max())
+        n, k = self.sizes[item], self.most[item]
+        enough = np.searchsorted(key, key + k, "right") - np.arange(len(key)) >= self.least[item]
+        item, a, e = item[enough], np.maximum(0, offset - k)[enough], np.minimum(len(h), offset + n + k)[enough]
+        if not len(item):
+            return []
+        opens = np.concatenate([[True], (item[1:] != item[:-1]) | (a[1:] > e[:-1])])
+        closes = np.concatenate([opens[1:], [True]])
+        return list(zip(item[opens].tolist(), a[opens].tolist(), e[closes].tolist(), strict=True))
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item id, distance, from word, to word, item words) of all leaks; the nearest each."""
-        hashes, item, begin, which = [], [], [], []
-        size = 0
-        pad = int(self.sizes.max(initial=0)) + 1
+        out = []
         for t, text in enumerate(texts):
             h = word_hashes(text)
-            i, b = self.windows(h)
-            if len(i):
-                hashes.append(np.concatenate([np.zeros(pad, U), h, np.zeros(pad, U)]))
-                item.append(i)
-                begin.append(b + size + pad)
-                which.append(np.full(len(i), t))
-                size += len(hashes[-1])
-        if not hashes:
-            return []
-        flat, item, begin, which = (np.concatenate(x) for x in (hashes, item, begin, which))
-        close = np.zeros(len(item), bool)
-        for r in range(REPEATS):
-            todo = np.flatnonzero(~close)
-            close[todo] = (self.embed(flat, begin[todo], item[todo], r) == self.keys[r][item[todo]]).all(axis=1)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        base = np.concatenate([[0], np.cumsum([len(h) for h in hashes])[:-1]])
-        order = {t: b + pad for t, b in zip(dict.fromkeys(which.tolist()), base, strict=True)}
-        for x in np.flatnonzero(close):
-            i, t = int(item[x]), int(which[x])
-            most = int(self.rate * self.sizes[i] + 1e-9)
-            a = int(begin[x]) - most
-            d, s, e = edits(self.words[i], flat[max(0, a) : a + int(self.sizes[i]) + 2 * most])
-            if d <= most and d < best.get((t, i), (most + 1, 0, 0))[0]:
-                best[t, i] = d, int(max(0, a) + s - order[t]), int(max(0, a) + e - order[t])
-        return [(t, self.ids[i], *v, int(self.sizes[i])) for (t, i), v in sorted(best.items())]
+            best: dict[int, tuple[int, int, int]] = {}
+            for i, a, e in self.regions(h):
+                d, start, end = edits(self.words[i], h[a:e])
+                if d <= self.most[i] and (i not in best or d < best[i][0]):
+                    best[i] = d, a + start, a + end
+            out += [(t, self.ids[i], *v, int(self.sizes[i])) for i, v in sorted(best.items())]
+        return out
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:

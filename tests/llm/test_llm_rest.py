@@ -191,6 +191,24 @@ def test_find_leaks_edges(spark, monkeypatch):
     assert decontaminate.drop_leaks(docs, bench.limit(0)).count() == 6
 
 
+@pytest.mark.parametrize("rate", [0.2, 0.35])
+@pytest.mark.parametrize("how", ["substitute", "delete", "insert", "mix"])
+def test_find_leaks_misses_nothing_at_the_full_budget(how, rate):
+    """Exactly floor(rate * n) edits of each kind, for short and long items."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    for n in (6, 10, 15, 35, 59, 100, 200, 400):
+        items, docs = [(i, [word() for _ in range(n)]) for i in range(20)], []
+        for _, w in items:
+            w = list(w)
+            for p in sorted(rng.sample(range(n), int(rate * n + 1e-9)), reverse=True):
+                kind = rng.choice(["substitute", "delete", "insert"]) if how == "mix" else how
+                w[p : p + 1] = [word()] if kind == "substitute" else [] if kind == "delete" else [w[p], word()]
+            docs.append(" ".join([word() for _ in range(30)] + w + [word() for _ in range(30)]))
+        bench = decontaminate.Benchmark([(i, " ".join(w)) for i, w in items], rate)
+        assert [g[0] for g in bench.find(docs) if g[0] == g[1]] == list(range(20)), n
+
+
 # chat
 
 
