@@ -1,6 +1,7 @@
 """Benchmark decontamination: a lossless filter on shared runs of words and exact edit distance.
 
-Texts are words (letters and digits, lower case). An item of n words is looked for in
+Texts are words (letters and digits, lower case; scripts written without spaces count each
+character). An item under MIN_WORDS words is looked for as it is. Another one of n words is looked for in
 spans within k = floor(rate * n) word edits. Such a span holds a run of
 ceil((n - k) / (k + 1)) words of the item unedited (pigeonhole), which is RUN words or more
 at the usual rate, and each edit breaks at most q of the item's n - q + 1 runs of q words. So
@@ -12,6 +13,9 @@ that a span around it can reach: no span within the edits is lost, however long
 
 from __future__ import annotations
 
+import functools
+import itertools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows
 from .textbytes import U, grams, words
 
-#: Word edits allowed, as a share of an item's words; shortest item looked for; longest run used.
+#: Word edits allowed, as a share of an item's words; shortest item that may have any; longest run used.
 RATE, MIN_WORDS, RUN = 0.2, 6, 3
 #: Items held by a task at a time; larger benchmarks are passed over in blocks of so many.
 BLOCK_ITEMS = 20_000
@@ -30,8 +34,47 @@ _WORD = np.ones(256, bool)
 _WORD[[i for i in range(128) if chr(i).isalnum()] + list(range(128, 256))] = False
 
 
+#: What a character beyond ASCII does: part of a word, parts words, a word alone, goes with the one before, left out.
+PART, APART, ALONE, MARK, NOTHING = range(5)
+#: Scripts written without spaces: Thai, Lao, Myanmar, Khmer, Tai and Javanese, kana and bopomofo, Han.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x323AF)]
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(0x110000, np.uint8)
+    for lo, hi in UNSPACED:
+        kinds[lo : hi + 1] = ALONE
+    for c in itertools.chain(range(128, 0x323B0), range(0xE0000, 0xE0200)):
+        category = unicodedata.category(chr(c))
+        if category[0] in "PSZ" or category == "Cc" or c == 0x200B:
+            kinds[c] = APART
+        elif category[0] == "M":
+            kinds[c] = MARK
+        elif category == "Cf":
+            kinds[c] = NOTHING
+    return kinds
+
+
+def _spaced(text: str) -> str:
+    """The text with spaces for punctuation beyond ASCII and around characters of unspaced scripts."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[c]
+    if not kind.any():
+        return text
+    c, kind = np.where(kind == APART, np.uint32(32), c)[kind != NOTHING], kind[kind != NOTHING]
+    if (kind == ALONE).any():
+        base = kind[np.maximum.accumulate(np.where(kind == MARK, 0, np.arange(len(kind))))]
+        after = np.concatenate([[False], base[:-1] == ALONE])
+        c = np.insert(c, np.flatnonzero((kind == ALONE) | (kind == PART) & after), 32)
+    return c.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    return words(np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8), separators=_WORD)[0]
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _spaced(text)
+    return words(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), separators=_WORD)[0]
 
 
 def edits(item: np.ndarray, span: np.ndarray) -> tuple[int, int, int]:
@@ -58,10 +101,10 @@ class Benchmark:
     """Items as word hashes and, by length of run, the index of their runs."""
 
     def __init__(self, items: list[tuple[int, str | None]], rate: float = RATE):
-        rows = [(i, h) for i, t in items if len(h := word_hashes(t)) >= MIN_WORDS]
+        rows = [(i, h) for i, t in items if len(h := word_hashes(t))]
         self.ids, self.words = [i for i, _ in rows], [h for _, h in rows]
         self.sizes = np.array([len(h) for h in self.words], np.int64)
-        self.most = (rate * self.sizes + 1e-9).astype(np.int64)
+        self.most = np.where(self.sizes < MIN_WORDS, 0, (rate * self.sizes + 1e-9).astype(np.int64))
         length = np.clip(-(-(self.sizes - self.most) // (self.most + 1)), 1, RUN)
         #: runs that a span within the edits shares with the item, at least
         self.least = np.maximum(1, self.sizes - length + 1 - length * self.most)
@@ -112,6 +155,8 @@ class Benchmark:
             h = word_hashes(text)
             best: dict[int, tuple[int, int, int]] = {}
             for i, a, e in self.regions(h):
+                if i in best and best[i][0] == 0:
+                    continue
                 d, start, end = edits(self.words[i], h[a:e])
                 if d <= self.most[i] and (i not in best or d < best[i][0]):
                     best[i] = d, a + start, a + end
@@ -135,11 +180,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row per document row and item that it contains: id, item_id, distance, first_word, last_word, item_words.
 
     A document contains an item of n words if some span of its words is within
-    floor(rate * n) word edits of it; the nearest found is reported, word positions from 0
-    (last excluded). Words are letters and digits in lower case, so case, punctuation and
-    line ends make no edits.
+    floor(rate * n) word edits of it, under 6 words none; the nearest is reported, word
+    positions from 0 (last excluded). Words are letters and digits in lower case, so case,
+    punctuation, symbols and line ends, of Unicode too, make no edits. In scripts written
+    without spaces (Han, kana, Thai, Lao, Khmer, Myanmar) each character is a word.
 
-    Null or wordless text and items under 6 words match nothing. Null ids stay null,
+    Null or wordless text and wordless items match nothing. Null ids stay null,
     repeated rows and repeated items each get their rows, equal items both match. An empty
     table on either side gives an empty result. Other columns are not used.
     """

@@ -209,6 +209,25 @@ def test_find_leaks_misses_nothing_at_the_full_budget(how, rate):
         assert [g[0] for g in bench.find(docs) if g[0] == g[1]] == list(range(20)), n
 
 
+def test_find_leaks_of_short_items_are_exact():
+    bench = decontaminate.Benchmark([(1, "yes"), (2, "to be"), (3, "a b c d e"), (4, " , "), (5, None)])
+    got = bench.find(["Yes, yes! " * 3, "not to be, to", "be to", "a b c d x e", "x a, b c D e", "a b c d"])
+    assert got == [(0, 1, 0, 0, 1, 1), (1, 2, 0, 1, 3, 2), (4, 3, 0, 1, 6, 5)]
+
+
+def test_words_beyond_ascii():
+    n = lambda t: [int(x) for x in decontaminate.word_hashes(t)]
+    plain = n("he said no one can don t it was so 5 euros")
+    assert n("\u00abHe said\u00bb: \u201cno\u2014one can\u201d\u2026 don\u2019t \u00bfit\u00a0was\u3000so 5\u20aceu\u00adros") == plain
+    assert n("\u00c9t\u00e9 na\u00efve") == n("\u00e9t\u00e9, na\u00efve") and len(n("\u00e9t\u00e9 e\u0301te\u0301 \u0939\u093f\u0928\u094d\u0926\u0940 \ud55c\uad6d")) == 4
+    assert n("\u4eca\u65e5abc\u3002") == n("\u4eca \u65e5 abc") and len(n("\u0e17\u0e35\u0e48\u0e44\u0e1bx")) == 4
+    item = "\u6211\u4eec\u7684\u57ce\u5e02\u975e\u5e38\u7f8e\u4e3d\u548c\u5b89\u9759"
+    bench = decontaminate.Benchmark([(1, item), (2, "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\u0e04\u0e23\u0e31\u0e1a")])
+    other = item[:5] + "\u5f88" + item[6:]
+    got = bench.find([f"\u524d\u6587{item}\u3002\u540e\u6587", f"\u524d{other}\u540e", f"x{item[:7]}", "\u0e01\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\u0e04\u0e23\u0e31\u0e1a"])
+    assert [g[:3] for g in got] == [(0, 1, 0), (1, 1, 1), (3, 2, 0)]
+
+
 # chat
 
 
