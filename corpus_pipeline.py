@@ -23,9 +23,18 @@ def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
-    gone = minhash.near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(small_or_shuffled(cut(gone)), "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near-duplicates one row stays, that with the smallest id (nulls last).
+
+    Where ids are null or repeated the rows are numbered in the order of their ids, so that
+    each counts by itself.
+    """
+    whole = dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
+    rows = docs.withColumn("_row", F.col("doc_id"))
+    if not whole or not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        order = docs.withColumn("_at", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "_at")
+        rows = cut(order.withColumn("_row", F.monotonically_increasing_id()))
+    gone = minhash.near_duplicates(rows, "_row").filter("not kept").select("_row")
+    return rows.join(small_or_shuffled(cut(gone)), "_row", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -378,6 +378,18 @@ def test_pipeline(spark):
     assert again == sorted((r["doc_id"], r["n_tokens"]) for r in docs.collect())
 
 
+def test_one_of_near_copies_stays_whatever_the_ids(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    base = [f"w{i}" for i in range(60)]
+    text = lambda tag, near="": " ".join([f"{tag}{w}" for w in base] + [near])
+    rows = [(1, text("a")), (None, text("a")), (None, text("b")), (None, text("b", "x")), (None, text("c")), (None, text("c")), (5, text("d")), (5, text("d")), (6, text("d", "y")), (7, text("e")), (7, text("f")), (None, None), (3, text("a", "z"))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3).cache()
+    out = pipeline.one_of_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"] and r["text"][0]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(1, "a"), (None, "b"), (None, "c"), (5, "d"), (7, "e"), (7, "f"), (None, None)], key=str)
+
+
 def test_subtrees_finished_in_tasks_agree(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, rng.randrange(1, 500), rng.randrange(2**48), rng.randrange(2**47)) for i in range(400)]
