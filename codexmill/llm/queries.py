@@ -20,7 +20,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_chunks",
         "n_tokens",
-        F.xxhash64("tokens").alias("tokens_xxhash64"),
+        "tokens",
         F.char_length("decoded").cast("long").alias("decoded_chars"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -390,6 +390,15 @@ def test_one_of_near_copies_stays_whatever_the_ids(spark):
     assert sorted(got, key=str) == sorted([(1, "a"), (None, "b"), (None, "c"), (5, "d"), (7, "e"), (7, "f"), (None, None)], key=str)
 
 
+@needs_tables
+@needs_model
+def test_op1_returns_the_token_ids(spark):
+    lib = sentencepiece_scan.coder(sentencepiece_scan.read_model()).whole
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = llm_queries.op1_sentencepiece(spark, SF).collect()
+    assert len(got) == len(text) and all(list(r["tokens"]) == lib.encode(text[r["doc_id"]] or "") for r in got)
+
+
 def test_subtrees_finished_in_tasks_agree(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, rng.randrange(1, 500), rng.randrange(2**48), rng.randrange(2**47)) for i in range(400)]
