@@ -109,7 +109,7 @@ def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "
 
 
 def _best(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    edge = np.partition(d, k - 1)[k - 1]
+    edge = np.partition(np.where(np.isnan(d), np.inf, d), k - 1)[k - 1]
     few = np.flatnonzero(d <= edge)
     return few[np.lexsort((ids[few], d[few]))][:k]
 

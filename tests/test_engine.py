@@ -224,6 +224,13 @@ def test_nearest_ties_nulls_and_zero(spark):
     assert retrieval.nearest_batch(t, q.limit(0), 3).count() == 0
 
 
+def test_nearest_among_many_zero_vectors(spark):
+    rows = [(i, [0.0, 0.0]) for i in range(100)] + [(200, [1.0, 1.0]), (201, [1.0, 0.0])]
+    t = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert [r["chunk_id"] for r in retrieval.nearest_batch(t, q, 5).orderBy("rank").collect()] == [201, 200]
+
+
 def test_stemmer_and_cover_density():
     for word, want in (("работника", "работник"), ("работников", "работник"), ("важнейшие", "важн"), ("договорам", "договор"), ("стала", "стал"), ("word", "word"), ("", "")):
         assert fulltext.stem(word) == want, word
