@@ -41,10 +41,8 @@ def _points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _metadata(docs: DataFrame, id_col: str, text_col: str) -> list[tuple[str, str]]:
-    """Number and string columns beside the id and the text; the widest three are split on."""
-    plain = [(c, "string" if t == "string" else "number") for c, t in docs.dtypes if c not in (id_col, text_col) and (t == "string" or t in ("int", "bigint", "double", "float", "smallint", "tinyint"))]
-    return plain[:3]
-
+    """Number and string columns beside the id and the text: all of them are dimensions."""
+    return [(c, "string" if t == "string" else "number") for c, t in docs.dtypes if c not in (id_col, text_col) and (t == "string" or t in ("int", "bigint", "double", "float", "smallint", "tinyint"))]
 
 def _codes(groups: DataFrame, n_meta: int) -> DataFrame:
     """One bigint code per dimension: scaled value, then a hash of the text."""
@@ -167,7 +165,7 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Null text: as the empty text, size 1. Null id: as any other id. Null or NaN
     metadata: as 0. Empty table: empty result. Repeated rows all stay. Other columns serve
-    as dimensions (the first three numbers or strings) and are not returned.
+    as dimensions (all numbers and strings) and are not returned.
     """
     n_meta = len(_metadata(docs, id_col, text_col))
     points = cut(_points(docs, id_col, text_col))

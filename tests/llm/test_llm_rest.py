@@ -399,6 +399,15 @@ def test_op1_returns_the_token_ids(spark):
     assert len(got) == len(text) and all(list(r["tokens"]) == lib.encode(text[r["doc_id"]] or "") for r in got)
 
 
+def test_every_metadata_column_is_a_dimension(spark):
+    """Only the fifth column varies, so it alone can part groups of equal bytes."""
+    docs = spark.createDataFrame([(i, f"text {i:04d}", "a", 1, 2.0, "b", i % 40) for i in range(400)], "doc_id long, text string, m1 string, m2 int, m3 double, m4 string, m5 int")
+    shards = defaultdict(set)
+    for r in sharding.kd_shards(docs, shards=2).collect():
+        shards[r["shard"]].add(r["doc_id"] % 40)
+    assert len(shards) == 2 and len(set.intersection(*shards.values())) <= 1
+
+
 def test_subtrees_finished_in_tasks_agree(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, rng.randrange(1, 500), rng.randrange(2**48), rng.randrange(2**47)) for i in range(400)]
