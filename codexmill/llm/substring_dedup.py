@@ -9,8 +9,9 @@ a 96-bit hash of their words. Consecutive repeated windows make maximal repeats.
 Documents are dealt into buckets of a few MB by one shuffle, which all three passes
 read again. A bucket sends each distinct hash once, sorted and cut into parts, so a
 passage that a third of the documents share costs one entry a bucket, not one a row.
-Bucket and part sizes grow with the square root of large inputs, so that neither the
-number of (bucket, part) rows nor the memory of a task runs away.
+Bucket and part sizes grow with the square root of large inputs, so that rows of few hashes
+stay rare, but at most to MOST_GROWN times; from there on the memory of a task stays the same
+at any size of input and only the number of (bucket, part) rows grows, with the words.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ from pyspark.sql import functions as F
 from .textbytes import U, long_grams, runs, texts, words
 
 WINDOW = 35
-BUCKET_BYTES, PART_WORDS, LARGE = 4 << 20, 1 << 20, 24e9
+BUCKET_BYTES, PART_WORDS, LARGE, MOST_GROWN = 4 << 20, 1 << 20, 24e9, 4
 #: Bits of an anchor's hash beside those that name its part; a false anchor costs a probe.
 ANCHOR_BITS = 40
 SECOND = 0xD6E8FEB86659FD93
 
 
 def _split(keys: np.ndarray, bits: int, shift: int) -> list[tuple[int, int, int]]:
-    """(part, from, to) of sorted keys whose part is keys >> shift."""
+    """(part, from, to) of sorted keys whose part is keys >> shift; none of no keys."""
+    if not len(keys):
+        return []
     parts = (keys >> U(shift)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     at = np.flatnonzero(np.diff(parts, prepend=-1))
     return [(int(parts[a]), int(a), int(b)) for a, b in zip(at, np.append(at[1:], len(keys)), strict=True)]
@@ -214,7 +217,7 @@ class Passes:
 
 def scale(total: int) -> tuple[int, int]:
     """(buckets, bits of the part number) for so many bytes of text."""
-    grow = max(1.0, math.sqrt(total / LARGE))
+    grow = min(MOST_GROWN, max(1.0, math.sqrt(total / LARGE)))
     return max(1, math.ceil(total / (BUCKET_BYTES * grow))), max(0, math.ceil(math.log2(max(1.0, total / 6 / (PART_WORDS * grow)))))
 
 
@@ -225,14 +228,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     window of ``window`` words found elsewhere too (any document, the same included) goes;
     windows are judged on the input. ``spans`` are the maximal removed word ranges.
 
-    Null, empty or short text: nothing is removed; null gives an empty kept_text. Rows
+    Null, empty or short text (also where no text of the table or of a bucket has a block's
+    length): nothing is removed; null gives an empty kept_text. Rows
     repeated whole repeat each other's windows. Null ids stay null. Empty table: empty
     result. Other columns are not used.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, bits = scale(total)
-    dealt = source.withColumn("bucket", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(buckets))).repartition("bucket")
+    # rows alike in id and length are parted by where they are read, which a retry repeats
+    at = F.xxhash64("id", F.octet_length("text"), F.spark_partition_id())
+    dealt = source.withColumn("bucket", F.pmod(at, F.lit(buckets))).repartition("bucket")
     p = Passes(window, bits)
     probes = dealt.groupBy("bucket").applyInArrow(lambda t: p.probe(t), "part int, bucket long, keys binary, grid binary, twice binary")
     told = probes.groupBy("part").applyInArrow(lambda t: p.match(t), "bucket long, part int, keys binary")

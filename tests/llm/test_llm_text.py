@@ -103,14 +103,39 @@ def test_substring_dedup(spark, window):
 
 def test_substring_dedup_edges(spark, monkeypatch):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
-    small, large = substring_dedup.scale(10**9), substring_dedup.scale(10**14)
-    assert small[0] == 239 and large[0] < 10**6 and large[1] < 20
+    assert substring_dedup.scale(10**9)[0] == 239
+    for total in (10**9, 10**11, 10**14, 10**16):  # what a task holds stays bounded at any size
+        buckets, bits = substring_dedup.scale(total)
+        assert total / buckets <= 16 << 20 and total / 6 / (1 << bits) <= 4 << 20
     monkeypatch.setattr(substring_dedup, "scale", lambda total: (7, 3))  # many buckets and parts
     rows = corpus(3)
     got = substring_dedup.remove_repeats(frame(spark, [*rows, (None, rows[0][1])])).collect()
     assert sorted((r["id"] if r["id"] is not None else -1, r["n_removed"]) for r in got) == [(i, n) for i, _, n, _ in plain_repeats([*rows, (-1, rows[0][1])], 35)]
 
 
+@pytest.mark.parametrize("short", [["one two three"], [""], [None], ["a b c", " ".join(map(str, range(17)))], ["word", None, "", "word"]])
+def test_substring_dedup_of_short_texts_alone(spark, short):
+    rows = list(enumerate(short))
+    got = substring_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert sorted((r["id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == plain_repeats(rows, 35)
+
+
+def test_substring_dedup_of_a_short_bucket_beside_long_ones(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "scale", lambda total: (40, 2))  # buckets of one or two rows
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long), (2, "x " + long), *((i, "short text") for i in range(3, 20)), (20, None), (21, "")]
+    got = substring_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert sorted((r["id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == plain_repeats(rows, 35)
+
+
+def test_substring_dedup_parts_rows_that_are_all_alike(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "scale", lambda total: (50, 1))
+    text = " ".join(f"w{i}" for i in range(36))
+    rows = [(None, text)] * 24
+    got = substring_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert [(r["n_words"], r["n_removed"], r["kept_text"]) for r in got] == [(36, 36, "")] * 24
+
+
 def plain_components(rows):
     def shingles(t):
         w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -160,6 +185,25 @@ def test_near_duplicates_that_centres_do_not_join(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == want
 
 
+def test_near_duplicates_of_families_with_shared_passages(spark):
+    """Many far members of one centre, few of them linked: what is shared is common to most."""
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for g in range(40):
+        own = [f"o{g}_{i}" for i in range(20)]
+        rows.append((10 * g, " ".join(shared + own)))
+        for j in range(1, 1 + g % 3):
+            w = shared + own
+            for _ in range(1 + 2 * j):
+                w[rng.randrange(len(w))] = f"e{g}_{j}_{rng.randrange(99)}"
+            rows.append((10 * g + j, " ".join(w)))
+    got = minhash.near_duplicates(frame(spark, rows)).collect()
+    want = plain_components(rows)
+    assert 40 <= len({r[2] for r in want}) < len(rows)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == want
+
+
 def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     got = {r["doc_id"]: r for r in minhash.near_duplicates(frame(spark, [(None, "a b c d e f"), (3, "A b c d e f"), (4, None), (5, "")])).collect()}
