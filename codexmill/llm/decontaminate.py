@@ -1,14 +1,18 @@
-"""Benchmark decontamination: a lossless filter on shared runs of words and exact edit distance.
+"""Benchmark decontamination: CGK walks, bit-sampling LSH over windows, exact edit distance.
 
 Texts are words (letters and digits, lower case; scripts written without spaces count each
-character). An item under MIN_WORDS words is looked for as it is. Another one of n words is looked for in
-spans within k = floor(rate * n) word edits. Such a span holds a run of
-ceil((n - k) / (k + 1)) words of the item unedited (pigeonhole), which is RUN words or more
-at the usual rate, and each edit breaks at most q of the item's n - q + 1 runs of q words. So
-at least n - q + 1 - q * k of them stand in the span, and as edits shift words by at most k
-places in all, their offsets (place in the text less place in the item) differ by at most
-k. Every place with so many shared runs is confirmed by the exact edit distance over all
-that a span around it can reach: no span within the edits is lost, however long the item.
+character). A CGK walk (Chakraborty, Goldenberg & Koucky, 2016) reads a window word by word
+and moves on or stays by a random bit of (step, word): two windows that differ by few edits
+soon walk in step again, so their edit distance becomes a Hamming distance between the
+words that they read. Each of REPEATS walks samples GROUPS sets of SAMPLE of its STEPS steps, and the
+words read there are a key. Items give their keys, from every offset, to one table; the window
+that starts at each word of a text looks its keys up. Steps are taken from the start of the
+walk, which windows of all item sizes share, so one pass serves every length of item.
+
+A key places an item in the text. What a span within the edits can reach around that place
+is kept if it holds enough of the item's words, and confirmed by the exact edit distance. An item
+of n words has some n windows, each with REPEATS * GROUPS keys, and one key that agrees is
+enough. Items under MIN_WORDS words are looked for as they are.
 """
 
 from __future__ import annotations
@@ -22,14 +26,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_rows
-from .textbytes import U, grams, words
-
-#: Word edits allowed, as a share of an item's words; shortest item that may have any; longest run used.
-RATE, MIN_WORDS, RUN = 0.2, 6, 3
-#: Items held by a task at a time; larger benchmarks are passed over in blocks of so many.
-BLOCK_ITEMS = 20_000
+from .textbytes import U, grams, mix, words
+
+#: Word edits allowed, as a share of an item's words; shortest item that may have any.
+RATE, MIN_WORDS = 0.2, 6
+#: Walks, their steps, sets of sampled steps a walk and steps in a set.
+REPEATS, STEPS, GROUPS, SAMPLE = 12, 8, 2, 3
+#: A key reads so many different words at least, of items under FEW_WORDS words one fewer.
+DISTINCT, FEW_WORDS = 3, 12
+#: Words of items that a task holds at a time (24 keys a word); larger benchmarks are passed over in blocks.
+BLOCK_WORDS = 200_000
+#: Words of a text that are walked together.
+WALK_WORDS = 1 << 14
 _WORD = np.ones(256, bool)
 _WORD[[i for i in range(128) if chr(i).isalnum()] + list(range(128, 256))] = False
 
@@ -97,83 +108,160 @@ def edits(item: np.ndarray, span: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(start[end]), end
 
 
+class Walks:
+    """The random walks and their sampled steps, the same in every worker."""
+
+    def __init__(self, seed: int = 23):
+        rng = np.random.Generator(np.random.PCG64(seed))
+        self.seeds = rng.integers(1, 2**63, REPEATS, dtype=U)
+        self.steps = [[np.sort(rng.choice(STEPS, SAMPLE, replace=False)) for _ in range(GROUPS)] for _ in range(REPEATS)]
+        self.mult = rng.integers(0, 2**63, SAMPLE, dtype=U) * U(2) + U(1)
+        self.salt = rng.integers(0, 2**63, (REPEATS, GROUPS), dtype=U)
+
+    def keys(self, h: np.ndarray, count: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """Per walk and set of steps: the keys of the windows at words 0 .. count - 1 of h and
+        which words they read. h goes on for STEPS words after the last window's first."""
+        scaled = [h * m for m in self.mult]
+        for seed, sets, salts in zip(self.seeds, self.steps, self.salt, strict=True):
+            bits = mix(h ^ seed)
+            at, read = np.arange(count), []
+            for step in range(STEPS):
+                read.append(at)
+                at = at + ((bits[at] >> U(step)) & U(1)).astype(np.int64)
+            for steps, salt in zip(sets, salts, strict=True):
+                key = np.full(count, salt, U)
+                for part, step in zip(scaled, steps, strict=True):
+                    key += part[read[step]]
+                yield key, [read[step] for step in steps]
+
+
 class Benchmark:
-    """Items as word hashes and, by length of run, the index of their runs."""
+    """Items as word hashes and the table of their windows' keys."""
 
-    def __init__(self, items: list[tuple[int, str | None]], rate: float = RATE):
+    def __init__(self, items: list[tuple[object, str | None]], rate: float = RATE):
         rows = [(i, h) for i, t in items if len(h := word_hashes(t))]
         self.ids, self.words = [i for i, _ in rows], [h for _, h in rows]
         self.sizes = np.array([len(h) for h in self.words], np.int64)
         self.most = np.where(self.sizes < MIN_WORDS, 0, (rate * self.sizes + 1e-9).astype(np.int64))
-        length = np.clip(-(-(self.sizes - self.most) // (self.most + 1)), 1, RUN)
-        #: runs that a span within the edits shares with the item, at least
-        self.least = np.maximum(1, self.sizes - length + 1 - length * self.most)
-        self.index = []
-        for q in np.unique(length).tolist():
-            of = np.flatnonzero(length == q)
-            runs = [grams(self.words[i], q) for i in of]
-            run, item, at = np.concatenate(runs), np.repeat(of, [len(g) for g in runs]), np.concatenate([np.arange(len(g)) for g in runs])
-            order = np.argsort(run, kind="stable")
-            known = np.zeros(1 << 22, bool)
-            known[(run >> U(42)).astype(np.int64)] = True
-            self.index.append((q, run[order], item[order], at[order], known))
-
-    def shared(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place in the text less place in the item) of all runs shared with items."""
-        items, offsets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for q, run, item, at, known in self.index:
-            g = grams(h, q)
-            maybe = np.flatnonzero(known[(g >> U(42)).astype(np.int64)])
-            lo, hi = np.searchsorted(run, g[maybe], "left"), np.searchsorted(run, g[maybe], "right")
-            count = hi - lo
-            k = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-            items.append(item[k])
-            offsets.append(np.repeat(maybe, count) - at[k])
-        return np.concatenate(items), np.concatenate(offsets)
-
-    def regions(self, h: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, from word, to word) of the parts that can hold a span within the edits; parts that meet are one."""
-        item, offset = self.shared(h)
-        if not len(item):
-            return []
-        wide = len(h) + 3 * int(self.sizes.max())
-        key = np.sort(item * wide + offset + int(self.sizes.max()))
-        item, offset = key // wide, key % wide - int(self.sizes.max())
-        n, k = self.sizes[item], self.most[item]
-        enough = np.searchsorted(key, key + k, "right") - np.arange(len(key)) >= self.least[item]
-        item, a, e = item[enough], np.maximum(0, offset - k)[enough], np.minimum(len(h), offset + n + k)[enough]
+        self.sets = [np.unique(h) for h in self.words]
+        self.walks = Walks()
+        keys, item, at = [np.zeros(0, U)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for i, h in enumerate(self.words):
+            n = len(h)
+            if n < MIN_WORDS:
+                continue
+            padded, least = np.concatenate([h, np.zeros(STEPS, U)]), min(DISTINCT - (n < FEW_WORDS), len(self.sets[i]))
+            for key, read in self.walks.keys(padded, n):
+                distinct = 1 + sum((padded[y] != padded[x]).astype(np.int64) for x, y in zip(read, read[1:], strict=False))
+                good = np.flatnonzero((read[-1] < n) & (distinct >= least))
+                keys.append(key[good])
+                item.append(np.full(len(good), i, np.int32))
+                at.append(good.astype(np.int32))
+        self.table = self._table(np.concatenate(keys), np.concatenate(item), np.concatenate(at))
+        #: the whole word sequences of items that may not be edited, by length
+        self.exact = []
+        for n in np.unique(self.sizes[self.sizes < MIN_WORDS]).tolist():
+            of = np.flatnonzero(self.sizes == n)
+            self.exact.append((n, self._table(np.concatenate([grams(self.words[i], n) for i in of]), of.astype(np.int32), np.zeros(len(of), np.int32))))
+
+    @staticmethod
+    def _table(key: np.ndarray, item: np.ndarray, at: np.ndarray) -> tuple:
+        order = np.argsort(key, kind="stable")
+        bits = min(26, max(12, (16 * len(key)).bit_length()))
+        known = np.zeros(1 << bits, bool)
+        known[(key >> U(64 - bits)).astype(np.int64)] = True
+        return key[order], item[order], at[order], known, U(64 - bits)
+
+    @staticmethod
+    def _look(table: tuple, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, offset in the item) of all keys that the table holds."""
+        keys, item, at, known, shift = table
+        maybe = np.flatnonzero(known[(key >> shift).astype(np.int64)])
+        if not len(maybe):
+            return maybe, item[:0], at[:0]
+        lo, hi = np.searchsorted(keys, key[maybe], "left"), np.searchsorted(keys, key[maybe], "right")
+        count = hi - lo
+        k = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.repeat(maybe, count), item[k], at[k]
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, word of h where the item would start, a word of h that agreed) of all keys found."""
+        none = np.zeros(0, np.int64)
+        found = [(none, none, none)]
+        for a in range(0, len(h) if len(self.table[0]) else 0, WALK_WORDS):
+            count = min(WALK_WORDS, len(h) - a)
+            part = h[a : a + count + STEPS]
+            part = np.concatenate([part, np.zeros(count + STEPS - len(part), U)])
+            for key, read in self.walks.keys(part, count):
+                window, item, at = self._look(self.table, key)
+                if len(window):
+                    found.append((item, a + window - at, a + read[0][window]))
+        for n, table in self.exact:
+            window, item, _ = self._look(table, grams(h, n))
+            found.append((item, window, window))
+        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+
+    def regions(self, h: np.ndarray, text_of: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, from word, to word) of the parts of h that can hold a span within the
+        edits; parts of one item that meet are one. ``text_of`` is the text of each word, ``ends`` where texts end."""
+        item, start, agreed = self.places(h)
         if not len(item):
             return []
-        opens = np.concatenate([[True], (item[1:] != item[:-1]) | (a[1:] > e[:-1])])
-        closes = np.concatenate([opens[1:], [True]])
-        return list(zip(item[opens].tolist(), a[opens].tolist(), e[closes].tolist(), strict=True))
+        text, n = text_of[agreed], self.sizes[item]
+        # a walk that is out of step places the item up to its steps aside
+        wide = np.where(n < MIN_WORDS, 0, self.most[item] + STEPS)
+        a = np.maximum(np.where(text > 0, ends[text - 1] + STEPS, 0), start - wide)
+        e = np.minimum(ends[text], start + n + wide)
+        order = np.lexsort((a, item, text))
+        text, item, a, e = text[order], item[order], a[order], e[order]
+        top = np.maximum.accumulate(e + (text * len(self.sizes) + item) * (len(h) + 1))  # ends so far of this text and item
+        new = a[1:] + (text[1:] * len(self.sizes) + item[1:]) * (len(h) + 1) > top[:-1]
+        first = np.flatnonzero(np.concatenate([[True], new | (text[1:] != text[:-1]) | (item[1:] != item[:-1])]))
+        return list(zip(text[first].tolist(), item[first].tolist(), a[first].tolist(), np.maximum.reduceat(e, first).tolist(), strict=True))
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item id, distance, from word, to word, item words) of all leaks; the nearest each."""
-        out = []
-        for t, text in enumerate(texts):
-            h = word_hashes(text)
-            best: dict[int, tuple[int, int, int]] = {}
-            for i, a, e in self.regions(h):
-                if i in best and best[i][0] == 0:
-                    continue
-                d, start, end = edits(self.words[i], h[a:e])
-                if d <= self.most[i] and (i not in best or d < best[i][0]):
-                    best[i] = d, a + start, a + end
-            out += [(t, self.ids[i], *v, int(self.sizes[i])) for i, v in sorted(best.items())]
-        return out
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:
+        hashes, gap = [word_hashes(t) for t in texts], np.zeros(STEPS, U)
+        h = np.concatenate([x for one in hashes for x in (one, gap)] or [gap])
+        sizes = np.array([len(x) for x in hashes], np.int64)
+        text_of = np.repeat(np.tile([0, -1], len(hashes)), np.stack([sizes, np.full(len(sizes), STEPS)], 1).ravel())
+        text_of[text_of == 0] = np.repeat(np.arange(len(hashes)), sizes)
+        ends = np.cumsum(sizes + STEPS) - STEPS
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for t, i, a, e in self.regions(h, text_of, ends):
+            key, most = (t, i), int(self.most[i])
+            if key in best and best[key][0] == 0:
+                continue
+            part, known = h[a:e], self.sets[i]
+            # a span within the edits holds all but ``most`` of the item's words
+            at = np.minimum(np.searchsorted(known, part), len(known) - 1)
+            if int((known[at] == part).sum()) < self.sizes[i] - most:
+                continue
+            d, start, end = edits(self.words[i], part)
+            if d <= most and (key not in best or d < best[key][0]):
+                base = a - int(ends[t] - sizes[t])
+                best[key] = d, base + start, base + end
+        return [(t, self.ids[i], *v, int(self.sizes[i])) for (t, i), v in sorted(best.items())]
+
+
+@functools.lru_cache(maxsize=1)
+def _benchmark(block: tuple[tuple[object, str | None], ...], rate: float) -> Benchmark:
+    """The block's table, made once in a worker and kept for its next tasks."""
+    return Benchmark(list(block), rate)
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[tuple[object, str | None], ...]]:
     """The items in bounded blocks; one block for any usual benchmark."""
-    block: list[tuple[int, str | None]] = []
+    block: list[tuple[object, str | None]] = []
+    held = 0
     for r in benchmark.select(item_col, text_col).distinct().orderBy(item_col).toLocalIterator():
         block.append((r[0], r[1]))
-        if len(block) >= BLOCK_ITEMS:
-            yield block
-            block = []
+        held += len(word_hashes(r[1]))
+        if held >= BLOCK_WORDS:
+            yield tuple(block)
+            block, held = [], 0
     if block:
-        yield block
+        yield tuple(block)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
@@ -186,25 +274,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     without spaces (Han, kana, Thai, Lao, Khmer, Myanmar) each character is a word.
 
     Null or wordless text and wordless items match nothing. Null ids stay null,
-    repeated rows and repeated items each get their rows, equal items both match. An empty
-    table on either side gives an empty result. Other columns are not used.
+    repeated rows and repeated items each get their rows, equal items both match. Item ids
+    can be of any type. An empty table on either side gives an empty result. Other columns
+    are not used. Confirming an item of n words takes memory in proportion to n.
     """
     arrow_rows(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
+    kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for block in _blocks(benchmark, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(block, rate)
+            bench = _benchmark(block, rate)
             for b in batches:
                 got = bench.find(b.column(text_col).to_pylist())
                 ids = b.column(id_col).take(pa.array([g[0] for g in got], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([g[k] for g in got], pa.int64()) for k in range(1, 6))], [id_col, "item_id", "distance", "first_word", "last_word", "item_words"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([g[1] for g in got], item_type), *(pa.array([g[k] for g in got], pa.int64()) for k in range(2, 6))], [id_col, "item_id", "distance", "first_word", "last_word", "item_words"])
 
-        found = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id long, distance long, first_word long, last_word long, item_words long")
+        found = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id {item_kind}, distance long, first_word long, last_word long, item_words long")
         out = found if out is None else out.union(found)
     if out is None:
-        return docs.limit(0).select(id_col, *[F.lit(None).cast("long").alias(c) for c in ("item_id", "distance", "first_word", "last_word", "item_words")])
+        return docs.limit(0).select(id_col, F.lit(None).cast(item_kind).alias("item_id"), *[F.lit(None).cast("long").alias(c) for c in ("distance", "first_word", "last_word", "item_words")])
     return out
 
 
@@ -214,7 +304,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     for block in _blocks(benchmark, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(block, rate)
+            bench = _benchmark(block, rate)
             for b in batches:
                 leaky = {g[0] for g in bench.find(b.column(text_col).to_pylist())}
                 yield b.filter(pa.array([i not in leaky for i in range(b.num_rows)], pa.bool_()))

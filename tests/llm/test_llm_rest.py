@@ -181,8 +181,8 @@ def test_find_leaks_edges(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (1, "one two three four five six"), (3, "seven eight nine ten eleven twelve thirteen")], "item_id long, text string")
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x ONE, two three\nfour five six y"), (4, "ONE two three four five six"), (4, "ONE two three four five six"), (5, "q " * 20000 + "seven eight nine ten eleven twelve thirteen")], "doc_id long, text string")
     want = sorted([(-1, 1), (-1, 2), (4, 1), (4, 1), (4, 2), (4, 2), (5, 3)])
-    for block in (20_000, 1):  # any number of blocks gives the same
-        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+    for block in (200_000, 1):  # any number of blocks gives the same
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
         got = decontaminate.find_leaks(docs, bench).collect()
         assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["item_id"]) for r in got) == want
         assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()) == [1, 2]
@@ -209,6 +209,49 @@ def test_find_leaks_misses_nothing_at_the_full_budget(how, rate):
         assert [g[0] for g in bench.find(docs) if g[0] == g[1]] == list(range(20)), n
 
 
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.2])
+@pytest.mark.parametrize("how", ["substitute", "delete", "insert", "mix"])
+def test_keys_place_items_whose_edits_are_spread_evenly(how, rate):
+    """The hardest edits for sampled keys: no run of words longer than need be stays whole."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    met = of = 0
+    for n in (6, 8, 10, 15, 25, 35, 59, 100, 200):
+        items, docs = [(i, [word() for _ in range(n)]) for i in range(20)], []
+        for _, w in items:
+            w, k = list(w), int(rate * n + 1e-9)
+            for p in sorted({int((j + 0.5) * n / k) for j in range(k)}, reverse=True):
+                kind = rng.choice(["substitute", "delete", "insert"]) if how == "mix" else how
+                w[p : p + 1] = [word()] if kind == "substitute" else [] if kind == "delete" else [w[p], word()]
+            docs.append(" ".join([word() for _ in range(30)] + w + [word() for _ in range(30)]))
+        bench = decontaminate.Benchmark([(i, " ".join(w)) for i, w in items], rate)
+        met, of = met + len({g[0] for g in bench.find(docs) if g[0] == g[1]}), of + 20
+    assert met >= 0.99 * of
+
+
+def test_walks_of_equal_words_agree_and_stay_in_a_text(monkeypatch):
+    walks, rng = decontaminate.Walks(), np.random.default_rng(3)
+    h = rng.integers(1, 2**63, 50).astype(np.uint64)
+    padded = np.concatenate([h, np.zeros(decontaminate.STEPS, np.uint64)])
+    moved = np.concatenate([rng.integers(1, 2**63, 7).astype(np.uint64), padded])
+    for (x, at), (y, by) in zip(walks.keys(padded, 40), walks.keys(moved, 47), strict=True):
+        assert (x == y[7:]).all() and all((p + 7 == q[7:]).all() for p, q in zip(at, by, strict=True))
+    bench = decontaminate.Benchmark([(1, "one two three four five six seven eight nine ten"), (2, "ha ha ha ha ha ha ha")])
+    # an item parted over two texts is in neither; texts of one batch don't mix
+    assert bench.find(["zero one two three four five", "six seven eight nine ten", None, "x one two three four five six seven eight nine ten", "ha " * 9]) == [(3, 1, 0, 1, 11, 10), (4, 2, 0, 0, 7, 7)]
+    for size in (1, 3, 16):  # walked in pieces of any size
+        monkeypatch.setattr(decontaminate, "WALK_WORDS", size)
+        assert len(bench.find(["x one two three four five six seven eight nine ten", "ha " * 9])) == 2
+
+
+def test_find_leaks_with_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("d", "a b c d e f g h")], "doc_id string, text string")
+    bench = spark.createDataFrame([("item", "b c d e f g"), (None, "c d")], "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {("d", "item"), ("d", None)}
+    assert decontaminate.find_leaks(docs, bench.limit(0)).schema["item_id"].dataType.simpleString() == "string"
+
+
 def test_find_leaks_of_short_items_are_exact():
     bench = decontaminate.Benchmark([(1, "yes"), (2, "to be"), (3, "a b c d e"), (4, " , "), (5, None)])
     got = bench.find(["Yes, yes! " * 3, "not to be, to", "be to", "a b c d x e", "x a, b c D e", "a b c d"])
