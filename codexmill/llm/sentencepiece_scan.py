@@ -9,8 +9,10 @@ piece scores as weights for a unigram model.
 A giant text is cut into chunks. The state at a cut is the piece that covers the last
 character before it, given by where that piece starts and ends. A chunk's transfer matrix
 holds the best weight from each state at its start to each at its end. Matrices combine
-associatively by max-plus products; prefix and suffix products fix the one state at every
-cut, and each chunk is then backtraced on its own between its two states. Where no piece
+associatively by max-plus products in a tree: first within groups of GROUP neighbouring
+chunks, each group a task, then over the groups. On the way down the two states around a
+stretch and the products of its halves fix the state in its middle, until every cut has
+its one state, and each chunk is then backtraced on its own between its two states. Where no piece
 of the vocabulary can cover a cut the state is unique and the matrix is 1 x 1.
 """
 
@@ -29,6 +31,8 @@ from .common import arrow_rows
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of a chunk; longer texts are giant.
 CHUNK = 1 << 15
+#: Chunks whose matrices meet in a task; two levels of as many serve any text that Spark can hold.
+GROUP = 256
 NEG = -np.inf
 SPACE = "▁"
 
@@ -128,28 +132,67 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def scan(chunks: list[tuple[list, list, np.ndarray]]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Entry and leave state of each chunk: where prefix and suffix weights are both best."""
-    before = [np.zeros((1, len(chunks[0][0])))]
-    for _, _, m in chunks:
-        before.append(product(before[-1], m))
-    after = [np.zeros((len(chunks[-1][1]), 1))]
-    for _, _, m in reversed(chunks):
-        after.append(product(m, after[-1]))
-    at = []
-    for k, (f, b) in enumerate(zip(before, reversed(after), strict=True)):
-        names = chunks[k][0] if k < len(chunks) else chunks[-1][1]
-        total = f[0] + b[:, 0]
-        if total.max() == NEG:
-            raise ValueError("no path through the chunks")
-        at.append(names[int(total.argmax())])
-    return list(zip(at, at[1:], strict=False))
+Matrix = tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]
+
+
+def tree(chunks: list[Matrix]) -> list[list[Matrix]]:
+    """Levels of a tree of products: the chunks, then products of neighbours, up to one of all."""
+    levels = [chunks]
+    while len(levels[-1]) > 1:
+        low = levels[-1]
+        levels.append([(x[0], y[1], product(x[2], y[2])) for x, y in zip(low[::2], low[1::2], strict=False)] + low[len(low) - len(low) % 2 :])
+    return levels
+
+
+def scan(chunks: list[Matrix], entry: tuple[int, int] | None = None, leave: tuple[int, int] | None = None) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """Entry and leave state of each chunk on the best path between the states at both ends.
+
+    Without a state given for an end there must be one state only, as at the ends of a text.
+    """
+    levels = tree(chunks)
+    top = levels[-1][0]
+    ends = [(top[0][0] if entry is None else entry, top[1][0] if leave is None else leave)]
+    if top[2][top[0].index(ends[0][0]), top[1].index(ends[0][1])] == NEG:
+        raise ValueError("no path through the chunks")
+    for low in reversed(levels[:-1]):
+        below = []
+        for k, (first, last) in enumerate(ends):
+            if 2 * k + 1 == len(low):
+                below.append((first, last))
+                continue
+            (p, mid, x), (_, q, y) = low[2 * k], low[2 * k + 1]
+            at = mid[int((x[p.index(first)] + y[:, q.index(last)]).argmax())]
+            below += [(first, at), (at, last)]
+        ends = below
+    return ends
 
 
 def _int32(ids: list[int]) -> np.ndarray:
     return np.array(ids, np.int32)
 
 
+def _rows(doc: pa.Array, k: pa.Array, made: list[Matrix]) -> pa.RecordBatch:
+    """Matrices as rows; weights are 0 or -inf, so one bit each is enough."""
+    flat = lambda states: [x for s in states for x in s]
+    return pa.RecordBatch.from_arrays(
+        [doc, k, *(pa.array([flat(m[i]) for m in made], pa.list_(pa.int64())) for i in (0, 1)), pa.array([(m[2] == 0).ravel().tolist() for m in made], pa.list_(pa.bool_()))],
+        ["doc", "k", "p", "q", "ok"],
+    )
+
+
+def _matrices(table: pa.Table) -> tuple[list[int], list[Matrix]]:
+    """Numbers and matrices of a table of neighbouring stretches, in order."""
+    got = sorted(zip(*(table.column(x).to_pylist() for x in ("k", "p", "q", "ok")), strict=True))
+    pair = lambda x: list(zip(x[::2], x[1::2], strict=True))
+    return [g[0] for g in got], [(pair(p), pair(q), np.where(np.array(ok, bool).reshape(len(p) // 2, len(q) // 2), 0.0, NEG)) for _, p, q, ok in got]
+
+
+def _states(table: pa.Table, numbers: list[int], chunks: list[Matrix], *at: tuple[int, int]) -> pa.Table:
+    found = scan(chunks, *at)
+    doc = table.column("doc")[0].as_py()
+    return pa.table({"doc": [doc] * len(found), "k": pa.array(numbers, pa.int32()), **{n: pa.array([x[i][j] for x in found], pa.int64()) for n, i, j in (("ps", 0, 0), ("pe", 0, 1), ("qs", 1, 0), ("qe", 1, 1))}})
+
+
 def _text(c: Coder, ids: list[int] | None) -> str | None:
     return None if ids is None else c.whole.decode(ids, num_threads=1) if ids else ""
 
@@ -190,32 +233,45 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     short = F.col("text").isNull() | (F.char_length("text") <= chunk)
     direct = rows.filter(short).mapInArrow(small, out + (", decoded string" if decoded else ""))
-    halo = _halo(coder(model))
-    lead = len(coder(model).prefix)
-    size = F.char_length("text") + F.lit(lead)
+    halo, lead = _halo(coder(model)), coder(model).prefix
     giant = rows.filter(~short).withColumn("doc", F.concat_ws("/", F.sha2("text", 256), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
-    giant = giant.groupBy("doc").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    cuts = giant.select("doc", "text", size.cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("k"))
-    begin = F.greatest(F.lit(0), F.col("k") * chunk - halo)
-    lines = cuts.select("doc", "k", "size", begin.alias("base"), F.substring(F.concat(F.lit(coder(model).prefix), "text"), begin + 1, F.least(F.col("size"), (F.col("k") + 1) * chunk + halo) - begin).alias("part"))
-    lines = lines.repartition("doc", "k")
+
+    def slice_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                text = lead + b.column("text")[i].as_py()
+                for k in range((len(text) - 1) // chunk + 1):
+                    base = max(0, k * chunk - halo)
+                    part = text[base : (k + 1) * chunk + halo]
+                    yield pa.RecordBatch.from_arrays([b.column("doc").slice(i, 1), b.column("id").slice(i, 1), *(pa.array([x], t) for x, t in ((k, pa.int32()), (len(text), pa.int64()), (base, pa.int64()), (part, pa.string())))], ["doc", "id", "k", "size", "base", "part"])
+
+    # every text is cut once; rows that repeat whole are counted and coded once
+    lines = giant.mapInArrow(slice_text, f"doc string, id {kind}, k int, size long, base long, part string")
+    lines = lines.groupBy("doc", "k").agg(*[F.first(c).alias(c) for c in ("id", "size", "base", "part")], F.count(F.lit(1)).alias("copies"))
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
         for b in batches:
-            packed = []
+            made = []
             for k, total, base, part in zip(*(b.column(x).to_pylist() for x in ("k", "size", "base", "part")), strict=True):
                 a, z = k * chunk, min(total, (k + 1) * chunk)
                 p, q, m = c.matrix(part, a - base, z - base)
-                packed.append((np.array([x for s in p for x in s], np.int64) + base, np.array([x for s in q for x in s], np.int64) + base, m == 0))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("k"), *(pa.array([x[i].tolist() for x in packed], pa.list_(pa.int64())) for i in (0, 1)), pa.array([x[2].ravel().tolist() for x in packed], pa.list_(pa.bool_()))], ["doc", "k", "p", "q", "ok"])
+                made.append(([(x + base, y + base) for x, y in p], [(x + base, y + base) for x, y in q], m))
+            yield _rows(b.column("doc"), b.column("k"), made)
+
+    def combine(table: pa.Table) -> pa.Table:
+        """The product of a group's matrices, as one row of the level above."""
+        numbers, chunks = _matrices(table)
+        return pa.Table.from_batches([_rows(table.column("doc")[:1].combine_chunks(), pa.array([numbers[0] // GROUP], pa.int32()), [tree(chunks)[-1][0]])])
 
-    def join(table: pa.Table) -> pa.Table:
-        got = sorted(zip(*(table.column(x).to_pylist() for x in ("k", "p", "q", "ok")), strict=True))
-        pair = lambda x: list(zip(x[::2], x[1::2], strict=True))
-        found = scan([(pair(p), pair(q), np.where(np.array(ok, bool).reshape(len(p) // 2, len(q) // 2), 0.0, NEG)) for _, p, q, ok in got])
-        doc = table.column("doc")[0].as_py()
-        return pa.table({"doc": [doc] * len(got), "k": pa.array([g[0] for g in got], pa.int32()), **{n: pa.array([x[i][j] for x in found], pa.int64()) for n, i, j in (("ps", 0, 0), ("pe", 0, 1), ("qs", 1, 0), ("qe", 1, 1))}})
+    def ends(table: pa.Table) -> pa.Table:
+        """The two states of each group of a document."""
+        return _states(table, *_matrices(table))
+
+    def within(table: pa.Table, outer: pa.Table) -> pa.Table:
+        """The two states of each chunk of a group, from those of the group."""
+        entry, leave = (tuple(outer.column(x)[0].as_py() for x in two) for two in (("ps", "pe"), ("qs", "qe")))
+        return _states(table, *_matrices(table), entry, leave)
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
@@ -224,12 +280,17 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             for base, part, *at in zip(*(b.column(x).to_pylist() for x in ("base", "part", "ps", "pe", "qs", "qe")), strict=True):
                 ps, pe, qs, qe = (x - base for x in at)
                 ids.append(_int32(c.between(part, (ps, pe), (qs, qe))))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("k"), pa.array(ids, pa.list_(pa.int32()))], ["doc", "k", "ids"])
-
-    states = lines.mapInArrow(transfer, "doc string, k int, p array<long>, q array<long>, ok array<boolean>").groupBy("doc").applyInArrow(lambda t: join(t), "doc string, k int, ps long, pe long, qs long, qe long")
-    traced = lines.join(states, ["doc", "k"]).mapInArrow(backtrace, "doc string, k int, ids array<int>")
-    whole = traced.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    named = giant.select("doc", "id", "copies").join(whole, "doc").withColumn("tokens", F.flatten(F.transform("parts", lambda x: x["ids"])))
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("doc", "id", "copies", "k")), pa.array(ids, pa.list_(pa.int32()))], ["doc", "id", "copies", "k", "ids"])
+
+    level = "doc string, k int, p array<long>, q array<long>, ok array<boolean>"
+    state = "doc string, k int, ps long, pe long, qs long, qe long"
+    matrices = lines.mapInArrow(transfer, level).withColumn("g", F.expr(f"k div {GROUP}").cast("int"))
+    groups = matrices.groupBy("doc", "g").applyInArrow(lambda t: combine(t), level)
+    outer = groups.groupBy("doc").applyInArrow(lambda t: ends(t), state).withColumnRenamed("k", "g")
+    states = matrices.groupBy("doc", "g").cogroup(outer.groupBy("doc", "g")).applyInArrow(lambda t, o: within(t, o), state)
+    traced = lines.join(states, ["doc", "k"]).mapInArrow(backtrace, f"doc string, id {kind}, copies long, k int, ids array<int>")
+    whole = traced.groupBy("doc").agg(F.first("id").alias("id"), F.max("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    named = whole.withColumn("tokens", F.flatten(F.transform("parts", lambda x: x["ids"])))
     big = named.select("id", F.size("parts").alias("n_chunks"), F.size("tokens").cast("long").alias("n_tokens"), "tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_c")).drop("_c")
     if not decoded:
         return direct.union(big).withColumnRenamed("id", id_col)

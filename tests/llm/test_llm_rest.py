@@ -54,6 +54,40 @@ def test_max_plus_product_is_associative():
     assert np.allclose(left, right)
 
 
+@needs_model
+def test_groups_of_chunks_agree_with_one_tree(spark, model, monkeypatch):
+    """Matrices combined in groups, groups in a tree, and back; a long text is cut once."""
+    monkeypatch.setattr(sentencepiece_scan, "GROUP", 3)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(kind) for _ in range(n)) for kind, n in (("ab", 700), ("ntioalz ", 1000), ("x", 333), (["日本", "a", " "], 500), ("word ", 100))]
+    df = spark.createDataFrame([*enumerate(texts), (2, texts[2])], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_chunks"], r["tokens"]) for r in sentencepiece_scan.encode(df, model, chunk=50).collect())
+    lib, lead = sentencepiece_scan.coder(model).whole, len(sentencepiece_scan.coder(model).prefix)
+    want = [(i, (len(t) + lead - 1) // 50 + 1, lib.encode(t)) for i, t in [*enumerate(texts), (2, texts[2])]]
+    assert got == sorted(want)
+
+
+def test_scan_keeps_the_states_given_for_its_ends():
+    rng = random.Random(3)
+    states = [[(0, 0)], *([(k, j) for j in range(rng.randrange(1, 4))] for k in range(1, 9)), [(9, 9)]]
+    path = [rng.choice(s) for s in states]
+    chunks = []
+    for x, y, p, q in zip(states, states[1:], path, path[1:], strict=False):
+        m = np.full((len(x), len(y)), -np.inf)
+        m[x.index(p), y.index(q)] = 0.0
+        chunks.append((x, y, m))
+    assert sentencepiece_scan.scan(chunks) == list(zip(path, path[1:], strict=False))
+    assert sentencepiece_scan.scan(chunks[2:7], path[2], path[7]) == list(zip(path[2:7], path[3:8], strict=True))
+    whole = sentencepiece_scan.tree(chunks)[-1][0][2]
+    left = chunks[0][2]
+    for _, _, m in chunks[1:]:
+        left = sentencepiece_scan.product(left, m)
+    assert (whole == left).all()
+    blocked = [(p, q, np.full(m.shape, -np.inf)) for p, q, m in chunks]
+    with pytest.raises(ValueError, match="no path"):
+        sentencepiece_scan.scan(blocked)
+
+
 @needs_model
 def test_encode_and_decode(spark, model):
     texts = [None, "", " ", "a", "Hello  world\n\tünïcode ☃ \x00 end ", "naïve " * 400, "x" * 900, "日本" * 300, "word " * 200, "word " * 200]
