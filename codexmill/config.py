@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 from pathlib import Path
@@ -46,3 +47,16 @@ def load_settings(env: Mapping[str, str] | None = None, env_file: str | os.PathL
         except ValueError as e:
             raise ValueError(f"{f.name.upper()} must be {'an integer' if kind is int else 'a number'}") from e
     return Settings(**values)
+
+
+def scratch_dir(spark) -> str:
+    """Folder for tables that a query writes and reads back: ``spark.checkpoint.dir`` of the session.
+
+    Only a local master may go without the setting; it gets a private folder.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="codexmill-")

@@ -22,11 +22,11 @@ TITLE_TOKENS = ("в", "во", "для", "и", "из", "к", "на", "о", "об"
 
 def check_sizes(size: int, overlap: int) -> None:
     if size <= 0:
-        raise ValueError("chunk_size must be greater than 0")
+        raise ValueError(f"chunk_size is {size}; a chunk needs at least one character")
     if overlap < 0:
-        raise ValueError("chunk_overlap must be greater than or equal to 0")
+        raise ValueError(f"chunk_overlap is {overlap}; it can't be negative")
     if overlap >= size:
-        raise ValueError("chunk_overlap must be less than chunk_size")
+        raise ValueError(f"chunk_overlap {overlap} leaves nothing of a chunk_size of {size}")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

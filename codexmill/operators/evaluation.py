@@ -155,7 +155,7 @@ def report_rows(judged: DataFrame, cases: DataFrame, metrics: DataFrame, meta: d
     document = F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("document_title", "filename", "source_filename", "document_id")], F.lit("Документ не указан"))
     shown = F.when(F.col("similarity").isNull(), "—").otherwise(F.format_string("%.4f", F.col("similarity")))
     line = F.concat(F.col("rank").cast("string"), F.lit(") "), document, F.lit(", статья "), F.coalesce(article_number(F.col("article_number")), F.lit("—")), F.lit(", "), _filled("article_title", "без названия"), F.lit(", similarity="), shown)
-    first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c).cast("double")))
+    first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c).try_cast("double")))
     tops = judged.groupBy("case_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), " | ").alias("top_results"),
         F.min_by("relevance", F.when(F.col("relevance").isin(*SUCCESS), F.col("rank"))).alias("matched"),

@@ -23,6 +23,7 @@ def table(head: list[str], rows: list[list[object]]) -> list[str]:
     return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
 
 
+#: Fixed wording of the conclusions.
 def conclusions(summary: dict, laws: dict[str, dict]) -> list[str]:
     known = {k: m["top_5_accuracy"] for k, m in laws.items() if m.get("top_5_accuracy") is not None}
     out = [f"Проверено вопросов: {summary['questions_count']}.", f"Recall@5 составляет {percent(summary['top_5_accuracy'])}, Recall@10 — {percent(summary['top_10_accuracy'])}."]

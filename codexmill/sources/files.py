@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,14 @@ HIDDEN = ("script", "style", "meta", "noscript")
 
 
 def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """(path, filename, content) of the files with these suffixes, in any letter case."""
-    found = spark.read.format("binaryFile").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    """(path, filename, content) of the files with these suffixes, in any letter case; a missing folder has none."""
+    try:
+        every = spark.read.format("binaryFile").load(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        every = spark.createDataFrame([], "path string, content binary")
+    found = every.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
     found = found.withColumn("filename", F.url_decode(F.replace("filename", F.lit("+"), F.lit("%2B"))))
     return found.filter(F.lower("filename").rlike("(" + "|".join(re.escape(s) for s in suffixes) + ")$"))
 
@@ -65,10 +72,16 @@ def read_texts(spark: SparkSession, folder: str, size: int = 1200, n_overlap: in
 def parse_jsonl(lines: DataFrame, file: str = "filename", number: str = "n", line: str = "line") -> DataFrame:
     """Classify and project JSONL lines: adds class (ok, blank, invalid, not_object, empty_text) and item.
 
-    Values that are no strings are taken as their text; null and blank count as missing.
+    Values that are no strings are taken as their text, true as ``True``; null and blank
+    count as missing. Objects and lists keep their JSON text.
     """
     doc = F.try_parse_json(F.col("_raw"))
-    text = lambda name: optional(F.try_variant_get("_v", f"$.{name}", "string"))
+
+    def text(name: str) -> Column:
+        said = F.try_variant_get("_v", f"$.{name}", "string")
+        flag = F.schema_of_variant(F.try_variant_get("_v", f"$.{name}", "variant")) == "BOOLEAN"
+        return optional(F.when(flag, F.initcap(said)).otherwise(said))
+
     rows = lines.select(file, F.col(number).alias("n"), strip(F.col(line)).alias("_raw")).withColumn("_v", doc)
     rows = rows.withColumn("_kind", F.schema_of_variant("_v"))
     refs = F.from_json(F.get_json_object("_raw", "$.referenced_articles"), "array<string>")

@@ -9,7 +9,8 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-queries, oracles = importlib.import_module("codexmill.queries"), importlib.import_module("codexmill.oracles")
+QUERIES = importlib.import_module("codexmill.queries").QUERIES | importlib.import_module("codexmill.flows").FLOWS
+ORACLES = importlib.import_module("codexmill.oracles").ORACLES | importlib.import_module("codexmill.flow_oracles").FLOW_ORACLES
 
 
 def plain(v):
@@ -29,10 +30,10 @@ def db():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, db, name):
-    got = queries.QUERIES[name](spark, SF)
-    cur = db.execute(oracles.ORACLES[name])
+    got = QUERIES[name](spark, SF)
+    cur = db.execute(ORACLES[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(got.columns)
     order = sorted(names)
@@ -42,4 +43,4 @@ def test_oracle(spark, db, name):
 
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(queries.QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
