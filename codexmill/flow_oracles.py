@@ -110,8 +110,8 @@ _FILE = "lower(CASE p_size % 5 WHEN 0 THEN 'old_TRUD_' WHEN 1 THEN 'gk_rf_' ELSE
 FLOW_ORACLES = {
     "hybrid_keyword": f"""WITH {_KEYED},
         sem AS (SELECT query_id, chunk_id FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, c.vec_id) AS r FROM tagged c, tagged q WHERE q.vec_id % 100 = 0) WHERE r <= 100),
-        cand AS (SELECT * FROM sem UNION SELECT query_id, chunk_id FROM best WHERE r <= 100 UNION SELECT q.vec_id, c.vec_id FROM tagged c JOIN tagged q ON c.vec_id % 97 = q.vec_id % 97 WHERE q.vec_id % 100 = 0),
-        s AS (SELECT x.query_id, x.chunk_id, 1 - ({_COS}) AS sem, coalesce(k.score, 0) AS key, CASE WHEN c.vec_id % 97 = q.vec_id % 97 THEN 0.65::DOUBLE ELSE 0 END AS art, CASE WHEN lower(c.names) LIKE '%' || q.lang || '%' THEN 0.35::DOUBLE ELSE 0 END AS doc
+        cand AS (SELECT * FROM sem UNION SELECT query_id, chunk_id FROM best WHERE r <= 100 UNION SELECT q.vec_id, c.vec_id FROM tagged c JOIN tagged q ON c.vec_id // 10 = q.vec_id // 10 WHERE q.vec_id % 100 = 0),
+        s AS (SELECT x.query_id, x.chunk_id, 1 - ({_COS}) AS sem, coalesce(k.score, 0) AS key, CASE WHEN c.vec_id // 10 = q.vec_id // 10 THEN 0.65::DOUBLE ELSE 0 END AS art, CASE WHEN lower(c.names) LIKE '%' || q.lang || '%' THEN 0.35::DOUBLE ELSE 0 END AS doc
               FROM cand x JOIN tagged c ON c.vec_id = x.chunk_id JOIN tagged q ON q.vec_id = x.query_id LEFT JOIN keyword k ON k.query_id = x.query_id AND k.chunk_id = x.chunk_id),
         h AS (SELECT *, 0.6::DOUBLE * sem + 0.3::DOUBLE * key + 0.1::DOUBLE * least(1.0::DOUBLE, art + doc) AS score FROM s),
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM h)

@@ -31,9 +31,9 @@ def _str(c: str) -> Column:
 
 def _keyword_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vectors with their documents' lexemes (unstemmed), and every hundredth as a query for
-    the first and the fifth word of its document; few rows share an article number."""
+    the first and the fifth word of its document."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
-    rows = _tagged(spark, sf_dir).drop("article_number").join(docs, "chunk_id").withColumn("article_number", (F.col("chunk_id") % 97).cast("string"))
+    rows = _tagged(spark, sf_dir).join(docs, "chunk_id")
     rows = rows.withColumn("lexemes", fulltext.lexeme_column([(F.col("source"), fulltext.WEIGHT_A), (F.col("text"), fulltext.WEIGHT_D)], stemmed=False))
     path = _scratch(spark, "lexemes")  # kept with the rows, as ingest does, and not made anew for every use
     rows.write.parquet(path)

@@ -119,7 +119,7 @@ _RULE_TEXT = f" || {_PARA} || ".join(f"'{x}'" for x in RULES)
 _TAGGED = "tagged AS (SELECT e.vec_id, e.embedding, d.source, d.source || ' ' || d.lang AS names, d.lang FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"
 _CAND = f"""{_TAGGED},
     sem AS (SELECT query_id, chunk_id FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, c.vec_id) AS r FROM tagged c, tagged q WHERE q.vec_id % 100 = 0) WHERE r <= 50),
-    cand AS (SELECT * FROM sem UNION SELECT q.vec_id, c.vec_id FROM tagged c JOIN tagged q ON c.source = q.source WHERE q.vec_id % 100 = 0)"""
+    cand AS (SELECT * FROM sem UNION SELECT q.vec_id, c.vec_id FROM tagged c JOIN tagged q ON c.vec_id // 10 = q.vec_id // 10 WHERE q.vec_id % 100 = 0)"""
 
 _TERMS = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))"
 
@@ -129,7 +129,7 @@ ORACLES = {
     "knn_batch_topk": f"WITH {_NEAR} SELECT query_id, chunk_id, round(d, 6) AS distance, rank FROM near WHERE rank <= {K}",
     "hybrid_candidates_union": f"WITH {_CAND} SELECT query_id, chunk_id FROM cand",
     "hybrid_score": f"""WITH {_CAND},
-        s AS (SELECT query_id, chunk_id, 1 - ({_COS}) AS sem, CASE WHEN c.source = q.source THEN 0.65::DOUBLE ELSE 0 END AS art, CASE WHEN lower(c.names) LIKE '%' || q.lang || '%' THEN 0.35::DOUBLE ELSE 0 END AS doc
+        s AS (SELECT query_id, chunk_id, 1 - ({_COS}) AS sem, CASE WHEN c.vec_id // 10 = q.vec_id // 10 THEN 0.65::DOUBLE ELSE 0 END AS art, CASE WHEN lower(c.names) LIKE '%' || q.lang || '%' THEN 0.35::DOUBLE ELSE 0 END AS doc
               FROM cand JOIN tagged c ON c.vec_id = chunk_id JOIN tagged q ON q.vec_id = query_id),
         h AS (SELECT *, 0.6::DOUBLE * sem + 0.1::DOUBLE * least(1.0::DOUBLE, art + doc) AS score FROM s),
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM h)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -39,11 +39,12 @@ def now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
-def ingest(spark: SparkSession, folder: str, store: Store, settings: Settings = Settings(), model: Callable[[], Embed] = HashingEmbedder, clock: Callable[[], datetime] = now) -> dict:
+def ingest(spark: SparkSession, folder: str, store: Store, settings: Settings = Settings(), model: Callable[[], Embed] = HashingEmbedder, clock: Callable[[], datetime] = now, stops: frozenset[str] | None = None) -> dict:
     """Replace the store's version of every TXT and JSONL file of a folder that gives chunks.
 
     Files without chunks are skipped and keep their old version, and so do files that
     are gone from the folder. Ids are hashes of names and positions, so they stay the same.
+    Lexemes are made here, once, and kept; ``stops`` must be those of later searches.
     """
     store.init()
     found = files.read_folder(spark, folder, settings.chunk_size, min(settings.chunk_overlap, settings.chunk_size - 1)).checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else files.read_folder(spark, folder, settings.chunk_size, min(settings.chunk_overlap, settings.chunk_size - 1))
@@ -54,7 +55,8 @@ def ingest(spark: SparkSession, folder: str, store: Store, settings: Settings =
     good = found.filter(F.size("items") > 0)
     ident = F.xxhash64("filename")
     documents = good.select(ident.alias("document_id"), "filename", "title", F.col("path").alias("source_path"), at.alias("created_at"), at.alias("updated_at"))
-    chunks = good.select("filename", ident.alias("document_id"), F.posexplode("items").alias("chunk_index", "i"))
+    chunks = good.select("filename", "title", ident.alias("document_id"), F.posexplode("items").alias("chunk_index", "i"))
+    stops = stop_words(spark) if stops is None else stops
     chunks = chunks.select(
         F.xxhash64("filename", "chunk_index").alias("chunk_id"),
         "document_id",
@@ -63,6 +65,7 @@ def ingest(spark: SparkSession, folder: str, store: Store, settings: Settings =
         embed_column(F.col("i.content"), model).alias("embedding"),
         at.alias("created_at"),
         "filename",
+        _lexemes(F.col("title"), "i.", stops).alias("lexemes"),
     )
     try:
         store.replace(documents.select(*DOCUMENT.fieldNames()), chunks.select(*CHUNK.fieldNames()))
@@ -82,14 +85,24 @@ def document_chunks(documents: DataFrame, chunks: DataFrame, document_id: int) -
     """A document's chunks in order, without vectors; raises LookupError if there is no such document."""
     if documents.filter(F.col("document_id") == document_id).isEmpty():
         raise LookupError(f"document {document_id} not found")
-    return chunks.filter(F.col("document_id") == document_id).withColumn("document_title", F.lit(None).cast("string")).drop("embedding").orderBy("chunk_index")
+    return chunks.filter(F.col("document_id") == document_id).withColumn("document_title", F.lit(None).cast("string")).drop("embedding", "lexemes").orderBy("chunk_index")
+
+
+def _lexemes(title: Column, item: str, stops: frozenset[str]) -> Column:
+    """A chunk's lexemes: titles weigh most, section and chapter less, the content least."""
+    within = [(F.col(item + c), w) for c, w in (("article_title", WEIGHT_A), ("section_title", WEIGHT_B), ("chapter_title", WEIGHT_B), ("content", WEIGHT_D))]
+    return lexeme_column([(title, WEIGHT_A), *within], stops)
 
 
 def corpus(documents: DataFrame, chunks: DataFrame, stops: frozenset[str]) -> DataFrame:
-    """Chunks with their document's names, and lexemes ready for matching and ranking."""
+    """Chunks with their document's names, and lexemes ready for matching and ranking.
+
+    Lexemes kept by ingest are used as they are; chunks without that column are parsed here.
+    """
     rows = chunks.drop("filename").join(documents.select("document_id", "filename", F.col("title").alias("document_title")), "document_id")
-    parts = [(F.col("document_title"), WEIGHT_A), (F.col("article_title"), WEIGHT_A), (F.col("section_title"), WEIGHT_B), (F.col("chapter_title"), WEIGHT_B), (F.col("content"), WEIGHT_D)]
-    return rows.withColumn("lexemes", lexeme_column(parts, stops)).withColumn("names", F.concat_ws(" ", "filename", "document_title", "source_filename"))
+    if "lexemes" not in chunks.columns:
+        rows = rows.withColumn("lexemes", _lexemes(F.col("document_title"), "", stops))
+    return rows.withColumn("names", F.concat_ws(" ", "filename", "document_title", "source_filename"))
 
 
 def search(spark: SparkSession, table: DataFrame, queries: list[str], k: int = 5, mode: str | None = None, settings: Settings = Settings(), model: Callable[[], Embed] = HashingEmbedder, stops: frozenset[str] | None = None) -> DataFrame:

@@ -47,8 +47,8 @@ def knn_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors with the metadata of the document of the same id: source as article, lang in the names."""
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("article_number"), F.concat_ws(" ", "source", "lang").alias("names"))
+    """Vectors with metadata of the document of the same id: ten documents an article, lang in the names."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 10).cast("string").alias("article_number"), F.concat_ws(" ", "source", "lang").alias("names"))
     return _vectors(spark, sf_dir).join(docs, "chunk_id")
 
 

@@ -23,10 +23,11 @@ DOCUMENT = T.StructType(
     ]
 )
 
+LEXEMES = T.ArrayType(T.StructType([T.StructField("lexeme", _s), T.StructField("pos", T.IntegerType()), T.StructField("weight", T.DoubleType())]))
 CHUNK = T.StructType(
     [T.StructField("chunk_id", T.LongType(), False), T.StructField("document_id", T.LongType(), False), T.StructField("chunk_index", T.IntegerType(), False), T.StructField("content", _s, False)]
     + [T.StructField(n, _s) for n in ("article_number", "article_title", *CONTEXT, "source_format", "source_filename")]
-    + [T.StructField("referenced_articles", T.ArrayType(_s)), T.StructField("embedding", T.ArrayType(T.FloatType(), False)), T.StructField("created_at", T.TimestampNTZType()), T.StructField("filename", _s, False)]
+    + [T.StructField("referenced_articles", T.ArrayType(_s)), T.StructField("embedding", T.ArrayType(T.FloatType(), False)), T.StructField("created_at", T.TimestampNTZType()), T.StructField("filename", _s, False), T.StructField("lexemes", LEXEMES)]
 )
 
 SPLIT = T.ArrayType(T.StructType([T.StructField("content", _s), T.StructField("article_number", _s), T.StructField("article_title", _s)]))
