@@ -35,8 +35,9 @@ def _role(role: Column) -> Column:
 
 
 def _unrole(role: Column) -> Column:
-    marked = F.replace(F.replace(F.replace(role, F.lit("\\\\"), F.lit("\x00b")), F.lit("\\n"), F.lit("\n")), F.lit("\x00b"), F.lit("\\"))
-    return unescape(marked)
+    # pairs of backslashes are read from the left; what lies between them holds none but those of \\n
+    parts = F.transform(F.split(role, r"\\\\", -1), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    return unescape(F.array_join(parts, "\\"))
 
 
 def tokens(text: Column) -> Column:
