@@ -93,8 +93,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000) -> None:
     Of rows with equal payloads of at least ``min_bytes`` bytes, the one with the largest
     page_id is a response and others are revisits; rows repeated with that page_id are
     responses too. Null html: empty payload. Null url: empty URI. Null page_id: an empty
-    record id; such a row revisits a non-null page_id where there is one. Empty table: an
-    empty table. Other columns are not stored.
+    record id; such a row revisits a non-null page_id where there is one. Page ids are
+    whole numbers. A url's line ends are stored as %0D and %0A, spaces around it are lost.
+    Empty table: an empty table. Other columns are not stored.
     """
     arrow_rows(pages.sparkSession)
     plan_records(pages, min_bytes).mapInArrow(_write, "content binary").write.mode("overwrite").option("compression", "uncompressed").parquet(path)
@@ -105,49 +106,81 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
     Raises ValueError for a broken frame, a member that is cut off or a wrong digest.
     """
-    inflate, data, fed = zlib.decompressobj(31), bytearray(), False
+    inflate, data, fed, whole = zlib.decompressobj(31), bytearray(), False, None
     for chunk in chunks:
         while chunk:
             data += inflate.decompress(chunk)
             fed = True
+            if whole is None and (end := data.find(b"\r\n\r\n")) >= 0:
+                whole = end + 8 + int(_fields(bytes(data[:end])).get("content-length", "-1"))
+            if whole is not None and len(data) > whole:
+                raise ValueError("Content-Length doesn't frame the block")
             if not inflate.eof:
                 break
             chunk = inflate.unused_data
             yield _parse(bytes(data))
-            inflate, data, fed = zlib.decompressobj(31), bytearray(), False
+            inflate, data, fed, whole = zlib.decompressobj(31), bytearray(), False, None
     if fed:
         raise ValueError("the last gzip member is cut off")
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+
+
+def _digest(said: str | None) -> bytes | None:
+    """The bytes of a SHA-1 digest in base 32 or hex; None for none or for another kind."""
+    kind, _, value = (said or "").partition(":")
+    if kind.lower() != "sha1" or len(value) not in (32, 40):
+        return None
+    try:
+        return base64.b32decode(value.upper()) if len(value) == 32 else bytes.fromhex(value)
+    except ValueError:
+        return None
+
+
 def _parse(data: bytes) -> tuple[dict[str, str], bytes]:
     end = data.find(b"\r\n\r\n")
-    lines = data[: max(end, 0)].decode("utf-8", "replace").split("\r\n")
-    if end < 0 or not lines[0].startswith("WARC/"):
+    if end < 0:
         raise ValueError("not a WARC record")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields = _fields(data[:end])
     size = int(fields.get("content-length", "-1"))
     block = data[end + 4 : end + 4 + size]
     if size < 0 or len(block) != size or data[end + 4 + size :] != b"\r\n\r\n":
         raise ValueError("Content-Length doesn't frame the block")
-    if "warc-block-digest" in fields and fields["warc-block-digest"] != sha1_base32(block):
+    said = _digest(fields.get("warc-block-digest"))
+    if said is not None and said != hashlib.sha1(block).digest():
         raise ValueError("wrong block digest")
     return fields, block
 
 
+def _row(fields: dict[str, str], block: bytes) -> tuple:
+    """A record as a row. Records of any kind and origin are read: those that are no HTTP
+    message have their block as payload, ids that name no page are null."""
+    kind, end = fields.get("warc-type", ""), block.find(b"\r\n\r\n")
+    http = block.startswith(b"HTTP/") and end >= 0
+    heads = dict(x.partition(":")[::2] for x in block[:end].decode("latin-1").lower().split("\r\n")[1:]) if http else {}
+    payload, revisit, said = block[end + 4 :] if http else block, kind == "revisit", _digest(fields.get("warc-payload-digest"))
+    if not revisit and said is not None and said != hashlib.sha1(payload).digest():
+        raise ValueError("wrong payload digest")
+    if not revisit and said is None:
+        said = hashlib.sha1(payload).digest()
+    size = heads.get("content-length", "").strip() if revisit else str(len(payload))
+    page = lambda v: int(v[10:-1]) if v.startswith("<urn:page:") and v[10:-1].lstrip("-").isdigit() else None
+    refers = page(fields.get("warc-refers-to", "")) if revisit else None
+    return page(fields.get("warc-record-id", "")), fields.get("warc-target-uri"), int(size) if size.isdigit() else None, said.hex() if said else None, kind, refers, None if revisit else payload
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             view = content.as_buffer()
             out: list[list] = [[] for _ in range(7)]
             for fields, block in records(view[i : i + FEED].to_pybytes() for i in range(0, view.size, FEED)):
-                at = block.find(b"\r\n\r\n") + 4
-                payload = block[at:]
-                http = dict(x.partition(":")[::2] for x in block[: at - 4].decode("latin-1").lower().split("\r\n")[1:])
-                revisit, digest = fields["warc-type"] == "revisit", fields["warc-payload-digest"]
-                if not revisit and digest != sha1_base32(payload):
-                    raise ValueError("wrong payload digest")
-                ident = lambda v: int(v) if (v := v[len("<urn:page:") : -1]) else None
-                row = (ident(fields["warc-record-id"]), fields["warc-target-uri"], int(http["content-length"]), base64.b32decode(digest[5:]).hex(), fields["warc-type"], ident(fields["warc-refers-to"]) if revisit else None, None if revisit else payload)
+                row = _row(fields, block)
                 for col, v in zip(out, row, strict=True):
                     col.append(v)
                 if len(out[0]) >= 200:
@@ -170,13 +203,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     payload_bytes and payload_digest are those of the full payload, for revisits as their
     records state them. An empty table gives no rows; a damaged archive fails the read.
     """
-    arrow_rows(spark, 1)
+    arrow_rows(spark, 8)
     return spark.read.schema("content binary").parquet(path).mapInArrow(_read, SCHEMA)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """As ``read_archives``, from .warc.gz files that Spark can list."""
-    arrow_rows(spark, 1)
+    arrow_rows(spark, 8)
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content").mapInArrow(_read, SCHEMA)
 
 
