@@ -9,6 +9,8 @@ next interval. Only the slices' sums, at most SUMS numbers a pass, reach the dri
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
@@ -44,11 +46,22 @@ def _metadata(docs: DataFrame, id_col: str, text_col: str) -> list[tuple[str, st
     """Number and string columns beside the id and the text: all of them are dimensions."""
     return [(c, "string" if t == "string" else "number") for c, t in docs.dtypes if c not in (id_col, text_col) and (t == "string" or t in ("int", "bigint", "double", "float", "smallint", "tinyint"))]
 
+
 def _codes(groups: DataFrame, n_meta: int) -> DataFrame:
     """One bigint code per dimension: scaled value, then a hash of the text."""
     names = [f"_m{i}" for i in range(n_meta)]
     kinds = dict(groups.dtypes)
-    value = {c: F.when(F.col(c).isNull(), 0.0).otherwise(F.pmod(F.xxhash64(c), F.lit(1 << VALUE_BITS)).cast("double")) if kinds[c] == "string" else F.coalesce(F.when(F.isnan(c), None).otherwise(F.col(c)), F.lit(0.0)) for c in names}
+    texts = [c for c in names if kinds[c] == "string"]
+    ends = groups.agg(F.count(F.lit(1)), *[f(c) for c in texts for f in (F.min, F.max)]).first()
+    value = {}
+    for c in names:
+        if c in texts:
+            # strings in their order: what all have in common at the start tells nothing apart
+            same = len(os.path.commonprefix([x or "" for x in ends[1 + 2 * texts.index(c) :][:2]]))
+            head = F.hex(F.encode(F.substring(c, same + 1, 3), "UTF-8"))
+            value[c] = F.coalesce(F.conv(F.rpad(head, 6, "0"), 16, 10).cast("double"), F.lit(0.0))
+        else:
+            value[c] = F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.coalesce(F.col(c), F.lit(0.0))) / 2  # halves have a finite range
     value["_n"] = F.col("_bytes").cast("double")
     groups = groups.select("_h1", "_h2", "_bytes", *[v.alias(f"_v{i}") for i, v in enumerate(value.values())])
     many = range(len(value))
@@ -163,9 +176,9 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     texts share a shard; a group over a shard's fair size therefore makes that shard
     larger. Slots run from 0 without gaps in each shard, in hashed parts and then by id.
 
-    Null text: as the empty text, size 1. Null id: as any other id. Null or NaN
-    metadata: as 0. Empty table: empty result. Repeated rows all stay. Other columns serve
-    as dimensions (all numbers and strings) and are not returned.
+    Null text: as the empty text, size 1. Null id: as any other id. Null, NaN or infinite
+    metadata: as 0. Strings count by their order, from where the column's values first differ. Empty table: empty result. Repeated rows all stay. Other columns serve
+    as dimensions (all numbers and strings; a group has its least value) and are not returned.
     """
     n_meta = len(_metadata(docs, id_col, text_col))
     points = cut(_points(docs, id_col, text_col))
