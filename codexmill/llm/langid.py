@@ -26,8 +26,8 @@ from .textbytes import U, grams
 BITS, LENGTHS = 14, (1, 2, 3, 4)
 #: Fitted on at most so many rows of a language; so many of them, at most, are landmarks.
 SAMPLE, LANDMARKS = 400, 96
-#: Languages that can be learned, a bound on what reaches the driver.
-LANGUAGES = 200
+#: Fitted rows of all languages together: with many languages each has fewer.
+ROWS = 12_800
 RIDGE = 1e-2
 UNKNOWN = "und"
 BLOCK = 1 << 18
@@ -79,12 +79,16 @@ def fit_rows(rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, rid
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32))
     lang = np.array([names.index(x) for x in langs])
     chosen = np.concatenate([np.flatnonzero(lang == k)[: max(1, landmarks // len(names))] for k in range(len(names))])
-    x = rows.astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
-    z = x[chosen]
+
+
+    def unit(part: np.ndarray) -> np.ndarray:
+        x = part.astype(np.float32)
+        return x / np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
+
+    z = unit(rows[chosen])
     values, vectors = np.linalg.eigh((z @ z.T).astype(float))
     root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
-    feature = (x @ z.T) @ root
+    feature = np.concatenate([(unit(rows[a : a + 512]) @ z.T) @ root for a in range(0, len(rows), 512)])
     goal = np.where(lang[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = 1 / np.bincount(lang)[lang]  # languages weigh the same
     weight /= weight.sum()
@@ -97,19 +101,20 @@ def fit_rows(rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, rid
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` rows of each non-null language, in order of an id hash.
 
-    Raises ValueError for more than LANGUAGES languages. Rows without a letter say nothing.
+    All languages together have at most ROWS rows, or one row each if they are more than
+    that. Rows without a letter say nothing.
     """
     arrow_rows(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col)
+    known = rows.select(lang_col).distinct().count()
+    sample = max(1, min(sample, ROWS // max(1, known)))
     ids = first_rows(rows, [lang_col], [F.xxhash64(F.lit(6), id_col), id_col], sample, id_col)
-    if ids.select(lang_col).distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array([np.packbits(presence(t)).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["id", "lang", "row"])
 
-    # at most sample * LANGUAGES ids, a fixed bound
+    # at most ROWS ids, or one a language
     few = F.broadcast(ids.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")))
     kind = dict(labelled.dtypes)[id_col]
     got = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("own")).join(few, "id").filter("own = lang").select("id", "lang", "text").mapInArrow(packed, f"id {kind}, lang string, row binary").toArrow()
