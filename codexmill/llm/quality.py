@@ -113,6 +113,10 @@ class Head:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(row) + self.offset, -40, 40))))
 
 
+#: Heads that have learned nothing: only the base rules decide.
+NO_HEADS = (Head(np.zeros(LOW_SIZE), -20.0), Head(np.zeros(TOXIC_SIZE), -20.0))
+
+
 def fit_head(rows: list[Row], y: np.ndarray, size: int, l1: float = 5e-4, steps: int = 120) -> Head:
     """L1 logistic regression by accelerated proximal gradient; classes weigh the same.
 
@@ -264,13 +268,16 @@ def score(docs: DataFrame, heads: tuple[Head, Head], id_col: str = "doc_id", tex
             for b in texts(batch.column(text_col)):
                 figures = base(b)
                 failed = figures[0] < MIN_WORDS or 100 * figures[4] > REPEAT_PERCENT * figures[0]
+                if failed and passing:  # its probabilities are not asked for
+                    out[6].append(False)
+                    continue
                 p = [h.probability(row) for h, row in zip(heads, features(b if b is not None else np.zeros(0, np.uint8)), strict=True)]
                 for col, v in zip(out, (*figures, failed, not failed and p[0] <= LOW_QUALITY and p[1] <= TOXIC, *p), strict=True):
                     col.append(v)
-            cols = [pa.array(v, t) for v, t in zip(out, COLUMNS.values(), strict=True)]
             if passing:
-                yield batch.filter(cols[6])
+                yield batch.filter(pa.array(out[6], pa.bool_()))
             else:
+                cols = [pa.array(v, t) for v, t in zip(out, COLUMNS.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), *cols], [id_col, *COLUMNS])
 
     if passing:
