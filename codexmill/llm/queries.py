@@ -75,13 +75,41 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, heads)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_warc, op4_minhash, op5_decontaminate, op6_substring_dedup, op7_langid, op8_chat_format, op9_kd_sharding, op10_quality)}
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures and base rule of op10_quality, which need no labels and which SQL can say."""
+    out = quality.score(table(spark, sf_dir, "documents"), quality.NO_HEADS)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def shard_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9_kd_sharding promises of every row: its size, gapless slots, one shard for equal texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rows = sharding.kd_shards(docs, shards=8)
+    slots = rows.groupBy("shard").agg((F.countDistinct("slot") == F.count(F.lit(1))).alias("once"), (F.max("slot") == F.count(F.lit(1)) - 1).alias("gapless"), (F.min("slot") == 0).alias("from_0"))
+    homes = rows.join(docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("same")), "doc_id").groupBy("same").agg((F.countDistinct("shard") == 1).alias("together"), F.collect_list("doc_id").alias("ids"))
+    kept = homes.select(F.explode("ids").alias("doc_id"), "together")
+    good = F.col("once") & F.col("gapless") & F.col("from_0")
+    return rows.join(slots, "shard").join(kept, "doc_id").select("doc_id", "size", "law", F.col("shard").between(0, 7).alias("in_range"), good.alias("slots_good"), "together")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_warc, op4_minhash, op5_decontaminate, op6_substring_dedup, op7_langid, op8_chat_format, op9_kd_sharding, op10_quality, quality_base, shard_checks)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLES = {
+    "quality_base": f"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+        three AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda k: ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2])) AS g FROM w WHERE len(ws) >= 3),
+        again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM three) WHERE c > 1),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY 1),
+        lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '{_WORD}') GROUP BY 1)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+               coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(covered.n, 0) > 50 * len(ws) AS base_failed
+        FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN covered ON covered.doc_id = w.doc_id""",
+    "shard_checks": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'bytes' AS law, TRUE AS in_range, TRUE AS slots_good, TRUE AS together FROM documents",
     "op2_line_dedup": f"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM split),

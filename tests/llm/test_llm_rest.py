@@ -153,6 +153,22 @@ def test_warc_reader_finds_damage():
             list(warc.records([warc.member(raw.replace(old, new))]))
 
 
+def test_warc_reader_takes_records_of_other_writers(spark, tmp_path):
+    def rec(kind, block, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0-1>", *more, f"Content-Length: {len(block)}"]
+        return warc.member("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    page = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>hi</p>"
+    sha = hashlib.sha1(b"<p>hi</p>").hexdigest()
+    data = rec("warcinfo", b"software: x\r\n") + rec("response", page, "WARC-Target-URI: http://a") + rec("response", page, f"WARC-Payload-Digest: sha1:{sha}") + rec("response", page, "WARC-Payload-Digest: sha256:ab", "WARC-Block-Digest: md5:00") + rec("revisit", b"", "WARC-Refers-To: <urn:uuid:0-0>") + rec("resource", b"plain")
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    got = [(r["record_type"], r["page_id"], r["payload_bytes"], r["payload_digest"], bytes(r["payload"]) if r["payload"] is not None else None) for r in warc.read_files(spark, str(tmp_path)).collect()]
+    body = (9, sha, b"<p>hi</p>")
+    assert got == [("warcinfo", None, 13, hashlib.sha1(b"software: x\r\n").hexdigest(), b"software: x\r\n"), *[("response", None, *body)] * 3, ("revisit", None, None, None, None), ("resource", None, 5, hashlib.sha1(b"plain").hexdigest(), b"plain")]
+    with pytest.raises(ValueError, match="payload digest"):
+        [warc._row(*r) for r in warc.records([rec("response", page, "WARC-Payload-Digest: sha1:" + "0" * 40)])]
+
+
 # decontamination
 
 
@@ -351,9 +367,36 @@ def test_escapes(spark):
     assert all(r["t"] == r["u"] and "<|" not in r["e"] for r in rows)
 
 
+def test_roles_of_any_characters_come_back(spark):
+    roles = ["a\x00b", "\x00b", "\\", "\\n", "\\\n", "\n\\n\\\\", "<|im_end|>\n\\", "", "user\\\\n\x00b\\b"]
+    rows = spark.createDataFrame([(i, 0, r, "t") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    back = {r["conv_id"]: r["turns"][0]["role"] for r in chat_format.read_windows(chat_format.format_windows(rows)).collect()}
+    assert [back[i] for i in range(len(roles))] == roles
+
+
 # sharding
 
 
+def test_shards_of_odd_numbers_and_one_hot_text(spark):
+    odd = [float("inf"), float("-inf"), float("nan"), 1.7e308, -1.7e308, 0.0, None]
+    rows = [(i, f"text {i}", odd[i % 7], "s") for i in range(60)] + [(100 + i, None if i % 2 else "", 1.0, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m double, k string")
+    got = sharding.kd_shards(df, shards=4).collect()
+    assert len(got) == 120 and len({r["shard"] for r in got if r["doc_id"] >= 100}) == 1  # null and empty are equal texts
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_strings_are_split_by_their_order(spark):
+    rows = [(i, f"text {i:04d}", f"host-{chr(97 + i % 26)}{chr(97 + i % 7)}") for i in range(520)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, host string"), shards=2).collect()
+    name = {i: h[:6] for i, _, h in rows}
+    sides = [{name[r["doc_id"]] for r in got if r["shard"] == s} for s in (0, 1)]
+    assert max(sides[0]) <= min(sides[1])
+
+
 @pytest.mark.parametrize("shards", [8, 5, 1])
 def test_shards(spark, shards):
     rng = random.Random(shards)
@@ -421,7 +464,7 @@ def test_shards_of_target_bytes_and_nothing(spark):
 def test_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = llm_queries.QUERIES[name](spark, SF)
     cur = con.execute(llm_queries.ORACLES[name])

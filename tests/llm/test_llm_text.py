@@ -330,6 +330,80 @@ def test_folded_scores_equal_kernel_scores():
     assert np.allclose(np.c_[k, np.ones(6)] @ whole, s, atol=1e-4)
 
 
+def test_fit_agrees_with_plain_kernel_ridge():
+    """Scores of the folded model against kernels of sets, a Nystrom map and ridge by least squares."""
+    rng = random.Random(8)
+    syl = {"a": "ka ro mi tu la".split(), "b": "sch ein ung ber ka".split(), "c": "oi eux ro ment la".split()}
+    texts = [("".join(rng.choice(syl[k]) for _ in range(3)) + " " + "".join(rng.choice(syl[k]) for _ in range(rng.randrange(1, 5))), k) for k in "aabbbccc" * 5]
+    fresh = ["karo schein", "laro oiment", "ein", "zzz"]
+    rows, langs = np.array([langid.presence(t) for t, _ in texts]), [k for _, k in texts]
+    model = langid.fit_rows(rows.astype(np.uint8), langs, landmarks=9)
+    sets = [frozenset(np.flatnonzero(r).tolist()) for r in rows]
+    kernel = lambda x, z: len(x & z) / np.sqrt(max(1, len(x)) * max(1, len(z)))
+    marks = [sets[i] for k in "abc" for i in [j for j, v in enumerate(langs) if v == k][:3]]
+    inside = np.array([[kernel(x, z) for z in marks] for x in marks])
+    values, vectors = np.linalg.eigh(inside)
+    good = values > 1e-6
+    root = (vectors[:, good] / np.sqrt(values[good])) @ vectors[:, good].T  # the symmetric inverse root
+    place = lambda xs: np.array([[kernel(x, z) for z in marks] for x in xs]) @ root
+    f = place(sets)
+    w = np.array([1 / langs.count(k) for k in langs])
+    w /= w.sum()
+    y = np.where(np.array(langs)[:, None] == np.array(["a", "b", "c"]), 1.0, -1.0)
+    # weighted squares with a free intercept, plus ridge on the rest: one least-squares problem
+    top = np.c_[f, np.ones(len(f))] * np.sqrt(w)[:, None]
+    low = np.c_[np.eye(f.shape[1]) * np.sqrt(langid.RIDGE / len(f)), np.zeros(f.shape[1])]
+    coef = np.linalg.lstsq(np.r_[top, low], np.r_[y * np.sqrt(w)[:, None], np.zeros((f.shape[1], 3))], rcond=None)[0]
+    new = [langid.presence(t) for t in [t for t, _ in texts] + fresh]
+    want = np.c_[place([frozenset(np.flatnonzero(r).tolist()) for r in new]), np.ones(len(new))] @ coef
+    assert np.allclose(model.scores(np.array(new)), want, atol=2e-3)
+
+
+def test_many_languages_share_the_bound_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS", 60)
+    rows = [(i, f"{chr(97 + i % 25)}{chr(98 + i % 25)}" * 6, f"l{i % 25:02d}") for i in range(250)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 25
+
+
+def test_fit_head_reaches_the_optimum_of_plain_l1_logistic_regression():
+    rng = np.random.default_rng(4)
+    size, n, l1 = 12, 150, 0.01
+    x = (rng.random((n, size)) < 0.4) * rng.random((n, size))
+    y = (x[:, 0] - x[:, 1] + 0.3 * rng.normal(size=n) > 0).astype(float)
+    rows = [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in x]
+    head = quality.fit_head(rows, y, size, l1=l1, steps=3000)
+    train = np.arange(n) % 5 != 4
+    a, t = x[train], y[train]
+    w = np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean())) / len(t)
+    theta, bias = np.zeros(size), 0.0
+    for _ in range(20000):  # plain proximal gradient
+        g = w * (1 / (1 + np.exp(-(a @ theta + bias))) - t)
+        theta, bias = theta - 2 * (a.T @ g), bias - 2 * g.sum()
+        theta = np.sign(theta) * np.maximum(0, np.abs(theta) - 2 * l1)
+    assert np.allclose(head.weights, theta, atol=5e-3) and abs(head.bias - bias) < 5e-3
+    assert (head.weights == 0).any() and (head.weights != 0).any()
+    # Platt scaling on the rows held out: no slope or offset near it fits their soft labels better
+    m, soft = x[~train] @ head.weights + head.bias, y[~train]
+    up, down = (soft.sum() + 1) / (soft.sum() + 2), 1 / (len(soft) - soft.sum() + 2)
+    goal = np.where(soft == 1, up, down)
+    loss = lambda s, o: float((np.logaddexp(0, s * m + o) - goal * (s * m + o)).sum())
+    best = loss(head.slope, head.offset)
+    assert all(best <= loss(head.slope + p, head.offset + q) + 1e-6 for p in (-0.05, 0, 0.05) for q in (-0.05, 0, 0.05))
+
+
+def test_features_count_every_gram_and_word():
+    text = "Abc abc, abd! zé" * 7
+    low, toxic = quality.features(np.frombuffer(text.encode(), np.uint8))
+    b = text.encode()
+    freq = low[1][low[0] < 1 << quality.FREQ_BITS]
+    assert np.isclose(((freq / 10) ** 2).sum() * len(b), 2 * len(b) - 3)  # all 2- and 3-grams, each once
+    named = len(set(re.split(rb"[^a-z\x80-\xff]+", b.lower())) - {b""})
+    assert (low[0] >= 1 << quality.FREQ_BITS).sum() == named == (toxic[0] < 1 << quality.WORD_BITS).sum()
+    fives = {b.lower()[i : i + 5] for i in range(len(b) - 4)}
+    assert (toxic[0] >= 1 << quality.WORD_BITS).sum() == len(fives) and set(toxic[1]) == {1.0}
+
+
 def test_presence_of_blocks(monkeypatch):
     text = "Ünder  the-bridge 42 of Straße " * 50
     whole = langid.presence(text)
