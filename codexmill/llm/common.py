@@ -1,10 +1,11 @@
-"""Shared helpers: checkpoints in the cluster's folder, size-checked joins, salting."""
+"""Shared helpers: tables kept in the cluster's folder, size-checked joins, salting."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,36 +13,44 @@ from pyspark.sql.window import Window
 
 #: Rows of a single 8-byte id that may be broadcast; beyond it joins shuffle.
 BROADCAST_IDS = 2_000_000
-#: Partial keys that a hot join key is split into.
+#: Partial keys that a hot join key is split into; a power of two.
 SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (local tests) a private folder is made.
+    Only a local master may go without the setting, as in tests; it gets a private folder.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="codexmill-")
         atexit.register(shutil.rmtree, found, True)
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and keep its rows in the shared folder (survives lost executors).
+    """Run ``df`` once and keep its rows as a table in the shared folder (survives lost executors).
 
-    The result forgets the size that Spark guessed for ``df``: guesses of joins multiply,
-    so over a loop of joins and checkpoints their digits would double with each step.
+    The table is small beside a checkpoint (columns, compressed), read only as far as its
+    columns are used, and its size is known to the joins that follow.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    kept = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._cut_path = path
+    return kept
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete tables that ``cut`` has kept, once nothing is to be read from them any more."""
+    for df in cuts:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def arrow_rows(spark: SparkSession, rows: int = 256) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -18,11 +18,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
     labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("component")))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["id"] == near["u"], "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("best"))
-        up = labels.select(F.col("id").alias("best"), F.col("component").alias("jump"))
+        known = labels.select("id", "component")
+        near = both.join(known.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("component").alias("near"))
+        step = known.join(near, known["id"] == near["u"], "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("best"))
+        up = known.select(F.col("id").alias("best"), F.col("component").alias("jump"))
         moved = cut(step.join(up, "best", "left").select("id", "was", F.least("best", F.coalesce("jump", "best")).alias("component")))
         done = moved.filter("was != component").isEmpty()
-        labels = moved.select("id", "component")
+        discard(labels)
+        labels = moved
         if done:
+            discard(both)
             return labels

@@ -10,12 +10,13 @@ centre. Two members that the centre doesn't join can still be similar, but only
 differ from the centre in some of the same shingles: with d(x) the size of the symmetric
 difference of x and the centre and t = (100 - percent) / (100 + percent), a link of x and
 y needs at least (d(x) + d(y) - t * (n(x) + n(y))) / 2 common differences. A prefix filter
-with positions over these differences finds all such pairs (see ``_link``). Links are
+with positions over these differences finds all such pairs (see ``_labels``). Links are
 confirmed on full shingle sets.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, arrow_rows, cut, small_or_shuffled
+from .common import SALTS, arrow_rows, cut, discard, small_or_shuffled
 from .graph import components
 from .textbytes import U, grams, mix, texts, words
 
 BITS, COORDS, BANDS = 20, 128, 32
 WORDS = 5
-#: A difference from the centre that so many members have is a usual one.
-USUAL = 8
+#: Rounds in which pairs meet, as ranges of 32nds of all differences.
+ROUNDS = ((0, 1), (1, 6), (6, 32))
 
 
 def shingles(b: np.ndarray | None, n: int = WORDS) -> np.ndarray:
@@ -67,8 +68,14 @@ class Circulant:
         return mix((x * self.mult).sum(axis=1, dtype=U) + np.arange(1, self.bands + 1, dtype=U) * U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+@functools.cache
+def _scheme() -> Circulant:
+    """One for all tasks of a worker."""
+    return Circulant()
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scheme = Circulant()
+    scheme = _scheme()
     none = np.zeros(0, np.int64)
     for batch in batches:
         n, hi, lo, keys = [], [], [], []
@@ -99,13 +106,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _differences(percent: int):
-    """Of pairs (centre a, member b): whether linked, b's differences and how long a prefix
-    of them must hold one that it shares with any partner, in whatever common order.
+    """Of pairs (centre a, member b): whether linked, b's differences from a, and how many of
+    them, in whatever order is common to a's members, must hold one that a partner shares.
 
-    Shingles that the centre lacks come first, then those that only it has, each by hash.
+    A partner y of x has at most n(x) * (100 - percent) / percent shingles that x lacks or
+    has alone, so all but so many of x's differences are also those of y. The other bound
+    is that of ``_labels`` for the least possible d(y).
     A member that is alone with its centre has no partner and states no differences.
     """
-    t = (100 - percent) / (100 + percent)
+    t, most = (100 - percent) / (100 + percent), (100 - percent) / percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +128,7 @@ def _differences(percent: int):
                 sizes.append(len(m))
                 dist.append(d)
                 linked.append(ok)
-                prefix.append(d - max(1, int(np.ceil(least - 1e-9))) + 1)
+                prefix.append(d - max(1, int(np.ceil(max(least, d - most * len(m)) - 1e-9))) + 1)
                 diffs.append(np.concatenate([own, lacks]).view(np.int64) if alone is False else none)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in diffs])]).astype(np.int32)
             flat = np.concatenate(diffs) if diffs else none
@@ -131,8 +140,8 @@ def _differences(percent: int):
     return run
 
 
-def _with_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Add set_a and set_b to (a, b).
+def _with_sets(pairs: DataFrame, docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Add set_a and set_b to (a, b); also the tables to discard when that has been run.
 
     The sets of a meet the narrow pairs, then travel to b: a centre of very many pairs
     draws no set of its members into one task. Only documents of pairs are read again.
@@ -140,13 +149,16 @@ def _with_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     sets = cut(docs.join(small_or_shuffled(ids), "id", "left_semi").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]))
     left = pairs.join(sets.withColumnRenamed("set", "set_a"), pairs["a"] == sets["id"]).drop("id")
-    return left.join(sets.withColumnRenamed("set", "set_b"), left["b"] == sets["id"]).select(*pairs.columns, "set_a", "set_b")
+    return left.join(sets.withColumnRenamed("set", "set_b"), left["b"] == sets["id"]).select(*pairs.columns, "set_a", "set_b"), [ids, sets]
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose full shingle sets are similar enough."""
-    found = _with_sets(pairs, docs).mapInArrow(_meet, "a long, b long, both long, n_a long, n_b long")
-    return found.filter(F.col("both") * 100 >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    rows, used = _with_sets(pairs, docs)
+    found = rows.mapInArrow(_meet, "a long, b long, both long, n_a long, n_b long")
+    kept = cut(found.filter(F.col("both") * 100 >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
+    discard(*used)
+    return kept
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -156,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     100 * intersection >= percent * union; component_id is the smallest id reachable.
     Bands of 4 of 128 coordinates find a pair at 0.75 with probability 1 - 5e-6.
 
-    Null or wordless text: no shingles, linked with nothing. Fewer words than 5: the whole
+    Ids are whole numbers. Null or wordless text: no shingles, linked with nothing. Fewer words than 5: the whole
     sequence is the one shingle. Null id: its row is kept only if nothing has its id,
     component null unless an equal text has an id. Repeated rows agree in all columns.
     Empty table: empty result. Other columns are not used.
@@ -169,8 +181,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = reps.select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).repartition("key", "salt")
     shared = rows.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.collect_set("salt").alias("salts")).filter("c > 1").select("key", F.explode("salts").alias("salt"))
     members = cut(rows.join(shared, ["key", "salt"]).select("key", "rep", "n", "salt"))
-    links = _link(members, source, percent)
-    labels = components(links, "a", "b")
+    labels = _labels(members, source, percent)
+    discard(members)
     named = classes.filter("rep is not null").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "hi", "lo", F.coalesce("component", "rep").alias("component"), "copies").filter("copies > 1 or component != rep")
     named = named.select("n", "hi", "lo", "component")
     out = signed.select("id", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left")
@@ -178,38 +190,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _link(members: DataFrame, source: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join all components which pairs sharing a bucket join.
+def _labels(members: DataFrame, source: DataFrame, percent: int) -> DataFrame:
+    """(id, component) by all links that pairs sharing a bucket need to be joined.
 
     First the stars: each member with its bucket's smallest member. Then, around each
     centre, pairs in different components of which at least one member is not linked to
-    the centre. They share an element of both prefixes; where the first one they share is
-    the i-th and j-th of their differences, min(d(x) - i, d(y) - j) bounds the rest.
+    the centre. Differences are put in order of how many of the centre's members have
+    them. Those of one member alone come first and meet nothing; where the first one that
+    x and y share is the i-th and j-th, min(d(x) - i, d(y) - j) bounds all that they share.
+
+    Pairs meet by their shared differences in ROUNDS, first by few of them. Large groups
+    grow together early, so the later rounds meet only what is still apart.
     """
     centres = members.groupBy("key", "salt").agg(F.min("rep").alias("c")).groupBy("key").agg(F.min("c").alias("a"), F.collect_set("salt").alias("salts")).select("key", "a", F.explode("salts").alias("salt"))
     pairs = cut(members.join(centres, ["key", "salt"]).filter("rep != a").select("a", F.col("rep").alias("b")).distinct())
     alone = pairs.groupBy("a").agg((F.count(F.lit(1)) == 1).alias("alone"))
-    star = cut(_with_sets(pairs.join(alone, "a"), source).mapInArrow(_differences(percent), "a long, b long, n long, d long, linked boolean, prefix long, diffs array<long>"))
-    links = star.filter("linked").select("a", "b")
-    labels = components(links, "a", "b").withColumnRenamed("id", "b")
+    rows, used = _with_sets(pairs.join(alone, "a"), source)
+    star = cut(rows.mapInArrow(_differences(percent), "a long, b long, n long, d long, linked boolean, prefix long, diffs array<long>"))
+    discard(*used)
+    first = components(star.filter("linked"), "a", "b")
     # a centre whose members it has all joined needs no more
     open_ones = star.groupBy("a").agg(F.count_if(~F.col("linked")).alias("u"), F.count(F.lit(1)).alias("m")).filter("u > 0 and m > 1").select("a")
-    near = cut(star.join(open_ones, "a", "left_semi").join(labels, "b", "left").withColumn("component", F.coalesce("component", "b")))
-    # differences that many members of a centre have go last, so prefixes hold rare ones
-    usual = near.select("a", F.explode("diffs").alias("e")).groupBy("a", "e").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= USUAL).groupBy("a").agg(F.collect_list("e").alias("usual"))
-    near = near.join(usual, "a", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
-    near = near.withColumn("diffs", F.concat(F.array_except("diffs", "usual"), F.array_intersect("diffs", "usual")))
-    near = near.select("a", "b", "n", "d", "linked", "component", F.posexplode(F.slice("diffs", F.lit(1), F.col("prefix").cast("int"))).alias("i", "e")).repartition("a", "e")
-    x = near.filter(~F.col("linked")).select("a", "e", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "d", "i", "component")])
-    y = near.select("a", "e", "linked", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "d", "i", "component")])
-    common = F.least(F.col("x_d") - F.col("x_i"), F.col("y_d") - F.col("y_i"))
+    near = star.join(open_ones, "a", "left_semi")
+    each = near.select("a", "b", F.explode("diffs").alias("e"))
+    often = each.groupBy("a", "e").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    common = each.join(often, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("shared"))
+    placed = near.drop("diffs").join(common, ["a", "b"]).withColumn("first", F.col("d") - F.size("shared"))
+    placed = placed.withColumn("shared", F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("prefix") - F.col("first")).cast("int")))
+    probes = placed.select("a", "b", "n", "d", "linked", "first", F.posexplode("shared").alias("at", "s"))
+    probes = cut(probes.select("a", "b", "n", "d", "linked", (F.col("first") + F.col("at")).alias("i"), F.col("s.e").alias("e")))
+    discard(star)
+    single = probes.select(F.col("b").alias("id")).distinct().join(first, "id", "left_anti")
+    labels = cut(first.select("id", "component").union(single.select("id", F.col("id").alias("component"))))
+    discard(first)
+    checked = [pairs]
+    for low, high in ROUNDS:
+        found = _meet_apart(probes.filter(F.pmod(F.xxhash64(F.lit(13), "e"), F.lit(ROUNDS[-1][1])).between(low, high - 1)), labels, percent)
+        for known in checked:
+            found = found.join(known, ["a", "b"], "left_anti")
+        found = cut(found)
+        checked.append(found)
+        if found.isEmpty():
+            continue
+        # the new links join components: a graph of components alone
+        old = labels.withColumnRenamed("component", "was")
+        linked = confirm(found, source, percent)
+        links = linked.join(old.select(F.col("id").alias("a"), F.col("was").alias("u")), "a").join(old.select(F.col("id").alias("b"), F.col("was").alias("v")), "b")
+        joined = components(links.filter("u != v"), "u", "v")
+        grown = joined.select(F.col("id").alias("was"), "component")
+        grown_labels = cut(old.join(grown, "was", "left").select("id", F.coalesce("component", "was").alias("component")))
+        discard(linked, joined, labels)
+        labels = grown_labels
+    discard(probes, *checked)
+    return labels
+
+
+def _meet_apart(probes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b), smaller first, of pairs in different components that meet in a difference and may be linked."""
+    rows = probes.join(labels, probes["b"] == labels["id"]).drop("id").repartition("a", "e")
+    x = rows.filter(~F.col("linked")).select("a", "e", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "d", "i", "component")])
+    y = rows.select("a", "e", "linked", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "d", "i", "component")])
+    bound = F.least(F.col("x_d") - F.col("x_i"), F.col("y_d") - F.col("y_i"))
     ok = (
         (x["a"] == y["a"])
         & (x["e"] == y["e"])
         & (F.col("x_component") != F.col("y_component"))
         & (F.col("linked") | (F.col("x_b") < F.col("y_b")))
         & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
-        & (2 * (100 + percent) * common >= (100 + percent) * (F.col("x_d") + F.col("y_d")) - (100 - percent) * (F.col("x_n") + F.col("y_n")))
+        & (2 * (100 + percent) * bound >= (100 + percent) * (F.col("x_d") + F.col("y_d")) - (100 - percent) * (F.col("x_n") + F.col("y_n")))
     )
-    rest = cut(x.join(y, ok).select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-    return links if rest.isEmpty() else cut(links.union(confirm(rest, source, percent)))
+    return x.join(y, ok).select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
