@@ -3,7 +3,9 @@
 Plan: explode normalised lines of at least ``min_chars`` code points as
 (hash, row, position), shuffle them once by (hash, salt), count distinct documents
 per hash from that shuffle, join the counts back onto the same shuffle, and carry
-only the positions to be dropped back to the documents.
+only the positions to be dropped back to the documents. The counting side keeps each
+part's last row and position too: with fewer columns it would be a shuffle of its own,
+and every line would be split, normalised and hashed twice.
 """
 
 from __future__ import annotations
@@ -39,22 +41,23 @@ def dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: in
         "__cm_pos",
         F.xxhash64(F.lit(1), "__cm_key").alias("__cm_h1"),
         F.xxhash64(F.lit(2), "__cm_key").alias("__cm_h2"),
-        F.pmod(F.xxhash64(F.lit(4), "__cm_id"), F.lit(SALTS)).cast("int").alias("__cm_salt"),
+        F.xxhash64(F.lit(4), "__cm_id").bitwiseAND(SALTS - 1).cast("int").alias("__cm_salt"),  # never null: a null check would part the branches
     ).repartition("__cm_h1", "__cm_h2", "__cm_salt")
     by_salt = (
-        lines.select("__cm_h1", "__cm_h2", "__cm_salt", "__cm_id")
-        .distinct()
+        lines.groupBy("__cm_h1", "__cm_h2", "__cm_salt", "__cm_id")
+        .agg(F.max("__cm_row").alias("__cm_last_row"), F.max("__cm_pos").alias("__cm_last_pos"))
         .groupBy("__cm_h1", "__cm_h2", "__cm_salt")
-        .agg(F.count("__cm_id").alias("__cm_n"), F.max("__cm_id").alias("__cm_max"))
+        .agg(F.count("__cm_id").alias("__cm_n"), F.max("__cm_id").alias("__cm_max"), F.max("__cm_last_row").alias("__cm_last_row"), F.max("__cm_last_pos").alias("__cm_last_pos"))
     )
     frequent = (
         by_salt.groupBy("__cm_h1", "__cm_h2")
-        .agg(F.sum("__cm_n").alias("__cm_docs"), F.max("__cm_max").alias("__cm_keeper"), F.collect_set("__cm_salt").alias("__cm_salts"))
+        .agg(F.sum("__cm_n").alias("__cm_docs"), F.max("__cm_max").alias("__cm_keeper"), F.collect_list(F.struct("__cm_salt", "__cm_last_row", "__cm_last_pos")).alias("__cm_parts"))
         .filter(F.col("__cm_docs") >= min_docs)
-        .select("__cm_h1", "__cm_h2", "__cm_keeper", F.explode("__cm_salts").alias("__cm_salt"))
+        .select("__cm_h1", "__cm_h2", "__cm_keeper", F.inline("__cm_parts"))
     )
     return (
         lines.join(frequent, ["__cm_h1", "__cm_h2", "__cm_salt"])
+        .filter((F.col("__cm_row") <= F.col("__cm_last_row")) & (F.col("__cm_pos") <= F.col("__cm_last_pos")))  # all rows of the part
         .filter(~F.col("__cm_id").eqNullSafe(F.col("__cm_keeper")))
         .groupBy("__cm_id", "__cm_row")
         .agg(F.collect_set("__cm_pos").alias("__cm_drop"))
