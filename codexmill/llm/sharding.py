@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, discard
 
 SLICES = 4096
 #: Sums of a pass, over all nodes, that the driver may see; nodes split by such passes.
@@ -145,7 +145,7 @@ def kd_leaves(groups: DataFrame, dims: list[str], shards: int) -> DataFrame:
     fits a task, the rest of every subtree is split in a task of its own.
     """
     nodes = {0: (0, shards)}  # node: (first shard, shards)
-    groups = groups.withColumn("_node", F.lit(0).cast("long"))
+    groups, held = groups.withColumn("_node", F.lit(0).cast("long")), []
     while any(n > 1 for _, n in nodes.values()):
         aggs = [f(d).alias(f"{k}{i}") for i, d in enumerate(dims) for k, f in (("lo", F.min), ("hi", F.max))]
         stats = {r["_node"]: r for r in groups.groupBy("_node").agg(F.sum("_bytes").alias("total"), F.count(F.lit(1)).alias("rows"), *aggs).collect()}
@@ -163,6 +163,8 @@ def kd_leaves(groups: DataFrame, dims: list[str], shards: int) -> DataFrame:
         turns = F.broadcast(groups.sparkSession.createDataFrame(rows, "_node long, _dim int, _cut long"))
         right = F.coalesce(F.element_at(F.array(*dims), F.col("_dim") + 1) >= F.col("_cut"), F.lit(False))
         groups = cut(groups.join(turns, "_node").withColumn("_node", 2 * F.col("_node") + 1 + right.cast("long")).drop("_dim", "_cut"))
+        discard(*held)
+        held = [groups]
         nodes = grown
     leaves = groups.sparkSession.createDataFrame([(k, first) for k, (first, _) in nodes.items()], "_node long, shard int")
     return groups.join(F.broadcast(leaves), "_node").drop("_node")
@@ -191,6 +193,7 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     n = points.count()
     parts = max(1, -(-n // SLOT_ROWS))
     rows = cut(points.select("_id", "_size", "_crc", "_h1", "_h2").join(placed, ["_h1", "_h2"]).select("_id", "_size", "_crc", "shard"))
+    discard(points, codes)
     # rows are numbered in hashed parts, then shifted by the counts of the parts before
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit(9), "_id", "_crc"), F.lit(parts)).cast("int"))
     counts = rows.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_c"))
