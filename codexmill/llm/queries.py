@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, langid, line_dedup, minhash, quality, sentencepiece_scan, sharding, substring_dedup, warc
+from . import alignment, chat_format, decontaminate, langid, line_dedup, minhash, packing, quality, sentencepiece_scan, sharding, substring_dedup, warc, whitening
 from .common import shared_dir, table
 
 #: Conversation -1, which every run formats beside the table: texts full of control strings.
@@ -75,6 +75,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, heads)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pieces(table(spark, sf_dir, "documents"))
+    return packing.pack(rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures and base rule of op10_quality, which need no labels and which SQL can say."""
     out = quality.score(table(spark, sf_dir, "documents"), quality.NO_HEADS)
@@ -92,7 +108,24 @@ def shard_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(slots, "shard").join(kept, "doc_id").select("doc_id", "size", "law", F.col("shard").between(0, 7).alias("in_range"), good.alias("slots_good"), "together")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_warc, op4_minhash, op5_decontaminate, op6_substring_dedup, op7_langid, op8_chat_format, op9_kd_sharding, op10_quality, quality_base, shard_checks)}
+def whitening_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op12_whitening SQL can say: the exact integers, and that the covariance is the identity."""
+    rows = op12_whitening(spark, sf_dir)
+    good = (F.max("identity_error") <= 1e-4).alias("identity")
+    return rows.groupBy("vec_id", "n", "deviation").agg(F.count(F.lit(1)).alias("components"), good)
+
+
+def packing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of op13_best_fit_packing: filled from 0 on without gaps, at most 2048 tokens, each document's pieces whole."""
+    rows = op13_best_fit_packing(spark, sf_dir)
+    held = rows.groupBy("sequence_id").agg(F.sum("length").alias("held"), F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("all"), F.count(F.lit(1)).alias("pieces"))
+    ends = F.aggregate("all", F.lit(0).cast("long"), lambda at, p: F.when(p["offset"] == at, at + p["length"]).otherwise(F.lit(-1).cast("long")))
+    good = held.select("sequence_id", ((ends == F.col("held")) & (F.col("held") <= packing.SIZE)).alias("good"))
+    pieces = rows.join(good, "sequence_id").groupBy("doc_id").agg(F.bool_and("good").alias("gapless"), F.min("start").alias("starts_at"), (F.sum("length") == F.max(F.col("start") + F.col("length"))).alias("whole"))
+    return pieces
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_warc, op4_minhash, op5_decontaminate, op6_substring_dedup, op7_langid, op8_chat_format, op9_kd_sharding, op10_quality, op11_alignment, op12_whitening, op13_best_fit_packing, quality_base, shard_checks, whitening_checks, packing_checks)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -110,6 +143,13 @@ ORACLES = {
                coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(covered.n, 0) > 50 * len(ws) AS base_failed
         FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN covered ON covered.doc_id = w.doc_id""",
     "shard_checks": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'bytes' AS law, TRUE AS in_range, TRUE AS slots_good, TRUE AS together FROM documents",
+    "whitening_checks": """
+        WITH good AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS HUGEINT) + 100000) AS x FROM embeddings
+                      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        flat AS (SELECT vec_id, unnest(x) AS x, unnest(range(len(x))) AS i FROM good),
+        s AS (SELECT i, sum(x) AS s, count(*) AS n FROM flat GROUP BY i)
+        SELECT vec_id, n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation, CAST(8 AS BIGINT) AS components, TRUE AS identity FROM flat JOIN s USING (i) GROUP BY vec_id, n""",
+    "packing_checks": "SELECT doc_id, TRUE AS gapless, CAST(0 AS BIGINT) AS starts_at, TRUE AS whole FROM documents",
     "op2_line_dedup": f"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM split),
