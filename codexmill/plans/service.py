@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 from pathlib import Path
@@ -17,12 +18,15 @@ from ..operators import evaluation, inspection, retrieval
 from ..operators.structure import to_records
 from ..schemas import CHUNK, CONTEXT, DOCUMENT, RESULT
 from ..sources import files
-from ..sources.sinks import Store, convert_report, write_csv, write_docx, write_json, write_jsonl
+from ..functions.text import stem_of
+from ..sources.sinks import Store, convert_report, delete, write_csv, write_docx, write_json, write_jsonl
 from . import answer as answers
 from . import report
 
 #: Fixed wording.
 NO_FILES = "No .txt or .jsonl files found"
+#: Skipped lines that a run's summary shows; all are in the store's table.
+ISSUES_SHOWN = 20
 EMPTY_NOTE = "No documents are loaded; ingest some first"
 
 
@@ -44,35 +48,47 @@ def ingest(spark: SparkSession, folder: str, store: Store, settings: Settings =
 
     Files without chunks are skipped and keep their old version, and so do files that
     are gone from the folder. Ids are hashes of names and positions, so they stay the same.
-    Lexemes are made here, once, and kept; ``stops`` must be those of later searches.
+    Lexemes are made here, once, and kept; ``stops`` must be those of later searches. Files are
+    parsed once, into a table of the run that everything else is made from; the version that shows
+    changes in one step at the end. What was skipped is a table of the store (``Store.issues``);
+    ``issues`` has its first ISSUES_SHOWN rows.
     """
     store.init()
-    found = files.read_folder(spark, folder, settings.chunk_size, min(settings.chunk_overlap, settings.chunk_size - 1)).checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else files.read_folder(spark, folder, settings.chunk_size, min(settings.chunk_overlap, settings.chunk_size - 1))
-    rows = found.select("filename", "path", F.size("items").alias("n"), "issues", F.lower("filename").alias("k")).orderBy("k", "filename").collect()  # one short row a file
-    if not rows:
-        return {"files_found": 0, "documents_created": 0, "chunks_created": 0, "processed": [], "skipped": [], "issues": [], "message": NO_FILES}
+    run = uuid.uuid4().hex
+    staged = f"{store.path}/_staging-{run}"
     at = F.lit(clock()).cast("timestamp_ntz")
-    good = found.filter(F.size("items") > 0)
-    ident = F.xxhash64("filename")
-    documents = good.select(ident.alias("document_id"), "filename", "title", F.col("path").alias("source_path"), at.alias("created_at"), at.alias("updated_at"))
-    chunks = good.select("filename", "title", ident.alias("document_id"), F.posexplode("items").alias("chunk_index", "i"))
-    stops = stop_words(spark) if stops is None else stops
-    chunks = chunks.select(
-        F.xxhash64("filename", "chunk_index").alias("chunk_id"),
-        "document_id",
-        "chunk_index",
-        *[F.col(f"i.{c}").alias(c) for c in ("content", "article_number", "article_title", *CONTEXT, "source_format", "source_filename", "referenced_articles")],
-        embed_column(F.col("i.content"), model).alias("embedding"),
-        at.alias("created_at"),
-        "filename",
-        _lexemes(F.col("title"), "i.", stops).alias("lexemes"),
-    )
     try:
-        store.replace(documents.select(*DOCUMENT.fieldNames()), chunks.select(*CHUNK.fieldNames()))
+        files.read_folder(spark, folder, settings.chunk_size, min(settings.chunk_overlap, settings.chunk_size - 1)).write.parquet(staged)
+        rows = spark.read.schema(files.PARSED).parquet(staged)
+        names = files.list_names(spark, folder, (".txt", ".jsonl"))
+        per = rows.groupBy("filename").agg(F.count("item").alias("n"), F.count("said").alias("issues"), F.min_by("title", F.when(F.col("title").isNotNull(), F.struct("part", "n"))).alias("title"))
+        listed = names.join(per, "filename", "left").select("filename", "path", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("issues", F.lit(0)).alias("issues"), F.coalesce("title", stem_of(F.col("filename"))).alias("title"))
+        found = listed.select("filename", "n", "issues", F.lower("filename").alias("k")).orderBy("k", "filename").collect()  # one short row a file
+        if not found:
+            return {"files_found": 0, "documents_created": 0, "chunks_created": 0, "processed": [], "skipped": [], "issues": [], "issues_count": 0, "message": NO_FILES}
+        said = rows.filter("said is not null")
+        shown = [r["said"] for r in said.orderBy(F.lower("filename"), "filename", "part", "n").limit(ISSUES_SHOWN).collect()]
+        ident = F.xxhash64("filename")
+        documents = listed.filter("n > 0").select(ident.alias("document_id"), "filename", "title", F.col("path").alias("source_path"), at.alias("created_at"), at.alias("updated_at"))
+        chunks = files.indexed(rows).withColumn("document_id", ident).join(listed.select("filename", F.col("title").alias("_title")), "filename")
+        stops = stop_words(spark) if stops is None else stops
+        chunks = chunks.select(
+            F.xxhash64("filename", "chunk_index").alias("chunk_id"),
+            "document_id",
+            "chunk_index",
+            *[F.col(f"item.{c}").alias(c) for c in ("content", "article_number", "article_title", *CONTEXT, "source_format", "source_filename", "referenced_articles")],
+            embed_column(F.col("item.content"), model).alias("embedding"),
+            at.alias("created_at"),
+            "filename",
+            _lexemes(F.col("_title"), "item.", stops).alias("lexemes"),
+        )
+        store.replace(documents.select(*DOCUMENT.fieldNames()), chunks.select(*CHUNK.fieldNames()), said.select("filename", "said"), run=run)
     except Exception as e:
         raise RuntimeError(f"ingest failed: {e}") from e
-    done = [r for r in rows if r["n"]]
-    return {"files_found": len(rows), "documents_created": len(done), "chunks_created": sum(r["n"] for r in done), "processed": [r["filename"] for r in done], "skipped": [r["filename"] for r in rows if not r["n"]], "issues": [x for r in rows for x in r["issues"]], "message": "ok"}
+    finally:
+        delete(spark, staged)
+    done = [r for r in found if r["n"]]
+    return {"files_found": len(found), "documents_created": len(done), "chunks_created": sum(r["n"] for r in done), "processed": [r["filename"] for r in done], "skipped": [r["filename"] for r in found if not r["n"]], "issues": shown, "issues_count": sum(r["issues"] for r in found), "message": "; ".join(shown) or "ok"}
 
 
 def list_documents(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -178,8 +194,8 @@ def write_reports(spark: SparkSession, table: DataFrame, cases: DataFrame, out:
 
 def inspect(spark: SparkSession, folder: str, out: str, size: int = 1200, n_overlap: int = 200) -> DataFrame:
     """A CSV of chunks for each TXT file of a folder; returns the statistics per file."""
-    items = files.read_texts(spark, folder, size, n_overlap).select("filename", F.posexplode("items").alias("chunk_index", "i"))
-    chunks = items.select("filename", "chunk_index", "i.content", "i.article_number", "i.article_title").cache()
+    items = files.indexed(files.read_texts(spark, folder, size, n_overlap))
+    chunks = items.select("filename", "chunk_index", "item.content", "item.article_number", "item.article_title").cache()
     for r in chunks.select("filename").distinct().orderBy("filename").toLocalIterator():
         write_csv(inspection.chunk_rows(chunks.filter(F.col("filename") == r["filename"])).orderBy("chunk_index"), f"{out}/{Path(r['filename']).stem}_chunks.csv")
     return inspection.chunk_stats(chunks, ["filename"])

@@ -6,6 +6,7 @@ Row order is never relied on: lines carry their number.
 
 from __future__ import annotations
 
+import functools
 import io
 import re
 import zipfile
@@ -20,8 +21,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.references import referenced_articles
-from ..functions.text import normalize_docx_line, normalize_html_line, optional, stem_of, strip
-from ..operators.chunking import split_legal
+from ..functions.text import normalize_docx_line, normalize_html_line, normalize_text, optional, stem_of, strip
+from ..operators.chunking import ARTICLE_LINE, split_legal
 from ..schemas import CASE
 
 ITEM = "struct<content:string,article_number:string,article_title:string,section_title:string,subsection_title:string,chapter_title:string,paragraph_title:string,source_format:string,source_filename:string,referenced_articles:array<string>>"
@@ -59,19 +60,94 @@ def decode_text(content: Column, fallback: bool = False) -> Column:
     return F.coalesce(utf8, _cp1251(content)) if fallback else utf8
 
 
+#: Splits of text files whose line counts are sent to all tasks; with more they are joined.
+SPLITS = 100_000
+
+
+def _glob(suffix: str) -> str:
+    """A file pattern for a suffix in any letter case."""
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+
+
+def _loaded(spark: SparkSession, kind: str, folder: str, suffix: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.format(kind).option("pathGlobFilter", _glob(suffix)).load(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
+    return rows.withColumn("filename", name)
+
+
+def list_names(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """(path, filename) of the files with these suffixes; no content is read."""
+    found = [_loaded(spark, "binaryFile", folder, s, "path string").select("path") for s in suffixes]
+    return _named(functools.reduce(DataFrame.unionByName, found)).select("path", "filename")
+
+
+def read_lines(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """(path, filename, part, n, line) of all text files with a suffix, lines numbered from 1 in each file.
+
+    Files are split among tasks as Spark splits any text, whatever their size. A first pass counts
+    the lines of each split; the counts of a file's earlier splits and a line's place in its own
+    give its number. ``part`` is where the split starts. A file without lines has no rows, and a
+    folder that is missing no files. Bytes that are no UTF-8 give null lines.
+    """
+    try:
+        text = spark.read.option("pathGlobFilter", _glob(suffix)).text(folder)
+        raw = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("_id"), "value")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw = spark.createDataFrame([], "path string, part long, _id long, value string")
+    splits = raw.groupBy("path", "part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    earlier = F.sum("_lines").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("_before", F.coalesce(earlier, F.lit(0)))
+    few = splits.limit(SPLITS + 1).collect()
+    splits = F.broadcast(spark.createDataFrame(few, splits.schema)) if len(few) <= SPLITS else splits
+    at = F.col("_id") - F.col("_first")
+    n = F.when(at.between(0, F.col("_lines") - 1), F.col("_before") + at + 1).otherwise(F.raise_error(F.lit("the splits of a file have changed while it was read")).cast("long"))
+    line = F.when(F.is_valid_utf8("value"), F.col("value"))
+    return _named(raw.join(splits, ["path", "part"]).select("path", "part", n.alias("n"), line.alias("line"))).select("path", "filename", "part", "n", "line")
+
+
+def text_blocks(lines: DataFrame) -> DataFrame:
+    """(path, filename, part, text) of TXT lines: the text up to a file's first article, then each article.
+
+    Blocks are numbered by headings up to a line: counted within a split, and summed over a
+    file's earlier splits. A block is one value; lines of a long file meet only within it.
+    """
+    inner = F.posexplode(F.split(normalize_text(F.coalesce("line", F.lit(""))), "\n")).alias("_k", "line")
+    rows = lines.select("path", "filename", "part", "n", inner).withColumn("_head", F.col("line").rlike(ARTICLE_LINE).cast("long"))
+    heads = rows.groupBy("path", "part").agg(F.sum("_head").alias("_heads"))
+    before = F.sum("_heads").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("_head").over(Window.partitionBy("path", "part").orderBy("n", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    base = heads.select("path", "part", F.coalesce(before, F.lit(0)).alias("_base"))
+    numbered = rows.withColumn("_within", within).join(base, ["path", "part"]).withColumn("block", F.col("_base") + F.col("_within"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("n", "_k", "line"))), lambda s: s["line"])
+    return numbered.groupBy("path", "filename", F.col("block").alias("part")).agg(F.array_join(told, "\n").alias("text"))
+
+
+PARSED = f"path string, filename string, part long, n long, item {ITEM}, said string, title string"
+
+
 def read_texts(spark: SparkSession, folder: str, size: int = 1200, n_overlap: int = 200) -> DataFrame:
-    """(filename, title, items, issues) of *.txt: whole files through the legal splitter."""
-    files = list_files(spark, folder, (".txt",)).withColumn("text", decode_text(F.col("content")))
-    items = F.transform(
-        split_legal(F.col("text"), size, n_overlap),
-        lambda c: F.struct(c["content"].alias("content"), c["article_number"].alias("article_number"), c["article_title"].alias("article_title"), *[F.lit(None).cast("string").alias(n) for n in ("section_title", "subsection_title", "chapter_title", "paragraph_title", "source_format", "source_filename")], referenced_articles(c["content"], c["article_number"]).alias("referenced_articles")),
-    )
-    return files.select("filename", "path", stem_of(F.col("filename")).alias("title"), items.cast(f"array<{ITEM}>").alias("items"), F.array().cast("array<string>").alias("issues"))
+    """The chunks of *.txt by the legal splitter, a row each (see ``PARSED``); an article is split in one task."""
+    null = [F.lit(None).cast("string").alias(n) for n in ("section_title", "subsection_title", "chapter_title", "paragraph_title", "source_format", "source_filename")]
+    chunks = text_blocks(read_lines(spark, folder, ".txt")).select("path", "filename", "part", F.posexplode(split_legal(F.col("text"), size, n_overlap)).alias("n", "c"))
+    item = F.struct("c.content", "c.article_number", "c.article_title", *null, referenced_articles(F.col("c.content"), F.col("c.article_number")).alias("referenced_articles"))
+    return chunks.select("path", "filename", "part", F.col("n").cast("long").alias("n"), item.cast(ITEM).alias("item"), F.lit(None).cast("string").alias("said"), stem_of(F.col("filename")).alias("title"))
 
 
-def parse_jsonl(lines: DataFrame, file: str = "filename", number: str = "n", line: str = "line") -> DataFrame:
+def parse_jsonl(lines: DataFrame, file: str = "filename", number: str = "n", line: str = "line", also: tuple[str, ...] = ()) -> DataFrame:
     """Classify and project JSONL lines: adds class (ok, blank, invalid, not_object, empty_text) and item.
 
+    A null line is invalid. Columns named in ``also`` pass through.
+
     Values that are no strings are taken as their text, true as ``True``; null and blank
     count as missing. Objects and lists keep their JSON text.
     """
@@ -82,7 +158,7 @@ def parse_jsonl(lines: DataFrame, file: str = "filename", number: str = "n", lin
         flag = F.schema_of_variant(F.try_variant_get("_v", f"$.{name}", "variant")) == "BOOLEAN"
         return optional(F.when(flag, F.initcap(said)).otherwise(said))
 
-    rows = lines.select(file, F.col(number).alias("n"), strip(F.col(line)).alias("_raw")).withColumn("_v", doc)
+    rows = lines.select(file, *also, F.col(number).alias("n"), strip(F.col(line)).alias("_raw")).withColumn("_v", doc)
     rows = rows.withColumn("_kind", F.schema_of_variant("_v"))
     refs = F.from_json(F.get_json_object("_raw", "$.referenced_articles"), "array<string>")
     given = F.startswith(F.coalesce(F.get_json_object("_raw", "$.referenced_articles"), F.lit("")), F.lit("["))
@@ -94,13 +170,13 @@ def parse_jsonl(lines: DataFrame, file: str = "filename", number: str = "n", lin
         F.coalesce(cleaned, F.array().cast("array<string>")).alias("referenced_articles"),
     )
     kind = (
-        F.when(F.coalesce("_raw", F.lit("")) == "", "blank")
+        F.when(F.col("_raw") == "", "blank")
         .when(F.col("_v").isNull(), "invalid")
         .when(~F.startswith("_kind", F.lit("OBJECT")), "not_object")
         .when(text("text").isNull(), "empty_text")
         .otherwise("ok")
     )
-    return rows.select(file, "n", kind.alias("class"), F.when(F.startswith("_kind", F.lit("OBJECT")), text("document_title")).alias("document_title"), F.when(kind == "ok", item).alias("item"))
+    return rows.select(file, *also, "n", kind.alias("class"), F.when(F.startswith("_kind", F.lit("OBJECT")), text("document_title")).alias("document_title"), F.when(kind == "ok", item).alias("item"))
 
 
 #: Fixed wording of the issues, by class.
@@ -108,29 +184,37 @@ ISSUES = {"invalid": "invalid JSON", "not_object": "JSON value is not an object"
 
 
 def read_jsonl(spark: SparkSession, folder: str) -> DataFrame:
-    """(filename, title, items, issues) of *.jsonl; bad lines become issues, good ones stay."""
-    files = list_files(spark, folder, (".jsonl",)).withColumn("text", decode_text(F.col("content")))
-    lines = files.select("filename", "path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r\n|\r|\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
-    parsed = parse_jsonl(lines)
+    """The lines of *.jsonl that are not blank, a row each (see ``PARSED``): an item, or what is said of a bad line.
+
+    ``title`` is a line's own, also of lines without text; ``n`` its number.
+    """
+    lines = read_lines(spark, folder, ".jsonl")
+    parsed = parse_jsonl(lines, also=("path", "part"))
     said = None
     for name, words in ISSUES.items():
         text = F.concat("filename", F.lit(": line "), F.col("n").cast("string"), F.lit(f" skipped, {words}"))
         said = F.when(F.col("class") == name, text) if said is None else said.when(F.col("class") == name, text)
-    parsed = parsed.withColumn("said", said)
-    ordered = lambda c, cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("n", F.col(c).alias("v"))))), lambda s: s["v"])
-    out = parsed.groupBy("filename").agg(
-        ordered("item", F.col("class") == "ok").alias("items"),
-        ordered("said", F.col("said").isNotNull()).alias("issues"),
-        F.min_by("document_title", F.when(F.col("document_title").isNotNull(), F.col("n"))).alias("title"),
-    )
-    return files.select("filename", "path").join(out, "filename").select("filename", "path", F.coalesce("title", stem_of(F.col("filename"))).alias("title"), F.col("items").cast(f"array<{ITEM}>").alias("items"), "issues")
+    return parsed.filter("class <> 'blank'").select("path", "filename", "part", "n", F.col("item").cast(ITEM).alias("item"), said.alias("said"), F.col("document_title").alias("title"))
 
 
 def read_folder(spark: SparkSession, folder: str, size: int = 1200, n_overlap: int = 200) -> DataFrame:
-    """All TXT and JSONL files of a folder, one row a file."""
+    """The rows of all TXT and JSONL files of a folder (see ``PARSED``)."""
     return read_texts(spark, folder, size, n_overlap).unionByName(read_jsonl(spark, folder))
 
 
+def indexed(rows: DataFrame) -> DataFrame:
+    """The rows with an item, with ``chunk_index`` from 0 in each file by (part, n).
+
+    Only a file's parts are counted along it; chunks are numbered within their part.
+    """
+    items = rows.filter(F.col("item").isNotNull())
+    counts = items.groupBy("filename", "part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("filename").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select("filename", "part", F.coalesce(earlier, F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("filename", "part").orderBy("n"))
+    return items.withColumn("_within", within).join(base, ["filename", "part"]).withColumn("chunk_index", (F.col("_base") + F.col("_within") - 1).cast("int")).drop("_within", "_base")
+
+
 # HTML
 
 

@@ -1,81 +1,14 @@
-"""Sinks: replace-by-filename store, JSONL, CSV, JSON and Markdown reports."""
+"""Sinks: JSONL, CSV, JSON and DOCX reports; the store is in store.py."""
 
 from __future__ import annotations
 
 import json
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
-
-from ..schemas import CHUNK, DOCUMENT
-
-#: Chunk files of a store are dealt by filename into so many folders, not one a document.
-BUCKETS = 64
-_DOCUMENT, _CHUNK = (StructType([*s.fields, StructField("run", StringType())]) for s in (DOCUMENT, CHUNK))
-
-
-class Store:
-    """Documents and chunks as Parquet below one path, chunks in hashed filename buckets.
-
-    A run replaces whole files: buckets with a replaced file are read, merged and
-    overwritten dynamically; all others stay untouched. Each run has an id, kept with its
-    documents and chunks, and a chunk is visible only through a document row of its own
-    run. Documents are written last, so a run stopped before that shows none of its chunks;
-    the files it was to replace are without chunks until a run for them ends.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-
-    def _read(self, name: str, schema) -> DataFrame:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def init(self) -> None:
-        """Make empty tables where there are none; safe to repeat."""
-        for name, schema in (("documents", _DOCUMENT), ("chunks", _CHUNK)):
-            if self._read(name, schema).isEmpty():
-                self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/{name}")
-
-    def documents(self) -> DataFrame:
-        return self._read("documents", _DOCUMENT).drop("run")
-
-    def chunks(self) -> DataFrame:
-        """Chunks of the documents' own runs."""
-        held = self._read("documents", _DOCUMENT).select(F.col("document_id").alias("_id"), F.col("run").alias("_run"))
-        rows = self._read("chunks", _CHUNK)
-        return rows.join(held, (F.col("document_id") == F.col("_id")) & F.col("run").eqNullSafe(F.col("_run")), "left_semi").select(*CHUNK.fieldNames())
-
-    def replace(self, documents: DataFrame, chunks: DataFrame) -> None:
-        """Put these files in place of earlier versions; files not named stay as they are."""
-        run = uuid.uuid4().hex
-        full = StructType([*_CHUNK.fields, StructField("bucket", LongType())])
-        bucket = F.pmod(F.xxhash64("filename"), F.lit(self.buckets))
-        names = documents.select("filename")
-        old_docs = self._read("documents", _DOCUMENT).join(names, "filename", "left_anti").select(*_DOCUMENT.fieldNames())
-        all_docs = old_docs.unionByName(documents.select(*DOCUMENT.fieldNames(), F.lit(run).alias("run")))
-        touched = names.select(bucket.alias("bucket")).distinct()
-        old = self._read("chunks", full).join(touched, "bucket", "left_semi").join(names, "filename", "left_anti").select(*_CHUNK.fieldNames())
-        merged = old.unionByName(chunks.select(*CHUNK.fieldNames(), F.lit(run).alias("run"))).withColumn("bucket", bucket)
-        staging = f"{self.path}/_staging-{run}"
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{staging}/chunks")
-        all_docs.write.mode("overwrite").parquet(f"{staging}/documents")
-        done = self.spark.read.schema(full).parquet(f"{staging}/chunks")
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/chunks")
-        self._documents_last(f"{staging}/documents")
-        delete(self.spark, staging)
-
-    def _documents_last(self, staged: str) -> None:
-        self.spark.read.schema(_DOCUMENT).parquet(staged).write.mode("overwrite").parquet(f"{self.path}/documents")
+
+from .store import Store as Store
 
 
 def delete(spark: SparkSession, path: str) -> None:

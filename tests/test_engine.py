@@ -207,24 +207,6 @@ def test_ingest_search_answer(spark, folder, tmp_path):
     assert "lexemes" in store.chunks().columns and not list((tmp_path / "store").glob("_staging*"))
 
 
-def test_store_shows_no_chunk_of_a_run_that_stopped(spark, tmp_path, monkeypatch):
-    store = Store(spark, str(tmp_path / "s"), 2)
-    store.init()
-    null = lambda schema, **made: [F.lit(made[f.name]).alias(f.name) if f.name in made else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-    docs = lambda *ids: spark.createDataFrame([(i,) for i in ids], "i long").select(*[F.col("i").alias("document_id") if f.name == "document_id" else F.col("i").cast("string").alias("filename") if f.name == "filename" else F.lit(None).cast(f.dataType).alias(f.name) for f in DOCUMENT.fields])
-    chunk = lambda i, said: spark.range(1).select(*null(CHUNK, chunk_id=i, document_id=i, chunk_index=0, content=said, filename=str(i)))
-    store.replace(docs(1, 2), chunk(1, "old").union(chunk(2, "stays")))
-    # the run's chunks are written, its documents are not
-    monkeypatch.setattr(sinks.Store, "_documents_last", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
-    with pytest.raises(RuntimeError):
-        store.replace(docs(1), chunk(1, "new"))
-    monkeypatch.undo()
-    assert {r["content"] for r in store.chunks().collect()} == {"stays"}
-    assert {r["filename"] for r in store.documents().collect()} == {"1", "2"}
-    store.replace(docs(1), chunk(1, "new"))
-    assert {r["content"] for r in store.chunks().collect()} == {"stays", "new"}
-
-
 def test_json_scalars_read_as_their_text(spark):
     lines = [('{"text": true, "article_number": 80}',), ('{"text": "x", "article_number": 1.5, "section_title": false, "chapter_title": null, "article_title": " y "}',)]
     got = [r["item"] for r in files.parse_jsonl(spark.createDataFrame([("f", i, x) for i, (x,) in enumerate(lines)], "filename string, n long, line string")).orderBy("n").collect()]
