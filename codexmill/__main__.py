@@ -39,9 +39,9 @@ def main(args: list[str] | None = None) -> int:
     settings, spark = load_settings(), SparkSession.builder.getOrCreate()
     show = lambda x: print(json.dumps(x, ensure_ascii=False, default=str))
     if a.command.startswith("convert"):
-        rows = service.convert(spark, a.folder, a.out, a.command.removeprefix("convert-")).orderBy("source_filename").collect()
+        rows = service.convert(spark, a.folder, a.out, a.command.removeprefix("convert-")).collect()
         show([r.asDict() for r in rows])
-        return int(any(r["status"] != "ok" for r in rows) or not rows)
+        return int(any(r["status"] == "failed" for r in rows) or not rows)
     if a.command == "inspect":
         show([r.asDict() for r in service.inspect(spark, a.folder, a.out, settings.chunk_size, settings.chunk_overlap).collect()])
         return 0
@@ -51,9 +51,9 @@ def main(args: list[str] | None = None) -> int:
         return 0
     table = service.corpus(store.documents(), store.chunks(), service.stop_words(spark))
     if a.command == "search":
-        show(service.search_one(spark, table, a.query, a.top_k, a.mode, settings=settings))
+        show(service.search_one(spark, table, a.query, a.top_k, a.mode, settings=settings, held=store.postings()))
     else:
-        show(service.write_reports(spark, table, read_cases(spark, a.cases), a.out, a.top_k, a.mode, settings))
+        show(service.write_reports(spark, table, read_cases(spark, a.cases), a.out, a.top_k, a.mode, settings, held=store.postings()))
     return 0
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .config import scratch_dir
 from .functions import fulltext, references, text
-from .operators import chunking, evaluation, history, retrieval, structure
+from .operators import chunking, evaluation, history, postings, retrieval, structure
 from .plans import service
 from .queries import SIZE, _table, _tagged
 from .schemas import CHUNK, DOCUMENT, SOURCE
@@ -29,33 +29,33 @@ def _str(c: str) -> Column:
 # hybrid search with keywords
 
 
-def _keyword_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors with their documents' lexemes (unstemmed), and every hundredth as a query for
+def _keyword_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors, the postings of their documents (unstemmed), and every hundredth as a query for
     the first and the fifth word of its document."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
     rows = _tagged(spark, sf_dir).join(docs, "chunk_id")
-    rows = rows.withColumn("lexemes", fulltext.lexeme_column([(F.col("source"), fulltext.WEIGHT_A), (F.col("text"), fulltext.WEIGHT_D)], stemmed=False))
-    path = _scratch(spark, "lexemes")  # kept with the rows, as ingest does, and not made anew for every use
-    rows.write.parquet(path)
-    rows = spark.read.parquet(path)
+    lexemes = fulltext.lexeme_column([(F.col("source"), fulltext.WEIGHT_A), (F.col("text"), fulltext.WEIGHT_D)], stemmed=False)
+    path = _scratch(spark, "postings")  # kept, as ingest does, and not made anew for every use
+    postings.dealt(postings.index(rows.select("chunk_id", lexemes.alias("lexemes")))).write.partitionBy("bucket").parquet(path)
+    held = spark.read.parquet(path)
     queries = rows.filter(F.col("chunk_id") % 100 == 0)
     words = F.regexp_extract_all(F.lower("text"), F.lit(fulltext.WORD), F.lit(0))
     terms = F.array_distinct(F.filter(F.array(F.get(words, F.lit(0)), F.get(words, F.lit(4))), lambda w: w.isNotNull()))
     queries = queries.select(F.col("chunk_id").alias("query_id"), "embedding", terms.alias("terms"), "article_number", F.substring_index("names", " ", -1).alias("law_hint"))
-    return rows.select("chunk_id", "embedding", "lexemes", "article_number", "names"), queries
+    return rows.select("chunk_id", "embedding", "article_number", "names"), held, queries
 
 
 def hybrid_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best ten of all three sets of candidates, keyword scores included."""
-    rows, queries = _keyword_corpus(spark, sf_dir)
-    out = retrieval.hybrid(rows, queries, 10, aliases={x: (x,) for x in ("de", "en", "es", "fr")})
+    rows, held, queries = _keyword_corpus(spark, sf_dir)
+    out = retrieval.hybrid(rows, queries, 10, aliases={x: (x,) for x in ("de", "en", "es", "fr")}, held=held)
     return out.select("query_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("semantic_score", "keyword_score", "article_boost", "document_boost", "hybrid_score")], F.col("rank").cast("long").alias("rank"))
 
 
 def keyword_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third set by itself: rows with all of a query's words, best 50 by cover density."""
-    rows, queries = _keyword_corpus(spark, sf_dir)
-    found = retrieval.keyword_candidates(rows, queries, retrieval.candidate_limit(5))
+    _, held, queries = _keyword_corpus(spark, sf_dir)
+    found = retrieval.keyword_candidates(held, queries, retrieval.candidate_limit(5))
     return found.select("query_id", "chunk_id", F.round("keyword_score", 6).alias("keyword_score"))
 
 

@@ -1,4 +1,4 @@
-"""Full-text search: weighted lexemes, conjunctive matching, cover-density ranking.
+"""Full-text search: weighted lexemes. Matching and ranking are in operators.postings.
 
 Lexemes are lower-case runs of letters and digits, stemmed with the published Snowball
 rules for Russian, stop words left out but counted in positions. The rank follows
@@ -9,11 +9,13 @@ the harmonic mean of its weights over its length, and r / (r + 1) scales the sum
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEXEMES = "array<struct<lexeme:string,pos:int,weight:double>>"
 WORD = r"[\p{L}\p{N}]+"
@@ -78,71 +80,35 @@ def stop_words(spark: SparkSession, language: str = "russian") -> frozenset[str]
     return frozenset(StopWordsRemover.loadDefaultStopWords(language))
 
 
-_SPLIT = re.compile(r"[^\W_]+")
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_words(words: pa.Array) -> pa.Array:
+    """Stems of arrays of words; each distinct word of a batch is stemmed once."""
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    coded = words.flatten().dictionary_encode()
+    stems = pa.array([None if w is None else stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+    ends = np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), stems.take(coded.indices))
+    return pc.if_else(words.is_valid(), lists, pa.scalar(None, lists.type)) if words.null_count else lists
 
 
-def lexemes(parts: list[tuple[str | None, float]], stops: frozenset[str], stemmed: bool = True) -> list[tuple[str, int, float]]:
-    out, pos = [], 0
-    for text, weight in parts:
-        for w in _SPLIT.findall((text or "").lower()):
-            pos += 1
-            if w not in stops:
-                out.append((stem(w) if stemmed else w, pos, weight))
-    return out
+def lexeme_column(parts: list[tuple[Column, float]], stops: frozenset[str] = frozenset(), stemmed: bool = True) -> Column:
+    """The lexemes of a row's texts with positions and weights, to be kept with the row.
 
+    Texts are split and placed by array functions; a null text has no words, and stop words none but their place.
+    """
+    words = [F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0)) for c, _ in parts]
+    said = F.concat(*[F.transform(w, lambda x: F.struct(x.alias("word"), F.lit(float(weight)).alias("weight"))) for w, (_, weight) in zip(words, parts, strict=True)])
+    plain = F.concat(*words)
+    names = stem_words(plain) if stemmed else plain
+    placed = F.zip_with(F.transform(said, lambda e, i: F.struct(e["word"].alias("word"), (i + 1).alias("pos"), e["weight"].alias("weight"))), names, lambda e, n: F.struct(e["word"].alias("word"), n.alias("lexeme"), e["pos"].alias("pos"), e["weight"].alias("weight")))
+    kept = F.filter(placed, lambda e: ~e["word"].isin(*sorted(stops))) if stops else placed
+    return F.transform(kept, lambda e: F.struct(e["lexeme"].alias("lexeme"), e["pos"].alias("pos"), e["weight"].alias("weight"))).cast(LEXEMES)
 
-def lexeme_column(parts: list[tuple[Column, float]], stops: frozenset[str] = frozenset(), stemmed: bool = True) -> Column:
-    """The lexemes of a row's texts with positions and weights, to be kept with the row."""
-    weights = [w for _, w in parts]
-
-    @F.pandas_udf(LEXEMES)
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in batches:
-            yield pd.Series([[{"lexeme": a, "pos": p, "weight": w} for a, p, w in lexemes(list(zip(row, weights, strict=True)), stops, stemmed)] for row in zip(*columns, strict=True)])
-
-    return run(*[c for c, _ in parts])
-
-
-def matches_all(query: Column, names: Column) -> Column:
-    """Every lexeme of a non-empty query is among the row's lexemes."""
-    return (F.size(query) > 0) & (F.size(F.array_except(query, names)) == 0)
-
-
-def cover_density(entries: list[tuple[str, int, float]], query: set[str]) -> float:
-    """Rank in [0, 1) of one document's (lexeme, pos, weight) for a set of lexemes."""
-    hits = sorted((p, a, w) for a, p, w in entries if a in query)
-    if not query or {a for _, a, _ in hits} != query:
-        return 0.0
-    total, left, have = 0.0, 0, dict.fromkeys(query, 0)
-    missing, last_left = len(query), -1
-    for right, (p, a, _) in enumerate(hits):
-        missing -= have[a] == 0
-        have[a] += 1
-        if missing:
-            continue
-        while have[hits[left][1]] > 1:
-            have[hits[left][1]] -= 1
-            left += 1
-        if left != last_left:  # a new shortest cover
-            inside = hits[left : right + 1]
-            noise = (p - hits[left][0]) - (len(inside) - 1)
-            total += len(inside) / sum(1 / w for _, _, w in inside) / (1 + max(0, noise))
-            last_left = left
-        have[hits[left][1]] -= 1
-        missing += have[hits[left][1]] == 0
-        left += 1
-    return total / (total + 1)
-
-
-def rank_column(entries: Column, query: Column) -> Column:
-    """Cover-density rank of a row's lexemes for a row's array of query lexemes."""
-
-    @F.pandas_udf("double")
-    def run(rows: pd.Series, queries: pd.Series) -> pd.Series:
-        return pd.Series([cover_density([(e["lexeme"], e["pos"], e["weight"]) for e in (row if row is not None else ())], set(q if q is not None else ())) for row, q in zip(rows, queries, strict=True)], dtype=float)
-
-    return run(entries, query)
+
+_SPLIT = re.compile(r"[^\W_]+")
 
 
 def query_lexemes(text: str, stops: frozenset[str], stemmed: bool = True) -> list[str]:
-    return sorted({a for a, _, _ in lexemes([(text, 1.0)], stops, stemmed)})
+    words = set(_SPLIT.findall(text.lower())) - stops
+    return sorted({stem(w) for w in words} if stemmed else words)

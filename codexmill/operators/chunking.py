@@ -1,15 +1,19 @@
-"""Splitting text into size-bounded chunks with native folds.
+"""Splitting text into size-bounded chunks.
 
-Every function maps a Column to a Column and runs inside one row, so a split never
-shuffles. A fold's number of steps is bounded by the text's length over half a chunk.
+Every function maps a Column to a Column and runs inside one row, so a split never shuffles.
+Cutting, packing and overlapping walk a text by jumps from cut to cut, in Arrow batches: each
+character is looked at a bounded number of times. The ``_fold`` forms say the same by native
+folds, which copy what is left of a text at each step; tests hold the two against each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import collapse, first_alpha_is_lower, normalize_text, strip
 
@@ -42,7 +46,7 @@ def nonblank(parts: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
-def split_long(paragraph: Column, size: int) -> Column:
+def split_long_fold(paragraph: Column, size: int) -> Column:
     """Parts of at most ``size``: cut after the last sentence end, else at the last space,
     if that lies beyond half a part; else hard. Parts are stripped, blank ones dropped."""
     return let(strip(paragraph), lambda text: _cut_long(text, size))
@@ -63,7 +67,7 @@ def _cut_long(text: Column, size: int) -> Column:
     return nonblank(F.aggregate(F.sequence(F.lit(1), steps), F.struct(_strings().alias("parts"), text.alias("rest")), step, lambda acc: acc["parts"]))
 
 
-def pack(parts: Column, size: int, joint: str = "\n\n") -> Column:
+def pack_fold(parts: Column, size: int, joint: str = "\n\n") -> Column:
     """Greedy packing of parts into chunks of at most ``size``, a longer part alone."""
 
     def step(acc: Column, part: Column) -> Column:
@@ -77,7 +81,7 @@ def pack(parts: Column, size: int, joint: str = "\n\n") -> Column:
     return F.aggregate(parts, start, step, lambda acc: F.concat(acc["done"], F.when(acc["cur"].isNull(), _strings()).otherwise(F.array(acc["cur"]))))
 
 
-def overlap(chunks: Column, n: int) -> Column:
+def overlap_fold(chunks: Column, n: int) -> Column:
     """Put the last ``n`` characters of the chunk before in front, unless it starts with them."""
     if n <= 0:
         return chunks
@@ -93,11 +97,98 @@ def paragraphs(text: Column, separator: str = "\n\n") -> Column:
     return nonblank(F.split(text, F.lit(f"\\Q{separator}\\E")))
 
 
+def split_text_fold(text: Column, size: int = 1200, n_overlap: int = 200, separator: str = "\n\n") -> Column:
+    """Normalise, cut into paragraphs, cut long ones, pack, overlap. Null or blank: no chunks."""
+    check_sizes(size, n_overlap)
+    parts = F.flatten(F.transform(paragraphs(normalize_text(F.coalesce(text, F.lit(""))), separator), lambda p: F.when(F.char_length(p) <= size, F.array(p)).otherwise(split_long_fold(p, size))))
+    return overlap_fold(pack_fold(parts, size), n_overlap)
+
+
+#: White space as Unicode defines it, which is what ``strip`` takes off.
+_WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def cuts(text: str, size: int) -> list[str]:
+    """As ``split_long`` says, of a stripped text: from each cut straight to the next."""
+    parts, at, half = [], 0, size // 2
+    while at < len(text):
+        end = at + size
+        if end >= len(text):
+            cut = len(text)
+        elif (stop := max(text.rfind(c, at + half + 1, end) for c in ".!?;")) >= 0:
+            cut = stop + 1
+        elif (space := text.rfind(" ", at + half + 1, end)) >= 0:
+            cut = space
+        else:
+            cut = end
+        parts.append(text[at:cut].strip(_WHITE))
+        at = cut
+    return [p for p in parts if p]
+
+
+def packed(parts: Iterable[str], size: int, joint: str = "\n\n") -> list[str]:
+    """As ``pack`` says."""
+    done, open_, length = [], [], 0
+    for p in parts:
+        if open_ and length + len(joint) + len(p) > size:
+            done.append(joint.join(open_))
+            open_, length = [], 0
+        length += len(p) + (len(joint) if open_ else 0)
+        open_.append(p)
+    return [*done, joint.join(open_)] if open_ else done
+
+
+def overlapped(chunks: list[str], n: int) -> list[str]:
+    """As ``overlap`` says."""
+    out = chunks[:1]
+    for before, x in zip(chunks, chunks[1:], strict=False):
+        tail, cur = before[-n:].strip(_WHITE), x.strip(_WHITE)
+        out.append(f"{tail}\n\n{cur}".strip(_WHITE) if tail and not cur.startswith(tail) else cur)
+    return out
+
+
+def split(text: str, size: int, n_overlap: int, separator: str) -> list[str]:
+    """As ``split_text`` says, of a normalised text."""
+    parts = (p for x in text.split(separator) if (p := x.strip(_WHITE)))
+    chunks = packed((q for p in parts for q in ((p,) if len(p) <= size else cuts(p, size))), size)
+    return overlapped(chunks, n_overlap) if n_overlap > 0 else chunks
+
+
+def _lists(rows: Iterable[list | None], kind: pa.DataType) -> pa.Array:
+    return pa.array(rows, pa.list_(kind))
+
+
+def _strings_of(run: Callable[..., list[str]], column: Column) -> Column:
+    """``run`` of each value that is not null, as an array of strings."""
+
+    @F.arrow_udf("array<string>")
+    def rows(values: pa.Array) -> pa.Array:
+        return _lists((None if v is None else run(v) for v in (x.as_py() for x in values)), pa.string())
+
+    # so called, it is not run a second time to leave out empty arrays before they are exploded
+    return rows.asNondeterministic()(column)
+
+
+def split_long(paragraph: Column, size: int) -> Column:
+    """Parts of at most ``size``: cut after the last sentence end, else at the last space,
+    if that lies beyond half a part; else hard. Parts are stripped, blank ones dropped. Null stays null."""
+    return _strings_of(lambda x: cuts(x, size), strip(paragraph))
+
+
+def pack(parts: Column, size: int, joint: str = "\n\n") -> Column:
+    """Greedy packing of parts into chunks of at most ``size``, a longer part alone. Null stays null."""
+    return _strings_of(lambda x: packed(x, size, joint), parts)
+
+
+def overlap(chunks: Column, n: int) -> Column:
+    """Put the last ``n`` characters of the chunk before in front, unless it starts with them."""
+    return _strings_of(lambda x: overlapped(x, n), chunks) if n > 0 else chunks
+
+
 def split_text(text: Column, size: int = 1200, n_overlap: int = 200, separator: str = "\n\n") -> Column:
     """Normalise, cut into paragraphs, cut long ones, pack, overlap. Null or blank: no chunks."""
     check_sizes(size, n_overlap)
-    parts = F.flatten(F.transform(paragraphs(normalize_text(F.coalesce(text, F.lit(""))), separator), lambda p: F.when(F.char_length(p) <= size, F.array(p)).otherwise(split_long(p, size))))
-    return overlap(pack(parts, size), n_overlap)
+    return _strings_of(lambda x: split(x, size, n_overlap, separator), normalize_text(F.coalesce(text, F.lit(""))))
 
 
 def title_continues(previous: Column, following: Column) -> Column:
@@ -131,13 +222,9 @@ def merge_heading(text: Column) -> Column:
     return F.when((F.size(parts) >= 2) & heading, merged).otherwise(text)
 
 
-def split_legal(text: Column, size: int = 1200, n_overlap: int = 0) -> Column:
-    """Chunks with article number and title; parts of a long article keep both.
-
-    Text before the first article and text without articles give chunks without a number.
-    The overlap is checked but never applied: legal chunks start at natural boundaries.
-    """
-    check_sizes(size, n_overlap)
+def _legal_blocks(text: Column) -> Column:
+    """array<struct<content, number, title, article>>: what comes before the first article, then each
+    article with its heading joined to its body; blank blocks dropped."""
 
     def block(lines: Column, heads: Column, k: Column) -> Column:
         start, end = F.coalesce(F.get(heads, k), F.lit(0)), F.coalesce(F.get(heads, k + 1), F.size(lines))
@@ -146,21 +233,64 @@ def split_legal(text: Column, size: int = 1200, n_overlap: int = 0) -> Column:
         number = F.when(article, F.regexp_extract(head, ARTICLE_LINE, 1))
         within = lambda j: F.when(start + j < end, F.get(lines, start + j))
         title = F.when(article, article_title(F.regexp_extract(head, ARTICLE_LINE, 2), within(1), within(2)))
-        parts = lambda whole: F.when(whole == "", _strings()).when(article & (F.char_length(whole) <= size), F.array(whole)).otherwise(split_text(whole, size, 0))
         merged = let(content, lambda c: F.when(article, merge_heading(c)).otherwise(c))
-        return let(F.struct(number.alias("number"), title.alias("title")), lambda t: F.transform(let(merged, parts), lambda p: F.struct(p.alias("content"), t["number"].alias("article_number"), t["title"].alias("article_title"))))
+        return F.struct(merged.alias("content"), number.alias("number"), title.alias("title"), article.alias("article"))
 
     def blocks(lines: Column) -> Column:
         numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.rlike(ARTICLE_LINE).alias("head")))
         heads = F.transform(F.filter(numbered, lambda s: s["head"]), lambda s: s["i"])
-        return let(heads, lambda h: F.flatten(F.transform(F.sequence(F.lit(-1), F.size(h) - 1), lambda k: block(lines, h, k))))
+        return let(heads, lambda h: F.transform(F.sequence(F.lit(-1), F.size(h) - 1), lambda k: block(lines, h, k)))
+
+    found = let(F.split(normalize_text(F.coalesce(text, F.lit(""))), "\n"), blocks)
+    return F.filter(found, lambda b: b["content"] != "")
+
+
+_BLOCKS = "array<struct<content:string,number:string,title:string,article:boolean>>"
+
+
+def legal_rows(rows: DataFrame, text_col: str, size: int = 1200, n_overlap: int = 0) -> DataFrame:
+    """A row for each chunk of a legal text: the other columns, chunk_index, content, article_number, article_title.
+
+    Text before the first article and text without articles give chunks without a number; parts of
+    a long article keep number and title. The overlap is checked but never applied: legal chunks
+    start at natural boundaries. Rows without text, or with a blank one, have no chunks.
+    """
+    check_sizes(size, n_overlap)
+    rest = [f for f in rows.schema.fields if f.name != text_col]
+    schema = T.StructType([*rest, T.StructField("chunk_index", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("content", "article_number", "article_title"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], ([], [], [], [])
+            for i, blocks in enumerate(batch.column("_blocks")):
+                k = 0
+                for b in blocks.as_py() or ():
+                    whole = b["article"] and len(b["content"]) <= size
+                    for c in [b["content"]] if whole else split(b["content"], size, 0, "\n\n"):
+                        at.append(i)
+                        for column, value in zip(out, (k, c, b["number"], b["title"]), strict=True):
+                            column.append(value)
+                        k += 1
+            made = [pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name).take(pa.array(at, pa.int64())) for f in rest), *made], schema.names)
+
+    blocks = _legal_blocks(F.col(text_col)).cast(_BLOCKS).alias("_blocks")
+    return rows.select(*[f.name for f in rest], blocks).mapInArrow(run, schema)
+
+
+def split_legal(text: Column, size: int = 1200, n_overlap: int = 0) -> Column:
+    """The chunks of ``legal_rows`` as an array of structs, by folds."""
+    check_sizes(size, n_overlap)
+
+    def chunks(b: Column) -> Column:
+        whole = F.when(b["article"] & (F.char_length(b["content"]) <= size), F.array(b["content"])).otherwise(split_text_fold(b["content"], size, 0))
+        return F.transform(whole, lambda p: F.struct(p.alias("content"), b["number"].alias("article_number"), b["title"].alias("article_title")))
 
-    return let(F.split(normalize_text(F.coalesce(text, F.lit(""))), "\n"), blocks)
+    return F.flatten(F.transform(_legal_blocks(text), chunks))
 
 
 def chunk_documents(docs: DataFrame, id_col: str, text_col: str, size: int = 1200, n_overlap: int = 200, separator: str = "\n\n", legal: bool = False) -> DataFrame:
     """(id, chunk_index, content[, article_number, article_title]), one row a chunk."""
     if legal:
-        out = docs.select(F.col(id_col), F.posexplode(split_legal(F.col(text_col), size, 0)).alias("chunk_index", "c"))
-        return out.select(id_col, "chunk_index", "c.content", "c.article_number", "c.article_title")
+        return legal_rows(docs.select(id_col, text_col), text_col, size)
     return docs.select(F.col(id_col), F.posexplode(split_text(F.col(text_col), size, n_overlap, separator)).alias("chunk_index", "content"))

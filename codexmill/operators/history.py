@@ -46,6 +46,28 @@ def last_messages(messages: DataFrame, order: list[str], by: list[str] | None =
     return messages.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit)
 
 
+def create_messages(rows: DataFrame, at: Column, ident: Column | None = None) -> DataFrame:
+    """History messages (id, role, content, sources, createdAt, retrievalMode) of new ones.
+
+    Any role but assistant is a user's. Null content is the empty text. Sources are sanitised and a
+    known mode kept for assistants alone; a user's message has no sources. ``at`` is the time of making
+    and ``ident`` the id (a random one unless given). Columns of the rows that are not named stay.
+    """
+    role = F.when(F.col("role") == "assistant", "assistant").otherwise("user")
+    none = F.array().cast("array<map<string,string>>")
+    given = F.coalesce("sources", none) if "sources" in rows.columns else none
+    clean = F.filter(F.transform(given, sanitize_source), lambda s: s.isNotNull())
+    mode = F.col("retrievalMode") if "retrievalMode" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumns({
+        "id": F.uuid() if ident is None else ident,
+        "role": role,
+        "content": F.coalesce(F.col("content").cast("string"), F.lit("")),
+        "sources": F.when(role == "assistant", clean).otherwise(none),
+        "createdAt": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+        "retrievalMode": F.when(role == "assistant", mode_or(mode)),
+    })
+
+
 def format_number(x: Column, places: int = 4) -> Column:
     """Fixed places with trailing zeros dropped."""
     return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", x.cast("double")), r"(\.\d*?)0+$", "$1"), r"\.$", "")

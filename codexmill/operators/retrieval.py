@@ -1,26 +1,17 @@
-"""Exact nearest neighbours and hybrid ranking, for one query or a table of queries.
-
-A stated set of queries is scored against all rows in blocks: each Arrow batch of the
-corpus is multiplied with the block's matrix and only a batch's best k rows a query go on,
-so what is shuffled is k rows a query and batch, and nothing of the corpus.
-"""
+"""Retrieval: one query's nearest rows, candidates and hybrid ranking of a table of queries."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.fulltext import matches_all, rank_column
 from ..functions.references import SEARCH_ALIASES, alias_like
 from ..functions.text import strip
 from ..functions.vectors import cosine_distance
+from . import postings
+from .knn import nearest_batch
 
-QUERY_BLOCK = 512
 MODES = ("semantic", "hybrid")
 
 
@@ -59,91 +50,21 @@ def nearest(corpus: DataFrame, query: list[float], k: int, id_col: str = "chunk_
     return corpus.select(id_col, cosine_distance(F.col(vector), q).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """(query_id, id, distance, rank) of the k nearest rows of each query, exact.
-
-    Queries reach the executors in blocks of QUERY_BLOCK vectors. Rows whose vector is
-    null or zero are never near; ties go to the smaller id.
-    """
-    kind_id, kind_q = dict(corpus.dtypes)[id_col], dict(queries.dtypes)[query_id]
-    out, block = None, []
-
-    def score(block: list) -> DataFrame:
-        names = [r[0] for r in block]
-        q = np.array([r[1] for r in block], float)
-        size = np.linalg.norm(q, axis=1)
-        q = q / np.where(size == 0, np.nan, size)[:, None]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                column = b.column(vector)
-                good = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-                if not len(good):
-                    continue
-                x = np.asarray(column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False), float).reshape(len(good), -1)
-                length = np.linalg.norm(x, axis=1)
-                d = 1.0 - (x @ q.T) / np.where(length == 0, np.nan, length)[:, None]
-                ids = b.column(id_col).take(pa.array(good))
-                order_ids = np.argsort(np.argsort(np.asarray(ids)))
-                rows, cols = [], []
-                for j in range(len(names)):
-                    best = np.lexsort((order_ids, d[:, j]))[:k] if len(good) <= 4 * k else _best(d[:, j], order_ids, k)
-                    best = best[~np.isnan(d[best, j])]
-                    rows.append(best)
-                    cols.append(np.full(len(best), j))
-                r, c = np.concatenate(rows), np.concatenate(cols)
-                yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in c]), ids.take(pa.array(r)), pa.array(d[r, c])], [query_id, id_col, "distance"])
-
-        return corpus.select(id_col, vector).mapInArrow(run, f"`{query_id}` {kind_q}, `{id_col}` {kind_id}, distance double")
-
-    for r in queries.select(query_id, vector).toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out, block = score(block) if out is None else out.union(score(block)), []
-    if block or out is None:
-        empty = corpus.sparkSession.createDataFrame([], f"`{query_id}` {kind_q}, `{id_col}` {kind_id}, distance double")
-        found = score(block) if block else empty
-        out = found if out is None else out.union(found)
-    order = Window.partitionBy(query_id).orderBy("distance", id_col)
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _best(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    edge = np.partition(np.where(np.isnan(d), np.inf, d), k - 1)[k - 1]
-    few = np.flatnonzero(d <= edge)
-    return few[np.lexsort((ids[few], d[few]))][:k]
-
-
 def match_all(corpus: DataFrame, queries: DataFrame, id_col: str = "chunk_id", words: str = "words") -> DataFrame:
     """(query_id, id) of the rows that hold all of a query's ``terms`` (an empty query matches none).
 
-    Rows meet a query by an equi-join on the query's rarest term alone, then all terms are
-    compared; ``words`` is a row's array of distinct words.
+    ``words`` is a row's array of words; rows and terms meet by an equi-join on the word alone.
     """
-    terms = queries.select("query_id", F.explode("terms").alias("term"))
-    posting = corpus.select(id_col, F.explode(words).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    frequency = posting.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = terms.join(frequency, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
-    met = posting.join(rarest, "term").select("query_id", id_col)
-    rows = met.join(corpus.select(id_col, words), id_col).join(queries.select("query_id", "terms"), "query_id")
-    return rows.filter(matches_all(F.col("terms"), F.col(words))).select("query_id", id_col)
+    held = corpus.select(id_col, F.explode(F.array_distinct(words)).alias("term"), F.lit(None).cast("string").alias("places"))
+    return postings.match(held, queries, id_col).select("query_id", id_col)
 
 
-def keyword_candidates(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
+def keyword_candidates(held: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
     """(query_id, id, keyword_score): the rows with all of a query's lexemes, best k by rank.
 
-    ``corpus`` has ``lexemes`` (see functions.fulltext), ``queries`` has query_id and ``terms``.
+    ``held`` are postings (see operators.postings), ``queries`` has query_id and ``terms``.
     """
-    words = corpus.select(id_col, F.array_distinct(F.transform("lexemes", lambda e: e["lexeme"])).alias("words"))
-    rows = match_all(words, queries, id_col).join(corpus.select(id_col, "lexemes"), id_col).join(queries.select("query_id", "terms"), "query_id")
-    return best_ranked(rows, k, id_col)
-
-
-def best_ranked(rows: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
-    """The k rows of each query that rank best; rows have query_id, terms and lexemes."""
-    ranked = rows.select("query_id", id_col, rank_column(F.col("lexemes"), F.col("terms")).alias("keyword_score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), id_col)
-    return ranked.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+    return postings.best(postings.ranked(held, queries, id_col), k, id_col)
 
 
 def article_candidates(corpus: DataFrame, queries: DataFrame, id_col: str = "chunk_id") -> DataFrame:
@@ -169,19 +90,24 @@ def hybrid(
     boosts: tuple[float, float] = (0.65, 0.35),
     aliases: dict[str, tuple[str, ...]] = SEARCH_ALIASES,
     id_col: str = "chunk_id",
+    held: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked candidates of each query: ids, partial scores, hybrid_score and rank.
 
-    ``corpus``: id, embedding, lexemes, article_number, names (what aliases are sought in).
-    ``queries``: query_id, embedding, terms, article_number, law_hint. Candidates are the
-    nearest and the best matching rows, max(10 k, 50) each, and all rows of the article.
+    ``corpus``: id, embedding, article_number, names (what aliases are sought in), and lexemes unless
+    their postings are given as ``held``. ``queries``: query_id, embedding, terms, article_number,
+    law_hint. Candidates are the nearest and the best matching rows, max(10 k, 50) each, and all rows
+    of the article. Rows are matched and ranked once, on postings; candidates that hold not all
+    terms rank 0.
     """
     limit = candidate_limit(k)
+    held = postings.index(corpus, id_col) if held is None else held
+    matched = postings.ranked(held, queries, id_col)
     semantic = nearest_batch(corpus, queries, limit, id_col).select("query_id", id_col)
-    keyword = keyword_candidates(corpus, queries, limit, id_col).select("query_id", id_col)
+    keyword = postings.best(matched, limit, id_col).select("query_id", id_col)
     every = semantic.union(keyword).union(article_candidates(corpus, queries, id_col)).distinct()
-    q = queries.select("query_id", F.col("embedding").alias("q_embedding"), "terms", F.col("article_number").alias("q_article"), "law_hint")
-    rows = every.join(corpus.select(id_col, "embedding", "lexemes", "article_number", "names"), id_col).join(q, "query_id")
+    q = queries.select("query_id", F.col("embedding").alias("q_embedding"), F.col("article_number").alias("q_article"), "law_hint")
+    rows = every.join(corpus.select(id_col, "embedding", "article_number", "names"), id_col).join(q, "query_id").join(matched, ["query_id", id_col], "left")
     distance = cosine_distance(F.col("embedding"), F.col("q_embedding"))
     hit = alias_like(F.col("names"), F.try_element_at(aliases_map(aliases), F.col("law_hint")))
     scored = rows.select(
@@ -189,7 +115,7 @@ def hybrid(
         id_col,
         distance.alias("distance"),
         (1 - distance).alias("semantic_score"),
-        rank_column(F.col("lexemes"), F.col("terms")).alias("keyword_score"),
+        F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"),
         F.when(F.col("article_number") == F.col("q_article"), F.lit(float(boosts[0]))).otherwise(F.lit(0.0)).alias("article_boost"),
         F.when(F.col("law_hint").isNotNull() & hit, F.lit(float(boosts[1]))).otherwise(F.lit(0.0)).alias("document_boost"),
     )

@@ -19,6 +19,8 @@ HEADINGS = {
     "article": r"(?iuU)^Статья\s+(\d+(?:\.\d+)*)(?:[.\s]+(.*))?$",
 }
 LEVELS = ("section", "subsection", "chapter", "paragraph")
+#: Lines of a document that one task sorts.
+SEGMENT = 50_000
 
 #: Known documents by file name. (id, any-of keywords, [(part id, any-of)])
 HTML_RULES = (
@@ -60,22 +62,46 @@ def kind(line: Column, headings: dict[str, str] = HEADINGS) -> Column:
     return out
 
 
-def extract_records(lines: DataFrame, doc: str = "doc", order: str = "n", line: str = "line", headings: dict[str, str] = HEADINGS) -> DataFrame:
+def _marked(rows: DataFrame, headings: dict[str, str]) -> DataFrame:
+    """Each line's kind, whether it opens a block, and what it says of each level: its text, nothing, or null if silent."""
+    rows = rows.withColumn("kind", kind(F.col("line"), headings))
+    for i, level in enumerate(LEVELS):
+        # a heading of a higher level writes a null into the ones below
+        said = F.when(F.col("kind") == level, F.struct(F.col("line").alias("v"))).when(F.col("kind").isin(*LEVELS[:i]), F.struct(F.lit(None).cast("string").alias("v")))
+        rows = rows.withColumn(CONTEXT[i], said)
+    return rows.withColumn("_opens", F.col("kind").isNotNull().cast("long"))
+
+
+def _handed_on(rows: DataFrame, doc: str, headings: dict[str, str]) -> DataFrame:
+    """(doc, segment, what the segments before it hand on): a scan over one row a segment.
+
+    A segment hands on its number of blocks and the last it says of each level; those combine by
+    adding and by taking the later one, so a segment needs the combination of those before it alone.
+    Only documents of several segments are looked at.
+    """
+    long = rows.filter("_segment > 0").select(doc).distinct()
+    each = _marked(rows.join(long, doc, "left_semi"), headings).groupBy(doc, "_segment").agg(
+        F.sum("_opens").alias("_blocks"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n"))).alias(f"_before_{c}") for c in CONTEXT]
+    )
+    before = Window.partitionBy(doc).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select(doc, "_segment", F.sum("_blocks").over(before).alias("_blocks"), *[F.last(f"_before_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in CONTEXT])
+
+
+def extract_records(lines: DataFrame, doc: str = "doc", order: str = "n", line: str = "line", headings: dict[str, str] = HEADINGS, segment: int = SEGMENT) -> DataFrame:
     """One row per article: doc, n (its line), context titles, number, title, text, references.
 
     A heading clears the levels below it. Any heading ends the open article; lines after
-    a heading that is no article belong to nothing and are dropped.
+    a heading that is no article belong to nothing and are dropped. Lines are numbered from 0 or
+    later in each document; ``segment`` of them are sorted in one task, so a document of any
+    number of lines is spread over many, and only an article's own lines come together.
     """
-    w = Window.partitionBy(doc).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.select(doc, F.col(order).alias("n"), F.col(line).alias("line")).withColumn("kind", kind(F.col("line"), headings))
-    w = Window.partitionBy(doc).orderBy("n")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    for i, level in enumerate(LEVELS):
-        # a heading of a higher level writes a null into the ones below
-        said = F.when(F.col("kind") == level, F.struct(F.col("line").alias("v"))).when(F.col("kind").isin(*LEVELS[:i]), F.struct(F.lit(None).cast("string").alias("v")))
-        rows = rows.withColumn(CONTEXT[i], F.last(said, ignorenulls=True).over(upto)["v"])
-    rows = rows.withColumn("block", F.sum(F.col("kind").isNotNull().cast("int")).over(upto))
+    rows = lines.select(doc, F.col(order).alias("n"), F.col(line).alias("line"), F.floor(F.col(order) / segment).alias("_segment"))
+    marks = _marked(rows, headings)
+    upto = Window.partitionBy(doc, "_segment").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    marks = marks.withColumns({f"_{c}": F.last(c, ignorenulls=True).over(upto) for c in CONTEXT} | {"block": F.sum("_opens").over(upto)})
+    told = _handed_on(rows, doc, headings)
+    found = marks.join(told, [doc, "_segment"], "left")
+    rows = found.select(doc, "n", "line", "kind", *[F.coalesce(f"_{c}", f"_before_{c}")["v"].alias(c) for c in CONTEXT], (F.col("block") + F.coalesce("_blocks", F.lit(0))).alias("block"))
     grouped = rows.filter("block > 0").groupBy(doc, "block").agg(
         F.min(F.struct("n", "kind", *CONTEXT, "line")).alias("head"),
         F.array_sort(F.collect_list(F.struct("n", "line"))).alias("all"),

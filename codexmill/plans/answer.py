@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +68,41 @@ def sources(chunks: DataFrame) -> DataFrame:
     """The shown fields of ranked chunks; missing references as an empty list."""
     names = [c for c in ("query_id", "rank") if c in chunks.columns]
     return chunks.select(*names, *[F.coalesce(c, F.array().cast("array<string>")).alias(c) if c == "referenced_articles" else F.col(c) for c in SOURCE_COLUMNS])
+
+
+def source_lists(chunks: DataFrame) -> DataFrame:
+    """(query_id, sources): the shown fields of each query's ranked chunks, in order."""
+    fields = [F.coalesce(c, F.array().cast("array<string>")).alias(c) if c == "referenced_articles" else F.col(c) for c in SOURCE_COLUMNS]
+    listed = F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("s"))))
+    return chunks.groupBy("query_id").agg(F.transform(listed, lambda x: x["s"]).alias("sources"))
+
+
+def generate(prompts: DataFrame, llm: Callable[[], LLM], project: str = "", tries: int = 3) -> DataFrame:
+    """Add (answer, error, attempts) to rows (query_id, prompt, ...); the prompt itself goes.
+
+    Calls run within tasks, one at a time in each; a row whose calls all raise keeps the last error.
+    """
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    rest = [f for f in prompts.schema.fields if f.name not in ("query_id", "prompt")]
+    schema = StructType([prompts.schema["query_id"], StructField("answer", StringType()), StructField("error", StringType()), StructField("attempts", IntegerType()), *rest])
+    system = SYSTEM_PROMPT.replace("{project}", project)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = llm()
+        for b in batches:
+            told: tuple[list, list, list] = ([], [], [])
+            for prompt in b.column("prompt").to_pylist():
+                answer = error = None
+                for attempt in range(1, tries + 1):  # noqa: B007
+                    try:
+                        answer, error = model(system, prompt), None
+                        break
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+                for column, value in zip(told, (answer, error, attempt), strict=True):
+                    column.append(value)
+            made = [pa.array(c, t) for c, t in zip(told, (pa.string(), pa.string(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), *made, *(b.column(f.name) for f in rest)], schema.names)
+
+    return prompts.mapInArrow(run, schema)

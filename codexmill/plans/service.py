@@ -9,17 +9,19 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import Settings
-from ..functions.embed import Embed, HashingEmbedder, embed_column, embed_texts
-from ..functions.fulltext import WEIGHT_A, WEIGHT_B, WEIGHT_D, lexeme_column, query_lexemes, stop_words
+from ..functions.embed import Embed, HashingEmbedder, embed_column
+from ..functions.fulltext import WEIGHT_A, WEIGHT_B, WEIGHT_D, lexeme_column, stop_words
 from ..functions.references import law_hint, question_article
+from ..functions.text import stem_of, strip
 from ..operators import evaluation, inspection, retrieval
-from ..operators.structure import to_records
+from ..operators.structure import docx_metadata, html_document_id, to_records
 from ..schemas import CHUNK, CONTEXT, DOCUMENT, RESULT
 from ..sources import files
-from ..functions.text import stem_of
-from ..sources.sinks import Store, convert_report, delete, write_csv, write_docx, write_json, write_jsonl
+from ..sources.jsonl_files import write_files
+from ..sources.sinks import Store, convert_report, delete, write_csv, write_docx, write_json
 from . import answer as answers
 from . import report
 
@@ -121,26 +123,34 @@ def corpus(documents: DataFrame, chunks: DataFrame, stops: frozenset[str]) -> Da
     return rows.withColumn("names", F.concat_ws(" ", "filename", "document_title", "source_filename"))
 
 
-def search(spark: SparkSession, table: DataFrame, queries: list[str], k: int = 5, mode: str | None = None, settings: Settings = Settings(), model: Callable[[], Embed] = HashingEmbedder, stops: frozenset[str] | None = None) -> DataFrame:
+def search(spark: SparkSession, table: DataFrame, queries: list[str], k: int = 5, mode: str | None = None, settings: Settings = Settings(), model: Callable[[], Embed] = HashingEmbedder, stops: frozenset[str] | None = None, held: DataFrame | None = None) -> DataFrame:
     """Ranked results (query_id, rank, the 22 result columns) of a list of questions over a corpus."""
+    texts = [retrieval.check_query(q) for q in queries]
+    return search_table(spark, table, spark.createDataFrame(list(enumerate(texts)), "query_id long, query string"), k, mode, settings, model, stops, held).orderBy("query_id", "rank")
+
+
+def search_table(spark: SparkSession, table: DataFrame, queries: DataFrame, k: int = 5, mode: str | None = None, settings: Settings = Settings(), model: Callable[[], Embed] = HashingEmbedder, stops: frozenset[str] | None = None, held: DataFrame | None = None) -> DataFrame:
+    """``search`` of a table (query_id, query) of any number of questions, in no order; null and blank ones have no results.
+
+    ``held``: postings of the corpus, else made from its lexemes.
+    """
     mode = settings.retrieval_mode if mode is None else mode
     if mode not in retrieval.MODES:
         raise ValueError(f"unknown retrieval mode {mode!r}")
     retrieval.check_top_k(k)
-    texts = [retrieval.check_query(q) for q in queries]
     stops = stop_words(spark) if stops is None else stops
-    rows = [(i, t, v, query_lexemes(t, stops)) for i, (t, v) in enumerate(zip(texts, embed_texts(texts, model), strict=True))]
-    q = spark.createDataFrame(rows, "query_id long, query string, embedding array<float>, terms array<string>")
-    q = q.withColumn("article_number", question_article(F.col("query"))).withColumn("law_hint", law_hint(F.col("query")))
+    said = retrieval.valid_queries(queries.select("query_id", "query"))
+    terms = F.array_distinct(F.transform(lexeme_column([(F.col("query"), 1.0)], stops), lambda e: e["lexeme"]))
+    q = said.select("query_id", "query", embed_column(F.col("query"), model).alias("embedding"), terms.alias("terms"), question_article(F.col("query")).alias("article_number"), law_hint(F.col("query")).alias("law_hint"))
     if mode == "semantic":
         ranked = retrieval.semantic_columns(retrieval.nearest_batch(table, q, k))
     else:
         weights = (settings.hybrid_semantic_weight, settings.hybrid_keyword_weight, settings.hybrid_metadata_weight)
-        ranked = retrieval.hybrid(table, q, k, weights, (settings.article_boost, settings.document_boost))
+        ranked = retrieval.hybrid(table, q, k, weights, (settings.article_boost, settings.document_boost), held=held)
     scores = ("distance", "semantic_score", "keyword_score", "article_boost", "document_boost", "similarity", "hybrid_score")
     wide = table.select(*[c for c in RESULT if c not in scores])
     out = ranked.select("query_id", "rank", "chunk_id", *[F.col(c).cast("double").alias(c) for c in scores]).join(wide, "chunk_id")
-    return out.withColumn("referenced_articles", F.coalesce("referenced_articles", F.array().cast("array<string>"))).select("query_id", "rank", *RESULT).orderBy("query_id", "rank")
+    return out.withColumn("referenced_articles", F.coalesce("referenced_articles", F.array().cast("array<string>"))).select("query_id", "rank", *RESULT)
 
 
 def search_one(spark: SparkSession, table: DataFrame, query: str, k: int = 5, mode: str | None = None, **options) -> dict:
@@ -202,8 +212,42 @@ def inspect(spark: SparkSession, folder: str, out: str, size: int = 1200, n_over
 
 
 def convert(spark: SparkSession, folder: str, out: str, source_format: str = "html") -> DataFrame:
-    """Files of a folder to JSONL records; returns the report (source_filename, status, records)."""
-    lines = files.read_html(spark, folder) if source_format == "html" else files.read_docx(spark, folder)
+    """Files of a folder to one JSONL file of records each; returns the report.
+
+    HTML files are named by the document that their name says, DOCX files as their known law asks,
+    else by their name's slug. Where two files infer one document the last by name is kept, and the
+    others are reported as ``overwritten``; files without records, or not readable, have ``failed``
+    and don't overwrite. (source_filename, status, records, output_filename, recognised), by name.
+    """
+    lines = (files.read_html(spark, folder) if source_format == "html" else files.read_docx(spark, folder)).cache()
     records = to_records(lines.filter(F.col("line").isNotNull()), source_format)
-    write_jsonl(records.repartitionByRange("source_filename").sortWithinPartitions("source_filename", "n").drop("n"), out)
-    return convert_report(lines, records)
+    report = convert_report(lines, records).withColumn("_name", F.struct(F.lower("source_filename"), F.col("source_filename")))
+    meta = docx_metadata(F.col("source_filename")) if source_format == "docx" else None
+    output = F.concat(html_document_id(F.col("source_filename")), F.lit(".jsonl")) if meta is None else meta["output_filename"]
+    known = F.lit(None).cast("boolean") if meta is None else meta["recognised"]
+    report = report.withColumns({"output_filename": output, "recognised": known})
+    last = F.max(F.when(F.col("status") == "ok", F.col("_name"))).over(Window.partitionBy("output_filename"))
+    report = report.withColumn("status", F.when((F.col("status") == "ok") & (F.col("_name") < last), "overwritten").otherwise(F.col("status")))
+    report = report.orderBy("_name").select("source_filename", "status", "records", "output_filename", "recognised").cache()
+    kept = records.join(report.filter("status = 'ok'").select("source_filename", "output_filename"), "source_filename").select(*records.columns, "output_filename")
+    write_files(kept, out, "output_filename", ["n"])
+    return report
+
+
+def answer_batch(spark: SparkSession, table: DataFrame, questions: DataFrame, llm: Callable[[], answers.LLM], k: int = 5, project: str = "", tries: int = 3, **options) -> DataFrame:
+    """(query_id, answer, error, attempts, sources) of a table (query_id, query) of questions.
+
+    Questions are asked by one batched search; prompts go to the callable that ``llm`` makes once a
+    task, so as many run at a time as there are partitions of ``questions``. A call that raises is
+    tried again, and after ``tries`` its row has the error in place of an answer. A blank or null
+    question is an error of its own row and is not searched for.
+    """
+    asked = questions.select("query_id", strip(F.col("query")).alias("query"))
+    good = asked.filter(F.coalesce(F.col("query"), F.lit("")) != "")
+    found = search_table(spark, table, good, k, **options)
+    prompts = answers.prompts(found, good).join(answers.source_lists(found), "query_id", "left")
+    parts = max(1, questions.rdd.getNumPartitions())
+    told = answers.generate(prompts.repartition(parts, "query_id"), llm, project, tries)
+    blank = asked.filter(F.coalesce(F.col("query"), F.lit("")) == "")
+    refused = blank.select("query_id", F.lit(None).cast("string").alias("answer"), F.lit("query must not be empty").alias("error"), F.lit(0).alias("attempts"), F.lit(None).cast(told.schema["sources"].dataType).alias("sources"))
+    return told.unionByName(refused)

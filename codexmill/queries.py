@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import fulltext, references, text
-from .operators import chunking, evaluation, history, inspection, retrieval, structure
+from .operators import chunking, evaluation, history, inspection, postings, retrieval, structure
 from .plans import answer, service
 from .sources import files
 
@@ -229,12 +229,14 @@ def keyword_match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_rank_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matching documents ranked; only they are parsed into weighted lexemes."""
-    docs, queries = _worded(spark, sf_dir), _benchmark_terms(spark, sf_dir)
-    rows = retrieval.match_all(docs, queries).join(docs.select("chunk_id", "text", "source"), "chunk_id").join(queries, "query_id")
-    rows = rows.withColumn("lexemes", fulltext.lexeme_column([(F.col("source"), fulltext.WEIGHT_A), (F.col("text"), fulltext.WEIGHT_D)], stemmed=False))
-    found = retrieval.best_ranked(rows, retrieval.candidate_limit(5))
-    return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("keyword_score", 6).alias("keyword_score"))
+    """The matching documents ranked by the postings of all documents."""
+    lexemes = fulltext.lexeme_column([(F.col("source"), fulltext.WEIGHT_A), (F.col("text"), fulltext.WEIGHT_D)], stemmed=False)
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), lexemes.alias("lexemes"))
+    hits = postings.match(postings.index(docs), _benchmark_terms(spark, sf_dir))
+    # a term counts where the text itself holds it; the source's own words only add to the rank
+    hits = hits.filter(F.forall("hits", lambda h: F.exists(h["places"], lambda p: p["weight"] == fulltext.WEIGHT_D)))
+    found = hits.select("query_id", "chunk_id", postings.cover_density(F.col("hits")).alias("keyword_score"))
+    return postings.best(found, retrieval.candidate_limit(5)).select("query_id", F.col("chunk_id").alias("doc_id"), F.round("keyword_score", 6).alias("keyword_score"))
 
 
 # evaluation on labelled vectors

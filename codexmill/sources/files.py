@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from ..functions.references import referenced_articles
 from ..functions.text import normalize_docx_line, normalize_html_line, normalize_text, optional, stem_of, strip
-from ..operators.chunking import ARTICLE_LINE, split_legal
+from ..operators.chunking import ARTICLE_LINE, legal_rows
 from ..schemas import CASE
 
 ITEM = "struct<content:string,article_number:string,article_title:string,section_title:string,subsection_title:string,chapter_title:string,paragraph_title:string,source_format:string,source_filename:string,referenced_articles:array<string>>"
@@ -138,9 +138,9 @@ PARSED = f"path string, filename string, part long, n long, item {ITEM}, said st
 def read_texts(spark: SparkSession, folder: str, size: int = 1200, n_overlap: int = 200) -> DataFrame:
     """The chunks of *.txt by the legal splitter, a row each (see ``PARSED``); an article is split in one task."""
     null = [F.lit(None).cast("string").alias(n) for n in ("section_title", "subsection_title", "chapter_title", "paragraph_title", "source_format", "source_filename")]
-    chunks = text_blocks(read_lines(spark, folder, ".txt")).select("path", "filename", "part", F.posexplode(split_legal(F.col("text"), size, n_overlap)).alias("n", "c"))
-    item = F.struct("c.content", "c.article_number", "c.article_title", *null, referenced_articles(F.col("c.content"), F.col("c.article_number")).alias("referenced_articles"))
-    return chunks.select("path", "filename", "part", F.col("n").cast("long").alias("n"), item.cast(ITEM).alias("item"), F.lit(None).cast("string").alias("said"), stem_of(F.col("filename")).alias("title"))
+    chunks = legal_rows(text_blocks(read_lines(spark, folder, ".txt")), "text", size, n_overlap)
+    item = F.struct("content", "article_number", "article_title", *null, referenced_articles(F.col("content"), F.col("article_number")).alias("referenced_articles"))
+    return chunks.select("path", "filename", "part", F.col("chunk_index").cast("long").alias("n"), item.cast(ITEM).alias("item"), F.lit(None).cast("string").alias("said"), stem_of(F.col("filename")).alias("title"))
 
 
 def parse_jsonl(lines: DataFrame, file: str = "filename", number: str = "n", line: str = "line", also: tuple[str, ...] = ()) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators import postings
 from ..schemas import CHUNK, DOCUMENT
 
 #: Documents are dealt by filename into so many folders; a run writes those of its own files anew.
@@ -26,6 +27,9 @@ ATTEMPTS = 5
 _DOCUMENT, _CHUNK, _ISSUE = (StructType([*fields, StructField("run", StringType())]) for fields in (DOCUMENT.fields, CHUNK.fields, [StructField("filename", StringType()), StructField("said", StringType())]))
 
 
+_POSTING = "term string, chunk_id long, document_id long, places array<struct<pos:int,weight:double>>, bucket int, run string"
+
+
 class VersionTaken(RuntimeError):
     """Another run has published this version."""
 
@@ -78,7 +82,7 @@ class Files:
 
 
 class Store:
-    """Documents and chunks below ``path``; a run replaces whole files, all of them or none.
+    """Documents, chunks and their postings below ``path``; a run replaces whole files, all of them or none.
 
     Chunks are merged on read: each carries its run's id and shows only under a document of that run,
     so replacing a file writes its new chunks and no others. Folders of runs that no document is left
@@ -129,19 +133,26 @@ class Store:
         paths = [f"{self.path}/documents/{run}/bucket={b}" for b, run in m["documents"].items() if buckets is None or int(b) in buckets]
         return self.spark.read.schema(_DOCUMENT).parquet(*paths) if paths else self.spark.createDataFrame([], _DOCUMENT)
 
-    def _runs(self, kind: str, schema: StructType, runs: list[str]) -> DataFrame:
+    def _runs(self, kind: str, schema: StructType | str, runs: list[str]) -> DataFrame:
         paths = [f"{self.path}/{kind}/run={r}" for r in runs]
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def documents(self, version: int | None = None) -> DataFrame:
         return self._documents(self.manifest(version)).drop("run")
 
+    def _shown(self, m: dict, rows: DataFrame) -> DataFrame:
+        """The rows of the documents' own runs."""
+        held = self._documents(m).select(F.col("document_id").alias("_id"), F.col("run").alias("_run"))
+        return rows.join(held, (F.col("document_id") == F.col("_id")) & (F.col("run") == F.col("_run")), "left_semi")
+
     def chunks(self, version: int | None = None) -> DataFrame:
-        """Chunks of the documents' own runs."""
         m = self.manifest(version)
-        held = self._documents(m).select(F.col("document_id").alias("_id"), F.col("run").alias("_run"))
-        rows = self._runs("chunks", _CHUNK, m["chunks"])
-        return rows.join(held, (F.col("document_id") == F.col("_id")) & (F.col("run") == F.col("_run")), "left_semi").select(*CHUNK.fieldNames())
+        return self._shown(m, self._runs("chunks", _CHUNK, m["chunks"])).select(*CHUNK.fieldNames())
+
+    def postings(self, version: int | None = None) -> DataFrame:
+        """(term, chunk_id, places) of the chunks' lexemes, in folders by term (see operators.postings)."""
+        m = self.manifest(version)
+        return self._shown(m, self._runs("postings", _POSTING, m["chunks"])).select("term", "chunk_id", "places")
 
     def issues(self) -> DataFrame:
         """(run, filename, said) of all runs: what lines were skipped and why."""
@@ -153,6 +164,13 @@ class Store:
         writer = rows.write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(path)
 
+    def _put(self, chunks: DataFrame, run: str) -> None:
+        """A run's chunks, and their postings as written chunks have them."""
+        order = ["document_id", "chunk_index"]
+        self._write(chunks.repartitionByRange(*order).sortWithinPartitions(*order), f"{self.path}/chunks/run={run}")
+        written = self.spark.read.schema(CHUNK).parquet(f"{self.path}/chunks/run={run}")
+        self._write(postings.dealt(postings.index(written, also=("document_id",))), f"{self.path}/postings/run={run}", "bucket")
+
     def replace(self, documents: DataFrame, chunks: DataFrame, issues: DataFrame | None = None, batch: tuple[str, int] | None = None, run: str | None = None) -> int:
         """Put these files in place of earlier versions, in one step; others stay. Returns the version.
 
@@ -163,8 +181,7 @@ class Store:
         if self._seen(m, batch):
             return m["version"]
         run = run or uuid.uuid4().hex
-        order = ["document_id", "chunk_index"]
-        self._write(chunks.select(*CHUNK.fieldNames()).repartitionByRange(*order).sortWithinPartitions(*order), f"{self.path}/chunks/run={run}")
+        self._put(chunks.select(*CHUNK.fieldNames()), run)
         if issues is not None:
             self._write(issues.select("filename", "said"), f"{self.path}/issues/run={run}")
         for attempt in range(ATTEMPTS):
@@ -199,7 +216,7 @@ class Store:
     def compact(self) -> int:
         """Write the chunks that show, and only they, as one run of the next version."""
         m, run = self.manifest(), uuid.uuid4().hex
-        self._write(self.chunks(m["version"]).repartitionByRange("document_id", "chunk_index").sortWithinPartitions("document_id", "chunk_index"), f"{self.path}/chunks/run={run}")
+        self._put(self.chunks(m["version"]), run)
         bucket = F.pmod(F.xxhash64("filename"), F.lit(m["buckets"])).cast("int")
         self._write(self._documents(m).withColumn("run", F.lit(run)).withColumn("bucket", bucket).repartition("bucket"), f"{self.path}/documents/{run}", "bucket")
         self._publish(m | {"version": m["version"] + 1, "documents": dict.fromkeys(m["documents"], run), "chunks": [run]})
@@ -209,8 +226,8 @@ class Store:
         """Remove what the newest ``keep`` versions do not name; not while another run writes."""
         kept = self.versions()[-keep:] if keep else []
         named = [self.manifest(v) for v in kept]
-        used = {f"documents/{r}" for m in named for r in m["documents"].values()} | {f"{kind}/run={r}" for m in named for kind in ("chunks", "issues") for r in m[kind]}
-        gone = [f"{kind}/{n}" for kind in ("documents", "chunks", "issues") for n in self.files.names(f"{self.path}/{kind}") if f"{kind}/{n}" not in used]
+        used = {f"documents/{r}" for m in named for r in m["documents"].values()} | {f"{kind}/run={r}" for m in named for kind, named_as in (("chunks", "chunks"), ("postings", "chunks"), ("issues", "issues")) for r in m[named_as]}
+        gone = [f"{kind}/{n}" for kind in ("documents", "chunks", "postings", "issues") for n in self.files.names(f"{self.path}/{kind}") if f"{kind}/{n}" not in used]
         gone += [f"_manifest/{v:012d}.json" for v in self.versions() if v not in kept]
         for name in gone:
             self.files.delete(f"{self.path}/{name}")

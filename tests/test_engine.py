@@ -134,7 +134,7 @@ def test_converters(spark, tmp_path):
     (tmp_path / "пусто.html").write_text("<p>ничего</p>", encoding="utf-8")
     rep = {r["source_filename"]: (r["status"], r["records"]) for r in service.convert(spark, str(tmp_path), str(tmp_path / "out")).collect()}
     assert rep == {"Трудовой кодекс.html": ("ok", 2), "Прочее.htm": ("ok", 1), "пусто.html": ("failed", 0)}
-    rows = [json.loads(x) for f in (tmp_path / "out").glob("*.json") for x in f.read_text(encoding="utf-8").splitlines()]
+    rows = [json.loads(x) for f in (tmp_path / "out").glob("*.jsonl") for x in f.read_text(encoding="utf-8").splitlines()]
     first = next(r for r in rows if r["article_number"] == "1")
     assert (first["document_id"], first["section_title"], first["chapter_title"], first["referenced_articles"], first["source_url"]) == ("tk_rf", "Раздел I. Общее", "Глава 1. Начало", ["2"], None)
     assert first["text"] == "Статья 1. Первая\n\nсм. статью 2 &\nдалее"
@@ -241,14 +241,9 @@ def test_nearest_among_many_zero_vectors(spark):
     assert [r["chunk_id"] for r in retrieval.nearest_batch(t, q, 5).orderBy("rank").collect()] == [201, 200]
 
 
-def test_stemmer_and_cover_density():
+def test_stemmer():
     for word, want in (("работника", "работник"), ("работников", "работник"), ("важнейшие", "важн"), ("договорам", "договор"), ("стала", "стал"), ("word", "word"), ("", "")):
         assert fulltext.stem(word) == want, word
-    e = lambda *ws: fulltext.lexemes([(" ".join(ws), 0.1)], frozenset(), False)
-    near, far = fulltext.cover_density(e("a", "b", "x", "x"), {"a", "b"}), fulltext.cover_density(e("a", "x", "x", "b"), {"a", "b"})
-    assert 0 < far < near < 1 and fulltext.cover_density(e("a"), {"a", "b"}) == 0 == fulltext.cover_density(e("a"), set())
-    title = fulltext.cover_density([("a", 1, 1.0), ("b", 2, 1.0)], {"a", "b"})
-    assert title > near
 
 
 def test_embedder():
