@@ -32,6 +32,10 @@ BLOCK = 4096
 WIDE = 1 << 24
 #: Distinct id pairs, of 16 bytes each, that may be broadcast.
 BROADCAST_PAIRS = 2_000_000
+#: UTF-8 bytes of the texts of a partition of tokens, so that its sorts stay in memory.
+PART_BYTES = 2 << 20
+#: Ids of small vocabularies travel as 16 bits, less this.
+SHORT = 1 << 15
 
 
 def tokens(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,16 +54,23 @@ def tokens(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", te
                 good = text and all(b"".join(map(names.__getitem__, ids.tolist())) == whole for names, ids in ((bytes_a, x), (bytes_b, y)))
                 found[0].append(x if good else none)
                 found[1].append(y if good else none)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *(_lists(f) for f in found)], ["row", "id", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *(_lists(f, number) for f in found)], ["row", "id", "a", "b"])
 
-    kind = dict(docs.dtypes)[id_col]
+    kind, number = dict(docs.dtypes)[id_col], _number(a_file, b_file)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"row long, id {kind}, a array<int>, b array<int>")
+    return rows.mapInArrow(run, f"row long, id {kind}, a array<{number}>, b array<{number}>")
 
 
-def _lists(found: list[np.ndarray]) -> pa.Array:
+def _number(a_file: str, b_file: str) -> str:
+    return "smallint" if max(len(subwords.byte_bpe_tokens(a_file)), len(subwords.piece_bpe_tokens(b_file))) <= 2 * SHORT else "int"
+
+
+def _lists(found: list[np.ndarray], number: str) -> pa.Array:
+    """Lists of ids, as 16 bits less SHORT where they fit."""
     ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int32)]), pa.int32()))
+    flat = np.concatenate([*found, np.zeros(0, np.int32)])
+    flat = (flat - SHORT).astype(np.int16) if number == "smallint" else flat.astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
 def vocabulary(spark: SparkSession, a_file: str, b_file: str) -> DataFrame:
@@ -68,14 +79,15 @@ def vocabulary(spark: SparkSession, a_file: str, b_file: str) -> DataFrame:
     return spark.createDataFrame(rows, "side int, token int, bytes int")
 
 
-def marked(coded: DataFrame, names: DataFrame) -> DataFrame:
+def marked(coded: DataFrame, names: DataFrame, partitions: int) -> DataFrame:
     """(row, id, side, pos, token, start, group, link): every token with its group; link is null where the pair is told by the other side."""
 
     def side(column: str, s: int) -> Column:
-        return F.transform(column, lambda t, i: F.struct(F.lit(s).alias("side"), i.alias("pos"), t.alias("token")))
+        low = SHORT if dict(coded.dtypes)[column] == "array<smallint>" else 0
+        return F.transform(column, lambda t, i: F.struct(F.lit(s).alias("side"), i.alias("pos"), (t.cast("int") + low).alias("token")))
 
     both = F.concat(side("a", 0), side("b", 1))
-    rows = coded.repartition("row").select("row", "id", F.explode_outer(both).alias("t")).select("row", "id", "t.*")
+    rows = coded.repartition(partitions, "row").select("row", "id", F.explode_outer(both).alias("t")).select("row", "id", "t.*")
     rows = rows.join(F.broadcast(names), ["side", "token"], "left")
     before = Window.partitionBy("row", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     here, upto = Window.partitionBy("row", "start"), Window.partitionBy("row").orderBy("start")
@@ -131,10 +143,11 @@ def pair_counts(links: DataFrame) -> DataFrame:
     return counts.join(best, "_a").select("link", "docs", (F.col("docs") == F.col("_most")).alias("best"))
 
 
-def align(docs: DataFrame, a_file: str | None = None, b_file: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = BROADCAST_PAIRS) -> DataFrame:
+def align(docs: DataFrame, a_file: str | None = None, b_file: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = BROADCAST_PAIRS, digest: bool = False) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every row.
 
-    ``groups`` is ``a1,a2|b1;a3|b2,b3``: the A and B ids between offsets where tokens of both end.
+    ``groups`` is ``a1,a2|b1;a3|b2,b3``: the A and B ids between offsets where tokens of both end;
+    with ``digest`` it is that text's SHA-256 (an empty one stays empty), and the text is not kept.
     A link is an A and a B token that overlap; n_best counts the links whose id pair is linked in as
     many documents as any pair of its A id, count_sum adds up those numbers. Rows with null or empty
     text, or one whose bytes a tokenizer does not give back, have zeros and an empty text. Each row
@@ -144,7 +157,12 @@ def align(docs: DataFrame, a_file: str | None = None, b_file: str | None = None,
     """
     spark = docs.sparkSession
     a_file, b_file = a_file or subwords.path(subwords.BYTE_BPE), b_file or subwords.path(subwords.PIECE_BPE)
-    kept = cut(gathered(marked(tokens(docs, a_file, b_file, id_col, text_col), vocabulary(spark, a_file, b_file))))
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    whole = gathered(marked(tokens(docs, a_file, b_file, id_col, text_col), vocabulary(spark, a_file, b_file), partitions))
+    if digest:
+        whole = whole.withColumn("groups", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)))
+    kept = cut(whole)
     counts = cut(pair_counts(kept))
     each = kept.select("row", F.explode("links").alias("link"))
     if counts.count() <= limit:
