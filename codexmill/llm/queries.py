@@ -96,14 +96,20 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What op9_kd_sharding promises of every row: its size, gapless slots, one shard for equal texts."""
+    """What op9_kd_sharding promises of every row: its size, gapless slots, one shard for equal texts, near equal bytes.
+
+    A shard's bytes may be off its fair share by a twentieth and by the largest group of equal texts.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     rows = sharding.kd_shards(docs, shards=8)
-    slots = rows.groupBy("shard").agg((F.countDistinct("slot") == F.count(F.lit(1))).alias("once"), (F.max("slot") == F.count(F.lit(1)) - 1).alias("gapless"), (F.min("slot") == 0).alias("from_0"))
-    homes = rows.join(docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("same")), "doc_id").groupBy("same").agg((F.countDistinct("shard") == 1).alias("together"), F.collect_list("doc_id").alias("ids"))
-    kept = homes.select(F.explode("ids").alias("doc_id"), "together")
+    slots = rows.groupBy("shard").agg((F.countDistinct("slot") == F.count(F.lit(1))).alias("once"), (F.max("slot") == F.count(F.lit(1)) - 1).alias("gapless"), (F.min("slot") == 0).alias("from_0"), F.sum("size").alias("bytes"))
+    tagged = rows.join(docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("same")), "doc_id")
+    homes = tagged.groupBy("same").agg((F.countDistinct("shard") == 1).alias("together"), F.sum("size").alias("held"))
+    total, largest = (x or 0 for x in homes.agg(F.sum("held"), F.max("held")).first())
+    near = F.abs(F.col("bytes") - total / 8) <= total / 160 + largest
     good = F.col("once") & F.col("gapless") & F.col("from_0")
-    return rows.join(slots, "shard").join(kept, "doc_id").select("doc_id", "size", "law", F.col("shard").between(0, 7).alias("in_range"), good.alias("slots_good"), "together")
+    checked = tagged.join(F.broadcast(slots), "shard").join(homes.drop("held"), "same")  # a row a shard
+    return checked.select("doc_id", "size", "law", F.col("shard").between(0, 7).alias("in_range"), good.alias("slots_good"), near.alias("near_equal"), "together")
 
 
 def whitening_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +146,7 @@ ORACLES = {
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
                coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(covered.n, 0) > 50 * len(ws) AS base_failed
         FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN covered ON covered.doc_id = w.doc_id""",
-    "shard_checks": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'bytes' AS law, TRUE AS in_range, TRUE AS slots_good, TRUE AS together FROM documents",
+    "shard_checks": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'bytes' AS law, TRUE AS in_range, TRUE AS slots_good, TRUE AS near_equal, TRUE AS together FROM documents",
     "whitening_checks": """
         WITH good AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS HUGEINT) + 100000) AS x FROM embeddings
                       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),

@@ -1,20 +1,20 @@
 """K-d tree sharding: distributed weighted medians along the widest metadata dimension.
 
 Groups of equal texts are the points and their bytes the weights, so copies are never
-parted. Each dimension is a 48-bit code whose low bits are a hash of the text, so no two
-groups tie. All nodes of a level are split together: every pass sums bytes in equal
+parted. A dimension's code is a value's place among the column's different values, whole and in
+their own order, followed by a hash of the text, so no outlier or common start takes up the
+codes and no two groups tie. A node's widest dimension is the one in which it spans most values. All nodes of a level are split together: every pass sums bytes in equal
 slices of each node's open interval, and the slice that holds the median becomes the
 next interval. Only the slices' sums, at most SUMS numbers a pass, reach the driver.
 """
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
 from .common import cut, discard
@@ -24,8 +24,10 @@ SLICES = 4096
 SUMS, NODES = 1 << 20, 1 << 14
 #: From so many nodes on, each of at most so many groups, a node is finished in one task.
 LOCAL_NODES, LOCAL_ROWS = 64, 2_000_000
-#: Bits of the value and of the tie-break in a dimension's code.
-VALUE_BITS, TIE_BITS = 24, 24
+#: Bits of the tie-break in a dimension's code; the other 39 count values.
+TIE_BITS = 24
+#: Different values of a column that may be broadcast, and only if each is within VALUE_CHARS.
+VALUES, VALUE_CHARS = 200_000, 256
 #: Rows of one numbering task.
 SLOT_ROWS = 100_000
 
@@ -38,39 +40,46 @@ def _points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.crc32(F.encode(text, "UTF-8")).alias("_crc"),
         F.xxhash64(F.lit(1), text).alias("_h1"),
         F.xxhash64(F.lit(2), text).alias("_h2"),
-        *[F.col(c).cast("string").alias(f"_m{i}") if t == "string" else F.col(c).cast("double").alias(f"_m{i}") for i, (c, t) in enumerate(_metadata(docs, id_col, text_col))],
+        *[F.col(c).alias(f"_m{i}") for i, c in enumerate(_metadata(docs, id_col, text_col))],
     )
 
 
-def _metadata(docs: DataFrame, id_col: str, text_col: str) -> list[tuple[str, str]]:
-    """Number and string columns beside the id and the text: all of them are dimensions."""
-    return [(c, "string" if t == "string" else "number") for c, t in docs.dtypes if c not in (id_col, text_col) and (t == "string" or t in ("int", "bigint", "double", "float", "smallint", "tinyint"))]
+def _metadata(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
+    """Columns beside the id and the text whose values have an order of their own: all of them are dimensions."""
+    kinds = (NumericType, StringType, BooleanType, DateType, TimestampType, TimestampNTZType)
+    return [f.name for f in docs.schema.fields if f.name not in (id_col, text_col) and isinstance(f.dataType, kinds)]
+
 
+def _places(groups: DataFrame, column: str) -> DataFrame:
+    """(column, _place): each different value's place in their order, null first, from 0.
 
-def _codes(groups: DataFrame, n_meta: int) -> DataFrame:
-    """One bigint code per dimension: scaled value, then a hash of the text."""
+    Values are range-sorted and kept; a sorted part's number and the rows of the parts before it
+    give the places, so no task sees more than its own part.
+    """
+    ordered = cut(groups.select(column).distinct().orderBy(F.col(column).asc_nulls_first()).select(column, F.monotonically_increasing_id().alias("_at")))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row a part
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before")))
+    placed = ordered.withColumn("_part", part).join(offsets, "_part").select(column, (F.col("_before") + within).alias("_place"))
+    placed._cut_path = ordered._cut_path
+    return placed
+
+
+def _codes(groups: DataFrame, n_meta: int) -> tuple[DataFrame, list[DataFrame]]:
+    """One bigint code per dimension: a value's place, then a hash of the text. And what to discard once they are kept."""
     names = [f"_m{i}" for i in range(n_meta)]
-    kinds = dict(groups.dtypes)
-    texts = [c for c in names if kinds[c] == "string"]
-    ends = groups.agg(F.count(F.lit(1)), *[f(c) for c in texts for f in (F.min, F.max)]).first()
-    value = {}
-    for c in names:
-        if c in texts:
-            # strings in their order: what all have in common at the start tells nothing apart
-            same = len(os.path.commonprefix([x or "" for x in ends[1 + 2 * texts.index(c) :][:2]]))
-            head = F.hex(F.encode(F.substring(c, same + 1, 3), "UTF-8"))
-            value[c] = F.coalesce(F.conv(F.rpad(head, 6, "0"), 16, 10).cast("double"), F.lit(0.0))
-        else:
-            value[c] = F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.coalesce(F.col(c), F.lit(0.0))) / 2  # halves have a finite range
-    value["_n"] = F.col("_bytes").cast("double")
-    groups = groups.select("_h1", "_h2", "_bytes", *[v.alias(f"_v{i}") for i, v in enumerate(value.values())])
-    many = range(len(value))
-    got = groups.agg(*[f(f"_v{i}").alias(f"{k}{i}") for i in many for k, f in (("lo", F.min), ("hi", F.max))]).first()
-    low = [got[f"lo{i}"] if got[f"lo{i}"] is not None else 0.0 for i in many]
-    width = [max((got[f"hi{i}"] or 0.0) - low[i], 1e-12) for i in many]
+    groups = groups.withColumn(f"_m{n_meta}", F.col("_bytes"))
     tie = F.pmod(F.xxhash64(F.lit(7), "_h1", "_h2"), F.lit(1 << TIE_BITS))
-    scaled = [((F.col(f"_v{i}") - F.lit(low[i])) / F.lit(width[i]) * F.lit(float((1 << VALUE_BITS) - 1))).cast("long") for i in many]
-    return groups.select("_h1", "_h2", "_bytes", *[(s * F.lit(1 << TIE_BITS) + tie).alias(f"_d{i}") for i, s in enumerate(scaled)])
+    used = []
+    for i, c in enumerate([*names, f"_m{n_meta}"]):
+        places = _places(groups, c)
+        used.append(places)
+        size = places.agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length(F.col(c).cast("string"))).alias("c")).first()
+        few = F.broadcast(places) if size["n"] <= VALUES and (size["c"] or 0) <= VALUE_CHARS else places
+        few = few.withColumnRenamed(c, "_value")
+        groups = groups.join(few, F.col(c).eqNullSafe(F.col("_value"))).withColumn(f"_d{i}", F.col("_place") * F.lit(1 << TIE_BITS) + tie).drop(c, "_value", "_place")
+    return groups.drop("_rows"), used
 
 
 def _share(total: int, shards: int) -> float:
@@ -178,14 +187,18 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     texts share a shard; a group over a shard's fair size therefore makes that shard
     larger. Slots run from 0 without gaps in each shard, in hashed parts and then by id.
 
-    Null text: as the empty text, size 1. Null id: as any other id. Null, NaN or infinite
-    metadata: as 0. Strings count by their order, from where the column's values first differ. Empty table: empty result. Repeated rows all stay. Other columns serve
-    as dimensions (all numbers and strings; a group has its least value) and are not returned.
+    Null text: as the empty text, size 1. Null id: as any other id. Empty table: empty result.
+    Repeated rows all stay. Other columns are not returned; those of numbers, strings, booleans,
+    dates and times are dimensions, in the order that Spark sorts their values: null before all
+    others, NaN after them. A group has the least of its values; other kinds of columns are not used.
     """
     n_meta = len(_metadata(docs, id_col, text_col))
     points = cut(_points(docs, id_col, text_col))
     groups = points.groupBy("_h1", "_h2").agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"), *[F.min(f"_m{i}").alias(f"_m{i}") for i in range(n_meta)])
-    codes = cut(_codes(groups, n_meta))
+    groups = cut(groups)
+    made, used = _codes(groups, n_meta)
+    codes = cut(made)
+    discard(groups, *used)
     if shards is None:
         total = codes.agg(F.sum("_bytes")).first()[0] or 0
         shards = max(1, -(-total // max(1, target_bytes or 1 << 27)))

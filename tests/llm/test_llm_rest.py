@@ -448,6 +448,43 @@ def test_kd_tree_agrees_with_plain(spark):
         assert {r["i"]: r["shard"] for r in got} == {i: want[id(p)] for i, p in enumerate(points)}
 
 
+def places(values):
+    """Each value's place among the different ones, null first, as Spark orders them."""
+    some = sorted({v for v in values if v is not None and v == v})
+    order = ([None] if None in values else []) + some
+    at = {v: i for i, v in enumerate(order)}
+    return [len(order) if v is not None and v != v else at[v] for v in values]
+
+
+@pytest.mark.parametrize("kind", ["an outlier", "a broken prefix", "a long common prefix", "nulls and NaN", "many types"])
+def test_kd_tree_of_values_equals_plain(spark, kind):
+    rng = random.Random(11)
+    n = 160
+    numbers, names = [float(rng.randrange(40)) for _ in range(n)], [f"https://site/{'x' * 30}/{rng.randrange(10**6):06d}" for _ in range(n)]
+    if kind == "an outlier":
+        numbers[3] = 1e18
+    elif kind == "a broken prefix":
+        names[5] = "http"
+    elif kind == "nulls and NaN":
+        numbers[:6] = [None, float("nan"), float("inf"), float("-inf"), None, 0.0]
+        names[7] = None
+    import datetime
+    import decimal
+
+    days = [datetime.date(2020, 1, 1) + datetime.timedelta(rng.randrange(90)) for _ in range(n)]
+    flags, prices = [rng.random() < 0.5 for _ in range(n)], [decimal.Decimal(rng.randrange(9)) / 4 for _ in range(n)]
+    texts = [f"t{i}" + "y" * rng.randrange(200) for i in range(n)]
+    columns = [numbers, names] + ([days, flags, prices] if kind == "many types" else [])
+    schema = "doc_id long, text string, a double, b string" + (", c date, d boolean, e decimal(9,2)" if kind == "many types" else "")
+    df = spark.createDataFrame([(i, texts[i], *row) for i, row in enumerate(zip(*columns, strict=True))], schema).repartition(5)
+    weights = [len(t) + 1 for t in texts]
+    ties = {r["text"]: r["tie"] for r in df.select("text", F.pmod(F.xxhash64(F.lit(7), F.xxhash64(F.lit(1), "text"), F.xxhash64(F.lit(2), "text")), F.lit(1 << sharding.TIE_BITS)).alias("tie")).collect()}
+    codes = [[p * (1 << sharding.TIE_BITS) + ties[t] for p, t in zip(places(c), texts, strict=True)] for c in [*columns, weights]]
+    points = [(w, c) for w, c in zip(weights, zip(*codes, strict=True), strict=True)]
+    want = plain_kd(points, 8)
+    assert {r["doc_id"]: r["shard"] for r in sharding.kd_shards(df, shards=8).collect()} == {i: want[id(p)] for i, p in enumerate(points)}
+
+
 def test_shards_of_target_bytes_and_nothing(spark):
     df = spark.createDataFrame([(i, "x" * 99) for i in range(10)], "doc_id long, text string")
     got = sharding.kd_shards(df.withColumn("text", F.concat("text", "doc_id")), target_bytes=505).collect()
