@@ -2,8 +2,9 @@
 
 Both tokenizers' tokens of a document are exploded into one relation (document, side, position,
 id). A window over (document, side) adds their bytes up to the offset where each starts. Where
-tokens of both sides start, tokens of both sides end: the equi-join on document and offset is a
-window over both, as they are in one relation already, and so needs no second shuffle. The running
+tokens of both sides start, tokens of both sides end: sorted by document and offset the two are
+neighbours, so the equi-join on document and offset compares a row with the one before or after,
+and needs no second shuffle. The running
 count of such cuts numbers the groups. Every offset where any token starts opens a stretch that lies
 in one token of each side, and two tokens that overlap share exactly one such stretch; the last
 token of each side up to an offset is therefore a link, and no pairs within a group are tried.
@@ -43,7 +44,8 @@ def tokens(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", te
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = subwords.byte_bpe(a_file, " ", True), subwords.piece_bpe(b_file)
+        half = subwords.CACHED // 2  # of two caches in a worker
+        a, b = subwords.byte_bpe(a_file, " ", True, half), subwords.piece_bpe(b_file, half)
         bytes_a, bytes_b = subwords.byte_bpe_tokens(a_file), subwords.piece_bpe_tokens(b_file)
         none = np.zeros(0, np.int32)
         for batch in batches:
@@ -80,8 +82,8 @@ def vocabulary(spark: SparkSession, a_file: str, b_file: str) -> DataFrame:
 
 
 def marked(coded: DataFrame, names: DataFrame, partitions: int) -> DataFrame:
-    """(row, id, side, pos, token, start, group, link): every token with its group; link is null where the pair is told by the other side."""
-
+    """(row, id, side, pos, token, cut, group, link): every token with its group, ``cut`` if it is the first of
+    its side there; link is null where the pair is told by the other side."""
     def side(column: str, s: int) -> Column:
         low = SHORT if dict(coded.dtypes)[column] == "array<smallint>" else 0
         return F.transform(column, lambda t, i: F.struct(F.lit(s).alias("side"), i.alias("pos"), (t.cast("int") + low).alias("token")))
@@ -90,37 +92,48 @@ def marked(coded: DataFrame, names: DataFrame, partitions: int) -> DataFrame:
     rows = coded.repartition(partitions, "row").select("row", "id", F.explode_outer(both).alias("t")).select("row", "id", "t.*")
     rows = rows.join(F.broadcast(names), ["side", "token"], "left")
     before = Window.partitionBy("row", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    here, upto = Window.partitionBy("row", "start"), Window.partitionBy("row").orderBy("start")
-    rows = rows.withColumn("start", F.coalesce(F.sum("bytes").over(before), F.lit(0))).withColumn("cut", F.count("token").over(here) == 2)
+    order = Window.partitionBy("row").orderBy("start", "side")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("start", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    other = F.when(F.col("side") == 0, F.lead("start").over(order)).otherwise(F.lag("start").over(order))
+    rows = rows.withColumn("cut", F.coalesce(other == F.col("start"), F.lit(False)))
     a, b = (F.last(F.when(F.col("side") == s, F.col("token")), ignorenulls=True).over(upto) for s in (0, 1))
     group = F.sum(F.when(F.col("cut") & (F.col("side") == 0), 1)).over(upto)
     rows = rows.withColumns({"group": group, "_a": a, "_b": b})
-    told = F.when((F.col("side") == 0) | ~F.col("cut"), F.col("_a").cast("long") * WIDE + F.col("_b"))
-    return rows.select("row", "id", "side", "pos", "token", "start", "group", told.alias("link"))
+    # of two tokens that start together the second row, side B's, knows both
+    told = F.when((F.col("side") == 1) | ~F.col("cut"), F.col("_a").cast("long") * WIDE + F.col("_b"))
+    return rows.select("row", "id", "side", "pos", "token", "cut", "group", told.alias("link"))
+
+
+#: A token of a block as one number, so that a block sorts as numbers: group, side, position, cut, id.
+_GROUP, _SIDE, _POS, _CUT = 1 << 50, 1 << 49, 1 << 21, 1 << 20
+
+
+def _member() -> Column:
+    number = lambda c, unit: F.col(c).cast("long") * F.lit(unit)
+    within = F.pmod(F.col("group") - 1, F.lit(BLOCK))
+    return F.when(F.col("token").isNotNull(), within * F.lit(_GROUP) + number("side", _SIDE) + number("pos", _POS) + number("cut", _CUT) + number("token", 1))
 
 
 def _text(members: Column) -> Column:
-    """A block's groups as text; members are (group, side, pos, token) in order."""
+    """A block's groups as text: the first token of a side in a group follows ``;`` or ``|``, all others a comma."""
 
-    def one(m: Column, i: Column, every: Column) -> Column:
-        p = F.get(every, i - 1)
-        sign = F.when(i == 0, "").when(p["group"] != m["group"], ";").when(p["side"] != m["side"], "|").otherwise(",")
-        return F.concat(sign, m["token"].cast("string"))
+    def one(m: Column) -> Column:
+        first, b = m.bitwiseAND(F.lit(_CUT)) != 0, m.bitwiseAND(F.lit(_SIDE)) != 0
+        return F.concat(F.when(~first, ",").when(b, "|").otherwise(";"), m.bitwiseAND(F.lit(_CUT - 1)).cast("string"))
 
-    sorted_ = F.array_sort(members)
-    return F.get(F.transform(F.array(sorted_), lambda s: F.array_join(F.transform(s, lambda m, i: one(m, i, s)), "")), F.lit(0))
+    return F.substr(F.array_join(F.transform(F.sort_array(members), one), ""), F.lit(2))
 
 
 def gathered(rows: DataFrame) -> DataFrame:
     """(row, id, n_a, n_b, n_groups, groups, links) a document: ``groups`` as text, ``links`` a number per link."""
     block = F.floor((F.coalesce("group", F.lit(1)) - 1) / BLOCK)
-    member = F.when(F.col("token").isNotNull(), F.struct("group", "side", "pos", "token"))
     blocks = rows.groupBy("row", block.alias("block")).agg(
         F.first("id").alias("id"),
         F.count_if(F.col("token").isNotNull() & (F.col("side") == 0)).alias("n_a"),
         F.count_if(F.col("token").isNotNull() & (F.col("side") == 1)).alias("n_b"),
         F.max("group").alias("n_groups"),
-        F.collect_list(member).alias("members"),
+        F.collect_list(_member()).alias("members"),
         F.collect_list("link").alias("links"),
     )
     blocks = blocks.withColumn("text", _text(F.col("members"))).drop("members")
@@ -158,11 +171,20 @@ def align(docs: DataFrame, a_file: str | None = None, b_file: str | None = None,
     spark = docs.sparkSession
     a_file, b_file = a_file or subwords.path(subwords.BYTE_BPE), b_file or subwords.path(subwords.PIECE_BPE)
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    if max(map(len, (subwords.byte_bpe_tokens(a_file), subwords.piece_bpe_tokens(b_file)))) > _CUT:
+        raise ValueError(f"a vocabulary has more than {_CUT} entries")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     whole = gathered(marked(tokens(docs, a_file, b_file, id_col, text_col), vocabulary(spark, a_file, b_file), partitions))
     if digest:
         whole = whole.withColumn("groups", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)))
-    kept = cut(whole)
+    # a partition's documents are few and small together, so they are gathered without another sort
+    spill = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    usual = spark.conf.get(spill)
+    spark.conf.set(spill, 1 << 16)
+    try:
+        kept = cut(whole)
+    finally:
+        spark.conf.set(spill, usual)
     counts = cut(pair_counts(kept))
     each = kept.select("row", F.explode("links").alias("link"))
     if counts.count() <= limit:

@@ -43,8 +43,8 @@ class Subwords:
     """Ids of texts by ``inner`` (all ids of segments after a space, given without it, and how many each
     has) and ``first`` (the ids of texts' first segments)."""
 
-    def __init__(self, inner: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], first: Encode, parted: bool = True):
-        self.inner, self.first, self.parted = inner, first, parted
+    def __init__(self, inner: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], first: Encode, parted: bool = True, cached: int | None = None):
+        self.inner, self.first, self.parted, self.cached = inner, first, parted, CACHED if cached is None else cached
         self._clear()
 
     def _clear(self) -> None:
@@ -82,7 +82,7 @@ class Subwords:
         yield from self._parts([_segments(t) for t in texts])
 
     def _parts(self, texts: list[list[str]], lead: bool = True) -> Iterator[np.ndarray]:
-        if self.pool.n > CACHED:
+        if self.pool.n > self.cached:
             self._clear()
         heads = self.first([t[0] for t in texts]) if lead and texts else []
         flat = list(itertools.chain.from_iterable(t[1:] if lead else t for t in texts))
@@ -142,7 +142,7 @@ def _blocks(text: str) -> Iterator[str]:
 
 
 @lru_cache(maxsize=4)
-def byte_bpe(file: str, lead: str = "", plain: bool = False) -> Subwords:
+def byte_bpe(file: str, lead: str = "", plain: bool = False, cached: int | None = None) -> Subwords:
     """A tokenizer file of the ``tokenizers`` library, without added special tokens, kept per process.
 
     Texts are encoded with ``lead`` before them. ``plain``: strings of special tokens are plain text.
@@ -159,7 +159,7 @@ def byte_bpe(file: str, lead: str = "", plain: bool = False) -> Subwords:
     parted = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(" " in x for x in added) and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
     many = lambda before: lambda texts: [e.ids for e in t.encode_batch_fast([before + x for x in texts], add_special_tokens=False)]
     if not parted or not _merges_by_id(spec):
-        return Subwords(lambda texts: flat(many(" ")(texts)), many(lead), parted)
+        return Subwords(lambda texts: flat(many(" ")(texts)), many(lead), parted, cached)
     names, special = byte_bpe_tokens(file), [] if plain else [x["content"] for x in spec["added_tokens"]]
     rank = _rank_coder(names, {x["id"] for x in spec["added_tokens"]})
     lengths = np.array([len(x) for x in names])
@@ -173,7 +173,7 @@ def byte_bpe(file: str, lead: str = "", plain: bool = False) -> Subwords:
         upto = np.searchsorted(np.cumsum(lengths[ids]), ends) + 1
         return ids, np.diff(upto, prepend=0)
 
-    return Subwords(inner, many(lead), parted)
+    return Subwords(inner, many(lead), parted, cached)
 
 
 def _merges_by_id(spec: dict) -> bool:
@@ -193,7 +193,7 @@ def _rank_coder(names: list[bytes], special: set[int]) -> Callable[[str], list[i
 
 
 @lru_cache(maxsize=4)
-def piece_bpe(file: str) -> Subwords:
+def piece_bpe(file: str, cached: int | None = None) -> Subwords:
     """A byte-pair model file of the ``sentencepiece`` library, which puts a space before each text itself."""
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -206,7 +206,7 @@ def piece_bpe(file: str) -> Subwords:
     keeps = norm.add_dummy_prefix and not norm.precompiled_charsmap and not norm.remove_extra_whitespaces
     parted = keeps and spec.trainer_spec.model_type == pb.TrainerSpec.BPE and not any(re.search("[^\u2581]\u2581", x.piece) for x in spec.pieces)
     many = lambda texts: p.encode(texts, num_threads=1)
-    return Subwords(lambda texts: flat(many(texts)), many, parted)
+    return Subwords(lambda texts: flat(many(texts)), many, parted, cached)
 
 
 def byte_bpe_tokens(file: str) -> list[bytes]:

