@@ -7,7 +7,12 @@ from .functions.references import HINT_TERMS
 from .operators.chunking import TITLE_TOKENS
 from .operators.evaluation import ALIASES
 from .operators.history import KNOWN_NAMES, SOURCE_FIELDS
-from .oracles import _BLANK, _CAND, _COS, _FOLD, _NORM, _TAGGED, _case, _has, _long, _pack, _refs
+from .queries import FILES
+from .oracles import _BLANK, _CAND, _COS, _FOLD, _NORM, _STEM, _TAGGED, ORACLES, _case, _has, _long, _NAMED, _pack, _refs, _values
+
+#: The same SQL as for given names, over a name made of each document's source.
+_FILE_NAMES = f"(SELECT *, {_STEM} AS stem, {_FOLD.format(_STEM)} AS f FROM (SELECT doc_id AS id, v.stem || ' ' || source || '.html' AS name FROM documents JOIN {_values([(i, x.rpartition('.')[0]) for i, x in FILES], 'i, stem')} AS v ON v.i = doc_id % {len(FILES)}))"
+_LINES = f"""lines AS (SELECT doc_id, source, doc_id // 500 AS k, CASE WHEN doc_id % 5 <> 0 THEN nullif(trim(text, {_BLANK}), '') END AS content, CASE WHEN doc_id % 3 = 1 THEN 'T' || doc_id END AS title FROM documents)"""
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
@@ -122,6 +127,13 @@ FLOW_ORACLES = {
         hits AS (SELECT m.query_id, m.doc_id AS id, n_terms, pos, w.term, w FROM m JOIN qt ON qt.query_id = m.query_id JOIN weights w ON w.doc_id = m.doc_id AND w.term = qt.term), {_cover('hits')},
         o AS (SELECT query_id, id, total / (total + 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY total / (total + 1) DESC, id) AS r FROM ranked)
         SELECT query_id, id AS doc_id, round(score, 6) AS keyword_score FROM o WHERE r <= 50""",
+    "metadata_of_documents": ORACLES["infer_metadata"].replace(_NAMED, _FILE_NAMES),
+    "history_saved_by_stream": ORACLES["history_last_per_conversation"],
+    "jsonl_numbered": f"""WITH {_LINES}, c AS (SELECT *, CASE WHEN doc_id % 7 = 3 THEN 'invalid' WHEN doc_id % 7 = 5 THEN 'not_object' WHEN content IS NULL THEN 'empty_text' ELSE 'ok' END AS class FROM lines)
+        SELECT doc_id, class, CASE WHEN class IN ('ok', 'empty_text') THEN title END AS document_title, CASE WHEN class = 'ok' THEN md5(content) END AS content_md5, TRUE AS numbered FROM c""",
+    "ingested_files": f"""WITH {_LINES}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n FROM lines)
+        SELECT 'f' || k || '.jsonl' AS filename, coalesce(min_by(title, doc_id) FILTER (WHERE title IS NOT NULL), 'f' || k) AS title, count(content) AS chunks_count, md5(string_agg(md5(content), '' ORDER BY doc_id) FILTER (WHERE content IS NOT NULL)) AS contents_md5,
+               nullif(count(*) - count(content), 0) AS skipped, min(n) FILTER (WHERE content IS NULL) AS first_skipped FROM n GROUP BY k HAVING count(content) > 0""",
     "stored_lexemes": r"""WITH p AS (SELECT doc_id, 'f' || doc_id || ' ' || source AS names, regexp_extract_all(lower(source), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(lang), '[\p{L}\p{N}]+') AS b, regexp_extract_all(lower(substr(coalesce(text, ''), 1, 300)), '[\p{L}\p{N}]+') AS c FROM documents)
         SELECT doc_id AS document_id, names, CAST(len(a) + len(b) + len(c) AS BIGINT) AS lexemes, CAST(len(a) + len(b) + len(c) AS BIGINT) AS last_pos, round(1.0::DOUBLE * len(a) + 0.4::DOUBLE * len(b) + 0.1::DOUBLE * len(c), 4) AS weight, list_min(a || b || c) AS first_lexeme FROM p""",
     "legal_chunks": f"""WITH RECURSIVE norm AS (SELECT doc_id, string_split(trim({_NORM}, {_BLANK}), chr(10)) AS ls FROM ({_LEGAL})),

@@ -8,14 +8,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .config import scratch_dir
 from .functions import fulltext, references, text
 from .operators import chunking, evaluation, history, postings, retrieval, structure
 from .plans import service
-from .queries import SIZE, _table, _tagged
+from .queries import FILES, SIZE, _table, _tagged
 from .schemas import CHUNK, DOCUMENT, SOURCE
-from .sources import files, sinks
+from .sources import files, jsonl_files, sinks
+from .streaming.history import save_history, saved_history
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -220,6 +222,58 @@ def store_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.documents().join(held, "document_id", "left").select("document_id", "filename", "title", "chunks", "content_md5")
 
 
+def _lines_of_documents() -> list[Column]:
+    """A document as a line's columns: every fifth without text, every third with a title."""
+    d = F.col("doc_id")
+    return [F.when(d % 5 != 0, F.col("text")).alias("text"), F.when(d % 3 == 1, F.concat(F.lit("T"), _str("doc_id"))).alias("document_title"), (d % 90).cast("string").alias("article_number")]
+
+
+def ingested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """500 documents a JSONL file, each file written by its name, all ingested: titles, chunks and what was skipped."""
+    folder = _scratch(spark, "files")
+    docs = _table(spark, sf_dir, "documents").withColumn("name", F.concat(F.lit("f"), F.floor(F.col("doc_id") / 500).cast("string"), F.lit(".jsonl")))
+    jsonl_files.write_files(docs.select("name", "doc_id", *_lines_of_documents()), folder, "name", ["doc_id"])
+    store = sinks.Store(spark, _scratch(spark, "store"), 8)
+    service.ingest(spark, folder, store, stops=frozenset())
+    rows = service.list_documents(store.documents(), store.chunks())
+    contents = F.array_sort(F.collect_list(F.struct("chunk_index", F.md5(F.col("content").cast("binary")).alias("m"))))
+    digests = store.chunks().groupBy("filename").agg(F.md5(F.array_join(F.transform(contents, lambda c: c["m"]), "").cast("binary")).alias("contents_md5"))
+    skipped = store.issues().groupBy("filename").agg(F.count(F.lit(1)).alias("skipped"), F.min(F.regexp_extract("said", r"line (\d+) ", 1).cast("long")).alias("first_skipped"))
+    return rows.join(digests, "filename").join(skipped, "filename", "left").select("filename", "title", "chunks_count", "contents_md5", "skipped", "first_skipped")
+
+
+def jsonl_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as lines of a few large files, some of them broken, read in splits: each line's class, and that its number is its place."""
+    path, d = _scratch(spark, "lines"), F.col("doc_id")
+    docs = _table(spark, sf_dir, "documents").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    value = F.when(d % 7 == 3, F.concat(F.lit("{bad "), _str("doc_id"))).when(d % 7 == 5, F.concat(F.lit("["), _str("doc_id"), F.lit("]"))).otherwise(F.to_json(F.struct(_str("doc_id").alias("article_number"), *_lines_of_documents()[:2])))
+    docs.select(value.alias("value")).write.option("compression", "none").text(path)
+    lines = files.read_lines(spark, path, ".txt")
+    parsed = files.parse_jsonl(lines, also=("part", "line")).withColumn("doc_id", F.coalesce(F.get_json_object("line", "$.article_number"), F.regexp_extract("line", r"^[^0-9]*(\d+)", 1)).cast("long"))
+    counts = parsed.groupBy("filename").agg(F.count(F.lit(1)).alias("lines"), F.min("n").alias("low"), F.max("n").alias("high"), F.countDistinct("n").alias("different"))
+    whole = (F.col("low") == 1) & (F.col("high") == F.col("lines")) & (F.col("different") == F.col("lines"))
+    order = F.coalesce(F.lag("doc_id").over(Window.partitionBy("filename", "part").orderBy("n")) < F.col("doc_id"), F.lit(True))
+    return parsed.join(counts, "filename").select("doc_id", "class", "document_title", F.md5(F.col("item.content").cast("binary")).alias("content_md5"), (whole & order).alias("numbered"))
+
+
+def metadata_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What names of files say, for a file name made of each document's source."""
+    stems = F.array(*[F.lit(x.rpartition(".")[0]) for _, x in FILES])
+    name = F.concat(F.get(stems, (F.col("doc_id") % len(FILES)).cast("int")), F.lit(" "), "source", F.lit(".html"))
+    rows, docx = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), name.alias("name")), structure.docx_metadata(F.col("name"))
+    return rows.select("id", structure.html_document_id(F.col("name")).alias("html_id"), structure.html_title(F.col("name")).alias("html_title"), docx["document_id"].alias("docx_id"), docx["output_filename"].alias("docx_file"), docx["recognised"].alias("recognised"))
+
+
+def history_saved_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last three messages of each conversation, as a stream over the table keeps them."""
+    table, path = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content")), _scratch(spark, "messages")
+    table.write.parquet(path)  # files as they would arrive
+    rows = spark.readStream.schema(table.schema).parquet(path)
+    out = _scratch(spark, "history")
+    save_history(rows, out, _scratch(spark, "history-checkpoint"), limit=3).awaitTermination()
+    return saved_history(spark, out).select("conv_id", "turn", "role", F.col("n").cast("long").alias("n"))
+
+
 def conversion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and records of each page: pages without records, or not readable, have failed."""
     pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), _str("page_id")).alias("source_filename"), "page_id", F.posexplode_outer(F.when(F.col("page_id") % 10 != 0, files.html_lines_native(F.col("html")))).alias("n", "line"))
@@ -260,6 +314,6 @@ FLOWS = {
     f.__name__: f
     for f in (
         hybrid_keyword, keyword_candidates, stored_lexemes, legal_chunks, legal_records, references_of_documents, judge_relevance, judged_metrics, expected_names, case_checks,
-        jsonl_round_trip, store_replace, conversion_report, query_checks, title_parts, display_values,
+        jsonl_round_trip, jsonl_numbered, ingested_files, store_replace, metadata_of_documents, history_saved_by_stream, conversion_report, query_checks, title_parts, display_values,
     )
 }
