@@ -8,6 +8,7 @@ folds, which copy what is left of a text at each step; tests hold the two agains
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -147,6 +148,26 @@ def overlapped(chunks: list[str], n: int) -> list[str]:
     return out
 
 
+_BREAKS = re.compile("[\f\x0b\x85\u2028]")
+
+
+def normalized(text: str) -> str:
+    """As ``normalize_text`` says; what a text does not hold is not looked for twice."""
+    if "\ufeff" in text:
+        text = text.replace("\ufeff", "")
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if not text.isascii() or "\f" in text or "\x0b" in text:
+        text = _BREAKS.sub("\n", text.replace("\u2029", "\n\n"))
+    if "\t" in text or "  " in text:
+        text = re.sub("[ \t]+", " ", text)
+    if " \n" in text or "\n " in text:
+        text = text.replace(" \n", "\n").replace("\n ", "\n")
+    while "\n\n\n" in text:
+        text = text.replace("\n\n\n", "\n\n")
+    return text.strip(_WHITE)
+
+
 def split(text: str, size: int, n_overlap: int, separator: str) -> list[str]:
     """As ``split_text`` says, of a normalised text."""
     parts = (p for x in text.split(separator) if (p := x.strip(_WHITE)))
@@ -188,7 +209,7 @@ def overlap(chunks: Column, n: int) -> Column:
 def split_text(text: Column, size: int = 1200, n_overlap: int = 200, separator: str = "\n\n") -> Column:
     """Normalise, cut into paragraphs, cut long ones, pack, overlap. Null or blank: no chunks."""
     check_sizes(size, n_overlap)
-    return _strings_of(lambda x: split(x, size, n_overlap, separator), normalize_text(F.coalesce(text, F.lit(""))))
+    return _strings_of(lambda x: split(normalized(x), size, n_overlap, separator), F.coalesce(text, F.lit("")))
 
 
 def title_continues(previous: Column, following: Column) -> Column:

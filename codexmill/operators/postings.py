@@ -7,30 +7,55 @@ density is computed from the matched postings by array functions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Folders that postings are dealt to by term.
 BUCKETS = 64
+#: Parts of a folder, by id.
+PARTS = 4
 _LAST = "array<struct<i:int,pos:int,before:double>>"
 
 
 def index(rows: DataFrame, id_col: str = "chunk_id", lexemes: str = "lexemes", also: tuple[str, ...] = ()) -> DataFrame:
-    """(term, id, places) of rows with lexemes; columns named in ``also`` belong to the id and pass through.
+    """(term, id, places) of rows with lexemes; columns named in ``also`` pass through.
 
-    Rows without lexemes have no postings; rows that repeat an id have their places together.
+    A row's lexemes are all in it, so they are grouped there, a batch of rows by one sort, and nothing
+    is shuffled. Rows without lexemes have no postings. Ids are unique.
     """
-    every = rows.select(id_col, *also, F.explode(lexemes).alias("e"))
-    places = F.array_sort(F.collect_list(F.struct("e.pos", "e.weight")))
-    return every.groupBy(F.col("e.lexeme").alias("term"), id_col, *also).agg(places.alias("places"))
-
-
-def dealt(postings: DataFrame) -> DataFrame:
-    """Postings in order of term with the ``bucket`` of each, to be written in folders by it: a query's
-    terms then prune folders and, within them, row groups."""
+    keep = [id_col, *also]
+    schema = T.StructType([T.StructField("term", T.StringType()), *(rows.schema[c] for c in keep), T.StructField("places", T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("weight", T.DoubleType())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = b.column(len(keep))
+            said = every.flatten()
+            row = np.repeat(np.arange(len(every)), every.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            terms, pos, weight = said.field("lexeme").dictionary_encode(), said.field("pos").to_numpy(), said.field("weight").to_numpy()
+            code = terms.indices.to_numpy()
+            order = np.lexsort((pos, code, row))
+            row, code = row[order], code[order]
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])) if len(row) else np.zeros(0, int)
+            entry = pa.StructArray.from_arrays([pa.array(pos[order], pa.int32()), pa.array(weight[order], pa.float64())], ["pos", "weight"])
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), entry)
+            at = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(code[first])), *(b.column(i).take(at) for i in range(len(keep))), places], schema.names)
+
+    return rows.select(*keep, lexemes).filter(F.size(lexemes) > 0).mapInArrow(run, schema)
+
+
+def dealt(postings: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """Postings with the ``bucket`` of their term, to be written in folders by it, in order of term: a query's
+    terms then prune folders and, within them, row groups. A term that all rows hold is dealt to PARTS tasks."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    return postings.withColumn("bucket", bucket).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
+    part = F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(PARTS))
+    return postings.withColumn("bucket", bucket).repartition("bucket", part).sortWithinPartitions("bucket", "term")
 
 
 def _asked(queries: DataFrame) -> DataFrame:

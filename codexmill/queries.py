@@ -229,13 +229,12 @@ def keyword_match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_rank_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matching documents ranked by the postings of all documents."""
+    """The matching documents ranked; only they are parsed into postings with places."""
+    docs, queries = _worded(spark, sf_dir), _benchmark_terms(spark, sf_dir)
+    within = retrieval.match_all(docs, queries)
     lexemes = fulltext.lexeme_column([(F.col("source"), fulltext.WEIGHT_A), (F.col("text"), fulltext.WEIGHT_D)], stemmed=False)
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), lexemes.alias("lexemes"))
-    hits = postings.match(postings.index(docs), _benchmark_terms(spark, sf_dir))
-    # a term counts where the text itself holds it; the source's own words only add to the rank
-    hits = hits.filter(F.forall("hits", lambda h: F.exists(h["places"], lambda p: p["weight"] == fulltext.WEIGHT_D)))
-    found = hits.select("query_id", "chunk_id", postings.cover_density(F.col("hits")).alias("keyword_score"))
+    few = docs.join(within.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", lexemes.alias("lexemes"))
+    found = postings.ranked(postings.index(few), queries).join(within, ["query_id", "chunk_id"], "left_semi")
     return postings.best(found, retrieval.candidate_limit(5)).select("query_id", F.col("chunk_id").alias("doc_id"), F.round("keyword_score", 6).alias("keyword_score"))
 
 

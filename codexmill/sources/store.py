@@ -30,6 +30,10 @@ _DOCUMENT, _CHUNK, _ISSUE = (StructType([*fields, StructField("run", StringType(
 _POSTING = "term string, chunk_id long, document_id long, places array<struct<pos:int,weight:double>>, bucket int, run string"
 
 
+#: Chunks of a document that are dealt to one task together.
+TOGETHER = 1000
+
+
 class VersionTaken(RuntimeError):
     """Another run has published this version."""
 
@@ -166,8 +170,9 @@ class Store:
 
     def _put(self, chunks: DataFrame, run: str) -> None:
         """A run's chunks, and their postings as written chunks have them."""
-        order = ["document_id", "chunk_index"]
-        self._write(chunks.repartitionByRange(*order).sortWithinPartitions(*order), f"{self.path}/chunks/run={run}")
+        # dealt by hash: a range would be sampled, and making the chunks is the dear part
+        dealt = chunks.repartition("document_id", F.floor(F.col("chunk_index") / TOGETHER))
+        self._write(dealt.sortWithinPartitions("document_id", "chunk_index"), f"{self.path}/chunks/run={run}")
         written = self.spark.read.schema(CHUNK).parquet(f"{self.path}/chunks/run={run}")
         self._write(postings.dealt(postings.index(written, also=("document_id",))), f"{self.path}/postings/run={run}", "bucket")
 

@@ -37,6 +37,14 @@ def test_legal_rows_equal_folds(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
 
 
+def test_normalising_in_batches_equals_columns(spark):
+    rng = random.Random(7)
+    parts = ["a", "é", " ", "  ", "\n", "\r\n", "\r", "\t", "\f", "\x0b", "\x85", "\u2028", "\u2029", "\ufeff", "\u00a0", "\u3000", "\x1c"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(500)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "i int, t string").select("i", chunking.normalize_text(F.col("t")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: chunking.normalized(t) for i, t in enumerate(some)}
+
+
 @pytest.mark.parametrize("segment", [1, 2, 5, 7])
 def test_records_in_segments_equal_records_of_whole_documents(spark, segment):
     rng = random.Random(segment)

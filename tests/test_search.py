@@ -75,9 +75,11 @@ def test_postings_match_and_rank_as_plain(spark, corpus):
     assert postings.ranked(postings.index(df.withColumn("lexemes", F.array().cast(fulltext.LEXEMES))), queries).count() == 0
 
 
-def test_keyword_search_reads_no_corpus_and_no_python(spark, corpus):
+def test_keyword_search_reads_no_corpus_and_no_python(spark, corpus, tmp_path):
     _, df = corpus
-    held = postings.index(df.withColumn("lexemes", F.array().cast(fulltext.LEXEMES)))
+    lexemes = fulltext.lexeme_column([(F.col("text"), 0.1)], stemmed=False)
+    postings.dealt(postings.index(df.select("chunk_id", lexemes.alias("lexemes")))).write.partitionBy("bucket").parquet(str(tmp_path / "p"))
+    held = spark.read.parquet(str(tmp_path / "p"))
     plan = postings.ranked(held, spark.createDataFrame([(0, ["a"])], "query_id long, terms array<string>"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
