@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 #: Folders that postings are dealt to by term.
 BUCKETS = 64
+#: Terms of all queries together that may be broadcast.
+TERMS = 100_000
 #: Parts of a folder, by id.
 PARTS = 4
 _LAST = "array<struct<i:int,pos:int,before:double>>"
@@ -70,6 +72,8 @@ def match(postings: DataFrame, queries: DataFrame, id_col: str = "chunk_id") ->
     looked up under the others.
     """
     asked = _asked(queries)
+    if asked.limit(TERMS + 1).count() <= TERMS:
+        asked = F.broadcast(asked)  # then postings are filtered where they are read
     frequency = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     rarity = F.struct(F.coalesce("_df", F.lit(0)), F.col("term"))
     rarest = asked.join(frequency, "term", "left").groupBy("query_id").agg(F.min_by("term", rarity).alias("term"))

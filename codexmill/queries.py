@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .config import scratch_dir
 from .functions import fulltext, references, text
 from .operators import chunking, evaluation, history, inspection, postings, retrieval, structure
 from .plans import answer, service
@@ -223,19 +226,33 @@ def _benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), _terms("text").alias("terms"))
 
 
+def _kept(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows written and read back, as an index is made once and read by every step of a search."""
+    path = f"{scratch_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _worded(spark, sf_dir).select("chunk_id", F.explode("words").alias("term"), F.lit(None).cast("string").alias("places"))
+    return postings.match(_kept(spark, words), _benchmark_terms(spark, sf_dir)).select("query_id", "chunk_id")
+
+
 def keyword_match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold all words of a benchmark item, unstemmed."""
-    return retrieval.match_all(_worded(spark, sf_dir), _benchmark_terms(spark, sf_dir)).withColumnRenamed("chunk_id", "doc_id")
+    return _matching(spark, sf_dir).withColumnRenamed("chunk_id", "doc_id")
 
 
 def keyword_rank_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matching documents ranked; only they are parsed into postings with places."""
-    docs, queries = _worded(spark, sf_dir), _benchmark_terms(spark, sf_dir)
-    within = retrieval.match_all(docs, queries)
+    found = _matching(spark, sf_dir).select("chunk_id").distinct()
     lexemes = fulltext.lexeme_column([(F.col("source"), fulltext.WEIGHT_A), (F.col("text"), fulltext.WEIGHT_D)], stemmed=False)
-    few = docs.join(within.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", lexemes.alias("lexemes"))
-    found = postings.ranked(postings.index(few), queries).join(within, ["query_id", "chunk_id"], "left_semi")
-    return postings.best(found, retrieval.candidate_limit(5)).select("query_id", F.col("chunk_id").alias("doc_id"), F.round("keyword_score", 6).alias("keyword_score"))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source").join(found, "chunk_id", "left_semi")
+    held = _kept(spark, postings.index(docs.select("chunk_id", lexemes.alias("lexemes"))))
+    # a term counts where the text itself holds it; the source's own words only add to the rank
+    hits = postings.match(held, _benchmark_terms(spark, sf_dir)).filter(F.forall("hits", lambda h: F.exists(h["places"], lambda p: p["weight"] == fulltext.WEIGHT_D)))
+    ranked = hits.select("query_id", "chunk_id", postings.cover_density(F.col("hits")).alias("keyword_score"))
+    return postings.best(ranked, retrieval.candidate_limit(5)).select("query_id", F.col("chunk_id").alias("doc_id"), F.round("keyword_score", 6).alias("keyword_score"))
 
 
 # evaluation on labelled vectors
