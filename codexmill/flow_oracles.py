@@ -8,7 +8,7 @@ from .operators.chunking import TITLE_TOKENS
 from .operators.evaluation import ALIASES
 from .operators.history import KNOWN_NAMES, SOURCE_FIELDS
 from .queries import FILES
-from .oracles import _BLANK, _CAND, _COS, _FOLD, _NORM, _STEM, _TAGGED, ORACLES, _case, _has, _long, _NAMED, _pack, _refs, _values
+from .oracles import _BLANK, _CAND, _COS, _FOLD, _NORM, _STEM, _TAGGED, GOLDEN_ORACLES, ORACLES, _case, _has, _long, _NAMED, _pack, _refs, _values
 
 #: The same SQL as for given names, over a name made of each document's source.
 _FILE_NAMES = f"(SELECT *, {_STEM} AS stem, {_FOLD.format(_STEM)} AS f FROM (SELECT doc_id AS id, v.stem || ' ' || source || '.html' AS name FROM documents JOIN {_values([(i, x.rpartition('.')[0]) for i, x in FILES], 'i, stem')} AS v ON v.i = doc_id % {len(FILES)}))"
@@ -127,7 +127,7 @@ FLOW_ORACLES = {
         hits AS (SELECT m.query_id, m.doc_id AS id, n_terms, pos, w.term, w FROM m JOIN qt ON qt.query_id = m.query_id JOIN weights w ON w.doc_id = m.doc_id AND w.term = qt.term), {_cover('hits')},
         o AS (SELECT query_id, id, total / (total + 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY total / (total + 1) DESC, id) AS r FROM ranked)
         SELECT query_id, id AS doc_id, round(score, 6) AS keyword_score FROM o WHERE r <= 50""",
-    "metadata_of_documents": ORACLES["infer_metadata"].replace(_NAMED, _FILE_NAMES),
+    "metadata_of_documents": GOLDEN_ORACLES["infer_metadata"].replace(_NAMED, _FILE_NAMES),
     "history_saved_by_stream": ORACLES["history_last_per_conversation"],
     "jsonl_numbered": f"""WITH {_LINES}, c AS (SELECT *, CASE WHEN doc_id % 7 = 3 THEN 'invalid' WHEN doc_id % 7 = 5 THEN 'not_object' WHEN content IS NULL THEN 'empty_text' ELSE 'ok' END AS class FROM lines)
         SELECT doc_id, class, CASE WHEN class IN ('ok', 'empty_text') THEN title END AS document_title, CASE WHEN class = 'ok' THEN md5(content) END AS content_md5, TRUE AS numbered FROM c""",

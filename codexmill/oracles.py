@@ -202,3 +202,6 @@ ORACLES = {
     "history_last_per_conversation": "SELECT * FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL) WHERE n <= 3",
     "duplicate_ids": "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) > 1 AS repeated FROM conversations",
 }
+
+#: SQL of the golden texts.
+GOLDEN_ORACLES = {name: ORACLES.pop(name) for name in ("structure_records", "reference_extract", "article_number_query", "law_hint_query", "infer_metadata")}

@@ -343,8 +343,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_semantic, knn_batch_topk, hybrid_candidates_union, hybrid_score, alias_exists_boost, doc_chunk_counts, chunks_of_document, paragraph_split, pack_chunks, split_long,
-        chunk_overlap, split_text_chunks, chunk_stats, chunk_previews, html_lines, html_lines_parsed, structure_records, reference_extract, article_number_query, law_hint_query,
-        slugify, identity_normalize, infer_metadata, jsonl_validate, keyword_match_all_terms, keyword_rank_cover_density, eval_case_results, eval_summary, eval_by_law, eval_by_type,
+        chunk_overlap, split_text_chunks, chunk_stats, chunk_previews, html_lines, html_lines_parsed, slugify, identity_normalize, jsonl_validate, keyword_match_all_terms, keyword_rank_cover_density, eval_case_results, eval_summary, eval_by_law, eval_by_type,
         best_worst_groups, label_hit_at_k, prompt_text, sources_projection, history_last_100, history_last_per_conversation, duplicate_ids,
     )
 }
+
+#: Golden texts of a few lines, which tests hold against SQL. They read no table, so the driver does not run
+#: them: legal_records, references_of_documents and metadata_of_documents say the same over tables.
+GOLDEN = {f.__name__: f for f in (structure_records, reference_extract, article_number_query, law_hint_query, infer_metadata)}

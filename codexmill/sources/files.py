@@ -313,7 +313,10 @@ def read_docx(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases; raises ValueError naming the first problem of the first bad case."""
+    """Evaluation cases of a JSON array; raises ValueError if it is none, or naming the first problem of the first bad case."""
+    kind = F.coalesce(F.schema_of_variant(F.try_parse_json("value")), F.lit(""))
+    if not spark.read.text(path, wholetext=True).filter(~F.startswith(kind, F.lit("ARRAY"))).isEmpty():
+        raise ValueError("cases must be a JSON array")
     cases = spark.read.schema(CASE).option("multiLine", True).json(path)
     bad = case_problems(cases).filter("problem is not null").orderBy("id").first()
     if bad is not None:
@@ -347,5 +350,5 @@ HISTORY = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "role",
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Saved chat messages; a corrupt file gives none."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", T.ArrayType(HISTORY)).alias("m"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", T.ArrayType(HISTORY)).alias("m"))
     return whole.select(F.inline("m"))

@@ -142,3 +142,15 @@ def test_a_replayed_batch_of_the_ingest_stream_changes_nothing(spark, tmp_path):
     for batch, number in batches:  # as a restart would repeat them
         put(batch, number)
     assert store.versions() == before and sorted((r["filename"], r["chunk_index"], r["content"]) for r in store.chunks().collect()) == shown
+
+
+def test_cases_must_be_an_array(spark, tmp_path):
+    from codexmill.sources.files import read_cases
+
+    case = {"id": "1", "question": "q", "case_type": "out_of_scope", "expected_behavior": "no_answer"}
+    for name, value in {"object.json": case, "text.json": "x", "array.json": [case]}.items():
+        (tmp_path / name).write_text(json.dumps(value, indent=1))
+    assert read_cases(spark, str(tmp_path / "array.json")).count() == 1
+    for name in ("object.json", "text.json"):
+        with pytest.raises(ValueError, match="array"):
+            read_cases(spark, str(tmp_path / name))

@@ -21,6 +21,10 @@ def plain(v):
     return round(float(v), 6) if isinstance(v, (int, float)) else str(v)
 
 
+GOLDEN = importlib.import_module("codexmill.queries").GOLDEN
+GOLDEN_ORACLES = importlib.import_module("codexmill.oracles").GOLDEN_ORACLES
+
+
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
@@ -30,10 +34,10 @@ def db():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES | GOLDEN_ORACLES))
 def test_oracle(spark, db, name):
-    got = QUERIES[name](spark, SF)
-    cur = db.execute(ORACLES[name])
+    got = (QUERIES | GOLDEN)[name](spark, SF)
+    cur = db.execute((ORACLES | GOLDEN_ORACLES)[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(got.columns)
     order = sorted(names)
