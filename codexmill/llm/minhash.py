@@ -10,21 +10,25 @@ centre. Two members that the centre doesn't join can still be similar, but only
 differ from the centre in some of the same shingles: with d(x) the size of the symmetric
 difference of x and the centre and t = (100 - percent) / (100 + percent), a link of x and
 y needs at least (d(x) + d(y) - t * (n(x) + n(y))) / 2 common differences. A prefix filter
-with positions over these differences finds all such pairs (see ``_labels``). Links are
-confirmed on full shingle sets.
+with positions over these differences finds all such pairs (see ``_labels``). Before that,
+what a bucket's centre has not joined meets further centres of its own. Rows of one
+difference meet by cells of alike bounds, so that of a family of pages with one template
+only pairs that the bounds let through are ever compared. Links are confirmed on full
+shingle sets.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, arrow_rows, cut, discard, small_or_shuffled
+from .common import SALTS, arrow_rows, cut, discard, salted, small_or_shuffled
 from .graph import components
 from .textbytes import U, grams, mix, texts, words
 
@@ -32,6 +36,10 @@ BITS, COORDS, BANDS = 20, 128, 32
 WORDS = 5
 #: Rounds in which pairs meet, as ranges of 32nds of all differences.
 ROUNDS = ((0, 1), (1, 6), (6, 32))
+#: Centres that a bucket gets after its first, each among what the ones before have not joined.
+FURTHER = 2
+#: Cells of bounds in the width of a centre's size, and the least and largest cell.
+CELLS, LEAST_CELL, MOST_CELL = 32, -64, 255
 
 
 def shingles(b: np.ndarray | None, n: int = WORDS) -> np.ndarray:
@@ -118,7 +126,7 @@ def _differences(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, dist, linked, prefix, diffs, none = [], [], [], [], [], np.zeros(0, np.int64)
+            sizes, centre, dist, linked, prefix, diffs, none = [], [], [], [], [], [], np.zeros(0, np.int64)
             for x, y, alone in zip(texts(batch.column("set_a")), texts(batch.column("set_b")), batch.column("alone").to_pylist(), strict=True):
                 c, m = x.view(U), y.view(U)
                 own, lacks = np.setdiff1d(m, c, assume_unique=True), np.setdiff1d(c, m, assume_unique=True)
@@ -126,6 +134,7 @@ def _differences(percent: int):
                 ok = 100 * both >= percent * (len(c) + len(own))
                 least = (d + t * (len(c) - len(m))) / 2 if ok else (d - t * (len(m) + len(c))) / 2
                 sizes.append(len(m))
+                centre.append(len(c))
                 dist.append(d)
                 linked.append(ok)
                 prefix.append(d - max(1, int(np.ceil(max(least, d - most * len(m)) - 1e-9))) + 1)
@@ -133,8 +142,8 @@ def _differences(percent: int):
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in diffs])]).astype(np.int32)
             flat = np.concatenate(diffs) if diffs else none
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(sizes, pa.int64()), pa.array(dist, pa.int64()), pa.array(linked, pa.bool_()), pa.array(prefix, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["a", "b", "n", "d", "linked", "prefix", "diffs"],
+                [batch.column("a"), batch.column("b"), pa.array(sizes, pa.int64()), pa.array(centre, pa.int64()), pa.array(dist, pa.int64()), pa.array(linked, pa.bool_()), pa.array(prefix, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                ["a", "b", "n", "n_a", "d", "linked", "prefix", "diffs"],
             )
 
     return run
@@ -193,8 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _labels(members: DataFrame, source: DataFrame, percent: int) -> DataFrame:
     """(id, component) by all links that pairs sharing a bucket need to be joined.
 
-    First the stars: each member with its bucket's smallest member. Then, around each
-    centre, pairs in different components of which at least one member is not linked to
+    First the stars: each member with its bucket's smallest member, then those that it did
+    not join with further centres (``_further_stars``). Then, around each first centre, pairs in different components of which at least one member is not linked to
     the centre. Differences are put in order of how many of the centre's members have
     them. Those of one member alone come first and meet nothing; where the first one that
     x and y share is the i-th and j-th, min(d(x) - i, d(y) - j) bounds all that they share.
@@ -206,57 +215,114 @@ def _labels(members: DataFrame, source: DataFrame, percent: int) -> DataFrame:
     pairs = cut(members.join(centres, ["key", "salt"]).filter("rep != a").select("a", F.col("rep").alias("b")).distinct())
     alone = pairs.groupBy("a").agg((F.count(F.lit(1)) == 1).alias("alone"))
     rows, used = _with_sets(pairs.join(alone, "a"), source)
-    star = cut(rows.mapInArrow(_differences(percent), "a long, b long, n long, d long, linked boolean, prefix long, diffs array<long>"))
+    star = cut(rows.mapInArrow(_differences(percent), "a long, b long, n long, n_a long, d long, linked boolean, prefix long, diffs array<long>"))
     discard(*used)
     first = components(star.filter("linked"), "a", "b")
-    # a centre whose members it has all joined needs no more
-    open_ones = star.groupBy("a").agg(F.count_if(~F.col("linked")).alias("u"), F.count(F.lit(1)).alias("m")).filter("u > 0 and m > 1").select("a")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    labels = cut(ids.join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    discard(first)
+    labels, checked = _further_stars(members, centres, labels, pairs, source, percent)
+    # a centre whose members are all joined needs no more
+    told = star.select("a", "b", "linked").join(labels, F.col("b") == F.col("id")).groupBy("a")
+    open_ones = told.agg(F.count_if(~F.col("linked")).alias("u"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("u > 0 and lo < hi").select("a")
     near = star.join(open_ones, "a", "left_semi")
     each = near.select("a", "b", F.explode("diffs").alias("e"))
     often = each.groupBy("a", "e").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     common = each.join(often, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("shared"))
     placed = near.drop("diffs").join(common, ["a", "b"]).withColumn("first", F.col("d") - F.size("shared"))
     placed = placed.withColumn("shared", F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("prefix") - F.col("first")).cast("int")))
-    probes = placed.select("a", "b", "n", "d", "linked", "first", F.posexplode("shared").alias("at", "s"))
-    probes = cut(probes.select("a", "b", "n", "d", "linked", (F.col("first") + F.col("at")).alias("i"), F.col("s.e").alias("e")))
+    probes = placed.select("a", "b", "n", "n_a", "d", "linked", "first", F.posexplode("shared").alias("at", "s"))
+    probes = cut(probes.select("a", "b", "n", "n_a", "d", "linked", (F.col("first") + F.col("at")).alias("i"), F.col("s.e").alias("e")))
     discard(star)
-    single = probes.select(F.col("b").alias("id")).distinct().join(first, "id", "left_anti")
-    labels = cut(first.select("id", "component").union(single.select("id", F.col("id").alias("component"))))
-    discard(first)
-    checked = [pairs]
     for low, high in ROUNDS:
         found = _meet_apart(probes.filter(F.pmod(F.xxhash64(F.lit(13), "e"), F.lit(ROUNDS[-1][1])).between(low, high - 1)), labels, percent)
-        for known in checked:
-            found = found.join(known, ["a", "b"], "left_anti")
-        found = cut(found)
-        checked.append(found)
-        if found.isEmpty():
-            continue
-        # the new links join components: a graph of components alone
-        old = labels.withColumnRenamed("component", "was")
-        linked = confirm(found, source, percent)
-        links = linked.join(old.select(F.col("id").alias("a"), F.col("was").alias("u")), "a").join(old.select(F.col("id").alias("b"), F.col("was").alias("v")), "b")
-        joined = components(links.filter("u != v"), "u", "v")
-        grown = joined.select(F.col("id").alias("was"), "component")
-        grown_labels = cut(old.join(grown, "was", "left").select("id", F.coalesce("component", "was").alias("component")))
-        discard(linked, joined, labels)
-        labels = grown_labels
+        labels = _confirm_new(found, checked, labels, source, percent)
     discard(probes, *checked)
     return labels
 
 
+def _confirm_new(found: DataFrame, checked: list[DataFrame], labels: DataFrame, source: DataFrame, percent: int) -> DataFrame:
+    """The labels after the links among ``found`` that no table of ``checked`` holds; adds these pairs to it."""
+    for known in checked:
+        found = found.join(known, ["a", "b"], "left_anti")
+    found = cut(found)
+    checked.append(found)
+    if found.isEmpty():
+        return labels
+    # the new links join components: a graph of components alone
+    old = labels.withColumnRenamed("component", "was")
+    linked = confirm(found, source, percent)
+    links = linked.join(old.select(F.col("id").alias("a"), F.col("was").alias("u")), "a").join(old.select(F.col("id").alias("b"), F.col("was").alias("v")), "b")
+    joined = components(links.filter("u != v"), "u", "v")
+    grown = joined.select(F.col("id").alias("was"), "component")
+    grown_labels = cut(old.join(grown, "was", "left").select("id", F.coalesce("component", "was").alias("component")))
+    discard(linked, joined, labels)
+    return grown_labels
+
+
+def _further_stars(members: DataFrame, centres: DataFrame, labels: DataFrame, pairs: DataFrame, source: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(labels, tables of pairs compared): FURTHER times, the members of a bucket that its centre
+    has not joined get the smallest of them as a new centre, so that a second group of near
+    copies in a bucket grows together by as many comparisons as it has members."""
+    checked, rest, kept = [pairs], members, []
+    for _ in range(FURTHER):
+        mine, theirs = (labels.select(F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("rep", "mine"), ("a", "theirs")))
+        apart = rest.join(centres, ["key", "salt"]).join(mine, "rep").join(theirs, "a").filter("mine != theirs")
+        rest = cut(apart.select("key", "salt", "rep", "n"))
+        kept.append(rest)
+        least = rest.groupBy("key", "salt").agg(F.min(F.struct("rep", "n")).alias("c"), F.count(F.lit(1)).alias("m"))
+        least = least.groupBy("key").agg(F.min("c").alias("c"), F.sum("m").alias("m"), F.collect_set("salt").alias("salts")).filter("m > 1")
+        centres = least.select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("n_a"), F.explode("salts").alias("salt"))
+        meet = rest.join(centres, ["key", "salt"]).filter(f"rep != a and least(n, n_a) * 100 >= greatest(n, n_a) * {percent}")
+        labels = _confirm_new(meet.select("a", F.col("rep").alias("b")).distinct(), checked, labels, source, percent)
+    discard(*kept)
+    return labels, checked
+
+
 def _meet_apart(probes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b), smaller first, of pairs in different components that meet in a difference and may be linked."""
-    rows = probes.join(labels, probes["b"] == labels["id"]).drop("id").repartition("a", "e")
-    x = rows.filter(~F.col("linked")).select("a", "e", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "d", "i", "component")])
-    y = rows.select("a", "e", "linked", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "d", "i", "component")])
+    big, small = 100 + percent, 100 - percent
+    rows, goes = _visits(probes, labels, percent)
+    x = goes.select("a", "e", F.col("to.cell").alias("to"), F.col("cell").alias("x_cell"), *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "d", "i", "component")])
+    y = rows.select("a", "e", F.col("cell").alias("to"), *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "d", "i", "component")])
     bound = F.least(F.col("x_d") - F.col("x_i"), F.col("y_d") - F.col("y_i"))
     ok = (
         (x["a"] == y["a"])
         & (x["e"] == y["e"])
+        & (x["to"] == y["to"])
         & (F.col("x_component") != F.col("y_component"))
-        & (F.col("linked") | (F.col("x_b") < F.col("y_b")))
+        & ((x["to"] != F.col("x_cell")) | (F.col("x_b") < F.col("y_b")))
         & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
-        & (2 * (100 + percent) * bound >= (100 + percent) * (F.col("x_d") + F.col("y_d")) - (100 - percent) * (F.col("x_n") + F.col("y_n")))
+        & (2 * big * bound >= big * (F.col("x_d") + F.col("y_d")) - small * (F.col("x_n") + F.col("y_n")))
     )
     return x.join(y, ok).select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
+
+
+def _visits(probes: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All rows in their cells, and the rows not linked to their centre once a cell that they go to.
+
+    With w = d - t * n and v = 2 * (d - i) - w, two rows of one difference may be linked only if
+    w(x) <= v(y) and w(y) <= v(x). Rows alike in w, v and size are a cell, and each x goes to
+    the cells alone that its own bounds allow and that hold another component: rows that can
+    link with nothing are never compared. A difference has a bounded number of cells, however
+    many members share it, and its rows are in SALTS parts until they go to cells.
+    """
+    big, small, ratio = 100 + percent, 100 - percent, math.log(100 / percent) + 1e-6
+    w = big * F.col("d") - small * F.col("n")
+    width = F.col("n_a") * (big / CELLS) + 1
+    placed = lambda value: F.greatest(F.lit(LEAST_CELL), F.least(F.lit(MOST_CELL), F.floor(value / width))).cast("int")
+    cell = F.struct("linked", placed(w).alias("w"), placed(2 * big * (F.col("d") - F.col("i")) - w).alias("v"), F.floor(F.log("n") / ratio).cast("int").alias("size"))
+    rows = probes.join(labels, probes["b"] == labels["id"]).select("a", "e", "b", "n", "d", "i", "component", cell.alias("cell"), salted("b").alias("salt")).repartition("a", "e", "salt")
+    cells = rows.groupBy("a", "e", "salt", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    cells = cells.groupBy("a", "e", "cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("salt").alias("salts"))
+    cells = cells.groupBy("a", "e").agg(F.collect_list(F.struct("cell", "lo", "hi")).alias("cells"), F.array_distinct(F.flatten(F.collect_list("salts"))).alias("salts"))
+    cells = cells.select("a", "e", "cells", F.explode("salts").alias("salt"))
+
+    def allowed(to: Column) -> Column:
+        c = to["cell"]
+        once = c["linked"] | (F.struct(c["w"], c["v"], c["size"]) >= F.struct(F.col("cell.w"), F.col("cell.v"), F.col("cell.size")))
+        alike = F.abs(c["size"] - F.col("cell.size")) <= 1
+        return once & alike & (c["w"] <= F.col("cell.v")) & (F.col("cell.w") <= c["v"]) & ((to["lo"] != F.col("component")) | (to["hi"] != F.col("component")))
+
+    goes = rows.filter("not cell.linked").join(cells, ["a", "e", "salt"]).withColumn("to", F.explode(F.filter("cells", allowed)))
+    return rows, goes

@@ -204,6 +204,36 @@ def test_near_duplicates_of_families_with_shared_passages(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == want
 
 
+def template_pages(m, template=160, own=40):
+    """Pages of one template and words of their own: alike enough to share buckets, none linked."""
+    same = " ".join(f"t{i}" for i in range(template))
+    return [(j, same + " " + " ".join(f"o{j}_{k}" for k in range(own))) for j in range(m)]
+
+
+def test_pages_of_one_template_are_not_compared_with_each_other(spark, monkeypatch):
+    seen, visits = [], minhash._visits
+
+    def counted(probes, labels, percent):
+        rows, goes = visits(probes, labels, percent)
+        seen.append((rows.count(), goes.count()))
+        return rows, goes
+
+    monkeypatch.setattr(minhash, "_visits", counted)
+    got = minhash.near_duplicates(frame(spark, template_pages(80))).collect()
+    assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in got)
+    assert sum(r for r, _ in seen) > 80 and sum(g for _, g in seen) == 0
+
+
+def test_a_second_group_of_copies_grows_around_a_centre_of_its_own(spark, monkeypatch):
+    """Pages linked with each other but not with their bucket's first centre: as many pairs as pages."""
+    pages = template_pages(1) + [(i, t + " " + " ".join(f"x{k}" for k in range(30))) for i, t in template_pages(31, 160, 8)[1:]]
+    compared, confirm = [], minhash.confirm
+    monkeypatch.setattr(minhash, "confirm", lambda pairs, docs, percent: compared.append(pairs.count()) or confirm(pairs, docs, percent))
+    got = minhash.near_duplicates(frame(spark, pages)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == plain_components(pages)
+    assert {r["component_id"] for r in got} == {0, 1} and sum(compared) <= 4 * len(pages)
+
+
 def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     got = {r["doc_id"]: r for r in minhash.near_duplicates(frame(spark, [(None, "a b c d e f"), (3, "A b c d e f"), (4, None), (5, "")])).collect()}
