@@ -10,7 +10,8 @@ that starts at each word of a text looks its keys up. Steps are taken from the s
 walk, which windows of all item sizes share, so one pass serves every length of item.
 
 A key places an item in the text. What a span within the edits can reach around that place
-is kept if it holds enough of the item's words, and confirmed by the exact edit distance. An item
+is kept if it holds enough of the item's words, and confirmed by the exact edit distance. A
+phrase that many items share is met only for items of which the text also holds a rare word. An item
 of n words has some n windows, each with REPEATS * GROUPS keys, and one key that agrees is
 enough. Items under MIN_WORDS words are looked for as they are.
 """
@@ -108,6 +109,11 @@ def edits(item: np.ndarray, span: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(start[end]), end
 
 
+def _spans(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places start .. start + count - 1 in a row, and which span each is of."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum()), np.repeat(np.arange(len(count)), count)
+
+
 class Walks:
     """The random walks and their sampled steps, the same in every worker."""
 
@@ -158,12 +164,65 @@ class Benchmark:
                 item.append(np.full(len(good), i, np.int32))
                 at.append(good.astype(np.int32))
         self.table = self._table(np.concatenate(keys), np.concatenate(item), np.concatenate(at))
+        #: by the key's first entry and the item, in the table's order
+        self.codes = np.searchsorted(self.table[0], self.table[0], "left") * max(1, len(self.sizes)) + self.table[1]
+        self.rare = self._rare()
         #: the whole word sequences of items that may not be edited, by length
         self.exact = []
         for n in np.unique(self.sizes[self.sizes < MIN_WORDS]).tolist():
             of = np.flatnonzero(self.sizes == n)
             self.exact.append((n, self._table(np.concatenate([grams(self.words[i], n) for i in of]), of.astype(np.int32), np.zeros(len(of), np.int32))))
 
+    def _rare(self) -> tuple:
+        """Words of which a span within the edits holds one, and their items.
+
+        At most ``most`` words of an item can be missing, so one of any most + 1 is there; those
+        that the fewest items hold are taken. Items with one stem differ in them.
+        """
+        used, held = np.unique(np.concatenate([np.zeros(0, U), *self.sets]), return_counts=True)
+        word, item = [np.zeros(0, U)], [np.zeros(0, np.int32)]
+        for i, h in enumerate(self.words):
+            if len(h) < MIN_WORDS:
+                continue
+            least = np.argsort(held[np.searchsorted(used, h)], kind="stable")[: self.most[i] + 1]
+            word.append(np.unique(h[least]))
+            item.append(np.full(len(word[-1]), i, np.int32))
+        item = np.concatenate(item)
+        return self._table(np.concatenate(word), item, np.zeros(len(item), np.int32))
+
+    def possible(self, h: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+        """Sorted text * items + item of the pairs whose text holds one of the item's rare words."""
+        keys, item, _, known, shift = self.rare
+        at = np.flatnonzero(known[(h >> shift).astype(np.int64)] & (text_of >= 0))
+        lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
+        # a word counts once a text
+        _, once = np.unique(text_of[at] * (len(keys) + 1) + lo, return_index=True)
+        k, of = _spans(lo[once], (hi - lo)[once])
+        return np.unique(text_of[at][once][of] * len(self.sizes) + item[k])
+
+    def _meet(self, key: np.ndarray, agreed: np.ndarray, text_of: np.ndarray, pairs: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, offset in the item) of keys that the table holds, for possible pairs alone.
+
+        A key's items meet a text's pairs from whichever side has fewer of them.
+        """
+        keys, item, at, known, shift = self.table
+        window = np.flatnonzero(known[(key >> shift).astype(np.int64)])
+        lo, hi = np.searchsorted(keys, key[window], "left"), np.searchsorted(keys, key[window], "right")
+        text = text_of[np.minimum(agreed[window], len(text_of) - 1)]
+        hit = (hi > lo) & (text >= 0)
+        window, lo, count, text = window[hit], lo[hit], (hi - lo)[hit], text[hit]
+        start, others = ends[text], ends[text + 1] - ends[text]
+        few, size = count <= others, len(self.sizes)
+        k, of = _spans(lo[few], count[few])
+        wanted = text[few][of] * size + item[k]
+        ok = pairs[np.minimum(np.searchsorted(pairs, wanted), max(0, len(pairs) - 1))] == wanted if len(pairs) else np.zeros(len(wanted), bool)
+        j, by = _spans(start[~few], others[~few])
+        code = lo[~few][by] * size + pairs[j] % size
+        first, last = np.searchsorted(self.codes, code, "left"), np.searchsorted(self.codes, code, "right")
+        m, back = _spans(first, last - first)
+        found = np.concatenate([k[ok], m])
+        return np.concatenate([window[few][of][ok], window[~few][by][back]]), item[found], at[found]
+
     @staticmethod
     def _table(key: np.ndarray, item: np.ndarray, at: np.ndarray) -> tuple:
         order = np.argsort(key, kind="stable")
@@ -180,20 +239,21 @@ class Benchmark:
         if not len(maybe):
             return maybe, item[:0], at[:0]
         lo, hi = np.searchsorted(keys, key[maybe], "left"), np.searchsorted(keys, key[maybe], "right")
-        count = hi - lo
-        k = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return np.repeat(maybe, count), item[k], at[k]
+        k, of = _spans(lo, hi - lo)
+        return maybe[of], item[k], at[k]
 
-    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def places(self, h: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, word of h where the item would start, a word of h that agreed) of all keys found."""
         none = np.zeros(0, np.int64)
         found = [(none, none, none)]
-        for a in range(0, len(h) if len(self.table[0]) else 0, WALK_WORDS):
+        pairs = self.possible(h, text_of) if len(self.table[0]) else none
+        ends = np.searchsorted(pairs, np.arange(text_of.max(initial=-1) + 2) * len(self.sizes))
+        for a in range(0, len(h) if len(pairs) else 0, WALK_WORDS):
             count = min(WALK_WORDS, len(h) - a)
             part = h[a : a + count + STEPS]
             part = np.concatenate([part, np.zeros(count + STEPS - len(part), U)])
             for key, read in self.walks.keys(part, count):
-                window, item, at = self._look(self.table, key)
+                window, item, at = self._meet(key, a + read[0], text_of, pairs, ends)
                 if len(window):
                     found.append((item, a + window - at, a + read[0][window]))
         for n, table in self.exact:
@@ -204,7 +264,7 @@ class Benchmark:
     def regions(self, h: np.ndarray, text_of: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, from word, to word) of the parts of h that can hold a span within the
         edits; parts of one item that meet are one. ``text_of`` is the text of each word, ``ends`` where texts end."""
-        item, start, agreed = self.places(h)
+        item, start, agreed = self.places(h, text_of)
         if not len(item):
             return []
         text, n = text_of[agreed], self.sizes[item]
@@ -274,7 +334,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     without spaces (Han, kana, Thai, Lao, Khmer, Myanmar) each character is a word.
 
     Null or wordless text and wordless items match nothing. Null ids stay null,
-    repeated rows and repeated items each get their rows, equal items both match. Item ids
+    repeated rows each get their rows. Items equal in id and text count once; equal texts
+    under two ids both match. Item ids
     can be of any type. An empty table on either side gives an empty result. Other columns
     are not used. Confirming an item of n words takes memory in proportion to n.
     """
@@ -299,7 +360,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no item; one narrow pass a block."""
+    """The rows of ``docs``, all columns, that contain no item; one narrow pass a block.
+
+    As ``find_leaks`` finds them: rows with null or wordless text stay, rows repeated stay or go
+    together, and an empty benchmark drops nothing. Empty table: an empty result.
+    """
     arrow_rows(docs.sparkSession)
     for block in _blocks(benchmark, item_col, item_text):
 

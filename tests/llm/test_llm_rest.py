@@ -302,6 +302,20 @@ def test_find_leaks_with_ids_of_any_type(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).schema["item_id"].dataType.simpleString() == "string"
 
 
+def test_items_that_share_a_stem_meet_a_text_only_by_their_own_words():
+    """Texts with the stem alone have no possible item; with an item's other words, that one, however edited."""
+    stem = "which of the following statements about"
+    items = [(i, f"{stem} " + " ".join(f"i{i}w{k}" for k in range(9))) for i in range(300)]
+    bench = decontaminate.Benchmark(items)
+    pad = " ".join(f"p{k}" for k in range(50))
+    texts = [f"{pad} {stem} {pad}"] * 20 + [f"{pad} {items[7][1]}", None, "", items[8][1].replace("i8w3", "x").replace("statements", "y")]
+    h = [decontaminate.word_hashes(t) for t in texts]
+    assert not len(bench.possible(h[0], np.zeros(len(h[0]), np.int64)))
+    assert [(g[0], g[1], g[2]) for g in bench.find(texts)] == [(20, 7, 0), (23, 8, 2)]
+    # many items a text and few a key, and the other way round
+    assert {(g[0], g[1]) for g in bench.find([" ".join(t for _, t in items), items[5][1]])} == {(0, i) for i in range(300)} | {(1, 5)}
+
+
 def test_find_leaks_of_short_items_are_exact():
     bench = decontaminate.Benchmark([(1, "yes"), (2, "to be"), (3, "a b c d e"), (4, " , "), (5, None)])
     got = bench.find(["Yes, yes! " * 3, "not to be, to", "be to", "a b c d x e", "x a, b c D e", "a b c d"])
