@@ -123,6 +123,10 @@ def ranked(postings: DataFrame, queries: DataFrame, id_col: str = "chunk_id") ->
 
 
 def best(rows: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
-    """The k rows of each query with the highest scores; ties go to the smaller id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), id_col)
+    """The k rows of each query with the highest scores; ties go to the smaller id.
+
+    Scores that differ from the 13th decimal on are ties: a sum of the same stretches ends in other
+    digits in another order.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("keyword_score", 12)), id_col)
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")

@@ -84,6 +84,11 @@ def test_keyword_search_reads_no_corpus_and_no_python(spark, corpus, tmp_path):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_ranks_that_differ_by_their_sums_order_are_ties(spark):
+    rows = spark.createDataFrame([(0, 5, 0.1 + 0.2 + 0.3), (0, 2, 0.3 + 0.2 + 0.1), (0, 1, 0.5)], "query_id long, chunk_id long, keyword_score double")
+    assert [r["chunk_id"] for r in postings.best(rows, 1).collect()] == [2]
+
+
 def plain_nearest(rows, queries, k):
     out = []
     for q, v in queries:
