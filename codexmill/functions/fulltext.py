@@ -98,12 +98,25 @@ def lexeme_column(parts: list[tuple[Column, float]], stops: frozenset[str] = fro
     Texts are split and placed by array functions; a null text has no words, and stop words none but their place.
     """
     words = [F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0)) for c, _ in parts]
-    said = F.concat(*[F.transform(w, lambda x: F.struct(x.alias("word"), F.lit(float(weight)).alias("weight"))) for w, (_, weight) in zip(words, parts, strict=True)])
-    plain = F.concat(*words)
-    names = stem_words(plain) if stemmed else plain
-    placed = F.zip_with(F.transform(said, lambda e, i: F.struct(e["word"].alias("word"), (i + 1).alias("pos"), e["weight"].alias("weight"))), names, lambda e, n: F.struct(e["word"].alias("word"), n.alias("lexeme"), e["pos"].alias("pos"), e["weight"].alias("weight")))
-    kept = F.filter(placed, lambda e: ~e["word"].isin(*sorted(stops))) if stops else placed
-    return F.transform(kept, lambda e: F.struct(e["lexeme"].alias("lexeme"), e["pos"].alias("pos"), e["weight"].alias("weight"))).cast(LEXEMES)
+    said = F.struct(*[w.alias(f"w{i}") for i, w in enumerate(words)], *([stem_words(F.concat(*words)).alias("stems")] if stemmed else []))
+
+    def placed(row: Column) -> Column:
+        own = [row[f"w{i}"] for i in range(len(parts))]
+
+        def lexeme(word: Column, i: Column) -> Column:
+            name, weight, upto = F.get(row["stems"], i) if stemmed else word, F.lit(float(parts[-1][1])), F.lit(0)
+            less = []
+            for w, (_, given) in zip(own[:-1], parts, strict=False):
+                upto = upto + F.size(w)
+                less.append((i < upto, float(given)))
+            for before, given in reversed(less):
+                weight = F.when(before, F.lit(given)).otherwise(weight)
+            return F.struct((F.when(~word.isin(*sorted(stops)), name) if stops else name).alias("lexeme"), (i + 1).alias("pos"), weight.alias("weight"))
+
+        return F.transform(F.concat(*own), lexeme)
+
+    every = F.get(F.transform(F.array(said), placed), F.lit(0))  # a row's words are split once, not for each word
+    return (F.filter(every, lambda e: e["lexeme"].isNotNull()) if stops else every).cast(LEXEMES)
 
 
 _SPLIT = re.compile(r"[^\W_]+")

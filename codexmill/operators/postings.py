@@ -1,13 +1,14 @@
 """A positional inverted index as a table: matching and ranking read postings, never the corpus.
 
-A posting is (term, id, places): where a term stands in a row, and with what weight. A query's rows
-are found from its rarest term's postings, joined by those of its other terms, and counted; cover
-density is computed from the matched postings by array functions.
+A posting is (term, id, places): where a term stands in a row, and with what weight. Postings of the
+terms asked are grouped by row once; a query meets the rows that hold its rarest term and is held
+against their other terms there. Cover density is computed from the matched postings by array
+functions, once for all queries of the same terms.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ BUCKETS = 64
 TERMS = 100_000
 #: Parts of a folder, by id.
 PARTS = 4
+#: Rows of an Arrow batch: their lexemes are sorted together.
+ROWS = 256
 _LAST = "array<struct<i:int,pos:int,before:double>>"
 
 
@@ -29,8 +32,10 @@ def index(rows: DataFrame, id_col: str = "chunk_id", lexemes: str = "lexemes", a
     """(term, id, places) of rows with lexemes; columns named in ``also`` pass through.
 
     A row's lexemes are all in it, so they are grouped there, a batch of rows by one sort, and nothing
-    is shuffled. Rows without lexemes have no postings. Ids are unique.
+    is shuffled. Rows without lexemes have no postings, and no filter says so, as it would be pushed
+    below joins and make the lexemes of rows that these drop. Ids are unique.
     """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     keep = [id_col, *also]
     schema = T.StructType([T.StructField("term", T.StringType()), *(rows.schema[c] for c in keep), T.StructField("places", T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("weight", T.DoubleType())])))])
 
@@ -49,7 +54,7 @@ def index(rows: DataFrame, id_col: str = "chunk_id", lexemes: str = "lexemes", a
             at = pa.array(row[first])
             yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(code[first])), *(b.column(i).take(at) for i in range(len(keep))), places], schema.names)
 
-    return rows.select(*keep, lexemes).filter(F.size(lexemes) > 0).mapInArrow(run, schema)
+    return rows.select(*keep, lexemes).mapInArrow(run, schema)
 
 
 def dealt(postings: DataFrame, id_col: str = "chunk_id") -> DataFrame:
@@ -61,27 +66,44 @@ def dealt(postings: DataFrame, id_col: str = "chunk_id") -> DataFrame:
 
 
 def _asked(queries: DataFrame) -> DataFrame:
-    """(query_id, term, n_terms), each term of a query once."""
-    return queries.select("query_id", F.array_distinct("terms").alias("_t")).select("query_id", F.explode("_t").alias("term"), F.size("_t").alias("n_terms"))
+    """(query_id, term, all): each term of a query once, beside all of them."""
+    return queries.select("query_id", F.array_sort(F.array_distinct("terms")).alias("all")).select("query_id", F.explode("all").alias("term"), "all")
+
+
+def _small(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Broadcast, if few terms are asked: postings are then filtered where they are read."""
+    return F.broadcast if asked.limit(TERMS + 1).count() <= TERMS else lambda rows: rows
+
+
+def of_terms_asked(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """Only the postings that ``match`` reads for these queries, for an index that no others will use."""
+    asked = _asked(queries)
+    return postings.join(_small(asked)(asked.select("term").distinct()), "term", "left_semi").select(*postings.columns)
+
+
+def same_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, same_as, terms) of queries with terms: ``same_as`` is the smallest id of those that ask the same."""
+    asked = queries.select("query_id", F.array_sort(F.array_distinct("terms")).alias("terms")).filter(F.size("terms") > 0)
+    return asked.withColumn("same_as", F.min("query_id").over(Window.partitionBy("terms")))
 
 
 def match(postings: DataFrame, queries: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """(query_id, id, hits) of the rows that hold all of a query's ``terms``; hits are (term, places).
 
-    A query without terms, or null ones, matches nothing. Only rows that hold the rarest term are
-    looked up under the others.
+    A query without terms, or null ones, matches nothing. Postings of terms asked are shuffled once, by
+    row, however many queries ask them; only rows that hold the rarest term are held against the others.
     """
     asked = _asked(queries)
-    if asked.limit(TERMS + 1).count() <= TERMS:
-        asked = F.broadcast(asked)  # then postings are filtered where they are read
-    frequency = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    small = _small(asked)
+    held = postings.join(small(asked.select("term").distinct()), "term", "left_semi")
+    frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     rarity = F.struct(F.coalesce("_df", F.lit(0)), F.col("term"))
-    rarest = asked.join(frequency, "term", "left").groupBy("query_id").agg(F.min_by("term", rarity).alias("term"))
-    found = postings.join(asked, "term").select("query_id", "n_terms", id_col, "term", "places")
-    few = found.join(rarest, ["query_id", "term"], "left_semi").select("query_id", id_col)
-    hits = F.sort_array(F.collect_list(F.struct("term", "places")))
-    whole = found.join(few, ["query_id", id_col], "left_semi").groupBy("query_id", id_col).agg(hits.alias("hits"), F.first("n_terms").alias("n_terms"))
-    return whole.filter(F.size("hits") == F.col("n_terms")).select("query_id", id_col, "hits")
+    rarest = asked.join(frequency, "term", "left").groupBy("query_id").agg(F.min_by("term", rarity).alias("term"), F.first("all").alias("all"))
+    rows = held.groupBy(id_col).agg(F.collect_list(F.struct("term", "places")).alias("_held")).select(id_col, F.col("_held.term").alias("_terms"), F.col("_held.places").alias("_places"))
+    met = rows.select("*", F.explode(F.array_distinct("_terms")).alias("term")).join(small(rarest), "term")
+    whole = met.filter(F.forall("all", lambda t: F.array_contains("_terms", t)))
+    hits = F.transform("all", lambda t: F.struct(t.alias("term"), F.get("_places", (F.array_position("_terms", t) - 1).cast("int")).alias("places")))
+    return whole.select("query_id", id_col, hits.alias("hits"))
 
 
 def cover_density(hits: Column) -> Column:
@@ -117,16 +139,23 @@ def cover_density(hits: Column) -> Column:
     return F.aggregate(places, start, step, lambda acc: acc["total"] / (acc["total"] + 1))
 
 
+def ranked_once(postings: DataFrame, same: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """(same_as, id, keyword_score) of every row that holds all terms: one ranking for all queries of the same terms."""
+    asked = same.filter("query_id = same_as").select("query_id", "terms")
+    return match(postings, asked, id_col).select(F.col("query_id").alias("same_as"), id_col, cover_density(F.col("hits")).alias("keyword_score"))
+
+
 def ranked(postings: DataFrame, queries: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """(query_id, id, keyword_score) of every row that holds all of a query's terms."""
-    return match(postings, queries, id_col).select("query_id", id_col, cover_density(F.col("hits")).alias("keyword_score"))
+    same = same_terms(queries)
+    return ranked_once(postings, same, id_col).join(same.select("query_id", "same_as"), "same_as").select("query_id", id_col, "keyword_score")
 
 
-def best(rows: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
+def best(rows: DataFrame, k: int, id_col: str = "chunk_id", query: str = "query_id") -> DataFrame:
     """The k rows of each query with the highest scores; ties go to the smaller id.
 
     Scores that differ from the 13th decimal on are ties: a sum of the same stretches ends in other
     digits in another order.
     """
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("keyword_score", 12)), id_col)
+    order = Window.partitionBy(query).orderBy(F.desc(F.round("keyword_score", 12)), id_col)
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")

@@ -234,8 +234,10 @@ def _kept(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 
 def _matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _worded(spark, sf_dir).select("chunk_id", F.explode("words").alias("term"), F.lit(None).cast("string").alias("places"))
-    return postings.match(_kept(spark, words), _benchmark_terms(spark, sf_dir)).select("query_id", "chunk_id")
+    # explode_outer: for explode Spark adds a filter on the size of the words, and splits each text three times
+    words = _worded(spark, sf_dir).select("chunk_id", F.explode_outer("words").alias("term"), F.lit(None).cast("string").alias("places"))
+    asked = _benchmark_terms(spark, sf_dir)
+    return postings.match(_kept(spark, postings.of_terms_asked(words, asked)), asked).select("query_id", "chunk_id")
 
 
 def keyword_match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,35 @@ def test_ranks_that_differ_by_their_sums_order_are_ties(spark):
     assert [r["chunk_id"] for r in postings.best(rows, 1).collect()] == [2]
 
 
+def test_an_index_of_few_queries_holds_only_their_terms(spark):
+    held = spark.createDataFrame([("a", 1, None), ("b", 1, None), ("c", 1, None), (None, 2, None), ("a", 3, None)], "term string, chunk_id long, places string")
+    asked = spark.createDataFrame([(7, ["b", "a", "a"]), (8, ["a", "b"]), (9, []), (10, None)], "query_id long, terms array<string>")
+    kept = postings.of_terms_asked(held, asked)
+    assert sorted((r["term"], r["chunk_id"]) for r in kept.collect()) == [("a", 1), ("a", 3), ("b", 1)]
+    assert sorted((r["query_id"], r["chunk_id"]) for r in postings.match(kept, asked).collect()) == [(7, 1), (8, 1)]
+
+
+def test_rows_are_shuffled_once_however_many_queries_meet_them(spark):
+    held = spark.createDataFrame([("a", 1, None)], "term string, chunk_id long, places string")
+    asked = spark.createDataFrame([(7, ["a"])], "query_id long, terms array<string>")
+    plan = postings.match(held, asked)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, chunk_id", plan)
+
+
+def test_words_are_split_once_for_the_rows_a_join_keeps(spark):
+    few = spark.createDataFrame([(1,)], "chunk_id long")
+    docs = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "chunk_id long, text string")
+    lexemes = fulltext.lexeme_column([(F.col("text"), 0.1)], stemmed=False)
+    held = postings.index(docs.join(few, "chunk_id", "left_semi").select("chunk_id", lexemes.alias("lexemes")))
+    assert held._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted(r["term"] for r in held.collect()) == ["a", "b"]
+
+
+def test_queries_of_the_same_terms_are_ranked_once(spark):
+    asked = spark.createDataFrame([(7, ["b", "a", "a"]), (8, ["a", "b"]), (9, ["a"]), (10, []), (11, None)], "query_id long, terms array<string>")
+    assert sorted((r["query_id"], r["same_as"]) for r in postings.same_terms(asked).collect()) == [(7, 7), (8, 7), (9, 9)]
+
+
 def plain_nearest(rows, queries, k):
     out = []
     for q, v in queries:
