@@ -14,7 +14,7 @@ from .config import scratch_dir
 from .functions import fulltext, references, text
 from .operators import chunking, evaluation, history, postings, retrieval, structure
 from .plans import service
-from .queries import FILES, SIZE, _table, _tagged
+from .queries import FILES, SIZE, _kept, _table, _tagged
 from .schemas import CHUNK, DOCUMENT, SOURCE
 from .sources import files, jsonl_files, sinks
 from .streaming.history import save_history, saved_history
@@ -44,7 +44,7 @@ def _keyword_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     words = F.regexp_extract_all(F.lower("text"), F.lit(fulltext.WORD), F.lit(0))
     terms = F.array_distinct(F.filter(F.array(F.get(words, F.lit(0)), F.get(words, F.lit(4))), lambda w: w.isNotNull()))
     queries = queries.select(F.col("chunk_id").alias("query_id"), "embedding", terms.alias("terms"), "article_number", F.substring_index("names", " ", -1).alias("law_hint"))
-    return rows.select("chunk_id", "embedding", "article_number", "names"), held, queries
+    return rows.select("chunk_id", "embedding", "article_number", "names"), held, _kept(spark, queries)
 
 
 def hybrid_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,10 +242,16 @@ def ingested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(digests, "filename").join(skipped, "filename", "left").select("filename", "title", "chunks_count", "contents_md5", "skipped", "first_skipped")
 
 
+#: Bytes of text in a file of ``jsonl_numbered``, about; there are four files at least, each of several splits.
+LINES_FILE = 256 << 20
+
+
 def jsonl_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as lines of a few large files, some of them broken, read in splits: each line's class, and that its number is its place."""
     path, d = _scratch(spark, "lines"), F.col("doc_id")
-    docs = _table(spark, sf_dir, "documents").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    table = _table(spark, sf_dir, "documents")
+    size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = table.repartitionByRange(max(4, -(-size // LINES_FILE)), "doc_id").sortWithinPartitions("doc_id")
     value = F.when(d % 7 == 3, F.concat(F.lit("{bad "), _str("doc_id"))).when(d % 7 == 5, F.concat(F.lit("["), _str("doc_id"), F.lit("]"))).otherwise(F.to_json(F.struct(_str("doc_id").alias("article_number"), *_lines_of_documents()[:2])))
     docs.select(value.alias("value")).write.option("compression", "none").text(path)
     lines = files.read_lines(spark, path, ".txt")
@@ -253,7 +259,7 @@ def jsonl_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = parsed.groupBy("filename").agg(F.count(F.lit(1)).alias("lines"), F.min("n").alias("low"), F.max("n").alias("high"), F.countDistinct("n").alias("different"))
     whole = (F.col("low") == 1) & (F.col("high") == F.col("lines")) & (F.col("different") == F.col("lines"))
     order = F.coalesce(F.lag("doc_id").over(Window.partitionBy("filename", "part").orderBy("n")) < F.col("doc_id"), F.lit(True))
-    return parsed.join(counts, "filename").select("doc_id", "class", "document_title", F.md5(F.col("item.content").cast("binary")).alias("content_md5"), (whole & order).alias("numbered"))
+    return parsed.join(F.broadcast(counts), "filename").select("doc_id", "class", "document_title", F.md5(F.col("item.content").cast("binary")).alias("content_md5"), (whole & order).alias("numbered"))
 
 
 def metadata_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

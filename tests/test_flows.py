@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from codexmill import flows
 from codexmill.operators import chunking, history, structure
 from codexmill.plans import service
 from codexmill.sources import jsonl_files, sinks
@@ -154,3 +155,19 @@ def test_cases_must_be_an_array(spark, tmp_path):
     for name in ("object.json", "text.json"):
         with pytest.raises(ValueError, match="array"):
             read_cases(spark, str(tmp_path / name))
+
+
+def test_numbered_lines_get_more_files_as_the_table_grows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(flows, "LINES_FILE", 2000, raising=False)
+    spark.createDataFrame([(i, "x" * 100) for i in range(200)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    read, files_read = flows.files.read_lines, []
+
+    def counted(spark, path, suffix):
+        lines = read(spark, path, suffix)
+        files_read.append(lines.select("path").distinct().count())
+        return lines
+
+    monkeypatch.setattr(flows.files, "read_lines", counted)
+    rows = flows.jsonl_numbered(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(200)) and all(r["numbered"] for r in rows)
+    assert files_read[0] >= 8
