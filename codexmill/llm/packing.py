@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, file: str | None = None, id_col: str = "doc_id", tex
     file = file or subwords.path(subwords.BYTE_BPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = subwords.byte_bpe(file)
+        coder = subwords.byte_bpe(file, cached=subwords.CACHED // 3)
         for b in batches:
             rows, columns = [], [[], [], [], []]
             for row, ids in enumerate(coder.encode_each(x.as_py() or "" for x in b.column("text"))):
@@ -137,9 +137,9 @@ def pack(rows: DataFrame, size: int = SIZE) -> DataFrame:
     bounds have null places. ``rows`` are kept as a table in the shared folder, so every pass sees the
     same ones; an empty table gives an empty one.
     """
-    arrow_rows(rows.sparkSession, 10_000)
     columns = rows.columns
-    kept = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    kept = cut(rows.withColumn("_row", F.monotonically_increasing_id()))  # made in the small batches of ``pieces``
+    arrow_rows(rows.sparkSession, 10_000)
     good = kept.filter(F.col("length").between(1, size))
     counts = {int(r["length"]): r["n"] for r in good.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size rows
     found = match(counts, size).matches or [(0, 0, 1, 0, 0)]

@@ -256,6 +256,18 @@ def test_pieces_and_sequences(spark, libraries):
     assert sum(r["length"] for r in read) == sum(len(x) for v in whole.values() for _, _, x in v)
 
 
+def test_pieces_are_made_in_small_batches(spark):
+    def few(batches):
+        for b in batches:
+            assert b.num_rows <= 256, b.num_rows
+            yield b
+
+    packing.arrow_rows(spark)
+    rows = spark.range(1000).coalesce(1).selectExpr("id", "id % 9 + 1 AS length").mapInArrow(few, "id long, length long")
+    assert packing.pack(rows, 16).count() == 1000
+
+
+
 @needs_files
 @needs_tables
 def test_packing_of_the_table(spark, libraries):
