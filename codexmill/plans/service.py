@@ -17,6 +17,7 @@ from ..functions.fulltext import WEIGHT_A, WEIGHT_B, WEIGHT_D, lexeme_column, st
 from ..functions.references import law_hint, question_article
 from ..functions.text import stem_of, strip
 from ..operators import evaluation, inspection, retrieval
+from ..operators.postings import ROWS
 from ..operators.structure import docx_metadata, html_document_id, to_records
 from ..schemas import CHUNK, CONTEXT, DOCUMENT, RESULT
 from ..sources import files
@@ -56,6 +57,7 @@ def ingest(spark: SparkSession, folder: str, store: Store, settings: Settings =
     ``issues`` has its first ISSUES_SHOWN rows.
     """
     store.init()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))  # bounds the memory of Python workers
     run = uuid.uuid4().hex
     staged = f"{store.path}/_staging-{run}"
     at = F.lit(clock()).cast("timestamp_ntz")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 NAME = "codexmill_jsonl"
+#: Records of an Arrow batch, which a writer's task has as Python strings at once.
+ROWS = 256
 
 
 def _fs(path: str):
@@ -99,6 +101,7 @@ def write_files(records: DataFrame, path: str, output: str, order: list[str]) ->
     """
     spark = records.sparkSession
     spark.dataSource.register(JsonlFiles)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     line = F.to_json(F.struct(*[c for c in records.columns if c != output and c not in order]), {"ignoreNullFields": "false"})
     rows = records.select(F.col(output).alias("output"), *order, line.alias("record"))
     dealt = rows.repartition("output").sortWithinPartitions("output", *order).select("output", "record")

@@ -156,3 +156,19 @@ def test_ingest_keeps_its_issues_and_no_staging(spark, tmp_path):
     assert not list((tmp_path / "s").glob("_staging*"))
     (src / "a.jsonl").write_bytes(b'\xff\xfe\n{"text": "y"}')
     assert service.ingest(spark, str(src), store)["issues_count"] == 1 and shown(store)[1] == {"y"}
+
+
+class Batches:
+    """An embedder that refuses more texts at a time than a worker should hold."""
+
+    def __call__(self, texts):
+        if len(texts) > 256:
+            raise ValueError(f"{len(texts)} texts at once")
+        return [[1.0] for _ in texts]
+
+
+def test_ingest_holds_few_texts_at_a_time(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.jsonl").write_text("\n".join('{"text": "x%d"}' % i for i in range(700)))
+    assert service.ingest(spark, str(tmp_path / "d"), Store(spark, str(tmp_path / "s"), 2), model=Batches)["chunks_created"] == 700
