@@ -1,8 +1,8 @@
 """A positional inverted index as a table: matching and ranking read postings, never the corpus.
 
-A posting is (term, id, places): where a term stands in a row, and with what weight. Postings of the
-terms asked are grouped by row once; a query meets the rows that hold its rarest term and is held
-against their other terms there. Cover density is computed from the matched postings by array
+A posting is (term, id, places): where a term stands in a row, and with what weight. A query meets the
+rows that hold its rarest term; only the postings of such rows are shuffled, once, by row, and a query
+is held against their other terms there. Cover density is computed from the matched postings by array
 functions, once for all queries of the same terms.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 BUCKETS = 64
 #: Terms of all queries together that may be broadcast.
 TERMS = 100_000
+#: Ids of rows with a query's rarest term that may be broadcast.
+MET = 500_000
 #: Parts of a folder, by id.
 PARTS = 4
 #: Rows of an Arrow batch: their lexemes are sorted together.
@@ -70,15 +72,15 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.array_sort(F.array_distinct("terms")).alias("all")).select("query_id", F.explode("all").alias("term"), "all")
 
 
-def _small(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
+def small(rows: DataFrame, limit: int = TERMS) -> Callable[[DataFrame], DataFrame]:
     """Broadcast, if few terms are asked: postings are then filtered where they are read."""
-    return F.broadcast if asked.limit(TERMS + 1).count() <= TERMS else lambda rows: rows
+    return F.broadcast if rows.limit(limit + 1).count() <= limit else lambda rows: rows
 
 
 def of_terms_asked(postings: DataFrame, queries: DataFrame) -> DataFrame:
     """Only the postings that ``match`` reads for these queries, for an index that no others will use."""
     asked = _asked(queries)
-    return postings.join(_small(asked)(asked.select("term").distinct()), "term", "left_semi").select(*postings.columns)
+    return postings.join(small(asked)(asked.select("term").distinct()), "term", "left_semi").select(*postings.columns)
 
 
 def same_terms(queries: DataFrame) -> DataFrame:
@@ -90,17 +92,22 @@ def same_terms(queries: DataFrame) -> DataFrame:
 def match(postings: DataFrame, queries: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """(query_id, id, hits) of the rows that hold all of a query's ``terms``; hits are (term, places).
 
-    A query without terms, or null ones, matches nothing. Postings of terms asked are shuffled once, by
-    row, however many queries ask them; only rows that hold the rarest term are held against the others.
+    A query without terms, or null ones, matches nothing. Only rows that hold some query's rarest term are
+    gathered, so only their postings of terms asked are shuffled, once, however many queries ask them.
     """
     asked = _asked(queries)
-    small = _small(asked)
-    held = postings.join(small(asked.select("term").distinct()), "term", "left_semi")
+    few = small(asked)
+    held = postings.join(few(asked.select("term").distinct()), "term", "left_semi")
     frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    rarity = F.struct(F.coalesce("_df", F.lit(0)), F.col("term"))
-    rarest = asked.join(frequency, "term", "left").groupBy("query_id").agg(F.min_by("term", rarity).alias("term"), F.first("all").alias("all"))
+    rarity = F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), F.col("term"))
+    rarest = asked.join(frequency, "term", "left").groupBy("query_id").agg(F.min_by("term", rarity).alias("term"), F.first("all").alias("all"), F.min(rarity)["_df"].alias("_df"))
+    met = rarest.agg(F.sum("_df")).first()[0] or 0  # as many ids at most
+    rarest = rarest.drop("_df")
+    seeds = postings.join(few(rarest.select("term").distinct()), "term", "left_semi").select(F.col(id_col).alias("_seed")).distinct()
+    seeds = F.broadcast(seeds) if met <= MET else seeds
+    held = held.join(seeds, F.col(id_col).eqNullSafe(F.col("_seed")), "left_semi")
     rows = held.groupBy(id_col).agg(F.collect_list(F.struct("term", "places")).alias("_held")).select(id_col, F.col("_held.term").alias("_terms"), F.col("_held.places").alias("_places"))
-    met = rows.select("*", F.explode(F.array_distinct("_terms")).alias("term")).join(small(rarest), "term")
+    met = rows.select("*", F.explode(F.array_distinct("_terms")).alias("term")).join(few(rarest), "term")
     whole = met.filter(F.forall("all", lambda t: F.array_contains("_terms", t)))
     hits = F.transform("all", lambda t: F.struct(t.alias("term"), F.get("_places", (F.array_position("_terms", t) - 1).cast("int")).alias("places")))
     return whole.select("query_id", id_col, hits.alias("hits"))

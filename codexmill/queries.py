@@ -247,9 +247,9 @@ def keyword_match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_rank_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matching documents ranked; only they are parsed into postings with places."""
-    found = _matching(spark, sf_dir).select("chunk_id").distinct()
+    found = _kept(spark, _matching(spark, sf_dir).select("chunk_id").distinct())
     lexemes = fulltext.lexeme_column([(F.col("source"), fulltext.WEIGHT_A), (F.col("text"), fulltext.WEIGHT_D)], stemmed=False)
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source").join(found, "chunk_id", "left_semi")
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source").join(postings.small(found, postings.MET)(found), "chunk_id", "left_semi")
     held = _kept(spark, postings.index(docs.select("chunk_id", lexemes.alias("lexemes"))))
     # a term counts where the text itself holds it; the source's own words only add to the rank
     hits = postings.match(held, _benchmark_terms(spark, sf_dir)).filter(F.forall("hits", lambda h: F.exists(h["places"], lambda p: p["weight"] == fulltext.WEIGHT_D)))

@@ -174,3 +174,26 @@ def test_a_table_of_questions(spark):
     assert got[1]["error"] == got[2]["error"] == "query must not be empty" and got[1]["attempts"] == 0
     with pytest.raises(answer.LLMConfigurationError):
         answer.no_llm("", "")
+
+
+def _shuffled(df):
+    """Records that the shuffles of a plan that was run wrote."""
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        below = [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        own = node.metrics().get("shuffleRecordsWritten")
+        return (own.get().value() if own.isDefined() else 0) + sum(map(walk, below))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_only_rows_with_a_rarest_term_are_gathered(spark):
+    """A frequent term's postings of rows without the rare one are not shuffled, whatever their number."""
+    common = spark.range(3000).select(F.lit("common").alias("term"), F.col("id").alias("chunk_id"), F.lit(None).cast("string").alias("places"))
+    rare = spark.createDataFrame([("rare", 7, None), ("rare", None, None), ("common", None, None), ("rare", 5000, None)], "term string, chunk_id long, places string")
+    queries = spark.createDataFrame([(1, ["common", "rare"]), (2, ["absent", "common"])], "query_id long, terms array<string>")
+    found = postings.match(common.union(rare), queries).select("query_id", "chunk_id")
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 7), (1, None)]
+    assert _shuffled(found) < 300
