@@ -1,22 +1,27 @@
 """Cross-tokenizer alignment as relations of tokens.
 
-Both tokenizers' tokens of a document are exploded into one relation (document, side, position,
-id). A window over (document, side) adds their bytes up to the offset where each starts. Where
-tokens of both sides start, tokens of both sides end: sorted by document and offset the two are
-neighbours, so the equi-join on document and offset compares a row with the one before or after,
+Neither tokenizer joins anything across a space between two words (``subwords``), so tokens of both
+sides end there, and groups and links lie within a word. The different words of a batch of documents
+are therefore aligned once each and count wherever they stand; texts of tokenizers that can't be
+parted are one word each.
+
+Both tokenizers' tokens of these words are exploded into one relation (batch, word, side, position,
+id). A window over (word, side) adds their bytes up to the offset where each starts. Where
+tokens of both sides start, tokens of both sides end: sorted by word and offset the two are
+neighbours, so the equi-join on word and offset compares a row with the one before or after,
 and needs no second shuffle. The running
 count of such cuts numbers the groups. Every offset where any token starts opens a stretch that lies
 in one token of each side, and two tokens that overlap share exactly one such stretch; the last
 token of each side up to an offset is therefore a link, and no pairs within a group are tried.
 
-Documents are shuffled once, as arrays of ids. A document's links come together as numbers, in
-stretches of BLOCK groups first. Pairs of ids are counted by document with a partial count in every
-task; their table joins back by broadcast if it is small, else by salted shuffles.
+Batches are shuffled once, as arrays of ids and of places of words; a document is put together from
+its words' groups and sums by array functions. Pairs of ids are counted by document with a partial
+count in every task; their table joins back to the words by broadcast if it is small, else by salted shuffles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,51 +32,88 @@ from pyspark.sql.window import Window
 from . import subwords
 from .common import SALTS, arrow_rows, cut
 
+#: Words (characters of texts that are not parted) of the documents whose different words are aligned together.
+WORDS = 1 << 21
 #: Groups whose text and links are gathered together before a document's are.
 BLOCK = 4096
 #: An id pair is one number: the A id times this, plus the B id.
 WIDE = 1 << 24
 #: Distinct id pairs, of 16 bytes each, that may be broadcast.
 BROADCAST_PAIRS = 2_000_000
-#: UTF-8 bytes of the texts of a partition of tokens, so that its sorts stay in memory.
+#: UTF-8 bytes of the texts of a partition of tokens: several partitions a batch, so that batches seldom share one.
 PART_BYTES = 2 << 20
 #: Ids of small vocabularies travel as 16 bits, less this.
 SHORT = 1 << 15
 
 
 def tokens(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, a, b): the two tokenizers' ids of space + text; empty where their bytes differ from it."""
+    """(row, docs, words) a batch of documents: the two tokenizers' ids of each different word of the batch,
+    empty where their bytes differ from space + word, and the documents as (id, at), places of their words."""
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = subwords.CACHED // 2  # of two caches in a worker
         a, b = subwords.byte_bpe(a_file, " ", True, half), subwords.piece_bpe(b_file, half)
         bytes_a, bytes_b = subwords.byte_bpe_tokens(a_file), subwords.piece_bpe_tokens(b_file)
+        sizes_a, sizes_b = (np.array([len(x) for x in names]) for names in (bytes_a, bytes_b))
         none = np.zeros(0, np.int32)
-        for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column("text")]
-            found = ([], [])
-            for text, x, y in zip(texts, a.encode_each(texts), b.encode_each(texts), strict=True):
-                whole = (" " + text).encode()
-                good = text and all(b"".join(map(names.__getitem__, ids.tolist())) == whole for names, ids in ((bytes_a, x), (bytes_b, y)))
-                found[0].append(x if good else none)
-                found[1].append(y if good else none)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *(_lists(f, number) for f in found)], ["row", "id", "a", "b"])
+        # a model with all bytes gives back what it gets; what a word adds can't make up for what another lacks
+        parted = a.parted and b.parted and {bytes([i]) for i in range(256)} <= set(bytes_b)
+
+        def batch(first: int, seen: dict[str, int], keys: list[pa.Array], at: list[np.ndarray]) -> pa.RecordBatch:
+            words, sides = list(seen), []
+            coded = [(x.encode_words(words), names, sizes) for x, names, sizes in ((a, bytes_a, sizes_a), (b, bytes_b, sizes_b))]
+            said = [(" " + w).encode() for w in words]
+            good = _given_back(coded, said)
+            for (ids, n), _, _ in coded:
+                ends = np.concatenate([[0], np.cumsum(np.where(good, n, 0))])
+                sides.append(_lists(ids[np.repeat(good, n)], ends, number))
+            sides = pa.StructArray.from_arrays(sides, ["a", "b"])
+            flat = np.concatenate([*at, none]).astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]), pa.int32()), pa.array(flat))
+            held = pa.StructArray.from_arrays([pa.concat_arrays(keys), places], ["id", "at"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), one(held), one(sides)], ["row", "docs", "words"])
+
+        seen, ids, at, size, first = {}, [], [], 0, 0
+        for part in batches:
+            ids.append(part.column("id"))
+            first = first if at else part.column("row")[0].as_py()
+            for text in part.column("text"):
+                text = text.as_py()
+                words = (subwords.segments(text) if parted else [text]) if text else []
+                at.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
+                size += len(words) if parted else len(text or "")
+            if size >= WORDS:
+                yield batch(first, seen, ids, at)
+                seen, ids, at, size = {}, [], [], 0
+        if at:
+            yield batch(first, seen, ids, at)
 
     kind, number = dict(docs.dtypes)[id_col], _number(a_file, b_file)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"row long, id {kind}, a array<{number}>, b array<{number}>")
+    return rows.mapInArrow(run, f"row long, docs array<struct<id:{kind},at:array<int>>>, words array<struct<a:array<{number}>,b:array<{number}>>>")
 
 
 def _number(a_file: str, b_file: str) -> str:
     return "smallint" if max(len(subwords.byte_bpe_tokens(a_file)), len(subwords.piece_bpe_tokens(b_file))) <= 2 * SHORT else "int"
 
 
-def _lists(found: list[np.ndarray], number: str) -> pa.Array:
+def _given_back(coded: list[tuple[tuple[np.ndarray, np.ndarray], list[bytes], np.ndarray]], said: list[bytes]) -> np.ndarray:
+    """Of which words do both sides' tokens have the very bytes? Mostly of all, which one comparison tells."""
+    good, sizes, every = np.ones(len(said), bool), np.fromiter(map(len, said), np.int64, len(said)), b"".join(said)
+    for (ids, n), names, lengths in coded:
+        held = np.bincount(np.repeat(np.arange(len(n)), n), lengths[ids], len(n)).astype(np.int64)
+        if (held == sizes).all() and b"".join(map(names.__getitem__, ids.tolist())) == every:
+            continue
+        ends = np.concatenate([[0], np.cumsum(n)])
+        good &= np.fromiter((b"".join(map(names.__getitem__, ids[ends[i] : ends[i + 1]].tolist())) == x for i, x in enumerate(said)), bool, len(said))
+    return good
+
+
+def _lists(ids: np.ndarray, ends: np.ndarray, number: str) -> pa.Array:
     """Lists of ids, as 16 bits less SHORT where they fit."""
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-    flat = np.concatenate([*found, np.zeros(0, np.int32)])
-    flat = (flat - SHORT).astype(np.int16) if number == "smallint" else flat.astype(np.int32)
+    flat = (ids - SHORT).astype(np.int16) if number == "smallint" else ids.astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
@@ -82,17 +124,21 @@ def vocabulary(spark: SparkSession, a_file: str, b_file: str) -> DataFrame:
 
 
 def marked(coded: DataFrame, names: DataFrame, partitions: int) -> DataFrame:
-    """(row, id, side, pos, token, cut, group, link): every token with its group, ``cut`` if it is the first of
-    its side there; link is null where the pair is told by the other side."""
-    def side(column: str, s: int) -> Column:
-        low = SHORT if dict(coded.dtypes)[column] == "array<smallint>" else 0
+    """(row, word, docs, side, pos, token, cut, group, link): every token of every word with its group, ``cut`` if it is
+    the first of its side there; link is null where the pair is told by the other side. ``docs`` is in a batch's first row."""
+    low = SHORT if "smallint" in dict(coded.dtypes)["words"] else 0
+
+    def side(column: Column, s: int) -> Column:
         return F.transform(column, lambda t, i: F.struct(F.lit(s).alias("side"), i.alias("pos"), (t.cast("int") + low).alias("token")))
 
-    both = F.concat(side("a", 0), side("b", 1))
-    rows = coded.repartition(partitions, "row").select("row", "id", F.explode_outer(both).alias("t")).select("row", "id", "t.*")
+    rows = coded.repartition(partitions, "row").select("row", "docs", F.posexplode_outer("words").alias("word", "w"))
+    rows = rows.select("row", F.coalesce("word", F.lit(0)).alias("word"), F.when(F.coalesce("word", F.lit(0)) == 0, F.col("docs")).alias("docs"), "w")
+    rows = rows.select("row", "word", "docs", F.explode_outer(F.concat(side(F.col("w.a"), 0), side(F.col("w.b"), 1))).alias("t"))
+    first = F.col("t").isNull() | ((F.col("t.pos") == 0) & (F.col("t.side") == 0))
+    rows = rows.select("row", "word", F.when(first, F.col("docs")).alias("docs"), "t.*")
     rows = rows.join(F.broadcast(names), ["side", "token"], "left")
-    before = Window.partitionBy("row", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    order = Window.partitionBy("row").orderBy("start", "side")
+    before = Window.partitionBy("word", "row", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("word", "row").orderBy("start", "side")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("start", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
     other = F.when(F.col("side") == 0, F.lead("start").over(order)).otherwise(F.lag("start").over(order))
@@ -102,7 +148,7 @@ def marked(coded: DataFrame, names: DataFrame, partitions: int) -> DataFrame:
     rows = rows.withColumns({"group": group, "_a": a, "_b": b})
     # of two tokens that start together the second row, side B's, knows both
     told = F.when((F.col("side") == 1) | ~F.col("cut"), F.col("_a").cast("long") * WIDE + F.col("_b"))
-    return rows.select("row", "id", "side", "pos", "token", "cut", "group", told.alias("link"))
+    return rows.select("row", "word", "docs", "side", "pos", "token", "cut", "group", told.alias("link"))
 
 
 #: A token of a block as one number, so that a block sorts as numbers: group, side, position, cut, id.
@@ -125,11 +171,16 @@ def _text(members: Column) -> Column:
     return F.substr(F.array_join(F.transform(F.sort_array(members), one), ""), F.lit(2))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def gathered(rows: DataFrame) -> DataFrame:
-    """(row, id, n_a, n_b, n_groups, groups, links) a document: ``groups`` as text, ``links`` a number per link."""
+    """(row, docs, words) a batch: each word's groups as ``text``, its ``links`` a number per link, and how many it has."""
     block = F.floor((F.coalesce("group", F.lit(1)) - 1) / BLOCK)
-    blocks = rows.groupBy("row", block.alias("block")).agg(
-        F.first("id").alias("id"),
+    blocks = rows.groupBy("word", "row", block.alias("block")).agg(
+        F.get(F.collect_list("docs"), F.lit(0)).alias("docs"),
         F.count_if(F.col("token").isNotNull() & (F.col("side") == 0)).alias("n_a"),
         F.count_if(F.col("token").isNotNull() & (F.col("side") == 1)).alias("n_b"),
         F.max("group").alias("n_groups"),
@@ -138,19 +189,50 @@ def gathered(rows: DataFrame) -> DataFrame:
     )
     blocks = blocks.withColumn("text", _text(F.col("members"))).drop("members")
     texts = F.array_sort(F.collect_list(F.struct("block", "text")))
-    return blocks.groupBy("row").agg(
-        F.first("id").alias("id"),
+    words = blocks.groupBy("word", "row").agg(
+        F.get(F.collect_list("docs"), F.lit(0)).alias("docs"),
         F.sum("n_a").alias("n_a"),
         F.sum("n_b").alias("n_b"),
         F.coalesce(F.max("n_groups"), F.lit(0)).cast("long").alias("n_groups"),
-        F.array_join(F.transform(texts, lambda t: t["text"]), ";").alias("groups"),
+        F.array_join(F.transform(texts, lambda t: t["text"]), ";").alias("text"),
         F.flatten(F.collect_list("links")).alias("links"),
     )
+    return words.groupBy("row").agg(F.get(F.collect_list("docs"), F.lit(0)).alias("docs"), F.array_sort(F.collect_list(F.struct("word", "n_a", "n_b", "n_groups", "text", "links"))).alias("words"))
+
+
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda x: x[name]
+
+
+def _sum(at: Column, of: Column) -> Column:
+    return F.aggregate(at, F.lit(0).cast("long"), lambda n, i: n + F.get(of, i))
+
+
+def documents(batches: DataFrame, digest: bool) -> DataFrame:
+    """(row, docs, links) a batch: each document (id, at, n_a, n_b, n_groups, n_links, groups) put together from its
+    words; with a word that a tokenizer does not give back it has none. ``links`` are those of each word."""
+    each = lambda use: F.transform("words", use)
+    counts = {n: each(_field(n)) for n in ("n_a", "n_b", "n_groups")} | {"n_links": each(lambda w: F.size(w["links"]).cast("long"))}
+    known = F.struct(each(lambda w: w["text"]).alias("text"), F.exists("words", lambda w: w["n_groups"] == 0).alias("bad"), *[c.alias(n) for n, c in counts.items()])
+
+    def document(d: Column, at: Column, w: Column) -> Column:
+        text = F.array_join(F.transform(at, lambda i: F.get(w["text"], i)), ";")
+        groups = F.when(F.size(at) == 0, "").otherwise(F.sha2(text, 256) if digest else text)
+        return F.struct(d["id"].alias("id"), at.alias("at"), *[_sum(at, w[n]).alias(n) for n in counts], groups.alias("groups"))
+
+    def whole(d: Column, w: Column) -> Column:
+        good = ~w["bad"] | F.forall(d["at"], lambda i: F.get(w["n_groups"], i) > 0)
+        return _once(F.when(good, d["at"]).otherwise(F.array().cast("array<int>")), lambda at: document(d, at, w))
+
+    docs = _once(known, lambda w: F.transform("docs", lambda d: whole(d, w)))
+    return batches.select("row", docs.alias("docs"), each(lambda w: w["links"]).alias("links"))
 
 
-def pair_counts(links: DataFrame) -> DataFrame:
+def pair_counts(held: DataFrame) -> DataFrame:
     """(link, docs, best): in how many documents each pair is linked, and whether that is its A id's highest."""
-    counts = links.select(F.explode(F.array_distinct("links")).alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("docs"))
+    pairs = lambda d, links: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["at"]), lambda i: F.get(links, i))))
+    each = held.select(F.explode(_once(F.col("links"), lambda links: F.transform("docs", lambda d: pairs(d, links)))).alias("pairs"))
+    counts = each.select(F.explode("pairs").alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("docs"))
     counts = counts.withColumn("_a", F.expr(f"link div {WIDE}"))
     best = counts.groupBy("_a").agg(F.max("docs").alias("_most"))  # a row per A id
     return counts.join(best, "_a").select("link", "docs", (F.col("docs") == F.col("_most")).alias("best"))
@@ -166,7 +248,7 @@ def align(docs: DataFrame, a_file: str | None = None, b_file: str | None = None,
     text, or one whose bytes a tokenizer does not give back, have zeros and an empty text. Each row
     is a document of its own, so repeated rows and ids all count; null ids stay null, an empty table
     gives an empty result, other columns are not used. Texts may be of any length that one row can
-    hold: a document's tokens are sorted in one task, its groups' text and links are one row.
+    hold: a batch's different words are sorted in one task, and a batch (a document at least) is one row.
     """
     spark = docs.sparkSession
     a_file, b_file = a_file or subwords.path(subwords.BYTE_BPE), b_file or subwords.path(subwords.PIECE_BPE)
@@ -175,27 +257,27 @@ def align(docs: DataFrame, a_file: str | None = None, b_file: str | None = None,
         raise ValueError(f"a vocabulary has more than {_CUT} entries")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     whole = gathered(marked(tokens(docs, a_file, b_file, id_col, text_col), vocabulary(spark, a_file, b_file), partitions))
-    if digest:
-        whole = whole.withColumn("groups", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)))
-    # a partition's documents are few and small together, so they are gathered without another sort
-    spill = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    usual = spark.conf.get(spill)
-    spark.conf.set(spill, 1 << 16)
+    # tokens are sorted by word already, so groups are gathered in that order and none is held in a hash table
+    hashed = "spark.sql.execution.useObjectHashAggregateExec"
+    usual = spark.conf.get(hashed)
+    spark.conf.set(hashed, "false")
     try:
-        kept = cut(whole)
+        kept = cut(documents(whole, digest))
     finally:
-        spark.conf.set(spill, usual)
+        spark.conf.set(hashed, usual)
     counts = cut(pair_counts(kept))
-    each = kept.select("row", F.explode("links").alias("link"))
+    each = kept.select("row", F.posexplode_outer("links").alias("word", "_links")).select("row", "word", F.explode_outer("_links").alias("link"))
     if counts.count() <= limit:
-        valued = each.join(F.broadcast(counts), "link")
-    else:  # a pair that every document has is joined in SALTS parts
-        salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
+        valued = each.join(F.broadcast(counts), "link", "left")
+    else:  # a pair that every batch has is joined in SALTS parts
+        salt = F.pmod(F.xxhash64("row", "word"), F.lit(SALTS))
         wide = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        few = each.groupBy("row", "link").agg(F.count(F.lit(1)).alias("_times")).withColumn("_salt", salt)
-        valued = few.join(wide, ["link", "_salt"])
-    times = F.col("_times") if "_times" in valued.columns else F.lit(1)
-    sums = valued.groupBy("row").agg(F.sum(times).alias("n_links"), F.sum(F.when(F.col("best"), times).otherwise(0)).alias("n_best"), F.sum(F.col("docs") * times).alias("count_sum"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = kept.drop("links").join(sums, "row", "left")
-    return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", zero("n_links"), zero("n_best"), zero("count_sum"), "groups")
+        valued = each.withColumn("_salt", salt).join(wide, ["link", "_salt"], "left")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sums = valued.groupBy("row", "word").agg(zero(F.when(F.col("best"), 1)).alias("best"), zero(F.col("docs")).alias("docs"))
+    sums = sums.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("word", "best", "docs"))).alias("_words"))
+    both = kept.select("row", "docs").join(sums, "row")
+    worth = F.struct(*[F.transform("_words", _field(n)).alias(n) for n in ("best", "docs")])
+    out = _once(worth, lambda w: F.transform("docs", lambda d: F.struct(d.alias("d"), _sum(d["at"], w["best"]).alias("n_best"), _sum(d["at"], w["docs"]).alias("count_sum"))))
+    out = both.select(F.explode(out).alias("x"))
+    return out.select(F.col("x.d.id").alias(id_col), "x.d.n_a", "x.d.n_b", "x.d.n_groups", "x.d.n_links", "x.n_best", "x.count_sum", "x.d.groups")

@@ -23,6 +23,7 @@ BLOCK, CACHED = 1 << 20, 3 << 20
 # U+2581 is a piece model's own sign for a space
 _PLACE = re.compile(r"(?<=[^\s\u2581]) (?=[^\s\u2581])")
 _WHITE = [c for c in map(chr, range(0x3100)) if c.isspace() or c == "\u2581"]
+_BLANK = frozenset(_WHITE)
 
 Encode = Callable[[list[str]], list[list[int]]]
 
@@ -51,10 +52,10 @@ class Subwords:
         self.at: dict[str, int] = {}
         self.sizes, self.ends, self.pool = _Growing(np.int32), _Growing(np.int64), _Growing(np.int32)
 
-    def _learn(self, segments: list[str]) -> None:
+    def _learn(self, segments: list[str], coder: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None) -> None:
         if not segments:
             return
-        ids, sizes = self.inner(segments)
+        ids, sizes = (coder or self.inner)(segments)
         self.at.update(zip(segments, range(self.sizes.n, self.sizes.n + len(sizes)), strict=True))
         self.ends.add(self.pool.n + np.cumsum(sizes))
         self.sizes.add(sizes)
@@ -76,10 +77,10 @@ class Subwords:
 
     def _some(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(texts) == 1 and len(texts[0]) > BLOCK:  # a long text: block by block
-            out = [np.asarray(x, np.int32) for i, block in enumerate(_blocks(texts[0])) for x in self._parts([_segments(block)], i == 0)]
+            out = [np.asarray(x, np.int32) for i, block in enumerate(_blocks(texts[0])) for x in self._parts([segments(block)], i == 0)]
             yield np.concatenate(out)
             return
-        yield from self._parts([_segments(t) for t in texts])
+        yield from self._parts([segments(t) for t in texts])
 
     def _parts(self, texts: list[list[str]], lead: bool = True) -> Iterator[np.ndarray]:
         if self.pool.n > self.cached:
@@ -104,6 +105,21 @@ class Subwords:
             yield np.concatenate([np.asarray(heads[i], np.int32), part]) if lead else part
             k = m
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of different segments, each for itself after a space, and how many each has; ``first`` puts a space before."""
+        if self.pool.n > self.cached:
+            self._clear()
+        missing = [w for w in words if w not in self.at]
+        alone = [w for w in missing if not self.parted or w[0] in _BLANK]
+        if alone:  # it may join with what stands before it
+            self._learn(alone, lambda texts: flat(self.first(texts)))
+            missing = [w for w in missing if w not in self.at]
+        self._learn(missing)
+        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        n = self.sizes.all()[at].astype(np.int64)
+        ends = np.cumsum(n)
+        return self.pool.all()[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ends.all()[at] - ends, n)], n
+
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_each([text]))
 
@@ -126,7 +142,7 @@ class _Growing:
         return self.data[: self.n]
 
 
-def _segments(text: str) -> list[str]:
+def segments(text: str) -> list[str]:
     if text[:1] == " " or text[-1:] == " " or any(c in text and (c + " " in text or " " + c in text) for c in _WHITE if c != " ") or "  " in text:
         return _PLACE.split(text)
     return text.split(" ")

@@ -110,6 +110,22 @@ def test_alignment_equals_brute_force(spark, libraries, monkeypatch, limit):
     assert rows_of(alignment.align(df, limit=limit)) == sorted(brute_alignment(docs, libraries), key=str)
 
 
+@needs_files
+def test_alignment_meets_each_word_of_a_batch_once(spark, libraries, monkeypatch):
+    a, b = subwords.path(subwords.BYTE_BPE), subwords.path(subwords.PIECE_BPE)
+    docs = [(i, "again and again, as often as it is said " * 5) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    batch = alignment.tokens(df, a, b).collect()
+    assert [(len(r["docs"]), len(r["words"])) for r in batch] == [(200, 9)]  # the last word has the space at the end
+    monkeypatch.setattr(alignment, "WORDS", 30)
+    odd = list(enumerate(hard_texts(30, 5)))
+    df = spark.createDataFrame(odd, "doc_id long, text string").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    monkeypatch.setattr(alignment, "arrow_rows", lambda spark: None)
+    assert len(alignment.tokens(df, a, b).collect()) > df.rdd.getNumPartitions()
+    assert rows_of(alignment.align(df)) == sorted(brute_alignment(odd, libraries), key=str)
+
+
 @needs_files
 def test_alignment_of_nothing(spark):
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string")).count() == 0
