@@ -33,7 +33,7 @@ from . import subwords
 from .common import SALTS, arrow_rows, cut
 
 #: Words (characters of texts that are not parted) of the documents whose different words are aligned together.
-WORDS = 1 << 21
+WORDS = 1 << 19
 #: Groups whose text and links are gathered together before a document's are.
 BLOCK = 4096
 #: An id pair is one number: the A id times this, plus the B id.
@@ -52,8 +52,8 @@ def tokens(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", te
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = subwords.CACHED // 2  # of two caches in a worker
-        a, b = subwords.byte_bpe(a_file, " ", True, half), subwords.piece_bpe(b_file, half)
+        part = subwords.CACHED // 4  # of two caches in a worker, beside a batch
+        a, b = subwords.byte_bpe(a_file, " ", True, part), subwords.piece_bpe(b_file, part)
         bytes_a, bytes_b = subwords.byte_bpe_tokens(a_file), subwords.piece_bpe_tokens(b_file)
         sizes_a, sizes_b = (np.array([len(x) for x in names]) for names in (bytes_a, bytes_b))
         none = np.zeros(0, np.int32)
@@ -76,10 +76,10 @@ def tokens(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", te
             return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), one(held), one(sides)], ["row", "docs", "words"])
 
         seen, ids, at, size, first = {}, [], [], 0, 0
-        for part in batches:
-            ids.append(part.column("id"))
-            first = first if at else part.column("row")[0].as_py()
-            for text in part.column("text"):
+        for some in batches:
+            ids.append(some.column("id"))
+            first = first if at else some.column("row")[0].as_py()
+            for text in some.column("text"):
                 text = text.as_py()
                 words = (subwords.segments(text) if parted else [text]) if text else []
                 at.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
