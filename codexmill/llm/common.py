@@ -32,14 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Run ``df`` once and keep its rows as a table in the shared folder (survives lost executors).
 
     The table is small beside a checkpoint (columns, compressed), read only as far as its
     columns are used, and its size is known to the joins that follow.
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept._cut_path = path
     return kept

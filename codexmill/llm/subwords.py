@@ -142,10 +142,13 @@ class _Growing:
         return self.data[: self.n]
 
 
+def odd(text: str) -> bool:
+    """Has the text a space at which it is not parted?"""
+    return text[:1] == " " or text[-1:] == " " or any(c in text and (c + " " in text or " " + c in text) for c in _WHITE if c != " ") or "  " in text
+
+
 def segments(text: str) -> list[str]:
-    if text[:1] == " " or text[-1:] == " " or any(c in text and (c + " " in text or " " + c in text) for c in _WHITE if c != " ") or "  " in text:
-        return _PLACE.split(text)
-    return text.split(" ")
+    return _PLACE.split(text) if odd(text) else text.split(" ")
 
 
 def _blocks(text: str) -> Iterator[str]:

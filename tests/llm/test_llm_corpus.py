@@ -126,6 +126,22 @@ def test_alignment_meets_each_word_of_a_batch_once(spark, libraries, monkeypatch
     assert rows_of(alignment.align(df)) == sorted(brute_alignment(odd, libraries), key=str)
 
 
+@needs_files
+def test_alignment_meets_each_word_once_over_all_batches(spark, libraries, monkeypatch):
+    monkeypatch.setattr(alignment, "WORDS", 30)
+    a, b = subwords.path(subwords.BYTE_BPE), subwords.path(subwords.PIECE_BPE)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    monkeypatch.setattr(alignment, "arrow_rows", lambda spark: None)
+    docs = [(i, "again and again, as often as it is said") for i in range(60)] + [(60, None), (61, ""), (62, "as  often\nas \n it")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    batches = alignment.tokens(df, a, b, parts=4).persist()
+    assert batches.count() > 10
+    words = alignment.gathered(alignment.marked(alignment.coded(alignment.asked(batches), a, b), alignment.vocabulary(spark, a, b), 4)).collect()
+    assert len(words) == len({w for _, t in docs if t for w in subwords.segments(t)}) and all(w["links"] for w in words)
+    batches.unpersist()
+    assert rows_of(alignment.align(df)) == sorted(brute_alignment(docs, libraries), key=str)
+
+
 @needs_files
 def test_alignment_of_nothing(spark):
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string")).count() == 0
