@@ -38,7 +38,7 @@ def _keyword_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     rows = _tagged(spark, sf_dir).join(docs, "chunk_id")
     lexemes = fulltext.lexeme_column([(F.col("source"), fulltext.WEIGHT_A), (F.col("text"), fulltext.WEIGHT_D)], stemmed=False)
     path = _scratch(spark, "postings")  # kept, as ingest does, and not made anew for every use
-    postings.dealt(postings.index(rows.select("chunk_id", lexemes.alias("lexemes")))).write.partitionBy("bucket").parquet(path)
+    postings.folders(rows.select("chunk_id", lexemes.alias("lexemes"))).write.partitionBy("bucket").parquet(path)
     held = spark.read.parquet(path)
     queries = rows.filter(F.col("chunk_id") % 100 == 0)
     words = F.regexp_extract_all(F.lower("text"), F.lit(fulltext.WORD), F.lit(0))
@@ -228,13 +228,34 @@ def _lines_of_documents() -> list[Column]:
     return [F.when(d % 5 != 0, F.col("text")).alias("text"), F.when(d % 3 == 1, F.concat(F.lit("T"), _str("doc_id"))).alias("document_title"), (d % 90).cast("string").alias("article_number")]
 
 
+#: Bytes of text that ``ingested_files`` writes as files at a time, at least, and times at most.
+FILES_TEXT, FILES_TIMES = 64 << 20, 8
+
+
+def _ranges(table: DataFrame, by: int) -> list[Column]:
+    """Conditions that part the rows by ranges of whole ``doc_id / by``, of about as many rows each; null ids are in the first."""
+    size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    times = max(1, min(FILES_TIMES, size // FILES_TEXT))
+    cuts = table.agg(F.percentile_approx("doc_id", [i / times for i in range(1, times)])).first()[0] or [] if times > 1 else []
+    starts, d = sorted({c // by * by for c in cuts}), F.col("doc_id")
+    if not starts:
+        return [F.lit(True)]
+    return [d.isNull() | (d < starts[0]), *[(d >= a) & (d < b) for a, b in zip(starts[:-1], starts[1:], strict=True)], d >= starts[-1]]
+
+
 def ingested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """500 documents a JSONL file, each file written by its name, all ingested: titles, chunks and what was skipped."""
-    folder = _scratch(spark, "files")
-    docs = _table(spark, sf_dir, "documents").withColumn("name", F.concat(F.lit("f"), F.floor(F.col("doc_id") / 500).cast("string"), F.lit(".jsonl")))
-    jsonl_files.write_files(docs.select("name", "doc_id", *_lines_of_documents()), folder, "name", ["doc_id"])
-    store = sinks.Store(spark, _scratch(spark, "store"), 8)
-    service.ingest(spark, folder, store, stops=frozenset())
+    """500 documents a JSONL file, each file written by its name, all ingested: titles, chunks and what was skipped.
+
+    Files are written and ingested some at a time and then deleted, so that at most about an eighth of a large
+    table lies beside the store as files, staged rows and shuffles.
+    """
+    table, store = _table(spark, sf_dir, "documents"), sinks.Store(spark, _scratch(spark, "store"), 8)
+    for some in _ranges(table, 500):
+        folder = _scratch(spark, "files")
+        docs = table.filter(some).withColumn("name", F.concat(F.lit("f"), F.floor(F.col("doc_id") / 500).cast("string"), F.lit(".jsonl")))
+        jsonl_files.write_files(docs.select("name", "doc_id", *_lines_of_documents()), folder, "name", ["doc_id"])
+        service.ingest(spark, folder, store, stops=frozenset())
+        sinks.delete(spark, folder)
     rows = service.list_documents(store.documents(), store.chunks())
     contents = F.array_sort(F.collect_list(F.struct("chunk_index", F.md5(F.col("content").cast("binary")).alias("m"))))
     digests = store.chunks().groupBy("filename").agg(F.md5(F.array_join(F.transform(contents, lambda c: c["m"]), "").cast("binary")).alias("contents_md5"))

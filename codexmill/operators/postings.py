@@ -8,6 +8,7 @@ functions, once for all queries of the same terms.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,27 @@ ROWS = 256
 _LAST = "array<struct<i:int,pos:int,before:double>>"
 
 
+def _entry() -> T.DataType:
+    return T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("weight", T.DoubleType())]))
+
+
+def _placed(every: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows' lexemes by (row, term, place): each posting's row and its code among ``terms``, where its places begin, and the places."""
+    said = every.flatten()
+    row = np.repeat(np.arange(len(every)), every.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    terms, pos, weight = said.field("lexeme").dictionary_encode(), said.field("pos").to_numpy(), said.field("weight").to_numpy()
+    code = terms.indices.to_numpy()
+    order = np.lexsort((pos, code, row))
+    row, code = row[order], code[order]
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])) if len(row) else np.zeros(0, int)
+    return row[first], code[first], terms.dictionary, np.append(first, len(row)), pos[order], weight[order]
+
+
+def _places(ends: np.ndarray, pos: np.ndarray, weight: np.ndarray) -> pa.Array:
+    entry = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(weight, pa.float64())], ["pos", "weight"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entry)
+
+
 def index(rows: DataFrame, id_col: str = "chunk_id", lexemes: str = "lexemes", also: tuple[str, ...] = ()) -> DataFrame:
     """(term, id, places) of rows with lexemes; columns named in ``also`` pass through.
 
@@ -39,32 +61,94 @@ def index(rows: DataFrame, id_col: str = "chunk_id", lexemes: str = "lexemes", a
     """
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     keep = [id_col, *also]
-    schema = T.StructType([T.StructField("term", T.StringType()), *(rows.schema[c] for c in keep), T.StructField("places", T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("weight", T.DoubleType())])))])
+    schema = T.StructType([T.StructField("term", T.StringType()), *(rows.schema[c] for c in keep), T.StructField("places", _entry())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every = b.column(len(keep))
-            said = every.flatten()
-            row = np.repeat(np.arange(len(every)), every.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            terms, pos, weight = said.field("lexeme").dictionary_encode(), said.field("pos").to_numpy(), said.field("weight").to_numpy()
-            code = terms.indices.to_numpy()
-            order = np.lexsort((pos, code, row))
-            row, code = row[order], code[order]
-            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])) if len(row) else np.zeros(0, int)
-            entry = pa.StructArray.from_arrays([pa.array(pos[order], pa.int32()), pa.array(weight[order], pa.float64())], ["pos", "weight"])
-            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), entry)
-            at = pa.array(row[first])
-            yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(code[first])), *(b.column(i).take(at) for i in range(len(keep))), places], schema.names)
+            row, code, terms, ends, pos, weight = _placed(b.column(len(keep)))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(code)), *(b.column(i).take(at) for i in range(len(keep))), _places(ends, pos, weight)], schema.names)
 
     return rows.select(*keep, lexemes).mapInArrow(run, schema)
 
 
+def _bucket() -> Column:
+    return F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def _part(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(PARTS)).cast("int")
+
+
 def dealt(postings: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """Postings with the ``bucket`` of their term, to be written in folders by it, in order of term: a query's
     terms then prune folders and, within them, row groups. A term that all rows hold is dealt to PARTS tasks."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    part = F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(PARTS))
-    return postings.withColumn("bucket", bucket).repartition("bucket", part).sortWithinPartitions("bucket", "term")
+    return postings.withColumn("bucket", _bucket()).repartition("bucket", _part(id_col)).sortWithinPartitions("bucket", "term")
+
+
+def folders(rows: DataFrame, id_col: str = "chunk_id", lexemes: str = "lexemes", also: tuple[str, ...] = ()) -> DataFrame:
+    """``dealt(index(rows))``, shuffled as packs.
+
+    A posting by itself is mostly the padding of its row. So the postings of a batch that go to one part of a folder are
+    a row of arrays on the way: its ids once, its terms once, and numbers for what belongs to which.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    keep = [id_col, *also]
+    kinds = [rows.schema[c].dataType for c in keep]
+    int_, string, double = T.IntegerType(), T.StringType(), T.DoubleType()
+    lists = {**{f"_{i}": k for i, k in enumerate(kinds)}, "_held": int_, "_code": int_, "_terms": string, "_n": int_, "_pos": int_, "_weight": double}
+    packed = T.StructType([T.StructField("bucket", int_), T.StructField("_part", int_), *(T.StructField(n, T.ArrayType(k)) for n, k in lists.items())])
+    schema = T.StructType([T.StructField("term", string), *(rows.schema[c] for c in keep), T.StructField("places", _entry()), T.StructField("bucket", int_)])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, code, terms, ends, pos, weight = _placed(b.column(len(keep) + 1))
+            if not len(row):
+                continue
+            bucket = np.array([zlib.crc32(t.encode()) % BUCKETS for t in terms.to_pylist()])[code]
+            part = b.column(len(keep)).to_numpy()[row]
+            order = np.lexsort((code, row, part, bucket))
+            row, code, bucket, part, begin, n = (x[order] for x in (row, code, bucket, part, ends[:-1], np.diff(ends)))
+            new = lambda *keys: np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+            pack = new(bucket, part)
+            head = np.flatnonzero(pack)  # a pack's first posting
+            lead = np.flatnonzero(pack | new(row))  # a pack's rows, by their first posting
+            own, local = np.unique(np.stack([np.cumsum(pack) - 1, code]), axis=1, return_inverse=True)  # a pack's terms
+            first = np.searchsorted(own[0], np.arange(len(head)))
+            at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())  # its places
+
+            def by(starts: np.ndarray, values: pa.Array) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+
+            rows_at, places_at = np.searchsorted(lead, head), np.concatenate([[0], np.cumsum(n)])[head]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[head], pa.int32()),
+                    pa.array(part[head], pa.int32()),
+                    *(by(rows_at, b.column(i).take(pa.array(row[lead]))) for i in range(len(keep))),
+                    by(rows_at, pa.array(np.diff(np.append(lead, len(row))), pa.int32())),
+                    by(head, pa.array(local.ravel() - np.repeat(first, np.diff(np.append(head, len(row)))), pa.int32())),
+                    by(first, terms.take(pa.array(own[1]))),
+                    by(head, pa.array(n, pa.int32())),
+                    by(places_at, pa.array(pos[at], pa.int32())),
+                    by(places_at, pa.array(weight[at], pa.float64())),
+                ],
+                packed.names,
+            )
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = dict(zip(packed.names, b.columns, strict=True))
+            flat = {name: columns[name].flatten() for name in lists}
+            size = columns["_code"].value_lengths().to_numpy()  # postings of a pack
+            before = np.cumsum(columns["_terms"].value_lengths().to_numpy()) - columns["_terms"].value_lengths().to_numpy()
+            at = pa.array(np.repeat(np.arange(len(flat["_held"])), flat["_held"].to_numpy()))
+            term = flat["_terms"].take(pa.array(flat["_code"].to_numpy() + np.repeat(before, size)))
+            places = _places(np.append(0, np.cumsum(flat["_n"].to_numpy())), flat["_pos"].to_numpy(), flat["_weight"].to_numpy())
+            yield pa.RecordBatch.from_arrays([term, *(flat[f"_{i}"].take(at) for i in range(len(keep))), places, pa.array(np.repeat(columns["bucket"].to_numpy(), size), pa.int32())], schema.names)
+
+    packs = rows.select(*keep, _part(id_col).alias("_part"), lexemes).mapInArrow(pack, packed)
+    return packs.repartition("bucket", "_part").mapInArrow(unpack, schema).sortWithinPartitions("bucket", "term")
 
 
 def _asked(queries: DataFrame) -> DataFrame:

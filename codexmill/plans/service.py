@@ -62,7 +62,7 @@ def ingest(spark: SparkSession, folder: str, store: Store, settings: Settings =
     staged = f"{store.path}/_staging-{run}"
     at = F.lit(clock()).cast("timestamp_ntz")
     try:
-        files.read_folder(spark, folder, settings.chunk_size, min(settings.chunk_overlap, settings.chunk_size - 1)).write.parquet(staged)
+        files.read_folder(spark, folder, settings.chunk_size, min(settings.chunk_overlap, settings.chunk_size - 1)).write.parquet(staged, compression="zstd")
         rows = spark.read.schema(files.PARSED).parquet(staged)
         names = files.list_names(spark, folder, (".txt", ".jsonl"))
         per = rows.groupBy("filename").agg(F.count("item").alias("n"), F.count("said").alias("issues"), F.min_by("title", F.when(F.col("title").isNotNull(), F.struct("part", "n"))).alias("title"))
@@ -74,9 +74,10 @@ def ingest(spark: SparkSession, folder: str, store: Store, settings: Settings =
         shown = [r["said"] for r in said.orderBy(F.lower("filename"), "filename", "part", "n").limit(ISSUES_SHOWN).collect()]
         ident = F.xxhash64("filename")
         documents = listed.filter("n > 0").select(ident.alias("document_id"), "filename", "title", F.col("path").alias("source_path"), at.alias("created_at"), at.alias("updated_at"))
-        chunks = files.indexed(rows).withColumn("document_id", ident).join(listed.select("filename", F.col("title").alias("_title")), "filename")
+        items = files.indexed(rows, listed.select("filename", F.col("title").alias("_title"))).withColumn("document_id", ident)
         stops = stop_words(spark) if stops is None else stops
-        chunks = chunks.select(
+        # in the store's order before vectors and lexemes are made, which are far larger than the text in a shuffle
+        chunks = items.sortWithinPartitions("document_id", "chunk_index").select(
             F.xxhash64("filename", "chunk_index").alias("chunk_id"),
             "document_id",
             "chunk_index",
@@ -86,7 +87,7 @@ def ingest(spark: SparkSession, folder: str, store: Store, settings: Settings =
             "filename",
             _lexemes(F.col("_title"), "item.", stops).alias("lexemes"),
         )
-        store.replace(documents.select(*DOCUMENT.fieldNames()), chunks.select(*CHUNK.fieldNames()), said.select("filename", "said"), run=run)
+        store.replace(documents.select(*DOCUMENT.fieldNames()), chunks.select(*CHUNK.fieldNames()), said.select("filename", "said"), run=run, dealt=True)
     except Exception as e:
         raise RuntimeError(f"ingest failed: {e}") from e
     finally:

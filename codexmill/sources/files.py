@@ -202,15 +202,17 @@ def read_folder(spark: SparkSession, folder: str, size: int = 1200, n_overlap: i
     return read_texts(spark, folder, size, n_overlap).unionByName(read_jsonl(spark, folder))
 
 
-def indexed(rows: DataFrame) -> DataFrame:
+def indexed(rows: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """The rows with an item, with ``chunk_index`` from 0 in each file by (part, n).
 
-    Only a file's parts are counted along it; chunks are numbered within their part.
+    Only a file's parts are counted along it; chunks are numbered within their part. Columns of ``told``,
+    a row a filename, come with the parts, so that the rows themselves are shuffled once; files that it has not are left out.
     """
     items = rows.filter(F.col("item").isNotNull())
     counts = items.groupBy("filename", "part").agg(F.count(F.lit(1)).alias("_n"))
     earlier = F.sum("_n").over(Window.partitionBy("filename").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("filename", "part", F.coalesce(earlier, F.lit(0)).alias("_base"))
+    base = counts.withColumn("_base", F.coalesce(earlier, F.lit(0))).drop("_n")
+    base = base if told is None else base.join(told, "filename")
     within = F.row_number().over(Window.partitionBy("filename", "part").orderBy("n"))
     return items.withColumn("_within", within).join(base, ["filename", "part"]).withColumn("chunk_index", (F.col("_base") + F.col("_within") - 1).cast("int")).drop("_within", "_base")
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..config import shuffles_dropped
 from ..operators import postings
 from ..schemas import CHUNK, DOCUMENT
 
@@ -165,28 +166,31 @@ class Store:
     # writing
 
     def _write(self, rows: DataFrame, path: str, by: str | None = None) -> None:
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        writer = rows.write.mode("overwrite").option("compression", "zstd")
+        with shuffles_dropped(rows.sparkSession):
+            (writer.partitionBy(by) if by else writer).parquet(path)
 
-    def _put(self, chunks: DataFrame, run: str) -> None:
+    def _put(self, chunks: DataFrame, run: str, dealt: bool = False) -> None:
         """A run's chunks, and their postings as written chunks have them."""
-        # dealt by hash: a range would be sampled, and making the chunks is the dear part
-        dealt = chunks.repartition("document_id", F.floor(F.col("chunk_index") / TOGETHER))
-        self._write(dealt.sortWithinPartitions("document_id", "chunk_index"), f"{self.path}/chunks/run={run}")
+        if not dealt:
+            # dealt by hash: a range would be sampled, and making the chunks is the dear part
+            chunks = chunks.repartition("document_id", F.floor(F.col("chunk_index") / TOGETHER)).sortWithinPartitions("document_id", "chunk_index")
+        self._write(chunks, f"{self.path}/chunks/run={run}")
         written = self.spark.read.schema(CHUNK).parquet(f"{self.path}/chunks/run={run}")
-        self._write(postings.dealt(postings.index(written, also=("document_id",))), f"{self.path}/postings/run={run}", "bucket")
+        self._write(postings.folders(written, also=("document_id",)), f"{self.path}/postings/run={run}", "bucket")
 
-    def replace(self, documents: DataFrame, chunks: DataFrame, issues: DataFrame | None = None, batch: tuple[str, int] | None = None, run: str | None = None) -> int:
+    def replace(self, documents: DataFrame, chunks: DataFrame, issues: DataFrame | None = None, batch: tuple[str, int] | None = None, run: str | None = None, dealt: bool = False) -> int:
         """Put these files in place of earlier versions, in one step; others stay. Returns the version.
 
         ``documents`` has one row a filename. A ``batch`` (stream, number) that has been published
-        before, or one older, changes nothing, so a stream may repeat it.
+        before, or one older, changes nothing, so a stream may repeat it. Chunks are shuffled into the order
+        of their documents, unless ``dealt`` says that they come in it.
         """
         m = self.manifest()
         if self._seen(m, batch):
             return m["version"]
         run = run or uuid.uuid4().hex
-        self._put(chunks.select(*CHUNK.fieldNames()), run)
+        self._put(chunks.select(*CHUNK.fieldNames()), run, dealt)
         if issues is not None:
             self._write(issues.select("filename", "said"), f"{self.path}/issues/run={run}")
         for attempt in range(ATTEMPTS):

@@ -171,3 +171,29 @@ def test_numbered_lines_get_more_files_as_the_table_grows(spark, tmp_path, monke
     rows = flows.jsonl_numbered(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(200)) and all(r["numbered"] for r in rows)
     assert files_read[0] >= 8
+
+
+def test_files_are_written_some_at_a_time_and_not_kept(spark, tmp_path, monkeypatch):
+    rows = [(i, f"слово {i}" if i % 3 else None, "a", "b", 1) for i in range(2600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(flows, "_scratch", lambda spark, name: f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    whole = sorted(map(tuple, flows.ingested_files(spark, str(tmp_path)).collect()), key=str)
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("files")] == []
+    most, ingest = [], service.ingest
+    monkeypatch.setattr(service, "ingest", lambda spark, folder, *a, **b: (most.append(len(list((tmp_path / folder).glob("*.jsonl")))), ingest(spark, folder, *a, **b)))
+    monkeypatch.setattr(flows, "FILES_TEXT", 10_000)
+    assert sorted(map(tuple, flows.ingested_files(spark, str(tmp_path)).collect()), key=str) == whole
+    assert sum(most) == len(whole) == 6 and max(most) < 6
+
+
+@pytest.mark.parametrize("times", [1, 2, 8])
+def test_ranges_hold_every_row_once(spark, monkeypatch, times):
+    monkeypatch.setattr(flows, "FILES_TEXT", 1)
+    monkeypatch.setattr(flows, "FILES_TIMES", times)
+    ids = [None, None, -7, 0, 9, 10, 11, 500, 10**6, *range(40, 60)]
+    table = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
+    parts = [[r["doc_id"] for r in table.filter(some).collect()] for some in flows._ranges(table, 10)]
+    assert sorted(map(str, sum(parts, []))) == sorted(map(str, ids)) and 1 <= len(parts) <= times
+    groups = [{i // 10 for i in part if i is not None} for part in parts]
+    assert sum(map(len, groups)) == len(set().union(*groups))
+    assert all(len(list(flows._ranges(table.filter("doc_id is null" if n else "false"), 10))) == 1 for n in (0, 1))

@@ -84,6 +84,16 @@ def test_keyword_search_reads_no_corpus_and_no_python(spark, corpus, tmp_path):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_packed_postings_are_the_plain_ones(spark, corpus):
+    _, df = corpus
+    lexemes = fulltext.lexeme_column([(F.col("title"), 1.0), (F.col("text"), 0.1)], STOPS)
+    rows = df.select(F.when(F.col("chunk_id") != 4, F.col("chunk_id")).alias("chunk_id"), "title", F.when(F.col("chunk_id") != 5, lexemes).alias("lexemes"))
+    plain, packed = postings.dealt(postings.index(rows, also=("title",))), postings.folders(rows, also=("title",))
+    assert packed.schema == plain.schema and packed.count() > 100
+    assert sorted(packed.collect(), key=str) == sorted(plain.collect(), key=str)
+    assert postings.folders(rows.filter("false")).count() == 0 == postings.folders(rows.filter("chunk_id = 5")).count()
+
+
 def test_ranks_that_differ_by_their_sums_order_are_ties(spark):
     rows = spark.createDataFrame([(0, 5, 0.1 + 0.2 + 0.3), (0, 2, 0.3 + 0.2 + 0.1), (0, 1, 0.5)], "query_id long, chunk_id long, keyword_score double")
     assert [r["chunk_id"] for r in postings.best(rows, 1).collect()] == [2]

@@ -172,3 +172,44 @@ def test_ingest_holds_few_texts_at_a_time(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.jsonl").write_text("\n".join('{"text": "x%d"}' % i for i in range(700)))
     assert service.ingest(spark, str(tmp_path / "d"), Store(spark, str(tmp_path / "s"), 2), model=Batches)["chunks_created"] == 700
+
+
+def test_ingest_shuffles_texts_once_and_what_is_made_of_them_never(spark, tmp_path, monkeypatch):
+    (tmp_path / "d").mkdir()
+    for name in "abc":
+        (tmp_path / "d" / f"{name}.jsonl").write_text("\n".join(json.dumps({"text": f"{name} {i}", "document_title": name}) for i in range(9)))
+    plans, write = {}, Store._write
+
+    def watched(self, rows, path, by=None):
+        plans[path.split("/")[-2]] = rows._jdf.queryExecution().executedPlan()
+        write(self, rows, path, by)
+
+    def exchanged(node):
+        """Names of the columns that each exchange of a plan shuffles."""
+        own = [[a.name() for a in _all(node.output())]] if node.nodeName() == "Exchange" else []
+        return own + [x for c in _all(node.children()) for x in exchanged(c)]
+
+    def _all(seq):
+        return [seq.apply(i) for i in range(seq.size())]
+
+    monkeypatch.setattr(Store, "_write", watched)
+    service.ingest(spark, str(tmp_path / "d"), Store(spark, str(tmp_path / "s"), 2))
+    columns = exchanged(plans["chunks"].initialPlan())
+    assert not [c for c in columns if {"embedding", "lexemes"} & set(c)]
+    assert len([c for c in columns if {"item", "content"} & set(c)]) == 1
+    assert not [c for c in exchanged(plans["postings"].initialPlan()) if "places" in c]
+
+
+def test_shuffles_of_a_run_do_not_stay(spark, store):
+    def held():
+        ids = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keysIterator()
+        found = set()
+        while ids.hasNext():
+            found.add(ids.next())
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b.name() for b in (blocks.apply(i) for i in range(blocks.size())) if b.isShuffle()}
+
+    before = held()
+    store._put(spark.range(40).select(*[F.col("id").alias(f.name) if f.name in ("chunk_id", "document_id") else F.lit("x" if f.name in ("content", "filename") else None).cast(f.dataType).alias(f.name) if f.name != "chunk_index" else F.lit(0).alias(f.name) for f in CHUNK.fields]), "r")
+    assert held() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
