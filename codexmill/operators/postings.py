@@ -107,14 +107,13 @@ def folders(rows: DataFrame, id_col: str = "chunk_id", lexemes: str = "lexemes",
                 continue
             bucket = np.array([zlib.crc32(t.encode()) % BUCKETS for t in terms.to_pylist()])[code]
             part = b.column(len(keep)).to_numpy()[row]
-            order = np.lexsort((code, row, part, bucket))
+            order = np.argsort((bucket * PARTS + part).astype(np.int16), kind="stable")  # rows and terms within a pack stay in order
             row, code, bucket, part, begin, n = (x[order] for x in (row, code, bucket, part, ends[:-1], np.diff(ends)))
-            new = lambda *keys: np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-            pack = new(bucket, part)
+            pack = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
             head = np.flatnonzero(pack)  # a pack's first posting
-            lead = np.flatnonzero(pack | new(row))  # a pack's rows, by their first posting
-            own, local = np.unique(np.stack([np.cumsum(pack) - 1, code]), axis=1, return_inverse=True)  # a pack's terms
-            first = np.searchsorted(own[0], np.arange(len(head)))
+            lead = np.flatnonzero(pack | np.concatenate([[True], row[1:] != row[:-1]]))  # a pack's rows, by their first posting
+            own, local = np.unique((np.cumsum(pack) - 1) * len(terms) + code, return_inverse=True)  # a pack's terms
+            first = np.searchsorted(own, np.arange(len(head)) * len(terms))
             at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())  # its places
 
             def by(starts: np.ndarray, values: pa.Array) -> pa.Array:
@@ -127,8 +126,8 @@ def folders(rows: DataFrame, id_col: str = "chunk_id", lexemes: str = "lexemes",
                     pa.array(part[head], pa.int32()),
                     *(by(rows_at, b.column(i).take(pa.array(row[lead]))) for i in range(len(keep))),
                     by(rows_at, pa.array(np.diff(np.append(lead, len(row))), pa.int32())),
-                    by(head, pa.array(local.ravel() - np.repeat(first, np.diff(np.append(head, len(row)))), pa.int32())),
-                    by(first, terms.take(pa.array(own[1]))),
+                    by(head, pa.array(local - np.repeat(first, np.diff(np.append(head, len(row)))), pa.int32())),
+                    by(first, terms.take(pa.array(own % len(terms)))),
                     by(head, pa.array(n, pa.int32())),
                     by(places_at, pa.array(pos[at], pa.int32())),
                     by(places_at, pa.array(weight[at], pa.float64())),
